@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from .gif_media import op3_gif_media
 from .language_nb import op4_language_nb
+from .line_crf import op7_line_crf
+from .pack_tiers import op6_pack_tiers
+from .pii_semicrf import op8_pii_semicrf
 from .quality_fm import op1_quality_fm
+from .token_parquet import op10_token_parquet
 
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
+    "op3_gif_media": op3_gif_media,
     "op4_language_nb": op4_language_nb,
+    "op6_pack_tiers": op6_pack_tiers,
+    "op7_line_crf": op7_line_crf,
+    "op8_pii_semicrf": op8_pii_semicrf,
+    "op10_token_parquet": op10_token_parquet,
 }
 
 ORACLE_SQL: dict[str, str] = {}
