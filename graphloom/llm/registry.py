@@ -5,15 +5,19 @@ from __future__ import annotations
 from .gif_media import op3_gif_media
 from .language_nb import op4_language_nb
 from .line_crf import op7_line_crf
+from .mix_flow import op2_mix_flow
 from .pack_tiers import op6_pack_tiers
 from .pii_semicrf import op8_pii_semicrf
 from .quality_fm import op1_quality_fm
+from .simhash_cover import op5_simhash_cover
 from .token_parquet import op10_token_parquet
 
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
+    "op2_mix_flow": op2_mix_flow,
     "op3_gif_media": op3_gif_media,
     "op4_language_nb": op4_language_nb,
+    "op5_simhash_cover": op5_simhash_cover,
     "op6_pack_tiers": op6_pack_tiers,
     "op7_line_crf": op7_line_crf,
     "op8_pii_semicrf": op8_pii_semicrf,
