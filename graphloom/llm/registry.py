@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .brown_lm import op9_brown_lm
 from .gif_media import op3_gif_media
 from .language_nb import op4_language_nb
 from .line_crf import op7_line_crf
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_pack_tiers": op6_pack_tiers,
     "op7_line_crf": op7_line_crf,
     "op8_pii_semicrf": op8_pii_semicrf,
+    "op9_brown_lm": op9_brown_lm,
     "op10_token_parquet": op10_token_parquet,
 }
 
