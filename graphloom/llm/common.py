@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.session import ship
+from graphloom.session import shared_dir, ship
 
 #: The white space of the contracts: space, tab, LF, VT, FF, CR (``bytes.split`` splits on the same six).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,15 +37,6 @@ def rate_by(column: str, counts: dict, most: int) -> Column:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -54,6 +54,7 @@ def targets(sizes: dict[Source, int], weights: tuple[float, ...] = (5, 2, 1), sh
             rest -= out[s]
         open_ = [s for s in open_ if s not in out]
     return out
+    return out
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
@@ -145,7 +146,8 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     plan = spark.createDataFrame(plan.collect(), plan.schema)  # a row per pattern
     held = rows.join(F.broadcast(plan), "pattern")
     near = (F.col("bin") >= F.col("from_bin")) & (F.col("bin") <= F.col("to_bin"))
-    columns = "doc_id long, pattern string, size long, taken long"
+    # ids as text: pandas would turn a column with a null to floating point
+    columns = "doc_id string, pattern string, size long, taken long"
     far = held.where(~near).select("doc_id", "pattern", "size", (F.col("size") * (F.col("whole") + (F.col("bin") < F.col("from_bin")).cast("long"))).alias("taken"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -163,7 +165,8 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
             more[last] = 1  # nearer to the part with it than without
         return pdf.assign(taken=pdf["size"] * (pdf["whole"] + more))[["doc_id", "pattern", "size", "taken"]]
 
-    return far.unionByName(held.where(near).groupBy("pattern").applyInPandas(walk, columns)), sizes, aim
+    walked = held.where(near).withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("pattern").applyInPandas(walk, columns)
+    return far.unionByName(walked.withColumn("doc_id", F.col("doc_id").cast("long"))), sizes, aim
 
 
 def op2_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from .tokens import encoder
 #: Parquet settings: bytes of a row group and a page, rows of a page, writer version.
 LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(1 << 20), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "compression": "zstd"}
 END_ID = 0
+STORED = "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -54,12 +55,12 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int = END_ID) -
             place += int(ends[-1]) if len(ends) else 0
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>").write.options(**LAYOUT).parquet(path)
+    ordered.mapInArrow(run, STORED).write.options(**LAYOUT).parquet(path)
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every row, from the files."""
-    stored = spark.read.parquet(path)
+    stored = spark.read.schema(STORED).parquet(path)
     # one row a range: the ids of all ranges before it
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
