@@ -1,18 +1,24 @@
 """Token ids by the tokenizers library, with a bounded memo of words.
 
 Byte-level pre-tokenisation never crosses a single space between two characters
-that aren't white space, so a text is cut there and each word, with its space, is
-encoded once; later occurrences come from the memo.  Texts with other runs of
-white space at those places, or with a special token's string, are encoded whole.
-The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+that aren't white space, nor the place between an ASCII letter and a run of ASCII
+punctuation that ends its word, nor a single line end between such characters.  A text is cut there, each part is encoded once,
+many parts a call, and later occurrences come from the memo.  Texts with other
+runs of white space at those places, or with a special token's string, are encoded
+whole.  The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
 
-#: Words and code points in the memo, a bound on a Python worker's memory.  Beyond it the memo starts anew.
-MEMO, MEMO_CHARS = 400_000, 8_000_000
+#: Words and code points in a generation of the memo, a bound on a Python worker's memory.
+#: A full generation becomes the old one; the words of it that occur again move to the new one.
+MEMO, MEMO_CHARS = 320_000, 5_000_000
+_TAIL = re.compile(r"[A-Za-z]([!-/:-@\[-`{-~]+)\Z")
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -25,6 +31,7 @@ def encoder(path: str) -> Encoder:
 
 class Encoder:
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -34,51 +41,102 @@ class Encoder:
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.line = vocab["Ċ"]
+        self.memo: dict[str, bytes] = {}  # a word after a space
+        self.old: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}  # a word at a line's start
+        self.tails: dict[str, bytes] = {}
         self.held = 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words, each a space and characters that aren't white space, many at once."""
+        """Encode new words, without white space inside, as they are after a space."""
         for at in range(0, len(words), 200):
             part = words[at : at + 200]
-            ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
             cut = np.flatnonzero(self.starts[ids])
             if len(cut) != len(part):
                 for w in part:
-                    self.memo[w] = self._whole(w)
+                    self.memo[w] = self._whole(" " + w)
                 continue
             raw, ends = ids.tobytes(), [*(cut * 2).tolist(), len(ids) * 2]
             for k, w in enumerate(part):
                 self.memo[w] = raw[ends[k] : ends[k + 1]]
 
+    def _renew(self, new: set[str]) -> None:
+        """Put words into the memo: from the old generation, from a stem and its punctuation, or encoded."""
+        memo, old = self.memo, self.old
+        self.held += sum(map(len, new))
+        fresh, composed = set(), []
+        for w in new:
+            if (x := old.get(w)) is not None:
+                memo[w] = x
+            elif m := _TAIL.search(w):
+                stem, tail = w[: m.start(1)], m[1]
+                composed.append((w, stem, tail))
+                if stem not in memo:
+                    if (x := old.get(stem)) is not None:
+                        memo[stem] = x
+                    else:
+                        fresh.add(stem)
+            else:
+                fresh.add(w)
+        self._learn(sorted(fresh))
+        for w, stem, tail in composed:
+            if (x := self.tails.get(tail)) is None:
+                x = self._whole(tail)
+                if len(self.tails) < 10_000 and len(tail) < 20:
+                    self.tails[tail] = x
+            memo[w] = memo[stem] + x
+
+    def _first(self, words: set[str]) -> None:
+        """Encode words as they are at a line's start."""
+        self.held += sum(map(len, words))
+        todo = sorted(words)
+        for at in range(0, len(todo), 200):
+            part = todo[at : at + 200]
+            ids = np.array(self.tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+            cut = np.flatnonzero(ids == self.line)
+            raw, starts, ends = ids.tobytes(), [0, *(2 * cut + 2).tolist()], [*(2 * cut).tolist(), 2 * len(ids)]
+            for k, w in enumerate(part):
+                self.firsts[w] = raw[starts[k] : ends[k]]
+
+    def _lines(self, text: str) -> list[list[str]] | None:
+        """A text's words by line, if every cut between them is sound; else nothing."""
+        if any(s in text for s in self.special):
+            return None
+        out = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            # any other white space may join a run with what is cut away
+            if line.split() != words:
+                return None
+            out.append(words)
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (16-bit unsigned) of whole texts."""
-        memo, out = self.memo, []
-        for text in texts:
-            if len(memo) > MEMO or self.held > MEMO_CHARS:
-                memo.clear()
-                self.held = 0
-            if not text or "\0" in text or any(s in text for s in self.special):
-                out.append(np.frombuffer(self._whole(text), np.uint16))
-                continue
-            words = text.replace(" ", "\0 ").split("\0")
-            try:
-                raw = b"".join(map(memo.__getitem__, words))
-            except KeyError:
-                new = [w for w in dict.fromkeys(words) if w not in memo]
-                self.held += sum(map(len, new))
-                plain = [w for w in new if w[:1] == " " and w.split() == [w[1:]]]
-                self._learn(plain)
-                odd = [w for w in new if w not in memo]
-                # the first word, and words with a line end inside, stand alone as long as no white space touches a cut
-                if any(w[-1:].isspace() or w[1:2].isspace() or w in ("", " ") for w in odd):
-                    raw = self._whole(text)
+        out: list[np.ndarray] = []
+        line = np.uint16(self.line).tobytes()
+        for at in range(0, len(texts), 64):
+            if len(self.memo) + len(self.firsts) > MEMO or self.held > MEMO_CHARS:
+                self.old, self.memo, self.firsts, self.held = self.memo, {}, {}, 0
+            memo, firsts, part = self.memo, self.firsts, texts[at : at + 64]
+            split = [self._lines(t) if t else None for t in part]
+            new: set[str] = set()
+            heads: set[str] = set()
+            for lines in split:
+                for words in lines or ():
+                    heads.add(words[0])
+                    new.update(words[1:])
+            self._first(heads.difference(firsts))
+            self._renew(new.difference(memo))
+            for text, lines in zip(part, split, strict=True):
+                if lines:
+                    raw = line.join([firsts[words[0]] + b"".join(map(memo.__getitem__, words[1:])) for words in lines])
                 else:
-                    for w in odd:
-                        memo[w] = self._whole(w)
-                    raw = b"".join(map(memo.__getitem__, words))
-            out.append(np.frombuffer(raw, np.uint16))
+                    raw = self._whole(text) if text else b""
+                out.append(np.frombuffer(raw, np.uint16))
         return out
