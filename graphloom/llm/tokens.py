@@ -18,6 +18,7 @@ import numpy as np
 #: Words and code points in a generation of the memo, a bound on a Python worker's memory.
 #: A full generation becomes the old one; the words of it that occur again move to the new one.
 MEMO, MEMO_CHARS = 320_000, 5_000_000
+_ODD = re.compile(r"[^\S \n]")
 _TAIL = re.compile(r"[A-Za-z]([!-/:-@\[-`{-~]+)\Z")
 _LOADED: dict[str, Encoder] = {}
 
@@ -42,9 +43,8 @@ class Encoder:
         self.starts[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.line = vocab["Ċ"]
-        self.memo: dict[str, bytes] = {}  # a word after a space
+        self.memo: dict[str, bytes] = {}  # a word after a space, or with the line end before it
         self.old: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}  # a word at a line's start
         self.tails: dict[str, bytes] = {}
         self.held = 0
 
@@ -69,10 +69,12 @@ class Encoder:
         """Put words into the memo: from the old generation, from a stem and its punctuation, or encoded."""
         memo, old = self.memo, self.old
         self.held += sum(map(len, new))
-        fresh, composed = set(), []
+        fresh, heads, composed = set(), set(), []
         for w in new:
             if (x := old.get(w)) is not None:
                 memo[w] = x
+            elif w[0] == "\n":
+                heads.add(w)
             elif m := _TAIL.search(w):
                 stem, tail = w[: m.start(1)], m[1]
                 composed.append((w, stem, tail))
@@ -84,6 +86,7 @@ class Encoder:
             else:
                 fresh.add(w)
         self._learn(sorted(fresh))
+        self._heads(heads)
         for w, stem, tail in composed:
             if (x := self.tails.get(tail)) is None:
                 x = self._whole(tail)
@@ -91,51 +94,49 @@ class Encoder:
                     self.tails[tail] = x
             memo[w] = memo[stem] + x
 
-    def _first(self, words: set[str]) -> None:
-        """Encode words as they are at a line's start."""
-        self.held += sum(map(len, words))
+    def _heads(self, words: set[str]) -> None:
+        """Encode words that follow a line end, the line end included."""
         todo = sorted(words)
         for at in range(0, len(todo), 200):
             part = todo[at : at + 200]
-            ids = np.array(self.tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, np.uint16)
-            cut = np.flatnonzero(ids == self.line)
-            raw, starts, ends = ids.tobytes(), [0, *(2 * cut + 2).tolist()], [*(2 * cut).tolist(), 2 * len(ids)]
-            for k, w in enumerate(part):
-                self.firsts[w] = raw[starts[k] : ends[k]]
-
-    def _lines(self, text: str) -> list[list[str]] | None:
-        """A text's words by line, if every cut between them is sound; else nothing."""
-        if any(s in text for s in self.special):
+            ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+            cut = (2 * np.flatnonzero(ids == self.line)).tolist()
+            raw = ids.tobytes()
+            for w, a, b in zip(part, cut, [*cut[1:], len(raw)], strict=True):
+                self.memo[w] = raw[a:b]
+
+    def _words(self, text: str) -> list[str] | None:
+        """A text's words, line ends with the word after them, if every cut between them is sound; else nothing."""
+        # other white space, or more than one character of it, may join a run with what is cut away
+        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD.search(text):
             return None
-        out = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            # any other white space may join a run with what is cut away
-            if line.split() != words:
-                return None
-            out.append(words)
-        return out
+        return None if any(s in text for s in self.special) else text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (16-bit unsigned) of whole texts."""
         out: list[np.ndarray] = []
-        line = np.uint16(self.line).tobytes()
         for at in range(0, len(texts), 64):
-            if len(self.memo) + len(self.firsts) > MEMO or self.held > MEMO_CHARS:
-                self.old, self.memo, self.firsts, self.held = self.memo, {}, {}, 0
-            memo, firsts, part = self.memo, self.firsts, texts[at : at + 64]
-            split = [self._lines(t) if t else None for t in part]
+            if len(self.memo) > MEMO or self.held > MEMO_CHARS:
+                self.old, self.memo, self.held = self.memo, {}, 0
+            memo, part = self.memo, texts[at : at + 64]
+            split = [self._words(t) for t in part]
             new: set[str] = set()
-            heads: set[str] = set()
-            for lines in split:
-                for words in lines or ():
-                    heads.add(words[0])
-                    new.update(words[1:])
-            self._first(heads.difference(firsts))
-            self._renew(new.difference(memo))
-            for text, lines in zip(part, split, strict=True):
-                if lines:
-                    raw = line.join([firsts[words[0]] + b"".join(map(memo.__getitem__, words[1:])) for words in lines])
+            known: list[tuple[list, list[int]]] = []
+            for words in split:
+                if words:
+                    words[0] = "\n" + words[0]  # its line end is cut off again below
+                    ids = list(map(memo.get, words))
+                    gaps = [i for i, x in enumerate(ids) if x is None]
+                    new.update([words[i] for i in gaps])
+                    known.append((ids, gaps))
+            self._renew(new)
+            found = iter(known)
+            for text, words in zip(part, split, strict=True):
+                if words:
+                    ids, gaps = next(found)
+                    for i in gaps:
+                        ids[i] = memo[words[i]]
+                    raw = b"".join(ids)[2:]
                 else:
                     raw = self._whole(text) if text else b""
                 out.append(np.frombuffer(raw, np.uint16))
