@@ -19,7 +19,7 @@ def quality_reason(text: Column, ads: str, term: str, script: str, least: int =
     )
 
 
-#: Masking rules in order: name, pattern (Java), mask.
+#: Masking rules in order (name, pattern, mask).
 PII_RULES = [
     ("id", r"(?<![0-9])[1-9][0-9]{5}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx](?![0-9])", "ID_MASKED"),
     ("mobile", r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])", "PHONE_MASKED"),

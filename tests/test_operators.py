@@ -98,3 +98,11 @@ def test_formats(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<Set><Article><PMID>7</PMID><Title>T</Title><Abstract><AbstractText Label="AIM">a</AbstractText><AbstractText>b</AbstractText></Abstract><MedlineDate>2001 Spring</MedlineDate></Article></Set>')
     row = S.articles(spark, str(tmp_path / "a.xml")).first()
     assert (row["pmid"], row["abstract"], row["year"]) == ("7", "AIM: a\nb", 2001)
+
+
+def test_sql_gate(spark):
+    from graphloom.operators.sqlgate import is_query
+
+    assert is_query(spark, "SELECT 1") and is_query(spark, "WITH a AS (SELECT 1 AS x) SELECT x FROM a ORDER BY x LIMIT 3")
+    for bad in ("DROP TABLE a", "INSERT INTO a SELECT 1", "CREATE TABLE a AS SELECT 1", "DELETE FROM a", "not sql", "SET x = 1", "ALTER TABLE a RENAME TO b"):
+        assert not is_query(spark, bad), bad
