@@ -31,12 +31,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them: not at all, once or twice."""
-    rows, _, _ = mix_flow.mix(mix_flow.sized(docs, F.array("source")))
-    # doc_id identifies a document here: the stage before left one row for each
-    times = rows.where(F.col("taken") > 0).select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    copies = docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return copies.select(docs.columns)
+    """Documents come as often as the mix takes them: not at all, once or twice.
+
+    A document without id goes by a hash of its source and text; equal ones come equally often.
+    """
+    key = F.coalesce("doc_id", F.xxhash64("source", "text")).alias("doc_id")
+    rows, _, _ = mix_flow.mix(mix_flow.sized(docs.select(key, "source", "text"), F.array("source")))
+    # one row for each id: the stage before left one document for each
+    times = rows.where(F.col("taken") > 0).groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    held = docs.select(key, F.struct("*").alias("row"))  # the columns may have any names
+    return held.join(times, "doc_id").select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

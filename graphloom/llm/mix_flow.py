@@ -54,7 +54,6 @@ def targets(sizes: dict[Source, int], weights: tuple[float, ...] = (5, 2, 1), sh
             rest -= out[s]
         open_ = [s for s in open_ if s not in out]
     return out
-    return out
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:

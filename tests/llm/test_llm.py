@@ -290,3 +290,21 @@ def test_pipeline(spark):
     assert all(b <= a for a, b in seen[:2]) and seen[2][0] == seen[2][1]
     pieces = P.STAGES[-1][1](spark, docs, DATA)
     assert pieces.count() == P.run(spark, DATA).count() and pieces.agg(F.sum("length")).first()[0] > 0
+
+
+def test_mixture_without_ids(spark):
+    """Documents without id are mixed like others, and columns may have any names."""
+    import corpus_pipeline as P
+
+    rows = [(k if k % 3 else None, f"word{k} " * (5 + k % 7), "ab"[k % 2], k) for k in range(60)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string, times int")
+    got = P.mixture(spark, docs, "")
+    assert got.columns == docs.columns
+    n = {}
+    for r in got.collect():
+        n[r["times"]] = n.get(r["times"], 0) + 1
+    assert all(v <= (4 if k == 0 else 2) for k, v in n.items())
+    words = sum(len(r["text"].split()) for r in got.collect())
+    total = sum(len(r[1].split()) for r in rows) + 5
+    assert abs(words - 1.5 * total) < 0.1 * total
+    assert sum(r["doc_id"] is None for r in got.collect()) > 15
