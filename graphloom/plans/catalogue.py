@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, corpus, events, graph, retrieval, rules, service
+from . import analytics, answers, corpus, events, graph, retrieval, rules, service
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "corpus", "events", "graph", "retrieval", "rules", "service"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "answers", "corpus", "events", "graph", "retrieval", "rules", "service"]

@@ -106,3 +106,38 @@ def test_sql_gate(spark):
     assert is_query(spark, "SELECT 1") and is_query(spark, "WITH a AS (SELECT 1 AS x) SELECT x FROM a ORDER BY x LIMIT 3")
     for bad in ("DROP TABLE a", "INSERT INTO a SELECT 1", "CREATE TABLE a AS SELECT 1", "DELETE FROM a", "not sql", "SET x = 1", "ALTER TABLE a RENAME TO b"):
         assert not is_query(spark, bad), bad
+
+
+def test_fuzzy_mentions(spark):
+    from graphloom.operators import answers as A
+
+    names, lengths = ["kitten", "sitting", "mat"], (8, 7, 6, 5, 4, 3, 2)
+    texts = ["a kiten sat on the mat", "sitting kitten", "", None, "zz", "mat mat kittens sittin"]
+
+    def ratio(a, b):
+        if a == b:
+            return 1.0
+        return 0.82 + 0.16 * min(len(a), len(b)) / max(len(a), len(b)) if a in b or b in a else SequenceMatcher(None, a, b).ratio()
+
+    want = []
+    for k, t in enumerate(texts):
+        taken = []
+        for size in lengths:
+            for i in range(len(t or "") - size + 1):
+                part = t[i : i + size].strip()
+                if part and all(i + size <= s or i >= e for s, e in taken):
+                    scores = [ratio(part, n) for n in names]
+                    if max(scores) >= 0.72:
+                        want.append((str(k), i, i + size, names[scores.index(max(scores))], round(max(scores) * 0.85, 4)))
+                        taken.append((i, i + size))
+                        break
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = A.fuzzy_mentions(docs, "id", "t", names).collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_markdown_html(spark):
+    from graphloom.operators import answers as A
+
+    assert one(spark, "## A & B\n**b** [KG-2]\n### c", A.markdown_html) == '<h4>A &amp; B</h4><br/><strong>b</strong> <sup class="kg-cite" data-cite="KG-2">[KG-2]</sup><br/><h5>c</h5>'
+    assert one(spark, None, A.markdown_html) == ""
