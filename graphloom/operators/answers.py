@@ -117,3 +117,45 @@ def fuzzy_mentions(docs: DataFrame, key: str, text: str, names: list[str], lengt
     kind = "k string, start int, end int, name string, score double"
     found = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(run, kind)
     return found.withColumnRenamed("k", key)
+
+
+def first_named(text: Column, names: list[str], size: int = 200) -> Column:
+    """The first of the names, in their order, that the head of the text holds; null where none does."""
+    head = F.substring(F.coalesce(text, F.lit("")), 1, size)
+    return F.try_element_at(F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(head, n)), F.lit(1))
+
+
+def select_template(questions: DataFrame, templates: DataFrame, key: list[str], text: str) -> DataFrame:
+    """key and the id of the first template (by place) of the question's intent whose length bounds and words fit.
+
+    templates: intent, place, id, min_len and max_len (0 or null: no bound), keyword_any (null or empty: no condition);
+    a question without a fitting template gets null.
+    """
+    n = F.length(F.coalesce(text, F.lit("")))
+    fits = (F.coalesce("min_len", F.lit(0)) == 0) | (n >= F.col("min_len"))
+    fits &= (F.coalesce("max_len", F.lit(0)) == 0) | (n <= F.col("max_len"))
+    fits &= (F.coalesce(F.size("keyword_any"), F.lit(0)) <= 0) | F.exists("keyword_any", lambda k: F.contains(F.coalesce(text, F.lit("")), k))
+    joined = questions.join(templates, "intent", "left")
+    return joined.groupBy(*key).agg(F.min_by(F.when(fits, F.col("id")), F.when(fits, F.col("place"))).alias("id"))
+
+
+def viterbi(emissions: Column, start: list[float], transitions: list[list[float]], end: list[float]) -> Column:
+    """The best tag numbers of a sequence of emission rows; ties go to the lower number, an empty sequence has none.
+
+    A fold inside generated code; it carries a path for each tag, so it suits sentences, not whole books.
+    """
+    tags = range(len(start))
+    row = lambda xs: F.array(*map(F.lit, xs))
+    first = F.struct(F.zip_with(row(start), emissions[0], lambda a, b: a + b).alias("score"), F.array(*(F.array(F.lit(j)) for j in tags)).alias("path"))
+
+    def best(score: Column, into: list[float]) -> Column:
+        return F.array_max(F.array(*(F.struct((score[i] + into[i]).alias("s"), F.lit(-i).alias("k")) for i in tags)))
+
+    def step(acc: Column, e: Column) -> Column:
+        came = F.array(*(best(acc["score"], [transitions[i][j] for i in tags]) for j in tags))
+        score = F.zip_with(came, e, lambda c, x: c["s"] + x)
+        path = F.transform(came, lambda c, j: F.concat(acc["path"][F.negative(c["k"])], F.array(j)))
+        return F.struct(score.alias("score"), path.alias("path"))
+
+    done = F.aggregate(F.slice(emissions, 2, 1 << 30), first, step, lambda acc: acc["path"][F.negative(best(acc["score"], end)["k"])])
+    return F.when(F.size(emissions) > 0, done).otherwise(F.array().cast("array<int>"))

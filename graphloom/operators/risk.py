@@ -69,3 +69,30 @@ def health(risks: DataFrame, key: str) -> DataFrame:
     """100 for no risk at all, less with the greatest and the mean risk."""
     s = 100 * (1 - 0.95 * (0.55 * F.max("risk") + 0.45 * F.avg("risk")))
     return risks.groupBy(key).agg(F.greatest(F.lit(0.0), F.least(F.lit(100.0), s)).alias("health"))
+
+
+#: Weights of symptoms, in the order in which partial matches are tried.
+SYMPTOM_WEIGHTS = {
+    "头晕": 0.6, "头痛": 0.6, "胸痛": 1.0, "胸闷": 0.8, "心悸": 0.7,
+    "呼吸困难": 1.0, "气促": 0.7, "咳嗽": 0.5, "咳痰": 0.4, "咯血": 0.9,
+    "恶心": 0.4, "呕吐": 0.5, "腹痛": 0.6, "腹泻": 0.4, "便秘": 0.3,
+    "乏力": 0.5, "消瘦": 0.7, "体重下降": 0.7, "水肿": 0.7, "发热": 0.6,
+    "盗汗": 0.4, "皮疹": 0.3, "瘙痒": 0.2, "麻木": 0.5, "抽搐": 0.9,
+    "视物模糊": 0.6, "多饮": 0.5, "多尿": 0.5, "夜尿增多": 0.4,
+    "关节痛": 0.4, "腰背痛": 0.4, "失眠": 0.4, "情绪低落": 0.6,
+    "活动后气促": 0.8, "下肢水肿": 0.8,
+}
+
+
+def symptom_score(symptoms: Column, weights: dict[str, float] | None = None) -> Column:
+    """Sum of the symptoms' weights, 5 at most: a name's own, else 0.8 of the first name that holds it or is in it, else 0.3."""
+    names = SYMPTOM_WEIGHTS if weights is None else weights
+
+    def one(s: Column) -> Column:
+        s = F.trim(F.coalesce(s, F.lit("")))
+        exact = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])[s]
+        near = F.coalesce(*(F.when(F.contains(s, F.lit(k)) | F.contains(F.lit(k), s), 0.8 * v) for k, v in names.items()))
+        return F.coalesce(exact, near, F.lit(0.3))
+
+    each = F.transform(F.coalesce(symptoms, F.array().cast("array<string>")), one)
+    return F.round(F.least(F.lit(5.0), F.aggregate(each, F.lit(0.0), lambda a, b: a + b)), 3)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import answers as A
+from graphloom.operators import risk as M
 from graphloom.sources import tables as S
 
 from .base import EDGES, query
@@ -76,3 +77,34 @@ def _(spark, d):
 def _(spark, d):
     c = S.table(spark, d, "conversations").withColumn("place", F.concat_ws(":", "conv_id", "turn"))
     return A.fuzzy_mentions(c, "place", "text", ["whention", "erstation", "thereing", "anthouse", "ofering"])
+
+
+@query("t_first_named", "SELECT doc_id, CASE WHEN contains(h, 'ement') THEN 'ement' WHEN contains(h, 'ation') THEN 'ation' WHEN contains(h, 'heit') THEN 'heit' WHEN contains(h, 'The') THEN 'The' END AS head FROM (SELECT doc_id, substr(coalesce(text, ''), 1, 200) AS h FROM documents)")
+def _(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", A.first_named(F.col("text"), ["ement", "ation", "heit", "The"]).alias("head"))
+
+
+_TEMPLATES = [("user", 1, "u_short", 0, 60, None), ("user", 2, "u_words", 0, 0, ["tion", "ough"]), ("user", 3, "u_long", 150, 0, None), ("assistant", 1, "a_words", 40, 0, ["here"]), ("assistant", 2, "a_any", 0, 0, [])]
+
+
+@query("v_template_select", """SELECT conv_id, turn, CASE WHEN role = 'user' THEN CASE WHEN length(t) <= 60 THEN 'u_short' WHEN contains(t, 'tion') OR contains(t, 'ough') THEN 'u_words' WHEN length(t) >= 150 THEN 'u_long' END
+ WHEN role = 'assistant' THEN CASE WHEN length(t) >= 40 AND contains(t, 'here') THEN 'a_words' ELSE 'a_any' END END AS id FROM (SELECT *, coalesce(text, '') AS t FROM conversations)""")
+def _(spark, d):
+    t = spark.createDataFrame(_TEMPLATES, "intent string, place int, id string, min_len int, max_len int, keyword_any array<string>")
+    return A.select_template(S.table(spark, d, "conversations").withColumnRenamed("role", "intent"), F.broadcast(t), ["conv_id", "turn"], "text")  # a parameter table
+
+
+@query("m_symptom_score", """SELECT l_orderkey, round(least(5.0, sum(CASE WHEN p_name = 'small widget' THEN 0.6 WHEN p_name = 'cold' THEN 1.0 WHEN contains(p_name, 'small widget') OR contains('small widget', p_name) THEN 0.48 WHEN contains(p_name, 'cold') OR contains('cold', p_name) THEN 0.8 ELSE 0.3 END))::DOUBLE, 3) AS score
+ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey""")
+def _(spark, d):
+    named = S.table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(S.table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey")
+    lists = named.groupBy("l_orderkey").agg(F.collect_list("p_name").alias("names"))  # lines of one order
+    return lists.select("l_orderkey", M.symptom_score(F.col("names"), {"small widget": 0.6, "cold": 1.0}).alias("score"))
+
+
+@query("t_viterbi")
+def _(spark, d):
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    rows = F.transform(words, lambda w: F.array(F.lit(0.0), F.length(w) / 6.0 - 1, F.when(F.contains(w, F.lit(".")), 1.0).otherwise(-1.0)))
+    c = S.table(spark, d, "conversations").select("conv_id", "turn", A.viterbi(rows, [0.0, 0.1, -9.0], [[0.2, 0.0, -9.0], [0.0, 0.1, 0.4], [0.3, 0.0, 0.2]], [0.0, -0.1, 0.1]).alias("tags"))
+    return c.select("conv_id", "turn", F.array_join(F.transform("tags", lambda x: x.cast("string")), "").alias("tags"))

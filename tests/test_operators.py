@@ -141,3 +141,29 @@ def test_markdown_html(spark):
 
     assert one(spark, "## A & B\n**b** [KG-2]\n### c", A.markdown_html) == '<h4>A &amp; B</h4><br/><strong>b</strong> <sup class="kg-cite" data-cite="KG-2">[KG-2]</sup><br/><h5>c</h5>'
     assert one(spark, None, A.markdown_html) == ""
+
+
+def test_symptom_score(spark):
+    rows = [(["头痛", "剧烈胸痛", "其他"],), ([None],), ([],), (None,), (["胸痛"] * 9,)]
+    got = [r["s"] for r in spark.createDataFrame(rows, "x array<string>").select(M.symptom_score(F.col("x")).alias("s")).collect()]
+    assert got == [1.7, 0.48, 0.0, 0.0, 5.0]
+
+
+def test_viterbi(spark):
+    import random
+    from itertools import product
+
+    from graphloom.operators import answers as A
+
+    rng = random.Random(5)
+    start, end = ([rng.uniform(-1, 1) for _ in range(3)] for _ in range(2))
+    trans = [[rng.uniform(-1, 1) for _ in range(3)] for _ in range(3)]
+    seqs = [[[rng.uniform(-1, 1) for _ in range(3)] for _ in range(n)] for n in (0, 1, 2, 5, 6)]
+
+    def total(e, p):
+        return start[p[0]] + end[p[-1]] + sum(e[i][t] for i, t in enumerate(p)) + sum(trans[a][b] for a, b in zip(p, p[1:], strict=False))
+
+    want = [list(max(product(range(3), repeat=len(e)), key=lambda p: total(e, p))) if e else [] for e in seqs]
+    df = spark.createDataFrame(list(enumerate(seqs)), "k int, e array<array<double>>")
+    got = {r["k"]: r["t"] for r in df.select("k", A.viterbi(F.col("e"), start, trans, end).alias("t")).collect()}
+    assert [got[k] for k in range(len(seqs))] == want
