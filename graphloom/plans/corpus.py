@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.operators import corpus as P
+from graphloom.operators import relations as R
 from graphloom.operators.analytics import top
 from graphloom.sources import tables as S
 
@@ -186,3 +187,13 @@ def _(spark, d):
 @query("t_sentence_vocab", f"WITH {_WORDS} SELECT w AS name, count(*) AS n FROM w WHERE w <> '' GROUP BY 1 ORDER BY n DESC, name LIMIT 50")
 def _(spark, d):
     return top(words(spark, d), "w", 50)
+
+
+_RELATIONS = [("HAS_SYMPTOM", "(?:the|der) ([a-z, 0-9]{2,60})", 0.9), ("USES_DRUG", "(?:and|und) ([a-z]{2,10}(?:, [a-z]{2,10})*)", 0.86)]
+_TAILS = " UNION ALL ".join(f"SELECT doc_id, '{rel}' AS rel, {base} AS base, {most} AS most, unnest(regexp_extract_all(text, '{pattern}', 1)) AS list FROM documents" for (rel, pattern, base), most in zip(_RELATIONS, (24, 30), strict=True))
+
+
+@query("t_relation_triples", f"""WITH m AS ({_TAILS}), s AS (SELECT doc_id, rel, base, most, trim(unnest(string_split(trim(list, ' ,'), ',')), ' ') AS tail FROM m)
+ SELECT DISTINCT doc_id, rel, tail, (CASE WHEN rel = 'HAS_SYMPTOM' AND contains(tail, 'tion') THEN base + 0.05 ELSE base END)::DOUBLE AS confidence FROM s WHERE length(tail) BETWEEN 2 AND most AND NOT regexp_full_match(tail, '[0-9 ]+')""")
+def _(spark, d):
+    return R.pattern_triples(docs(spark, d), ["doc_id"], "text", _RELATIONS, {"HAS_SYMPTOM": ["tion"]}, ",")

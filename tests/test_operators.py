@@ -167,3 +167,15 @@ def test_viterbi(spark):
     df = spark.createDataFrame(list(enumerate(seqs)), "k int, e array<array<double>>")
     got = {r["k"]: r["t"] for r in df.select("k", A.viterbi(F.col("e"), start, trans, end).alias("t")).collect()}
     assert [got[k] for k in range(len(seqs))] == want
+
+
+def test_pattern_triples(spark):
+    from graphloom.operators import relations as R
+
+    t = "本病表现为咳嗽、咳痰和12%。常用阿莫西林、头孢等药物；应就诊于呼吸内科。需行胸片，血常规。易并发肺心病；需与哮喘鉴别"
+    got = R.pattern_triples(spark.createDataFrame([(1, t), (2, None), (3, "")], "id int, text string"), ["id"], "text", lexicon={"HAS_SYMPTOM": ["咳痰"]}).collect()
+    found = {(r["rel"], r["tail"]): r["confidence"] for r in got}
+    assert {r["id"] for r in got} == {1} and len(found) == len(got)
+    assert found[("HAS_SYMPTOM", "咳嗽")] == 0.9 and found[("HAS_SYMPTOM", "咳痰")] == 0.95 and ("HAS_SYMPTOM", "12%") not in found
+    assert found[("USES_DRUG", "阿莫西林")] == 0.86 and ("NEEDS_CHECK", "血常规") in found and ("HAS_COMPLICATION", "肺心病") in found
+    assert ("BELONGS_TO", "呼吸内科") in found and ("DIFFERENTIAL_WITH", "哮喘鉴别") in found
