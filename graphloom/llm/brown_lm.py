@@ -1,18 +1,23 @@
 """Language-model scoring: Brown class-based n-grams.
 
-Counts come from all training texts.  The most frequent words are put into classes
-by exchange clustering (each word moves to the class that raises the bigram
-likelihood most); every other word belongs to the class of its byte length, and
-the end token is a class of its own.  A text's probability is the product of
-smoothed class transitions and of word emissions ``(c + 1) / (n_class + v_class + 1)``.
-
-Scale: word counts are a table, never a map on the driver.  The executors get the
-HEAD most frequent words only; a document's other words leave the scoring pass as
-(word, times) lists in a table and meet the counts in a shuffle join.
+Counts come from all training texts, and every word of them is put into a class by
+exchange: each word moves to the class that raises the bigram likelihood most.  Words
+enter by falling frequency: first the SEEDS most frequent, one by one; then the HEAD
+most frequent, a part of them at a time; then all others, each against the class
+bigrams so far, and once more when its neighbours among them have classes too.  The
+end token is a class of its own.  A text's probability is the product of smoothed
+class transitions and of word emissions ``(c + 1) / (n_class + v_class + 1)``.
+
+Scale: counts and classes of words are tables, never a map on the driver.  The executors
+get the HEAD most frequent words only; a document's other words leave the scoring pass
+with their neighbours' classes in a table and meet counts and classes in a shuffle join.
+The driver holds class bigrams, and class contexts of the HEAD words.
 
 Defined cases: a null text is empty and has the end token alone; repeated rows are
 scored each; without training rows every count is 0; a null doc_id counts as the
-empty text where folds are concerned.  Only the columns named are read.
+empty text where folds are concerned; a word that training lacks may come from any class,
+each of which keeps a count of 1 for it, so its chance is the sum over classes.  Only the
+columns named are read.
 """
 
 from __future__ import annotations
@@ -28,9 +33,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Words clustered, classes, words sent to the executors, length classes.
-CLUSTERED, CLASSES, HEAD, LENGTHS = 512, 48, 60_000, 16
-_HELD = 400_000
+#: Words exchanged one by one, classes, words sent to the executors.
+SEEDS, CLASSES, HEAD = 512, 48, 60_000
+_HELD, _PAIRS = 400_000, 4_000_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -59,33 +64,205 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def unit_pairs(docs: DataFrame, unit: dict[bytes, int]) -> np.ndarray:
-    """Counts of neighbouring units; each text is preceded and followed by the end token's unit, the last one."""
-    size = len(unit) + LENGTHS + 1
+def units(words: list[bytes], head: dict[bytes, int]) -> np.ndarray:
+    """End, the words' numbers (-1 outside the head), end."""
+    get = head.get
+    return np.array([len(head), *[get(w, -1) for w in words], len(head)], np.int64)
+
+
+def head_pairs(docs: DataFrame, head: dict[bytes, int]) -> DataFrame:
+    """a, b, n: how often b follows a, for words of the head and the end token."""
+    size = len(head) + 1
+
+    def run(batches):
+        held, many = [], 0
+
+        def flush():
+            pair, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array((pair // size).astype(np.int32)), pa.array((pair % size).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
+
+        for batch in C.pieces(batches):
+            for text in C.texts_of(batch, "text"):
+                u = units(tokens(text), head)
+                a, b = u[:-1], u[1:]
+                held.append((a * size + b)[(a >= 0) & (b >= 0)])
+                many += len(held[-1])
+                if many > _PAIRS:
+                    yield flush()
+                    held, many = [], 0
+        if many:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def head_contexts(pairs: DataFrame, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of the head and the end token, how often each class follows it and precedes it; -1 is no class."""
+    size = len(of)
 
     def run(batches):
-        total = np.zeros(size * size, np.int64)
         for batch in batches:
+            a, b, n = (batch.column(c).to_numpy() for c in range(3))
+            a, b = a.astype(np.int64), b.astype(np.int64)
+            code = np.concatenate([(a * k + of[b])[of[b] >= 0], (size * k + b * k + of[a])[of[a] >= 0]])
+            n = np.concatenate([n[of[b] >= 0], n[of[a] >= 0]])
+            at, back = np.unique(code, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(back, n, len(at)).astype(np.int64))], ["code", "n"])
+
+    got = pairs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * HEAD * k rows
+    out = np.zeros(2 * size * k)
+    out[got["code"].to_numpy()] = got["n"].to_numpy()
+    return out[: size * k].reshape(size, k), out[size * k :].reshape(size, k)
+
+
+def best(n: np.ndarray, classes: int, old: np.ndarray, word: np.ndarray, code: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The class of each word that raises the likelihood most, against class bigrams n that hold it in class old (-1: nowhere).
+
+    A word's contexts are rows (word, code, times), words in rising order: code d is class d after
+    the word, code len(n) + d is class d before it.  Words of a call don't see each other move.
+    """
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    k, gain = len(n), np.zeros((len(old), classes))
+    base = np.concatenate([n[:classes].T, n[:, :classes]])  # by code, then class
+    known = f(base)
+    for at in range(0, len(word), 100_000):
+        w, c, t = word[at : at + 100_000], code[at : at + 100_000], times[at : at + 100_000].astype(float)
+        up = f(base[c] + t[:, None]) - known[c]
+        own = np.flatnonzero(old[w] >= 0)
+        o = old[w[own]]
+        up[own, o] = known[c[own], o] - f(base[c[own], o] - t[own])
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        if len(first):
+            gain[w[first]] += np.add.reduceat(up, first)
+    for side, total in ((code < k, n.sum(1)[:classes]), (code >= k, n.sum(0)[:classes])):
+        m = np.bincount(word[side], times[side], len(old))
+        cost = f(total + m[:, None]) - f(total)
+        own = np.flatnonzero(old >= 0)
+        cost[own, old[own]] = f(total)[old[own]] - f(total[old[own]] - m[own])
+        gain -= cost
+    new = gain.argmax(1)
+    own = np.flatnonzero(old >= 0)
+    new[own] = np.where(gain[own, new[own]] > gain[own, old[own]] + 1e-6, new[own], old[own])
+    return new
+
+
+def head_classes(pairs: DataFrame, size: int, classes: int, sweeps: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """A class for each of the head's words, then the end token's, and their class bigrams."""
+    k, seeds = classes + 1, min(SEEDS, size)
+    of = np.full(size + 1, -1)
+    of[size] = classes
+    got = pairs.where(((F.col("a") < seeds) | (F.col("a") == size)) & ((F.col("b") < seeds) | (F.col("b") == size))).toArrow()  # at most (SEEDS + 1) squared
+    dense = np.zeros((seeds + 1, seeds + 1), np.int64)
+    dense[np.minimum(got["a"].to_numpy(), seeds), np.minimum(got["b"].to_numpy(), seeds)] = got["n"].to_numpy()
+    of[:seeds] = exchange(dense, seeds, classes)[:seeds]
+
+    def bigrams(after):
+        n = np.zeros((k, k))
+        np.add.at(n, of[of >= 0], after[of >= 0])
+        return n
+
+    rounds = [of[:size] < 0] + [np.arange(size) % 2 == s % 2 for s in range(2 * sweeps)] if size > seeds else []
+    for r, moving in enumerate(rounds):
+        after, before = head_contexts(pairs, of, k)
+        both = np.concatenate([after, before], 1)[:size][moving]
+        word, code = np.nonzero(both)
+        of[:size][moving] = best(bigrams(after), classes, of[:size][moving], word, code, both[word, code])
+    return of, bigrams(head_contexts(pairs, of, k)[0])
+
+
+def rare_contexts(docs: DataFrame, head: dict[bytes, int], of: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Of words outside the head: word with codes and times of its neighbours in the head, and pairs w1, w2, n of two such words."""
+    k = int(of[-1]) + 1
+    kind = "w1 string, w2 string, code int, n long"
+
+    def run(batches):
+        held: Counter = Counter()
+
+        def flush():
+            one, two = zip(*held, strict=True)
+            text = lambda x: x.decode("utf-8", "replace") if isinstance(x, bytes) else None
+            code = [None if isinstance(x, bytes) else x for x in two]
+            return pa.RecordBatch.from_arrays([pa.array([text(x) for x in one], pa.string()), pa.array([text(x) for x in two], pa.string()), pa.array(code, pa.int32()), pa.array(list(held.values()), pa.int64())], ["w1", "w2", "code", "n"])
+
+        for batch in C.pieces(batches):
             for text in C.texts_of(batch, "text"):
-                u = units(tokens(text), unit)
-                total += np.bincount(u[:-1] * size + u[1:], minlength=size * size) if len(u) > size * size else 0
-                if len(u) <= size * size:
-                    np.add.at(total, u[:-1] * size + u[1:], 1)
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["pair", "n"])
+                words = tokens(text)
+                u = units(words, head)
+                at = np.flatnonzero(u < 0)
+                if not len(at):
+                    continue
+                c = np.where(u < 0, -1, of[u])
+                for i, right, left in zip(at.tolist(), c[at + 1].tolist(), c[at - 1].tolist(), strict=True):
+                    w = words[i - 1]
+                    held[w, right if right >= 0 else words[i]] += 1
+                    if left >= 0:
+                        held[w, k + left] += 1
+            if len(held) > _HELD:
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
+
+    got, _ = C.save(docs.select("text").mapInArrow(run, kind), "contexts")
+    one = got.where(F.col("code").isNotNull()).groupBy(F.col("w1").alias("word"), "code").agg(F.sum("n").alias("n"))
+    two = got.where(F.col("code").isNull()).groupBy("w1", "w2").agg(F.sum("n").alias("n"))
+    return gathered(one), two
 
-    got = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
-    out = np.zeros(size * size, np.int64)
-    out[got["pair"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(size, size)
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """A row per word; it has at most twice as many codes as there are classes."""
+    return rows.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("x")).select("word", F.col("x.code").alias("codes"), F.col("x.n").alias("times"))
 
-def units(words: list[bytes], unit: dict[bytes, int]) -> np.ndarray:
-    """End, the words' units (their own, else that of their length), end."""
-    n, get = len(unit), unit.get
-    own = np.fromiter((get(w, -len(w)) for w in words), np.int64, len(words))
-    own = np.where(own < 0, n + np.minimum(-own, LENGTHS) - 1, own)
-    return np.concatenate([[n + LENGTHS], own, [n + LENGTHS]])
+
+def placed(words: DataFrame, n: np.ndarray, classes: int) -> DataFrame:
+    """word and k, its best class, from word, k (null: none yet), codes and times."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        name = {x: batch.column(i) for i, x in enumerate(batch.schema.names)}
+        codes = name["codes"].to_pylist()
+        word = np.repeat(np.arange(len(codes)), [len(x) for x in codes])
+        code = np.fromiter((y for x in codes for y in x), np.int64, len(word))
+        times = np.fromiter((y for x in name["times"].to_pylist() for y in x), np.int64, len(word))
+        old = np.array([-1 if x is None else x for x in name["k"].to_pylist()], np.int64)
+        return {"word": name["word"].to_pylist(), "k": best(n, classes, old, word, code, times)}
+
+    return C.per_batch(words, make, "word string, k int", 8192)
+
+
+def rare_classes(docs: DataFrame, head: dict[bytes, int], of: np.ndarray, n: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """word and k of all words outside the head, and the class bigrams of all words."""
+    k, classes = len(n), int(of[-1])
+    one, two = rare_contexts(docs, head, of)
+    one, _ = C.save(one, "rare")
+    two, _ = C.save(two, "pairs")
+
+    def joined(place):
+        a, b = place.select(F.col("word").alias("w1"), F.col("k").alias("k1")), place.select(F.col("word").alias("w2"), F.col("k").alias("k2"))
+        return two.join(a, "w1").join(b, "w2")
+
+    def bigrams(place, pairs):
+        out = n.copy()
+        parts = one.join(place, "word").select("k", F.explode(F.arrays_zip("codes", "times")).alias("x")).groupBy("k", F.col("x.codes").alias("code")).agg(F.sum("x.times").alias("n"))
+        for r in parts.collect():  # at most 2 * classes squared
+            at = (r["k"], r["code"]) if r["code"] < k else (r["code"] - k, r["k"])
+            out[at] += r["n"]
+        for r in pairs.groupBy("k1", "k2").agg(F.sum("n").alias("n")).collect():
+            out[r["k1"], r["k2"]] += r["n"]
+        return out
+
+    # a word whose neighbours are all outside the head has no context yet
+    alone = two.select(F.explode(F.array("w1", "w2")).alias("word")).distinct()
+    every, _ = C.save(one.join(alone, "word", "full").select("word", F.coalesce("codes", F.array().cast("array<int>")).alias("codes"), F.coalesce("times", F.array().cast("array<bigint>")).alias("times")), "rare")
+    first, _ = C.save(placed(every.withColumn("k", F.lit(None).cast("int")), n, classes), "classes")
+    pairs, _ = C.save(joined(first), "pairs")
+    more = pairs.select(F.col("w1").alias("word"), F.col("k2").alias("code"), "n").unionByName(pairs.select(F.col("w2").alias("word"), (F.col("k1") + k).alias("code"), "n"))
+    more = gathered(more.groupBy("word", "code").agg(F.sum("n").alias("n"))).select("word", F.col("codes").alias("c2"), F.col("times").alias("t2"))
+    # equal codes of both kinds are added up, so that the gain is that of their sum
+    merged = every.join(first, "word").join(more, "word", "left").select("word", "k", F.concat("codes", F.coalesce("c2", F.array().cast("array<int>"))).alias("c"), F.concat("times", F.coalesce("t2", F.array().cast("array<bigint>"))).alias("t"))
+    merged = merged.select("word", "k", F.array_distinct("c").alias("codes"), F.arrays_zip("c", "t").alias("x"))
+    merged = merged.select("word", "k", "codes", F.transform("codes", lambda c: F.aggregate(F.filter("x", lambda y: y["c"] == c), F.lit(0).cast("bigint"), lambda s, y: s + y["t"])).alias("times"))
+    place, _ = C.save(placed(merged, bigrams(first, pairs), classes), "classes")
+    return place, bigrams(place, joined(place))
 
 
 def exchange(pairs: np.ndarray, movable: int, classes: int = CLASSES, sweeps: int = 6) -> np.ndarray:
@@ -130,61 +307,61 @@ def exchange(pairs: np.ndarray, movable: int, classes: int = CLASSES, sweeps: in
 
 @dataclass
 class Brown:
-    unit: dict[bytes, int]
-    of: np.ndarray  # a unit's class
-    transition: np.ndarray  # log10 of class given class before
+    number: dict[bytes, int]  # of frequent words
+    of: np.ndarray  # their classes, then the end token's
+    transition: np.ndarray  # log10 of class given class before; the last one is an unseen word's
     base: np.ndarray  # log10 of each class's denominator
-    head: dict[bytes, float]  # log10(c + 1) of frequent words
-    end: float  # of the end token
+    log: np.ndarray  # log10(c + 1) of frequent words, then of the end token
     n: int
     v: int
 
 
 def fit(docs: DataFrame, keep: Column) -> tuple[Brown, DataFrame]:
-    """The model, and the table of all word counts; learns from all rows where keep holds."""
+    """The model, and the table of all words with count and class; learns from all rows where keep holds."""
     training = docs.where(keep).select("text")
     counts, _ = C.save(word_counts(training), "counts")
     ends = training.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # at most HEAD rows
-    head = {r["word"].encode(): r["c"] for r in top}
-    unit = {w: k for k, w in enumerate(list(head)[:CLUSTERED])}
-    pairs = unit_pairs(training, unit)
-    of = exchange(pairs, len(unit))
-    k = int(of.max()) + 1
-    own = list(unit)
-    clustered = F.broadcast(docs.sparkSession.createDataFrame([(w.decode(),) for w in own], "word string"))
-    kinds = {r["n"]: r["v"] for r in counts.join(clustered, "word", "left_anti").groupBy(F.least(F.octet_length("word"), F.lit(LENGTHS)).alias("n")).agg(F.count("*").alias("v")).collect()}
-    n_class = np.bincount(of, pairs.sum(0), k)
-    v_class = np.bincount(of[: len(own)], minlength=k).astype(float)
-    for size, v in kinds.items():
-        v_class[of[len(own) + size - 1]] += v
-    v_class[of[-1]] += 1
-    t = np.zeros((k, k))
-    np.add.at(t, (of[:, None], of[None, :]), pairs)
-    t = (t + 0.1) / (t.sum(1, keepdims=True) + 0.1 * k)
-    return Brown(unit, of, np.log10(t), np.log10(n_class + v_class + 1), {w: log10(c + 1) for w, c in head.items()}, log10(ends + 1), int(total["n"] + ends), int(total["v"] + (ends > 0))), counts
+    head = {r["word"].encode(): k for k, r in enumerate(top)}
+    classes = max(1, min(CLASSES, len(head)))
+    pairs, _ = C.save(head_pairs(training, head), "pairs")
+    of, n = head_classes(pairs, len(head), classes)
+    known = docs.sparkSession.createDataFrame([(r["word"], int(k)) for r, k in zip(top, of, strict=False)], "word string, k int")
+    if total["v"] > len(head):
+        rare, n = rare_classes(training, head, of, n)
+        known = known.unionByName(rare)
+    words, _ = C.save(counts.join(known, "word"), "words")
+    v_class = np.zeros(len(n))
+    v_class[-1] = 1
+    for r in words.groupBy("k").agg(F.count("*").alias("v")).collect():
+        v_class[r["k"]] += r["v"]
+    t = (n + 0.1) / (n.sum(1, keepdims=True) + 0.1 * len(n))
+    base = n.sum(0) + v_class + 1
+    mix = (n.sum(0) + 1) / base
+    t = np.block([[t, (t / base).sum(1, keepdims=True)], [mix @ t / mix.sum(), (mix @ t / mix.sum() / base).sum()]])
+    log = np.log10(np.array([*[r["c"] for r in top], ends]) + 1.0)
+    return Brown(head, of, np.log10(t), np.log10(np.append(base, 1.0)), log, int(total["n"] + ends), int(total["v"] + (ends > 0))), words
 
 
 def local_part(docs: DataFrame, model: Brown) -> DataFrame:
-    """A row per document: sums that need no counts of rare words, and its rare words with their times."""
-    kind = "row string, doc_id long, n_tokens long, head_known long, head_sum double, class_sum double, words array<string>, times array<long>"
+    """A row per document: sums over words of the head, its other words with the classes beside them (-1: another such word), and pairs of such words."""
+    kind = "row string, doc_id long, n_tokens long, head_known long, head_sum double, class_sum double, words array<string>, befores array<int>, afters array<int>, firsts array<string>, seconds array<string>"
 
     def make(batch: pa.RecordBatch) -> dict:
         out: dict = {x.split(" ")[0]: [] for x in kind.split(", ")}
-        get = model.head.get
         for row, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), C.texts_of(batch, "text"), strict=True):
             words = tokens(text)
-            c = model.of[units(words, model.unit)]
-            known, total, rare, times = int(model.end > 0), model.end, [], []
-            for w, n in Counter(words).items():
-                if (x := get(w)) is None:
-                    rare.append(w.decode("utf-8", "replace"))
-                    times.append(n)
-                else:
-                    known += n
-                    total += n * x
-            values = (row, i, len(words) + 1, known, total, float(model.transition[c[:-1], c[1:]].sum() - model.base[c[1:]].sum()), rare, times)
+            u = units(words, model.number)
+            c = np.where(u < 0, -1, model.of[u])
+            inside = u[1:][u[1:] >= 0]
+            both = (c[:-1] >= 0) & (c[1:] >= 0)
+            sum_ = float(model.transition[c[:-1][both], c[1:][both]].sum() - model.base[model.of[inside]].sum())
+            at = np.flatnonzero(u < 0)
+            name = [words[j - 1].decode("utf-8", "replace") for j in at.tolist()]
+            next_ = np.flatnonzero(np.diff(at) == 1).tolist()
+            known = len(inside) - (0 if model.log[-1] > 0 else 1)
+            values = (row, i, len(words) + 1, known, float(model.log[inside].sum()), sum_, name, c[at - 1].tolist(), c[at + 1].tolist(), [name[j] for j in next_], [name[j + 1] for j in next_])
             for k, v in zip(out, values, strict=True):
                 out[k].append(v)
         return out
@@ -194,21 +371,32 @@ def local_part(docs: DataFrame, model: Brown) -> DataFrame:
     return C.per_batch(keyed, make, kind)
 
 
-def score(docs: DataFrame, model: Brown, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Brown, words: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
+    k = len(model.base)
+    step = lambda a, b: F.element_at(F.lit(model.transition.ravel().tolist()), (a * k + b + 1).cast("int"))
+    of = lambda c: F.coalesce(c, F.lit(k - 1))
     parts, _ = C.save(local_part(docs, model), "parts")
-    rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    found = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_sum"))
-    whole = parts.drop("words", "times").join(found, "row", "left")
-    total = F.col("head_sum") + F.coalesce("more_sum", F.lit(0.0))
+    rare = parts.select("row", F.explode(F.arrays_zip("words", "befores", "afters")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.befores").alias("l"), F.col("x.afters").alias("r"))
+    own = rare.join(words, "word", "left").withColumn("k", of("k"))
+    beside = F.when(F.col("l") >= 0, step(F.col("l"), F.col("k"))).otherwise(0.0) + F.when(F.col("r") >= 0, step(F.col("k"), F.col("r"))).otherwise(0.0)
+    beside = beside - F.element_at(F.lit(model.base.tolist()), F.col("k") + 1)
+    found = own.groupBy("row").agg(F.count("c").alias("more_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more_sum"), F.sum(beside).alias("more_class"))
+    two = parts.select("row", F.explode(F.arrays_zip("firsts", "seconds")).alias("x")).select("row", F.col("x.firsts").alias("w1"), F.col("x.seconds").alias("w2"))
+    place = lambda a, b: words.select(F.col("word").alias(a), F.col("k").alias(b))
+    two = two.join(place("w1", "k1"), "w1", "left").join(place("w2", "k2"), "w2", "left")
+    two = two.groupBy("row").agg(F.sum(step(of("k1"), of("k2"))).alias("pair_class"))
+    whole = parts.drop("words", "befores", "afters", "firsts", "seconds").join(found, "row", "left").join(two, "row", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    total = F.col("head_sum") + zero("more_sum")
     return whole.select(
         "doc_id", "n_tokens", (F.col("head_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        (total - F.col("n_tokens") * F.lit(log10(model.n + model.v + 1))).alias("base_score"), (total + F.col("class_sum")).alias("score"),
+        (total - F.col("n_tokens") * F.lit(log10(model.n + model.v + 1))).alias("base_score"), (total + F.col("class_sum") + zero("more_class") + zero("pair_class")).alias("score"),
     )
 
 
 def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir)
-    model, counts = fit(docs, C.crc_mod("doc_id", 7) != 2)
-    got = score(docs, model, counts)
+    model, words = fit(docs, C.crc_mod("doc_id", 7) != 2)
+    got = score(docs, model, words)
     return got.select("doc_id", (C.crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

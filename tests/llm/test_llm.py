@@ -266,6 +266,29 @@ def test_op9_beats_unigrams(spark):
     assert r["s"] > r["b"]
 
 
+@pytest.mark.parametrize("head", [60_000, 700])
+def test_op9_classes_of_rare_words(spark, monkeypatch, head):
+    # words outside the 512 most frequent: equal lengths and counts, told apart by what stands before them
+    monkeypatch.setattr(brown_lm, "HEAD", head)
+    fill = " ".join(f"f{k:03}" for k in range(600))
+    texts = [fill] * 8 + [f"left a{k:04} right b{k:04}" for k in range(300) for _ in range(3)] + [f"left a{k:04} b{k:04}" for k in range(300)]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate([*texts, "left a0007", "left b0007", "right a0007", "right b0007", "a0007 b0008", "a0007 a0008"])], "doc_id long, text string")
+    model, words = brown_lm.fit(docs, F.col("doc_id") < len(texts))
+    assert words.count() == model.v - 1 == 1202
+    got = [r["score"] for r in brown_lm.score(docs.where(F.col("doc_id") >= len(texts)), model, words).orderBy("doc_id").collect()]
+    assert got[0] > got[1] and got[3] > got[2] and got[4] > got[5]
+    counted = sum(len(x.split()) + 1 for x in texts)
+    of = {r["word"].encode(): r["k"] for r in words.collect()} | {None: len(model.base) - 2}
+    n = Counter(p for x in texts for y in [[None, *x.encode().split(), None]] for p in zip([of[w] for w in y], [of[w] for w in y[1:]]))
+    row = Counter()
+    for (a, _), c in n.items():
+        row[a] += c
+    assert sum(n.values()) == counted
+    assert abs((10 ** (model.transition[:, :-1] - model.base[:-1]) - 10 ** model.transition[:, -1:] / (len(model.base) - 1)).sum()) < 1e-9  # an unseen word's chance is the sum
+    for (a, b), c in n.items():  # class bigrams are those of all words
+        assert abs(model.transition[a, b] - log10((c + 0.1) / (row[a] + 0.1 * (len(model.base) - 1)))) < 1e-9
+
+
 def test_op10(spark, edge):
     rows, some, _ = edge
     tok = tokenizer()
