@@ -36,7 +36,9 @@ def paths(edges: DataFrame, start: str, end: str, max_hops: int = 3) -> DataFram
     open_ = spark.createDataFrame([(start, [start])], "at string, path array<string>")
     out = None
     for hops in range(1, max_hops + 1):
-        grown = open_.join(step, open_["at"] == step["node"]).where(~F.array_contains("path", F.col("other"))).select(F.col("other").alias("at"), F.concat("path", F.array("other")).alias("path"))
+        # the last step need only reach the end
+        to = step.where(F.col("other") == end) if hops == max_hops else step
+        grown = open_.join(to, open_["at"] == to["node"]).where(~F.array_contains("path", F.col("other"))).select(F.col("other").alias("at"), F.concat("path", F.array("other")).alias("path"))
         done = grown.where(F.col("at") == end).select("path", F.lit(hops).alias("hops"))
         out = done if out is None else out.unionByName(done)
         open_ = grown.where(F.col("at") != end)

@@ -108,7 +108,7 @@ _PATHS = f"WITH RECURSIVE {_LOCAL}, w(cur, path, hops) AS (SELECT 'C1', ['C1'],
 
 
 def local_edges(spark, d):
-    """Drugs and departments of five customers, and the drugs' departments."""
+    """Drugs and departments of five customers, and the drugs' departments: what the SQL can walk; the queries on all edges end in _whole."""
     e = edges(spark, d).where(F.col("rel").isin("USES_DRUG", "BELONGS_TO"))
     return e.where(F.col("source").startswith("S") | F.col("source").isin("C1", "C2", "C3", "C4", "C5"))
 
@@ -129,6 +129,22 @@ def _(spark, d):
     return T.shortest(local_edges(spark, d), "C1", "C2").select(F.array_join("path", ">").alias("path"), "hops")
 
 
+@query("g_paths_le3_whole")
+def _(spark, d):
+    return T.paths(edges(spark, d), "C1", "C2", 3).select(F.array_join("path", ">").alias("path"), "hops")
+
+
+@query("g_path_steps_whole")
+def _(spark, d):
+    e = edges(spark, d)
+    return T.steps(T.paths(e, "C1", "C2", 3), e)
+
+
+@query("g_shortest_path_whole")
+def _(spark, d):
+    return T.shortest(edges(spark, d), "C1", "C2").select(F.array_join("path", ">").alias("path"), "hops")
+
+
 @query("g_facts_by_relation", f"WITH {EDGES} SELECT source, rel, string_agg(target, ',' ORDER BY target) AS targets, count(*) AS n FROM e WHERE source LIKE 'C%' GROUP BY source, rel")
 def _(spark, d):
     return edges(spark, d).where(F.col("source").startswith("C")).groupBy("source", "rel").agg(F.array_join(F.array_sort(F.collect_list("target")), ",").alias("targets"), F.count("*").alias("n"))

@@ -179,3 +179,30 @@ def test_pattern_triples(spark):
     assert found[("HAS_SYMPTOM", "咳嗽")] == 0.9 and found[("HAS_SYMPTOM", "咳痰")] == 0.95 and ("HAS_SYMPTOM", "12%") not in found
     assert found[("USES_DRUG", "阿莫西林")] == 0.86 and ("NEEDS_CHECK", "血常规") in found and ("HAS_COMPLICATION", "肺心病") in found
     assert ("BELONGS_TO", "呼吸内科") in found and ("DIFFERENTIAL_WITH", "哮喘鉴别") in found
+
+
+def test_paths_over_all_edges(spark):
+    from graphloom.plans.catalogue import QUERIES
+    from graphloom.plans.graph import edges
+
+    d = "/root/testdata/sf0.001"
+    have = edges(spark, d).collect()
+    near = {}
+    for r in have:
+        near.setdefault(r["source"], set()).add(r["target"])
+        near.setdefault(r["target"], set()).add(r["source"])
+    want, open_ = set(), [("C1",)]
+    for _ in range(3):
+        open_ = [(*p, x) for p in open_ for x in near[p[-1]] if x not in p]
+        want |= {p for p in open_ if p[-1] == "C2"}
+        open_ = [p for p in open_ if p[-1] != "C2"]
+    got = QUERIES["g_paths_le3_whole"](spark, d).collect()
+    assert sorted((r["path"], r["hops"]) for r in got) == sorted((">".join(p), len(p) - 1) for p in want)
+    assert any(x[0] == "P" for p in want for x in p)  # by way of a symptom, too
+    steps = QUERIES["g_path_steps_whole"](spark, d).collect()
+    assert len(steps) == sum(len(p) - 1 for p in want)
+    there = {(r["source"], r["rel"], r["target"]) for r in have}
+    assert all(((r["node"], r["rel"], r["other"]) if r["direction"] == "out" else (r["other"], r["rel"], r["node"])) in there for r in steps)
+    least = min(len(p) for p in want)
+    one = QUERIES["g_shortest_path_whole"](spark, d).collect()
+    assert [(r["path"], r["hops"]) for r in one] == [(">".join(min(p for p in want if len(p) == least)), least - 1)]
