@@ -58,16 +58,21 @@ def novel(inferred: DataFrame, edges: DataFrame) -> DataFrame:
     return inferred.where(F.col("source") != F.col("target")).join(edges.select(key), key, "left_anti").join(turned, key, "left_anti")
 
 
-def link_scores(edges: DataFrame, hub: int = HUB) -> DataFrame:
+def link_scores(edges: DataFrame, hub: int | None = None) -> DataFrame:
     """a < b with Adamic-Adar over common targets of degree above 2, Jaccard and overlap coefficient, and the blended score.
 
-    Pairs without a common target score 0, below any threshold, so none is made.
+    All common targets count, unless `hub` leaves out those of more sources.  Pairs without a
+    common target score 0, below any threshold, so none is made.  A target of many sources is
+    dealt over several tasks.
     """
     e = edges.select("source", "target").distinct()
-    deg = e.groupBy("target").agg(F.count("*").alias("d")).where(F.col("d").between(2, hub))
+    deg = e.groupBy("target").agg(F.count("*").alias("d")).where((F.col("d") >= 2) & (F.col("d") <= hub if hub else F.lit(True)))
     size = e.groupBy("source").agg(F.count("*").alias("s"))
     kept = e.join(deg, "target")
-    common = kept.select("target", "d", F.col("source").alias("a")).join(kept.select("target", F.col("source").alias("b")), "target").where(F.col("a") < F.col("b"))
+    parts = F.least(F.lit(256), F.ceil(F.col("d") / HUB)).cast("int")
+    left = kept.select("target", "d", F.col("source").alias("a"), F.pmod(F.xxhash64("source"), parts).cast("int").alias("part"))
+    right = kept.select("target", F.col("source").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    common = left.join(right, ["target", "part"]).where(F.col("a") < F.col("b"))
     got = common.groupBy("a", "b").agg(F.count("*").alias("inter"), F.sum(F.when(F.col("d") > 2, 1 / F.log(F.col("d"))).otherwise(0.0)).alias("aa"))
     got = got.join(size.select(F.col("source").alias("a"), F.col("s").alias("sa")), "a").join(size.select(F.col("source").alias("b"), F.col("s").alias("sb")), "b")
     jac, over = F.col("inter") / (F.col("sa") + F.col("sb") - F.col("inter")), F.col("inter") / F.least("sa", "sb")

@@ -87,24 +87,26 @@ _LINK = _SYM + """, g AS (SELECT source, count(*) AS sz FROM s GROUP BY 1), tg A
  z AS (SELECT *, 0.45 * least(aa / 3, 1) + 0.25 * jac + 0.30 * ov AS raw FROM l)"""
 
 
-@query("l_adamic_adar", _LINK + " SELECT a, b, round(aa, 6) AS aa FROM z")
-def _(spark, d):
-    return R.link_scores(symptoms(spark, d)).select("a", "b", F.round("aa", 6).alias("aa"))
+#: The same over all common targets; only the rule's own pairs, pr, keep the cut.
+_WHOLE = _LINK.replace("FROM k a JOIN k b ON a.target = b.target AND a.source < b.source JOIN tg", "FROM s a JOIN s b ON a.target = b.target AND a.source < b.source JOIN tg")
 
+for _end, _hub, _link in (("", R.HUB, _LINK), ("_whole", None, _WHOLE)):
 
-@query("l_jaccard_overlap", _LINK + " SELECT a, b, round(jac, 6) AS jaccard, round(ov, 6) AS overlap FROM z")
-def _(spark, d):
-    return R.link_scores(symptoms(spark, d)).select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("overlap", 6).alias("overlap"))
+    @query("l_adamic_adar" + _end, _link + " SELECT a, b, round(aa, 6) AS aa FROM z")
+    def _(spark, d, hub=_hub):
+        return R.link_scores(symptoms(spark, d), hub).select("a", "b", F.round("aa", 6).alias("aa"))
 
+    @query("l_jaccard_overlap" + _end, _link + " SELECT a, b, round(jac, 6) AS jaccard, round(ov, 6) AS overlap FROM z")
+    def _(spark, d, hub=_hub):
+        return R.link_scores(symptoms(spark, d), hub).select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("overlap", 6).alias("overlap"))
 
-@query("l_score", _LINK + " SELECT a, b, round(raw, 6) AS raw, round(least(0.88, 0.5 + 0.45 * raw), 6) AS confidence FROM z WHERE raw >= 0.15")
-def _(spark, d):
-    return R.link_scores(symptoms(spark, d)).where("raw >= 0.15").select("a", "b", F.round("raw", 6).alias("raw"), F.round("confidence", 6).alias("confidence"))
+    @query("l_score" + _end, _link + " SELECT a, b, round(raw, 6) AS raw, round(least(0.88, 0.5 + 0.45 * raw), 6) AS confidence FROM z WHERE raw >= 0.15")
+    def _(spark, d, hub=_hub):
+        return R.link_scores(symptoms(spark, d), hub).where("raw >= 0.15").select("a", "b", F.round("raw", 6).alias("raw"), F.round("confidence", 6).alias("confidence"))
 
-
-@query("r_hybrid", _LINK + ", un AS (SELECT a, b, round(least(0.95, 0.72 + 0.06 * (n - 2)), 6)::DOUBLE AS c, 'rule' AS origin FROM pr WHERE n >= 2 UNION ALL SELECT a, b, round(least(0.88, 0.5 + 0.45 * raw), 6), 'link' FROM z WHERE raw >= 0.15), rk AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY c DESC, origin) AS rn FROM un) SELECT a, b, c AS confidence, origin FROM rk WHERE rn = 1")
-def _(spark, d):
-    e = symptoms(spark, d)
-    rule = R.shared(e, 2, 0.72).select("a", "b", F.round("confidence", 6).alias("confidence"), F.lit("rule").alias("origin"))
-    link = R.link_scores(e).where("raw >= 0.15").select("a", "b", F.round("confidence", 6).alias("confidence"), F.lit("link").alias("origin"))
-    return R.merged(rule, link)
+    @query("r_hybrid" + _end, _link + ", un AS (SELECT a, b, round(least(0.95, 0.72 + 0.06 * (n - 2)), 6)::DOUBLE AS c, 'rule' AS origin FROM pr WHERE n >= 2 UNION ALL SELECT a, b, round(least(0.88, 0.5 + 0.45 * raw), 6), 'link' FROM z WHERE raw >= 0.15), rk AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY c DESC, origin) AS rn FROM un) SELECT a, b, c AS confidence, origin FROM rk WHERE rn = 1")
+    def _(spark, d, hub=_hub):
+        e = symptoms(spark, d)
+        rule = R.shared(e, 2, 0.72).select("a", "b", F.round("confidence", 6).alias("confidence"), F.lit("rule").alias("origin"))
+        link = R.link_scores(e, hub).where("raw >= 0.15").select("a", "b", F.round("confidence", 6).alias("confidence"), F.lit("link").alias("origin"))
+        return R.merged(rule, link)

@@ -206,3 +206,19 @@ def test_paths_over_all_edges(spark):
     least = min(len(p) for p in want)
     one = QUERIES["g_shortest_path_whole"](spark, d).collect()
     assert [(r["path"], r["hops"]) for r in one] == [(">".join(min(p for p in want if len(p) == least)), least - 1)]
+
+
+def test_link_scores_through_hubs(spark):
+    from math import log
+
+    from graphloom.operators import rules as R
+
+    to = {f"a{k:03}": {"hub", *(["rare"] if k < 3 else []), f"own{k % 50}"} for k in range(90)}
+    rows = [(a, x) for a, t in to.items() for x in t]
+    got = {(r["a"], r["b"]): r for r in R.link_scores(spark.createDataFrame(rows, "source string, target string")).collect()}
+    deg = {x: sum(x in t for t in to.values()) for x in set().union(*to.values())}
+    assert deg["hub"] == 90 and set(got) == set(combinations(sorted(to), 2))
+    for (a, b), r in got.items():
+        both = to[a] & to[b]
+        want = (sum(1 / log(deg[x]) for x in both if deg[x] > 2), len(both) / len(to[a] | to[b]), len(both) / min(len(to[a]), len(to[b])))
+        assert all(abs(x - r[c]) < 1e-9 for x, c in zip(want, ("aa", "jaccard", "overlap"), strict=True))
