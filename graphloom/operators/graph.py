@@ -60,21 +60,50 @@ def top_facts(edges: DataFrame, quota: Column) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= quota)
 
 
+def _marks(c: Column, least: float) -> Column:
+    """The rarest of a text's characters, each with the number of its occurrence: one of them is in every text of a ratio of at least `least`.
+
+    A ratio of r needs r / 2 * (own length + other length) equal characters, and other length is at
+    least r / (2 - r) * own length; of a text's n marks in an order that all texts share, two texts
+    with m in common have one in common among the first n - m + 1 of each.
+    """
+    bare = F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    n = F.length(bare)
+    letters = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(bare, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    nth = F.transform(letters, lambda x, i: F.struct((-F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == x))).alias("k"), x.alias("x")))
+    need = F.ceil(F.lit(least / (2 - least) - 1e-9) * n).cast("int")
+    return F.slice(F.array_sort(nth), F.lit(1), F.greatest(F.lit(0), n - need + 1))
+
+
+def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """text of left and name of right (each once) with their similarity, where it is at least `least`; no pair is missed.
+
+    Candidates share one of the marks, or the first three letters of the one are in the other.
+    """
+    from graphloom.functions.text import similarity
+
+    part = lambda c, i: F.substring(c, i, F.lit(3))
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, F.lit(n)))
+    grams_of = lambda c: F.explode(F.array_distinct(F.concat(grams(F.trim(c), 1), grams(F.trim(c), 2), grams(F.trim(c), 3))))
+    first = lambda c: part(F.trim(c), F.lit(1))
+    a, b = left.select("text").distinct(), right.select("name").distinct()
+    near = a.select("text", F.explode(_marks(F.col("text"), least)).alias("m")).join(b.select("name", F.explode(_marks(F.col("name"), least)).alias("m")), "m").select("text", "name")
+    holds = a.select("text", grams_of(F.col("text")).alias("g")).join(b.select("name", first(F.col("name")).alias("g")), "g").select("text", "name").where(F.contains(F.trim("text"), F.trim("name")))
+    held = a.select("text", first(F.col("text")).alias("g")).join(b.select("name", grams_of(F.col("name")).alias("g")), "g").select("text", "name").where(F.contains(F.trim("name"), F.trim("text")))
+    pairs = near.unionByName(holds).unionByName(held).distinct()
+    return pairs.withColumn("score", similarity(F.col("text"), F.col("name"))).where(F.col("score") >= least)
+
+
 def resolve(queries: DataFrame, nodes: DataFrame, alias: DataFrame, least: float = 0.62) -> DataFrame:
     """Names to node ids: exact, then alias without case, then the most similar name of at least `least`.
 
     queries: text; nodes: id, name; alias: alias, canonical.  Only names that no earlier
-    tier found reach the similarity tier, and there only against names that share a
-    three-letter group, which every candidate with that similarity and four or more letters does.
+    tier found reach the similarity tier, and there every name of that similarity is found.
     """
-    from graphloom.functions.text import similarity
-
     exact = queries.join(nodes, queries["text"] == nodes["name"]).select("text", "id", F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
     by_alias = queries.join(alias, F.lower("text") == F.lower("alias")).join(nodes, F.col("canonical") == F.col("name")).select("text", "id", F.lit(2).alias("tier"), F.lit(0.95).alias("score"))
     known = exact.unionByName(by_alias)
     left = queries.join(known.select("text").distinct(), "text", "left_anti").where(F.length("text") > 0)
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3)))))
-    pairs = left.select("text", grams(F.col("text")).alias("g")).join(nodes.select("id", "name", grams(F.col("name")).alias("g")), "g").select("text", "id", "name").distinct()
-    fuzzy = pairs.withColumn("score", similarity(F.col("text"), F.col("name"))).where(F.col("score") >= least).select("text", "id", F.lit(3).alias("tier"), "score")
+    fuzzy = alike(left, nodes, least).join(nodes, "name").select("text", "id", F.lit(3).alias("tier"), "score")
     best = known.unionByName(fuzzy).groupBy("text").agg(F.min(F.struct("tier", (-F.col("score")).alias("s"), "id")).alias("b"))
     return best.select("text", F.col("b.id").alias("id"), F.col("b.tier").alias("tier"), (-F.col("b.s")).alias("score"))

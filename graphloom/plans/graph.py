@@ -207,6 +207,15 @@ def _(spark, d):
     return G.resolve(q, n, alias).select("text", "id", "tier")
 
 
+@query("g_resolve_names")
+def _(spark, d):
+    """Suppliers' names, and parts' names with letters changed, among parts and suppliers."""
+    n = S.nodes(spark, d).where(F.col("type").isin("Symptom", "Drug")).select("id", "name")
+    q = S.table(spark, d, "supplier").select(F.col("s_name").alias("text")).unionByName(S.table(spark, d, "part").select(F.translate("p_name", "ae", "oi").alias("text"))).distinct()
+    alias = spark.createDataFrame([], "alias string, canonical string")
+    return G.resolve(q, n, alias).select("text", "id", "tier", F.round("score", 6).alias("score"))
+
+
 @query("s_entity_search", f"""WITH {EDGES}, {NODES}, k AS (SELECT id, count(*) AS c FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id),
  s AS (SELECT n.id, n.name, coalesce(c, 0)::BIGINT AS degree, CASE WHEN lower(name) = '12' THEN 1.0 WHEN starts_with(lower(name), '12') THEN 0.94 WHEN ends_with(lower(name), '12') THEN 0.88 WHEN contains(lower(name), '12') THEN 0.8 ELSE 0 END AS score FROM n LEFT JOIN k ON n.id = k.id)
  SELECT id, name, degree, score::DOUBLE AS score FROM s WHERE score >= 0.45 ORDER BY score DESC, degree DESC, id LIMIT 20""")

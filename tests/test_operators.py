@@ -222,3 +222,29 @@ def test_link_scores_through_hubs(spark):
         both = to[a] & to[b]
         want = (sum(1 / log(deg[x]) for x in both if deg[x] > 2), len(both) / len(to[a] | to[b]), len(both) / min(len(to[a]), len(to[b])))
         assert all(abs(x - r[c]) < 1e-9 for x, c in zip(want, ("aa", "jaccard", "overlap"), strict=True))
+
+
+def test_resolve_misses_no_similar_name(spark):
+    import random
+
+    from graphloom.operators import graph as G
+    from graphloom.plans.catalogue import QUERIES
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdxy ") for _ in range(r.randint(1, 9)))
+    texts, names = sorted({"abxcdxef", "abc", "b", *(word() for _ in range(60))}), sorted({"abycdyef", "abd", "abcdefghijk", *(word() for _ in range(60))})
+    left, right = spark.createDataFrame([(x,) for x in texts], "text string"), spark.createDataFrame([(f"n{k:03}", x) for k, x in enumerate(names)], "id string, name string")
+
+    def ratio(a, b):
+        a, b = a.strip(), b.strip()
+        if not a or not b:
+            return 0.0
+        if a == b:
+            return 1.0
+        return 0.82 + 0.16 * min(len(a), len(b)) / max(len(a), len(b)) if a in b or b in a else SequenceMatcher(None, a, b).ratio()
+
+    got = {(x["text"], x["name"]) for x in G.alike(left, right, 0.62).collect()}
+    assert got == {(a, b) for a in texts for b in names if ratio(a, b) >= 0.62}
+    assert {("abxcdxef", "abycdyef"), ("abc", "abd"), ("b", "abcdefghijk")} <= got
+    tiers = {x["tier"] for x in QUERIES["g_resolve_names"](spark, "/root/testdata/sf0.001").collect()}
+    assert tiers == {1, 3}
