@@ -165,8 +165,19 @@ def head_classes(pairs: DataFrame, size: int, classes: int, sweeps: int = 2) ->
     for r, moving in enumerate(rounds):
         after, before = head_contexts(pairs, of, k)
         both = np.concatenate([after, before], 1)[:size][moving]
-        word, code = np.nonzero(both)
-        of[:size][moving] = best(bigrams(after), classes, of[:size][moving], word, code, both[word, code])
+        n, which = bigrams(after), np.flatnonzero(moving)
+        for at in range(0, len(which), 64):  # the next ones see where these have gone
+            w, x = which[at : at + 64], both[at : at + 64]
+            word, code = np.nonzero(x)
+            old = of[w]
+            of[w] = best(n, classes, old, word, code, x[word, code])
+            for v, o in zip(w, old, strict=True):
+                if of[v] != o:
+                    n[of[v]] += after[v]
+                    n[:, of[v]] += before[v]
+                    if o >= 0:
+                        n[o] -= after[v]
+                        n[:, o] -= before[v]
     return of, bigrams(head_contexts(pairs, of, k)[0])
 
 
