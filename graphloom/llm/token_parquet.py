@@ -7,9 +7,11 @@ indexes that let readers skip pages by doc_id and read metadata without tokens.
 Each row carries its file's range number and its first id's place within it, so a
 prefix sum over one total a range gives global places.
 
-Defined cases: a null text is empty and yields the end id alone; rows with equal
-doc_id keep an order by their texts; a null doc_id sorts first; an empty table
-gives an empty table.  Only the columns named are read.
+Defined cases: a null text is empty and yields the end id alone; a text of any
+length is encoded whole and is one row; rows with equal doc_id, null included, keep
+an order by a hash of their texts, then the texts, so repeated rows stand side by
+side; a null doc_id sorts first; an empty table gives an empty table.  Only doc_id
+and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from . import common as C
 from .tokens import encoder
 
 #: Parquet settings: bytes of a row group and a page, rows of a page, writer version.
-LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(1 << 20), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "compression": "zstd"}
+LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(1 << 20), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 END_ID = 0
 STORED = "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>"
 
@@ -43,8 +45,8 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int = END_ID) -
 
     def run(batches):
         enc, part, place = encoder(vocab), TaskContext.get().partitionId(), 0
-        for batch in C.pieces(batches, 512):
-            ids = enc.encode(C.texts_of(batch, "text"))
+        for batch in C.pieces(batches, 2048):
+            ids = enc.encode(batch.column(1))
             n = np.array([len(x) + 1 for x in ids], np.int64)
             flat = np.full(int(n.sum()), end_id, np.int32)
             ends = np.cumsum(n)
@@ -54,7 +56,10 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int = END_ID) -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(place + ends - n), pa.array(n), lists], ["doc_id", "part", "start_in_part", "n_tokens", "tokens"])
             place += int(ends[-1]) if len(ends) else 0
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows, key = docs.select("doc_id", "text"), [F.col("doc_id")]
+    if not rows.where(F.col("doc_id").isNull()).isEmpty():  # these would all be of one range
+        key.append(F.xxhash64("text"))
+    ordered = rows.repartitionByRange(*key).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     ordered.mapInArrow(run, STORED).write.options(**LAYOUT).parquet(path)
 
 

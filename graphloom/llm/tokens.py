@@ -1,25 +1,32 @@
 """Token ids by the tokenizers library, with a bounded memo of words.
 
 Byte-level pre-tokenisation never crosses a single space between two characters
-that aren't white space, nor the place between an ASCII letter and a run of ASCII
-punctuation that ends its word, nor a single line end between such characters.  A text is cut there, each part is encoded once,
-many parts a call, and later occurrences come from the memo.  Texts with other
-runs of white space at those places, or with a special token's string, are encoded
-whole.  The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+that aren't white space, nor a single line end between such characters, nor the
+place between a letter or digit and a run of ASCII punctuation that ends its word.
+A batch of texts is cut there into words (a line end stays with the word after it),
+each distinct word of the batch is looked up or encoded once, and the ids are put
+together by their places.  Texts with other runs of white space at those places, or
+with a special token's string, are encoded whole.  The ids are those of
+``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import string
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words and code points in a generation of the memo, a bound on a Python worker's memory.
 #: A full generation becomes the old one; the words of it that occur again move to the new one.
-MEMO, MEMO_CHARS = 320_000, 5_000_000
-_ODD = re.compile(r"[^\S \n]")
-_TAIL = re.compile(r"[A-Za-z]([!-/:-@\[-`{-~]+)\Z")
+MEMO, MEMO_CHARS = 600_000, 8_000_000
+#: Bytes of text whose words are looked up together.
+TOGETHER = 8 << 20
+#: White space by any of the libraries' tables, besides the space and the line end.
+_ODD = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{180e}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_PUNCT = string.punctuation
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -41,8 +48,12 @@ class Encoder:
             raise ValueError("the memo holds ids of 16 bits")
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.line = vocab["Ċ"]
+        self.line = np.zeros_like(self.starts)
+        self.line[vocab["Ċ"]] = True
+        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        quoted = "".join("|" + "".join(rf"\x{{{ord(c):x}}}" for c in s) for s in special)
+        # other white space, or more than one character of it, may join a run with what is cut away
+        self.unsound = rf"{_ODD}|  |\n\n| \n|\n |\A[ \n]|[ \n]\z{quoted}"
         self.memo: dict[str, bytes] = {}  # a word after a space, or with the line end before it
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -51,93 +62,89 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words, without white space inside, as they are after a space."""
-        for at in range(0, len(words), 200):
-            part = words[at : at + 200]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
-            cut = np.flatnonzero(self.starts[ids])
+    def _learn(self, words: list[str], before: str, marks: np.ndarray) -> None:
+        """Encode new words, without white space inside, as they are after `before`; marks: the ids that begin a word there."""
+        join = before if before == " " else ""
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            text = before * (before == " ") + join.join(part)
+            self.held += len(text)
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+            cut = np.flatnonzero(marks[ids])
             if len(cut) != len(part):
-                for w in part:
-                    self.memo[w] = self._whole(" " + w)
+                self.memo.update((w, self._whole(before + w if before == " " else w)) for w in part)
                 continue
             raw, ends = ids.tobytes(), [*(cut * 2).tolist(), len(ids) * 2]
-            for k, w in enumerate(part):
-                self.memo[w] = raw[ends[k] : ends[k + 1]]
+            self.memo.update(zip(part, map(raw.__getitem__, map(slice, ends, ends[1:])), strict=True))
 
-    def _renew(self, new: set[str]) -> None:
+    def _renew(self, new: list[str]) -> None:
         """Put words into the memo: from the old generation, from a stem and its punctuation, or encoded."""
-        memo, old = self.memo, self.old
-        self.held += sum(map(len, new))
-        fresh, heads, composed = set(), set(), []
-        for w in new:
-            if (x := old.get(w)) is not None:
+        memo, old, held = self.memo, self.old, 0
+        heads, composed, fresh, stems = [], [], [], set()
+        for w, x in zip(new, map(old.get, new), strict=True):
+            if x is not None:
                 memo[w] = x
-            elif w[0] == "\n":
-                heads.add(w)
-            elif m := _TAIL.search(w):
-                stem, tail = w[: m.start(1)], m[1]
-                composed.append((w, stem, tail))
+                held += len(w)
+            elif w[-1:] in _PUNCT and w[:1] != "\n" and (stem := w.rstrip(_PUNCT)) and stem[-1] < "ɐ" and stem[-1].isalnum():
+                composed.append((w, stem))
                 if stem not in memo:
-                    if (x := old.get(stem)) is not None:
-                        memo[stem] = x
-                    else:
-                        fresh.add(stem)
+                    stems.add(stem)
+            elif w[:1] == "\n":
+                heads.append(w)
             else:
-                fresh.add(w)
-        self._learn(sorted(fresh))
-        self._heads(heads)
-        for w, stem, tail in composed:
-            if (x := self.tails.get(tail)) is None:
+                fresh.append(w)
+        for w in stems.intersection(old):
+            memo[w] = old[w]
+        stems.difference_update(old, fresh)
+        self._learn([*fresh, *stems], " ", self.starts)
+        self._learn(heads, "\n", self.line)
+        tails = self.tails
+        for w, stem in composed:
+            tail = w[len(stem) :]
+            if (x := tails.get(tail)) is None:
                 x = self._whole(tail)
-                if len(self.tails) < 10_000 and len(tail) < 20:
-                    self.tails[tail] = x
+                if len(tails) < 10_000 and len(tail) < 20:
+                    tails[tail] = x
             memo[w] = memo[stem] + x
-
-    def _heads(self, words: set[str]) -> None:
-        """Encode words that follow a line end, the line end included."""
-        todo = sorted(words)
-        for at in range(0, len(todo), 200):
-            part = todo[at : at + 200]
-            ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint16)
-            cut = (2 * np.flatnonzero(ids == self.line)).tolist()
-            raw = ids.tobytes()
-            for w, a, b in zip(part, cut, [*cut[1:], len(raw)], strict=True):
-                self.memo[w] = raw[a:b]
-
-    def _words(self, text: str) -> list[str] | None:
-        """A text's words, line ends with the word after them, if every cut between them is sound; else nothing."""
-        # other white space, or more than one character of it, may join a run with what is cut away
-        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD.search(text):
-            return None
-        return None if any(s in text for s in self.special) else text.replace("\n", " \n").split(" ")
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids (16-bit unsigned) of whole texts."""
-        out: list[np.ndarray] = []
-        for at in range(0, len(texts), 64):
-            if len(self.memo) > MEMO or self.held > MEMO_CHARS:
-                self.old, self.memo, self.held = self.memo, {}, 0
-            memo, part = self.memo, texts[at : at + 64]
-            split = [self._words(t) for t in part]
-            new: set[str] = set()
-            known: list[tuple[list, list[int]]] = []
-            for words in split:
-                if words:
-                    words[0] = "\n" + words[0]  # its line end is cut off again below
-                    ids = list(map(memo.get, words))
-                    gaps = [i for i, x in enumerate(ids) if x is None]
-                    new.update([words[i] for i in gaps])
-                    known.append((ids, gaps))
-            self._renew(new)
-            found = iter(known)
-            for text, words in zip(part, split, strict=True):
-                if words:
-                    ids, gaps = next(found)
-                    for i in gaps:
-                        ids[i] = memo[words[i]]
-                    raw = b"".join(ids)[2:]
-                else:
-                    raw = self._whole(text) if text else b""
-                out.append(np.frombuffer(raw, np.uint16))
+            held += len(w)
+        self.held += held
+
+    def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose cuts are sound, one after another, and where each text's begin; a line end's id stands before each text's."""
+        if len(self.memo) > MEMO or self.held > MEMO_CHARS:
+            self.old, self.memo, self.held = self.memo, {}, 0
+        memo = self.memo
+        marked = pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n")
+        lists = pc.split_pattern(pc.utf8_slice_codeunits(marked, 1), " ")  # each text begins with its line end
+        coded = lists.values.dictionary_encode()
+        words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        ids = list(map(memo.get, words))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        if gaps:
+            self._renew([words[i] for i in gaps])
+            for i in gaps:
+                ids[i] = memo[words[i]]
+        each = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        flat, begin = np.frombuffer(b"".join(ids), np.uint16), np.cumsum(each) - each
+        n = each[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(begin[which] - ends[:-1], n) + np.arange(ends[-1])]
+        return out, ends[lists.offsets.to_numpy()]
+
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """Ids (16-bit unsigned) of whole texts, null as empty."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        odd = pc.or_(pc.match_substring_regex(texts, self.unsound), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            if text := texts[i].as_py():
+                out[i] = np.frombuffer(self._whole(text), np.uint16)
+        sound = np.flatnonzero(~odd)
+        if not len(sound):
+            return out
+        group = np.cumsum(pc.binary_length(texts).to_numpy()[sound].astype(np.int64)) // TOGETHER
+        for part in np.split(sound, np.flatnonzero(np.diff(group)) + 1):
+            ids, at = self._together(texts.take(pa.array(part)))
+            for i, a, b in zip(part.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                out[i] = ids[a + 1 : b]
         return out
