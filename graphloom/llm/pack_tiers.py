@@ -12,8 +12,10 @@ group closes at its budget.
 Blocks are scan partitions, so packing needs no shuffle, and a task holds the
 lengths of at most BLOCK documents; ids flow through for their checksums only.
 
-Defined cases: a null text is empty and has the end id alone; repeated rows are
-packed each; an empty table gives an empty table.  Only the columns named are read.
+Defined cases: a null text is empty and has the end id alone; a text of any length
+is cut into full windows and a rest; repeated rows are packed each, pieces of equal
+length in the order of their documents; an empty table gives an empty table.  Only
+doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -124,8 +126,8 @@ def pack_documents(docs: DataFrame, vocab: str, end_id: int = END_ID, tiers: tup
     def run(batches):
         enc, base, block = encoder(vocab), TaskContext.get().partitionId() << 40, []
         held = 0
-        for batch in C.pieces(batches, 512):
-            for i, ids in zip(batch.column(0).to_pylist(), enc.encode(C.texts_of(batch, "text")), strict=True):
+        for batch in C.pieces(batches, 2048):
+            for i, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 block.append((i, np.append(ids, np.uint16(end_id))))
                 held += len(ids) + 1
             if len(block) >= BLOCK or held > 16 << 20:
