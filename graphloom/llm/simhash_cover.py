@@ -1,23 +1,27 @@
 """SimHash near-duplicates by anchor-point covering.
 
 Anchors are the words of a covering code: a product of perfect binary Golay codes
-(23 bits, 4096 words, covering radius 3), one for each of two blocks of the
-fingerprint's 64 bits (46 of them are covered; the comparison sees all 64).  A
-fingerprint's home is its nearest anchor.  It is replicated to every anchor within
-covering radius plus threshold, with the threshold's flips shared out over the
-blocks: those are the homes of all fingerprints within the threshold, about 60.
-At each anchor visitors are compared with the fingerprints at home, so no linked
-pair is missed.  Because the code is linear, the anchors to visit are a table by
-the block's syndrome.
+(23 bits, 4096 words, covering radius 3), one for each block of the fingerprint's
+64 bits.  Two blocks cover 46 bits and give 2^24 anchors; a third one takes the other
+18 and gives 2^36, for corpora of many billions of fingerprints, at more visits each
+(`blocks`; the comparison sees all 64 bits either way).  A fingerprint's home is its
+nearest anchor.  It is replicated to every anchor within covering radius plus
+threshold, with the threshold's flips shared out over the blocks: those are the homes
+of all fingerprints within the threshold, about 60 with two blocks.  At each anchor
+visitors are compared with the fingerprints at home, so no linked pair is missed.
+Because the code is linear, the anchors to visit are a table by the block's syndrome.
 
 Equal fingerprints are one node (grouped before any comparison), so groups of
-copies don't multiply.  Links are closed to components by min-label propagation
-with pointer jumping over tables in the shared folder; nothing but counts reaches
-the driver.
+copies don't multiply.  Links are closed to components by alternating large and small
+stars, in rounds logarithmic in the length of chains, over tables in the shared
+folder; nothing but counts and sums reaches the driver.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero and
-links like any other; one or two words are one shingle; repeated rows share a
-fingerprint; an empty table gives an empty table.  doc_id identifies a document.
+links like any other; one or two words are one shingle; a text of any length counts
+whole; repeated rows share a fingerprint; a document without id links like any other,
+and component_id is the smallest id there is in its class (null if there is none); an
+empty table gives an empty table.  Only doc_id and text are read, so other columns may
+have any names.
 """
 
 from __future__ import annotations
@@ -29,10 +33,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common as C
 
-WIDTH, N_BLOCKS, THRESHOLD = 23, 2, 2
+WIDTH, THRESHOLD = 23, 2
 #: The generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 _POLY = 0b110001110101
 
@@ -112,104 +117,121 @@ def _ragged(flat: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndar
     return row, flat[np.repeat(at[keys], n) + inside]
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Home anchors of unsigned fingerprints, and visits as (row, anchor); the home itself is a visit too."""
-    table, leader, one, one_at, two, two_at = _golay()
-    home, syn = [], []
-    for k in range(N_BLOCKS):
+def anchors_home(fp: np.ndarray, blocks: int = 2) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Home anchors of unsigned fingerprints, and the syndromes of their blocks; the last of three blocks is the 18 bits that are left."""
+    table, leader, *_ = _golay()
+    full, syn = np.zeros(len(fp), np.int64), []
+    for k in range(blocks):
         x = (fp >> np.uint64(WIDTH * k)).astype(np.int64) & ((1 << WIDTH) - 1)
         s = table[0, x & 4095] ^ table[1, x >> 12]
-        home.append(x ^ leader[s])
+        # a block's anchor stands for its 12 highest bits: the code is systematic, so they tell its words apart
+        full |= (x ^ leader[s]) >> 11 << (12 * k)
         syn.append(s)
-    full = home[0] | home[1] << WIDTH
+    return full, syn
+
+
+def anchors(fp: np.ndarray, blocks: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home anchors of unsigned fingerprints, and visits as (row, anchor); the home itself is a visit too."""
+    _, _, one, one_at, two, two_at = _golay()
+    full, syn = anchors_home(fp, blocks)
     rows, at = [np.arange(len(fp))], [full]
     singles = [_ragged(one, one_at, s) for s in syn]
-    for k in range(N_BLOCKS):
+    move = lambda step, k: step >> 11 << (12 * k)
+    for k in range(blocks):
         for row, step in (singles[k], _ragged(two, two_at, syn[k])):
             rows.append(row)
-            at.append(full[row] ^ step << (WIDTH * k))
-    # one flip in each block
-    row0, step0 = singles[0]
-    n1 = (one_at[1:] - one_at[:-1])[syn[1]]
-    row, step1 = _ragged(one, one_at, syn[1][row0])
-    pair = np.repeat(np.arange(len(row0)), n1[row0])
-    rows.append(row0[pair])
-    at.append(full[row0[pair]] ^ step0[pair] ^ step1 << WIDTH)
+            at.append(full[row] ^ move(step, k))
+    # one flip in each of two blocks
+    for j in range(blocks):
+        row_j, step_j = singles[j]
+        for k in range(j + 1, blocks):
+            row, step_k = _ragged(one, one_at, syn[k][row_j])
+            rows.append(row_j[row])
+            at.append(full[row_j[row]] ^ move(step_j[row], j) ^ move(step_k, k))
     return full, np.concatenate(rows), np.concatenate(at)
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of representatives whose fingerprints differ in 1 to THRESHOLD bits; nodes: fp, rep."""
+def links(nodes: DataFrame, blocks: int = 2) -> DataFrame:
+    """Pairs (a, b), a < b, of fingerprints (column fp, each once) that differ in 1 to THRESHOLD bits."""
 
     def homes(batches):
         for batch in C.pieces(batches, 1 << 14):
             fp = batch.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(anchors_home(fp)), batch.column(0), batch.column(1)], ["anchor", "fp", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchors_home(fp, blocks)[0]), batch.column(0)], ["home", "fp"])
 
     def visits(batches):
         for batch in C.pieces(batches, 1 << 12):
             fp = batch.column(0).to_numpy()
-            _, row, at = anchors(fp.view(np.uint64))
+            _, row, at = anchors(fp.view(np.uint64), blocks)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(fp[row])], ["anchor", "other"])
 
     C.ship(nodes.sparkSession)
-    at_home = nodes.select("fp", "rep").mapInArrow(homes, "anchor long, fp long, rep long")
+    at_home = nodes.select("fp").mapInArrow(homes, "home long, fp long")
     visiting = nodes.select("fp").mapInArrow(visits, "anchor long, other long")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))).between(1, THRESHOLD) & (F.col("fp") < F.col("other"))
-    found = visiting.join(at_home.hint("shuffle_hash").withColumnRenamed("anchor", "home"), (F.col("anchor") == F.col("home")) & near).select("rep", "other")
-    return found.join(nodes.select(F.col("fp").alias("other"), F.col("rep").alias("other_rep")), "other").select(F.col("rep").alias("a"), F.col("other_rep").alias("b"))
-
-
-def anchors_home(fp: np.ndarray) -> np.ndarray:
-    """Home anchors alone."""
-    table, leader, *_ = _golay()
-    out = np.zeros(len(fp), np.int64)
-    for k in range(N_BLOCKS):
-        x = (fp >> np.uint64(WIDTH * k)).astype(np.int64) & ((1 << WIDTH) - 1)
-        out |= (x ^ leader[table[0, x & 4095] ^ table[1, x >> 12]]) << (WIDTH * k)
-    return out
+    return visiting.join(at_home.hint("shuffle_hash"), (F.col("anchor") == F.col("home")) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """node and label (the smallest node reachable) of every node in a pair.
+    """node and label (the smallest node reachable) of every node in a pair (a, b).
 
-    Each round takes the least label among neighbours, then the label's label; rounds are
-    logarithmic in a component's diameter as labels jump.
+    A large star gives each node's greater neighbours to its least one, a small star its lesser
+    ones; alternating, they turn every component into one star around its least node.
     """
-    spark = pairs.sparkSession
-    edges, edges_path = C.save(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "edges")
-    label, path = C.save(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    edges, path = C.save(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    total = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = total(edges)
     while True:
-        heard = edges.join(label, edges["b"] == label["node"]).groupBy("a").agg(F.min("label").alias("heard"))
-        hooked = label.join(heard, label["node"] == heard["a"], "left").select("node", "label", F.least("label", "heard").alias("low"))
-        up = label.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        jumped = hooked.join(up, "low", "left").select("node", F.least("low", "jump").alias("label"), (F.least("low", "jump") < F.col("label")).alias("moved"))
-        new, new_path = C.save(jumped, "labels")
-        C.remove(spark, path)
-        label, path = new.select("node", "label"), new_path
-        if new.where("moved").isEmpty():
-            C.remove(spark, edges_path)
-            return label
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
-    spark = docs.sparkSession
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new, new_path = C.save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        C.remove(edges.sparkSession, path)
+        edges, path = new, new_path
+        state = total(edges)
+        if state == seen:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        seen = state
+
+
+def classes(docs: DataFrame, blocks: int = 2) -> DataFrame:
+    """doc_id, fp, label (the least fingerprint of its class) and component_id of every row."""
     rows, _ = C.save(fingerprints(docs), "fingerprints")
     nodes, _ = C.save(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    label = components(links(nodes))
-    of_fp = nodes.join(label, nodes["rep"] == label["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    linked = nodes.join(components(links(nodes, blocks)), F.col("fp") == F.col("node")).select("fp", "label", "rep")
+    smallest = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
+    of_fp = nodes.join(linked.join(smallest, "label").select("fp", "label", "component_id"), "fp", "left")
+    of_fp = of_fp.select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "rep").alias("component_id"))
+    return rows.join(of_fp, "fp").select("doc_id", "fp", "label", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, blocks: int = 2) -> DataFrame:
     """The rows whose document is the smallest doc_id of its class, once each, with all their columns.
 
-    A null doc_id has no class and is kept.
+    Of rows with that doc_id the one with the least text stays.  Rows without doc_id go if their
+    class has a document with one; of a class without ids the row with the least text stays.
     """
-    kept = classes(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    own = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(docs.columns)
-    return own.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    got = classes(docs, blocks)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # the columns may have any names
+    least = F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")
+    kept = got.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    own = docs.where(F.col("doc_id").isNotNull()).select(whole, "doc_id", "text").join(kept, "doc_id", "left_semi")
+    out = own.groupBy("doc_id").agg(least).select("row.*")
+    nameless = docs.where(F.col("doc_id").isNull())
+    if nameless.isEmpty():
+        return out
+
+    def run(batches):
+        for batch in C.pieces(batches):
+            fp = np.array([fingerprint(t) for t in C.texts_of(batch, "text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, "fp"])
+
+    held = nameless.select(whole, "text")
+    held = held.mapInArrow(run, StructType([*held.schema.fields, StructField("fp", LongType())]))
+    alone = got.where(F.col("component_id").isNull()).select("fp", "label").distinct()
+    return out.unionByName(held.join(alone, "fp").groupBy("label").agg(least).select("row.*"))
 
 
 def op5_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
