@@ -4,24 +4,30 @@ Base patterns find e-mail addresses, IP addresses, card and phone numbers; these
 spans always stay.  Beside them a semi-Markov CRF scores whole candidate
 segments (runs of tokens) by span features such as digit counts, checksum,
 separators and the word before, and a dynamic program over segments of at most
-MAX_TOKENS tokens chooses boundaries and types jointly; its entities that touch
-no base span are added.  Only the neighbourhoods of tokens with a digit or an
-at-sign are decoded, since no entity can lie elsewhere.
+MAX_TOKENS whole tokens, of any length, chooses boundaries and types jointly; its
+entities that touch no base span are added.  An entity has a token with a mark (a
+digit, an at-sign, plain or spelled out), so only the MAX_TOKENS tokens before and
+after such a token are decoded: none can lie elsewhere.
 
 Weights are fitted by the averaged structured perceptron on windows of a bounded
 sample, in which base spans, and copies of them in disguise (no plus sign,
 spelled-out at-sign), are the gold entities.
 
-Defined cases: a null text is empty; a text without matches has an empty span
-list; repeated rows get equal results; without training windows the fixed prior
-weights serve.  Offsets are code points, ends exclusive.
+Defined cases: a null text is empty, as is an empty table's result; a text without
+matches has an empty span list; a text of any length is read whole; repeated rows get
+equal results; of equally good segmentations the one with the shorter last entity, and
+then the earlier kind, is taken; without training windows the fixed prior weights
+serve.  Offsets are code points, ends exclusive.  Only doc_id and text are read, and
+redact() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from itertools import pairwise
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -115,16 +121,21 @@ _TOKEN = re.compile(r"\S+")
 _MARK = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I)
 
 
-def windows(text: str, reach: int = 48) -> list[list[tuple[int, int]]]:
-    """Token spans around marks (digits, at-signs): each window is a run of tokens at most `reach` code points from a mark."""
-    out: list[tuple[int, int]] = []
+def windows(text: str) -> list[list[tuple[int, int]]]:
+    """Runs of whole tokens, as spans, each at most MAX_TOKENS tokens from one with a mark."""
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    starts, ranges, last = [a for a, _ in tokens], [], -1
     for m in _MARK.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
+        if m.start() < last:
+            continue
+        k = bisect_right(starts, m.start()) - 1
+        last = tokens[k][1]
+        a, b = max(0, k - MAX_TOKENS), min(len(tokens), k + MAX_TOKENS)
+        if ranges and a <= ranges[-1][1]:
+            ranges[-1][1] = b
         else:
-            out.append((a, b))
-    return [t for a, b in out if (t := [(m.start(), m.end()) for m in _TOKEN.finditer(text, a, b)])]
+            ranges.append([a, b])
+    return [tokens[a:b] for a, b in ranges]
 
 
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -147,7 +158,7 @@ def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float])
             if not any(marked[i:j]):
                 continue
             a, b = _trimmed(text, tokens[i][0], tokens[j - 1][1])
-            if b - a < 5 or b - a > 80:
+            if b - a < 5:  # shorter than any kind's shape
                 continue
             before = text[tokens[i - 1][0] : tokens[i - 1][1]].strip(_TRIM).lower() if i else ""
             for k, kind in enumerate(KINDS):
@@ -178,13 +189,12 @@ def train(cases: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 3)
     w, total, steps = dict(PRIOR), dict.fromkeys(PRIOR, 0.0), 0
 
     def features(text: str, tokens: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[str]:
-        out = []
+        out, starts, ends = [], [x for x, _ in tokens], [y for _, y in tokens]
         for a, b, k in spans:
-            inside = [i for i, (x, y) in enumerate(tokens) if x < b and y > a]
-            if inside:
-                i = inside[0]
+            i, j = bisect_right(ends, a), bisect_left(starts, b)
+            if i < j:
                 before = text[tokens[i - 1][0] : tokens[i - 1][1]].strip(_TRIM).lower() if i else ""
-                out += span_features(text[a:b], before, KINDS[k], len(inside))
+                out += span_features(text[a:b], before, KINDS[k], j - i)
         return out
 
     for _ in range(epochs):
@@ -208,7 +218,19 @@ def find(text: str, weights: dict[str, float]) -> tuple[list[tuple[int, int, int
     base = base_spans(text)
     if not _MARK.search(text):
         return base, base
-    more = [s for tokens in windows(text) for s in decode(text, tokens, weights) if not any(s[0] < b and a < s[1] for a, b, _ in base)]
+    held: list[list[int]] = []  # the base spans' union, as disjoint intervals in order
+    for a, b, _ in base:
+        if held and a < held[-1][1]:
+            held[-1][1] = max(held[-1][1], b)
+        else:
+            held.append([a, b])
+    ends = [b for _, b in held]
+
+    def touches(a: int, b: int) -> bool:
+        k = bisect_right(ends, a)  # the first interval that ends behind a
+        return k < len(held) and held[k][0] < b
+
+    more = [s for tokens in windows(text) for s in decode(text, tokens, weights) if not touches(s[0], s[1])]
     return base, sorted(base + more, key=lambda s: (s[0], s[2], s[1]))
 
 
@@ -216,8 +238,12 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
 
-def fit(docs: DataFrame, rows: int = 400) -> dict[str, float]:
-    """Weights from about `rows` documents with a digit or an at-sign, drawn by a hash of the id; windows around marks only."""
+def fit(docs: DataFrame, rows: int = 400, per_row: int = 16, tokens_each: int = 64) -> dict[str, float]:
+    """Weights from about `rows` documents with a digit or an at-sign, drawn by a hash of the id.
+
+    The sample's bounds: of a document the `per_row` parts of least checksum, where windows of over
+    `tokens_each` tokens are cut into parts of that many.
+    """
     marked = docs.select("doc_id", "text").where(F.col("text").rlike(r"[0-9]{3}|@"))
     n = marked.count()
     drawn = marked.where(C.hash_fraction("doc_id", 8) < min(1.0, rows / max(1, n)))
@@ -225,22 +251,25 @@ def fit(docs: DataFrame, rows: int = 400) -> dict[str, float]:
     def make(batch: pa.RecordBatch) -> dict:
         out: dict = {"doc_id": [], "part": []}
         for i, text in zip(batch.column(0).to_pylist(), C.texts_of(batch, "text"), strict=True):
-            for tokens in windows(text):
-                part = text[tokens[0][0] : tokens[-1][1]]
-                if len(part) <= 2000:
-                    out["doc_id"].append(i)
-                    out["part"].append(part)
+            runs = [t[k : k + tokens_each] for t in windows(text) for k in range(0, len(t), tokens_each)]
+            parts = sorted({text[t[0][0] : t[-1][1]] for t in runs}, key=lambda p: (crc32(p.encode("utf-8", "replace")), p))[:per_row]
+            out["doc_id"] += [i] * len(parts)
+            out["part"] += parts
         return out
 
     got = sorted({(r["doc_id"] or 0, r["part"]) for r in C.per_batch(drawn, make, "doc_id long, part string").collect()})
     cases = []
-    for _, part in got[: 4 * rows]:
-        gold = base_spans(part)
-        gold = [g for k, g in enumerate(gold) if not any(g[0] < b and a < g[1] for a, b, _ in gold[:k])]
+    for _, part in got:
+        gold, upto = [], 0
+        for g in base_spans(part):  # of overlapping ones the first
+            if g[0] >= upto:
+                gold.append(g)
+                upto = g[1]
         cases.append((part, gold))
-        for a, b, k in gold[:1]:
+        if len(gold) == 1:
+            a, b, k = gold[0]
             other = disguise(part[a:b], KINDS[k])
-            if other != part[a:b] and len(gold) == 1:
+            if other != part[a:b]:
                 cases.append((part[:a] + other + part[b:], [(a, a + len(other), k)]))
     return train(cases)
 
