@@ -5,11 +5,15 @@ LZW stream each; ``decode`` reads GIF87a and GIF89a: LZW code streams with
 growing codes, clear and end codes, global and local palettes, interlacing,
 transparency and the disposal methods, giving timed frames composed on the
 canvas as well as each frame's own samples.  ``frames`` turns a media column
-into a row per frame with delay and colour-histogram columns.
+into a row per frame with delay and colour-histogram columns; the query writes the
+media column to a table, reads it back and takes payload and feature from its frames.
 
 Defined cases: a null or empty text is 64 zero bytes; a payload over one frame's
-height spans several frames; a stream that isn't a GIF, or ends early, raises
-ValueError in ``decode`` and gives a null feature row in ``frames``.
+height spans several frames, so a text of any length is stored whole; repeated rows
+give equal media; an empty table gives an empty table; a stream that isn't a GIF, ends
+early, has too few samples for a frame, a code size outside 1 to 8 or a canvas or frame
+of over MAX_PIXELS raises ValueError in ``decode`` and gives a row without values in
+``frames``.  Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C
 
 WIDTH, MAX_ROWS, DELAY = 64, 4096, 10
+#: Pixels of a canvas or frame: its four bytes each, twice, bound what a task holds.
+MAX_PIXELS = 1 << 24
 
 
 @dataclass
@@ -225,7 +231,9 @@ def _decode(gif: bytes, compose: bool) -> tuple[int, int, list[Frame]]:
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
         palette, at = np.frombuffer(gif[at : at + n], np.uint8).reshape(-1, 3), at + n
-    canvas = np.zeros((height, width, 4), np.uint8) if compose else None
+    if width * height > MAX_PIXELS:
+        raise ValueError("GIF: canvas too large")
+    canvas = np.zeros((height, width), "<u4") if compose else None  # a pixel's bytes: red, green, blue, opacity
     frames: list[Frame] = []
     delay, disposal, clear = 0, 0, None
     while (kind := gif[at]) != 0x3B:
@@ -246,7 +254,13 @@ def _decode(gif: bytes, compose: bool) -> tuple[int, int, list[Frame]]:
             colours, at = np.frombuffer(gif[at : at + n], np.uint8).reshape(-1, 3), at + n
         size = gif[at]
         stream, at = _blocks(gif, at + 1)
-        samples = lzw_decode(stream, size, w * h).ljust(w * h, b"\0")
+        if not 1 <= size <= 8:
+            raise ValueError("GIF: code size")
+        if w * h > MAX_PIXELS:
+            raise ValueError("GIF: frame too large")
+        samples = lzw_decode(stream, size, w * h)
+        if len(samples) < w * h:
+            raise ValueError("GIF: frame ends early")
         if bits & 0x40:
             rows = np.frombuffer(samples, np.uint8).reshape(h, w)
             order = np.concatenate([np.arange(0, h, 8), np.arange(4, h, 8), np.arange(2, h, 4), np.arange(1, h, 2)])
@@ -255,18 +269,20 @@ def _decode(gif: bytes, compose: bool) -> tuple[int, int, list[Frame]]:
             samples = straight.tobytes()
         shown = None
         if canvas is not None:
-            before = canvas.copy()
+            before = canvas.copy() if disposal == 3 else None
             pixels = np.frombuffer(samples, np.uint8).reshape(h, w)
-            if colours is None or (len(pixels) and pixels.max(initial=0) >= len(colours)):
-                full = np.zeros((256, 3), np.uint8)
-                full[: 0 if colours is None else len(colours)] = [] if colours is None else colours
-                colours = full
+            paint = np.zeros((256, 4), np.uint8)
+            paint[:, 3] = 255
+            if colours is not None:
+                paint[: len(colours), :3] = colours
             part = canvas[top : top + h, left : left + w]
             pixels = pixels[: part.shape[0], : part.shape[1]]
-            drawn = np.ones(pixels.shape, bool) if clear is None else pixels != clear
-            part[..., :3][drawn] = colours[pixels][drawn]
-            part[..., 3][drawn] = 255
-            shown = canvas.copy()
+            drawn = paint.view("<u4")[:, 0][pixels]
+            if clear is None:
+                part[...] = drawn
+            else:
+                np.copyto(part, drawn, where=pixels != clear)
+            shown = canvas.copy().view(np.uint8).reshape(height, width, 4)
             if disposal == 2:
                 part[...] = 0
             elif disposal == 3:
@@ -318,20 +334,27 @@ def frames(media: DataFrame, column: str = "media") -> DataFrame:
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """What the stored bytes give when they are read back: a row per document."""
+    """What the stored bytes give when they are read back: a row per document.
+
+    The feature holds the frames' times and the colour histograms of their composed canvases.
+    """
 
     def make(batch: pa.RecordBatch) -> dict:
-        out: dict = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames")}
+        out: dict = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "length_cs")}
         for gif in batch.column(2).to_pylist():
-            _, _, got = decode(gif, compose=False)
+            _, _, got = decode(gif)
             payload = b"".join(f.samples for f in got)
-            values = (len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-64:]), len(gif), hashlib.sha256(gif).hexdigest(), ",".join(map(str, histogram(payload))), len(got))
+            time = sum(f.delay_cs for f in got)
+            # equal texts give equal frames, so sums over frames are a feature of the text
+            bands = [np.sum([histogram(np.ascontiguousarray(f.canvas[: f.height, :, c]).tobytes()) for f in got], axis=0).tolist() for c in range(3)]
+            feature = f"{len(got)}:{time}:" + "|".join(",".join(map(str, b)) for b in bands)
+            values = (len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-64:]), len(gif), hashlib.sha256(gif).hexdigest(), feature, len(got), time)
             for k, v in zip(out, values, strict=True):
                 out[k].append(v)
         return {"doc_id": batch.column(0), "n_bytes": batch.column(1)} | out
 
-    return C.per_batch(media, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int", 256)
+    return C.per_batch(media, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, length_cs long", 64)
 
 
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(store(C.documents(spark, sf_dir)))
+    return digest(C.save(store(C.documents(spark, sf_dir)), "media")[0])
