@@ -1,41 +1,48 @@
 """Language-model scoring: Brown class-based n-grams.
 
 Counts come from all training texts, and every word of them is put into a class by
-exchange: each word moves to the class that raises the bigram likelihood most.  Words
-enter by falling frequency: first the SEEDS most frequent, one by one; then the HEAD
-most frequent, a part of them at a time; then all others, each against the class
-bigrams so far, and once more when its neighbours among them have classes too.  The
-end token is a class of its own.  A text's probability is the product of smoothed
-class transitions and of word emissions ``(c + 1) / (n_class + v_class + 1)``.
-
-Scale: counts and classes of words are tables, never a map on the driver.  The executors
-get the HEAD most frequent words only; a document's other words leave the scoring pass
-with their neighbours' classes in a table and meet counts and classes in a shuffle join.
-The driver holds class bigrams, and class contexts of the HEAD words.
-
-Defined cases: a null text is empty and has the end token alone; repeated rows are
-scored each; without training rows every count is 0; a null doc_id counts as the
-empty text where folds are concerned; a word that training lacks may come from any class,
-each of which keeps a count of 1 for it, so its chance is the sum over classes.  Only the
-columns named are read.
+exchange: a word goes to the class that raises the bigram likelihood most.  The CORE
+most frequent words are exchanged one by one, in sweeps until none moves.  Then the
+HEAD most frequent words enter against the class bigrams so far and are exchanged in
+two more sweeps, half of them at a time; then every other word enters against the class
+bigrams of the head.  While a word has no class it stands in its neighbours' contexts
+as one class of its own, so no word is without context.  The end token is a class of its
+own.  A text's probability is the product of smoothed class transitions, counted over
+all words, and of word emissions ``(c + 1) / (n_class + v_class + 1)``.
+
+Scale: texts are read twice, to count words and to turn them into numbers of head words
+beside the strings of the others; all further passes read these numbers.  Counts and
+classes of words are tables, never a map on the driver: a word outside the head meets its
+count and class in a shuffle join, and none of them is frequent enough (a share under
+1 / HEAD) to make a hot key.  The driver holds the head's words and classes, at most
+(CORE + 2) squared pairs, and class bigrams.
+
+Defined cases: a null text is empty and has the end token alone; a text of any length
+counts whole; repeated rows are scored each; ties go to the class of least number, and
+words of equal count are ordered by their bytes; without training rows, as with an empty
+table, every count is 0; a null doc_id counts as the empty text where folds are concerned;
+a word that training lacks may come from any class, each of which keeps a count of 1 for
+it, so its chance is the sum over classes.  Only the columns named are read, so others may
+have any names.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 from math import log10
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 #: Words exchanged one by one, classes, words sent to the executors.
-SEEDS, CLASSES, HEAD = 512, 48, 60_000
-_HELD, _PAIRS = 400_000, 4_000_000
+CORE, CLASSES, HEAD = 1024, 48, 60_000
+_HELD, _KEYS = 400_000, 4_000_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -64,55 +71,110 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def units(words: list[bytes], head: dict[bytes, int]) -> np.ndarray:
-    """End, the words' numbers (-1 outside the head), end."""
-    get = head.get
-    return np.array([len(head), *[get(w, -1) for w in words], len(head)], np.int64)
+def head_words(counts: DataFrame, most: int) -> list:
+    """About the `most` most frequent words with their counts, by falling count; never a sort of all words.
 
+    Words are counted by 64 buckets a power of two; of the bucket that no longer fits a share is drawn by a hash.
+    """
+    bucket = F.floor(F.log2("c") * 64)
+    sizes = {r["b"]: r["n"] for r in counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}  # at most 64 * 63 rows
+    room, chosen, drawn = most, F.lit(False), F.lit(False)
+    for b in sorted(sizes, reverse=True):
+        if sizes[b] > room:
+            share = int(0.9 * room / sizes[b] * (1 << 20))  # nine tenths of the room, so that the draw keeps to it
+            drawn = (bucket == b) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share)
+            break
+        room, chosen = room - sizes[b], bucket >= b
+    return sorted(counts.where(chosen | drawn).collect(), key=lambda r: (-r["c"], r["word"].encode()))  # at most about `most` rows
+
+
+def numbered(docs: DataFrame, keep: Column, head: dict[bytes, int]) -> DataFrame:
+    """A table of row, doc_id, train, units (numbers of head words, -1 for others) and rare (the others) for each document."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        units, rare, n_rare = [], [], [0]
+        for text in C.texts_of(batch, "text"):
+            words = tokens(text)
+            u = list(map(head.get, words, repeat(-1)))
+            units.append(np.array(u, np.int32))
+            if -1 in u:
+                rare += [w.decode("utf-8", "replace") for w, k in zip(words, u, strict=True) if k < 0]
+            n_rare.append(len(rare))
+        at = np.cumsum([0, *map(len, units)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(units)))
+        return {"row": batch.column(0), "doc_id": batch.column(1), "train": batch.column(2), "units": lists, "rare": pa.ListArray.from_arrays(pa.array(np.array(n_rare, np.int32)), pa.array(rare, pa.string()))}
+
+    # a key that tells repeated rows apart, fixed once the table is written
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(keep, F.lit(False)).alias("train"), "text")
+    return C.save(C.per_batch(keyed, make, "row long, doc_id long, train boolean, units array<int>, rare array<string>", 2048), "units")[0]
+
+
+def joined(lists: pa.ListArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lists' numbers one after another with the end token before each and after all, and the places of those before each."""
+    n = lists.value_lengths().to_numpy()
+    at = np.cumsum(n + 1) - n - 1
+    out = np.full(int(n.sum()) + len(n) + 1, end, np.int64)
+    inside = np.ones(len(out), bool)
+    inside[at] = inside[-1] = False
+    out[inside] = lists.flatten().to_numpy()
+    return out, at
 
-def head_pairs(docs: DataFrame, head: dict[bytes, int]) -> DataFrame:
-    """a, b, n: how often b follows a, for words of the head and the end token."""
-    size = len(head) + 1
+
+def summed(units: DataFrame, keys, size: int, columns: str) -> DataFrame:
+    """Times of each key that keys(numbers) gives over the training documents, as two numbers: quotient and rest by `size`."""
 
     def run(batches):
         held, many = [], 0
 
         def flush():
-            pair, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array((pair // size).astype(np.int32)), pa.array((pair % size).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
-
-        for batch in C.pieces(batches):
-            for text in C.texts_of(batch, "text"):
-                u = units(tokens(text), head)
-                a, b = u[:-1], u[1:]
-                held.append((a * size + b)[(a >= 0) & (b >= 0)])
-                many += len(held[-1])
-                if many > _PAIRS:
-                    yield flush()
-                    held, many = [], 0
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key // size), pa.array(key % size), pa.array(n)], columns.split())
+
+        for batch in C.pieces(batches, 4096):
+            new = keys(batch.column(0))
+            held += new
+            many += sum(map(len, new))
+            if many > _KEYS:
+                yield flush()
+                held, many = [], 0
         if many:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    a, b, n = columns.split()
+    return units.where("train").select("units").mapInArrow(run, f"{a} long, {b} long, {n} long").groupBy(a, b).agg(F.sum(n).alias(n))
 
 
-def head_contexts(pairs: DataFrame, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word of the head and the end token, how often each class follows it and precedes it; -1 is no class."""
-    size = len(of)
+def core_classes(units: DataFrame, size: int, core: int, classes: int) -> np.ndarray:
+    """Classes of the core's words, by exchange over the bigrams of core words, the end token and all others as one."""
+    at = np.full(size + 2, core + 1)  # the last one is that of -1
+    at[:core], at[size], width = np.arange(core), core, core + 2
 
-    def run(batches):
-        for batch in batches:
-            a, b, n = (batch.column(c).to_numpy() for c in range(3))
-            a, b = a.astype(np.int64), b.astype(np.int64)
-            code = np.concatenate([(a * k + of[b])[of[b] >= 0], (size * k + b * k + of[a])[of[a] >= 0]])
-            n = np.concatenate([n[of[b] >= 0], n[of[a] >= 0]])
-            at, back = np.unique(code, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(back, n, len(at)).astype(np.int64))], ["code", "n"])
+    def keys(lists):
+        c = at[joined(lists, size)[0]]
+        return [c[:-1] * width + c[1:]]
+
+    got = summed(units, keys, width, "a b n").toArrow()  # at most width squared
+    pairs = np.zeros((width, width), np.int64)
+    pairs[got["a"].to_numpy(), got["b"].to_numpy()] = got["n"].to_numpy()
+    return exchange(pairs, core, classes)[:core]
+
+
+def contexts(units: DataFrame, of: np.ndarray, k: int, moving: np.ndarray) -> tuple[np.ndarray, DataFrame]:
+    """Class bigrams of all tokens, and word, code, n: how often class d follows (code d) and precedes (code k + d) each moving word."""
+    size, wide = len(of) - 2, max(k * k, 2 * k)
+    move = np.append(moving, [False, False])  # the end token, and -1
+
+    def keys(lists):
+        seq, _ = joined(lists, size)
+        c, at = of[seq], np.flatnonzero(move[seq])
+        # number 0 holds the bigrams, word w has number w + 1
+        return [c[:-1] * k + c[1:], (seq[at] + 1) * wide + c[at + 1], (seq[at] + 1) * wide + k + c[at - 1]]
 
-    got = pairs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * HEAD * k rows
-    out = np.zeros(2 * size * k)
-    out[got["code"].to_numpy()] = got["n"].to_numpy()
-    return out[: size * k].reshape(size, k), out[size * k :].reshape(size, k)
+    got, _ = C.save(summed(units, keys, wide, "word code n"), "contexts")
+    n = np.zeros(k * k)
+    for r in got.where("word = 0").collect():  # at most k squared
+        n[r["code"]] = r["n"]
+    return n.reshape(k, k), got.where("word > 0").select((F.col("word") - 1).alias("word"), "code", "n")
 
 
 def best(n: np.ndarray, classes: int, old: np.ndarray, word: np.ndarray, code: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -146,134 +208,51 @@ def best(n: np.ndarray, classes: int, old: np.ndarray, word: np.ndarray, code: n
     return new
 
 
-def head_classes(pairs: DataFrame, size: int, classes: int, sweeps: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """A class for each of the head's words, then the end token's, and their class bigrams."""
-    k, seeds = classes + 1, min(SEEDS, size)
-    of = np.full(size + 1, -1)
-    of[size] = classes
-    got = pairs.where(((F.col("a") < seeds) | (F.col("a") == size)) & ((F.col("b") < seeds) | (F.col("b") == size))).toArrow()  # at most (SEEDS + 1) squared
-    dense = np.zeros((seeds + 1, seeds + 1), np.int64)
-    dense[np.minimum(got["a"].to_numpy(), seeds), np.minimum(got["b"].to_numpy(), seeds)] = got["n"].to_numpy()
-    of[:seeds] = exchange(dense, seeds, classes)[:seeds]
-
-    def bigrams(after):
-        n = np.zeros((k, k))
-        np.add.at(n, of[of >= 0], after[of >= 0])
-        return n
-
-    rounds = [of[:size] < 0] + [np.arange(size) % 2 == s % 2 for s in range(2 * sweeps)] if size > seeds else []
-    for r, moving in enumerate(rounds):
-        after, before = head_contexts(pairs, of, k)
-        both = np.concatenate([after, before], 1)[:size][moving]
-        n, which = bigrams(after), np.flatnonzero(moving)
-        for at in range(0, len(which), 64):  # the next ones see where these have gone
-            w, x = which[at : at + 64], both[at : at + 64]
-            word, code = np.nonzero(x)
-            old = of[w]
-            of[w] = best(n, classes, old, word, code, x[word, code])
-            for v, o in zip(w, old, strict=True):
-                if of[v] != o:
-                    n[of[v]] += after[v]
-                    n[:, of[v]] += before[v]
-                    if o >= 0:
-                        n[o] -= after[v]
-                        n[:, o] -= before[v]
-    return of, bigrams(head_contexts(pairs, of, k)[0])
-
-
-def rare_contexts(docs: DataFrame, head: dict[bytes, int], of: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Of words outside the head: word with codes and times of its neighbours in the head, and pairs w1, w2, n of two such words."""
-    k = int(of[-1]) + 1
-    kind = "w1 string, w2 string, code int, n long"
+def placed(rows: DataFrame, n: np.ndarray, classes: int, kind: str, now: np.ndarray | None = None) -> DataFrame:
+    """word, k (its best class) and c (its count) from word, code, n; now: classes of words that are numbers."""
+    # a word has at most twice as many codes as there are classes
+    each = rows.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("x")).select("word", F.col("x.code").alias("codes"), F.col("x.n").alias("times"))
 
-    def run(batches):
-        held: Counter = Counter()
+    def make(batch: pa.RecordBatch) -> dict:
+        codes, times = batch.column(1), batch.column(2)
+        word = np.repeat(np.arange(batch.num_rows), codes.value_lengths().to_numpy())
+        code, t = codes.flatten().to_numpy(), times.flatten().to_numpy()
+        old = np.full(batch.num_rows, -1) if now is None else now[batch.column(0).to_numpy()]
+        right = code < len(n)
+        return {"word": batch.column(0), "k": best(n, classes, old, word, code, t), "c": np.bincount(word[right], t[right], batch.num_rows).astype(np.int64)}
 
-        def flush():
-            one, two = zip(*held, strict=True)
-            text = lambda x: x.decode("utf-8", "replace") if isinstance(x, bytes) else None
-            code = [None if isinstance(x, bytes) else x for x in two]
-            return pa.RecordBatch.from_arrays([pa.array([text(x) for x in one], pa.string()), pa.array([text(x) for x in two], pa.string()), pa.array(code, pa.int32()), pa.array(list(held.values()), pa.int64())], ["w1", "w2", "code", "n"])
+    return C.per_batch(each, make, f"word {kind}, k int, c long", 8192)
 
-        for batch in C.pieces(batches):
-            for text in C.texts_of(batch, "text"):
-                words = tokens(text)
-                u = units(words, head)
-                at = np.flatnonzero(u < 0)
-                if not len(at):
-                    continue
-                c = np.where(u < 0, -1, of[u])
-                for i, right, left in zip(at.tolist(), c[at + 1].tolist(), c[at - 1].tolist(), strict=True):
-                    w = words[i - 1]
-                    held[w, right if right >= 0 else words[i]] += 1
-                    if left >= 0:
-                        held[w, k + left] += 1
-            if len(held) > _HELD:
-                yield flush()
-                held.clear()
-        if held:
-            yield flush()
-
-    got, _ = C.save(docs.select("text").mapInArrow(run, kind), "contexts")
-    one = got.where(F.col("code").isNotNull()).groupBy(F.col("w1").alias("word"), "code").agg(F.sum("n").alias("n"))
-    two = got.where(F.col("code").isNull()).groupBy("w1", "w2").agg(F.sum("n").alias("n"))
-    return gathered(one), two
 
+def head_classes(units: DataFrame, size: int, classes: int, sweeps: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the head's words, of the end token and of -1 (all other words, as one class), and the bigrams of these classes."""
+    core, k = min(CORE, size), classes + 2
+    of = np.full(size + 2, classes + 1)
+    of[size] = classes
+    of[:core] = core_classes(units, size, core, classes)
+    number = np.arange(size)
+    for moving in [number >= core] * (size > core) + [number % 2 == s % 2 for s in range(sweeps * (size > core))]:
+        n, rows = contexts(units, of, k, moving)
+        now = np.where(of[:size] < classes, of[:size], -1)
+        got = placed(rows, n, classes, "long", now).select("word", "k").toArrow()  # at most HEAD rows
+        of[got["word"].to_numpy()] = got["k"].to_numpy()
+    return of, contexts(units, of, k, np.zeros(size, bool))[0]
 
-def gathered(rows: DataFrame) -> DataFrame:
-    """A row per word; it has at most twice as many codes as there are classes."""
-    return rows.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("x")).select("word", F.col("x.code").alias("codes"), F.col("x.n").alias("times"))
 
+def rare_places(units: DataFrame, of: np.ndarray) -> DataFrame:
+    """A row for each word outside the head in a document: row, pos, train, word and the classes before (l) and after (r) it, the last class for another such word."""
+    size = len(of) - 2
 
-def placed(words: DataFrame, n: np.ndarray, classes: int) -> DataFrame:
-    """word and k, its best class, from word, k (null: none yet), codes and times."""
+    def run(batches):
+        for batch in C.pieces(batches, 2048):
+            seq, begin = joined(batch.column(2), size)
+            at = np.flatnonzero(seq < 0)
+            doc = np.searchsorted(begin, at, "right") - 1
+            c = of[seq].astype(np.int32)
+            here = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(here), pa.array((at - begin[doc]).astype(np.int32)), batch.column(1).take(here), batch.column(3).flatten(), pa.array(c[at - 1]), pa.array(c[at + 1])], ["row", "pos", "train", "word", "l", "r"])
 
-    def make(batch: pa.RecordBatch) -> dict:
-        name = {x: batch.column(i) for i, x in enumerate(batch.schema.names)}
-        codes = name["codes"].to_pylist()
-        word = np.repeat(np.arange(len(codes)), [len(x) for x in codes])
-        code = np.fromiter((y for x in codes for y in x), np.int64, len(word))
-        times = np.fromiter((y for x in name["times"].to_pylist() for y in x), np.int64, len(word))
-        old = np.array([-1 if x is None else x for x in name["k"].to_pylist()], np.int64)
-        return {"word": name["word"].to_pylist(), "k": best(n, classes, old, word, code, times)}
-
-    return C.per_batch(words, make, "word string, k int", 8192)
-
-
-def rare_classes(docs: DataFrame, head: dict[bytes, int], of: np.ndarray, n: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """word and k of all words outside the head, and the class bigrams of all words."""
-    k, classes = len(n), int(of[-1])
-    one, two = rare_contexts(docs, head, of)
-    one, _ = C.save(one, "rare")
-    two, _ = C.save(two, "pairs")
-
-    def joined(place):
-        a, b = place.select(F.col("word").alias("w1"), F.col("k").alias("k1")), place.select(F.col("word").alias("w2"), F.col("k").alias("k2"))
-        return two.join(a, "w1").join(b, "w2")
-
-    def bigrams(place, pairs):
-        out = n.copy()
-        parts = one.join(place, "word").select("k", F.explode(F.arrays_zip("codes", "times")).alias("x")).groupBy("k", F.col("x.codes").alias("code")).agg(F.sum("x.times").alias("n"))
-        for r in parts.collect():  # at most 2 * classes squared
-            at = (r["k"], r["code"]) if r["code"] < k else (r["code"] - k, r["k"])
-            out[at] += r["n"]
-        for r in pairs.groupBy("k1", "k2").agg(F.sum("n").alias("n")).collect():
-            out[r["k1"], r["k2"]] += r["n"]
-        return out
-
-    # a word whose neighbours are all outside the head has no context yet
-    alone = two.select(F.explode(F.array("w1", "w2")).alias("word")).distinct()
-    every, _ = C.save(one.join(alone, "word", "full").select("word", F.coalesce("codes", F.array().cast("array<int>")).alias("codes"), F.coalesce("times", F.array().cast("array<bigint>")).alias("times")), "rare")
-    first, _ = C.save(placed(every.withColumn("k", F.lit(None).cast("int")), n, classes), "classes")
-    pairs, _ = C.save(joined(first), "pairs")
-    more = pairs.select(F.col("w1").alias("word"), F.col("k2").alias("code"), "n").unionByName(pairs.select(F.col("w2").alias("word"), (F.col("k1") + k).alias("code"), "n"))
-    more = gathered(more.groupBy("word", "code").agg(F.sum("n").alias("n"))).select("word", F.col("codes").alias("c2"), F.col("times").alias("t2"))
-    # equal codes of both kinds are added up, so that the gain is that of their sum
-    merged = every.join(first, "word").join(more, "word", "left").select("word", "k", F.concat("codes", F.coalesce("c2", F.array().cast("array<int>"))).alias("c"), F.concat("times", F.coalesce("t2", F.array().cast("array<bigint>"))).alias("t"))
-    merged = merged.select("word", "k", F.array_distinct("c").alias("codes"), F.arrays_zip("c", "t").alias("x"))
-    merged = merged.select("word", "k", "codes", F.transform("codes", lambda c: F.aggregate(F.filter("x", lambda y: y["c"] == c), F.lit(0).cast("bigint"), lambda s, y: s + y["t"])).alias("times"))
-    place, _ = C.save(placed(merged, bigrams(first, pairs), classes), "classes")
-    return place, bigrams(place, joined(place))
+    return units.select("row", "train", "units", "rare").mapInArrow(run, "row long, pos int, train boolean, word string, l int, r int")
 
 
 def exchange(pairs: np.ndarray, movable: int, classes: int = CLASSES, sweeps: int = 6) -> np.ndarray:
@@ -298,7 +277,8 @@ def exchange(pairs: np.ndarray, movable: int, classes: int = CLASSES, sweeps: in
             n[old] -= right
             n[:, old] -= left
             n[old, old] -= self_
-            a, row, col = np.arange(classes), n.sum(1), n.sum(0)
+            # whichever class w takes, its neighbours' totals hold their pairs with it
+            a, row, col = np.arange(classes), n.sum(1) + left, n.sum(0) + right
             big = n[a] + right  # class c with w's right neighbours
             tall = n[:, a].T + left
             both = n[a, a] + right[a] + left[a] + self_
@@ -319,7 +299,7 @@ def exchange(pairs: np.ndarray, movable: int, classes: int = CLASSES, sweeps: in
 @dataclass
 class Brown:
     number: dict[bytes, int]  # of frequent words
-    of: np.ndarray  # their classes, then the end token's
+    of: np.ndarray  # their classes, then the end token's, then that of a word outside the head
     transition: np.ndarray  # log10 of class given class before; the last one is an unseen word's
     base: np.ndarray  # log10 of each class's denominator
     log: np.ndarray  # log10(c + 1) of frequent words, then of the end token
@@ -327,87 +307,86 @@ class Brown:
     v: int
 
 
-def fit(docs: DataFrame, keep: Column) -> tuple[Brown, DataFrame]:
-    """The model, and the table of all words with count and class; learns from all rows where keep holds."""
-    training = docs.where(keep).select("text")
-    counts, _ = C.save(word_counts(training), "counts")
-    ends = training.count()
+def fit(docs: DataFrame, keep: Column) -> tuple[Brown, DataFrame, DataFrame, DataFrame]:
+    """The model from all rows where keep holds; word, k and c of all words; and what score() needs of all documents.
+
+    The last two are the tables of numbered(), and of words outside the head with their class, count
+    and the class before (another such word's, too).
+    """
+    counts, _ = C.save(word_counts(docs.where(keep).select("text")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # at most HEAD rows
+    top = head_words(counts, HEAD)
     head = {r["word"].encode(): k for k, r in enumerate(top)}
-    classes = max(1, min(CLASSES, len(head)))
-    pairs, _ = C.save(head_pairs(training, head), "pairs")
-    of, n = head_classes(pairs, len(head), classes)
-    known = docs.sparkSession.createDataFrame([(r["word"], int(k)) for r, k in zip(top, of, strict=False)], "word string, k int")
-    if total["v"] > len(head):
-        rare, n = rare_classes(training, head, of, n)
-        known = known.unionByName(rare)
-    words, _ = C.save(counts.join(known, "word"), "words")
-    v_class = np.zeros(len(n))
-    v_class[-1] = 1
-    for r in words.groupBy("k").agg(F.count("*").alias("v")).collect():
+    size, classes = len(head), max(1, min(CLASSES, len(head)))
+    units = numbered(docs, keep, head)
+    ends = units.where("train").count()
+    of, n = head_classes(units, size, classes)
+    other = classes + 1
+    places = rare_places(units, of)
+    # no word outside the head is a hot key, so all rows of a word may meet in a task
+    seen = places.where("train").select("word", "l", "r").repartition("word")
+    codes = seen.select("word", F.explode(F.array("r", F.col("l") + len(n))).alias("code")).groupBy("word", "code").agg(F.count("*").alias("n"))
+    rare, _ = C.save(placed(codes, n, classes, "string"), "rare")
+    by = Window.partitionBy("row").orderBy("pos")
+    own = places.join(rare, "word", "left").withColumn("k", F.coalesce("k", F.lit(other)))
+    own = own.withColumn("l", F.when(F.col("l") == other, F.lag("k").over(by)).otherwise(F.col("l"))).select("row", "train", "l", "r", "k", "c")
+    own, _ = C.save(own, "own")
+    # bigrams of the classes of all words: those of the head, and those that a word outside it begins or ends
+    n = n[:other, :other].copy()
+    parts = F.array_compact(F.array(F.struct(F.col("l").alias("a"), F.col("k").alias("b")), F.when(F.col("r") != other, F.struct(F.col("k").alias("a"), F.col("r").alias("b")))))
+    for r in own.where("train").select(F.explode(parts).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n")).collect():  # at most classes squared
+        n[r["a"], r["b"]] += r["n"]
+    v_class = np.bincount(of[:size], minlength=other).astype(float)
+    v_class[classes] = 1
+    for r in rare.groupBy("k").agg(F.count("*").alias("v")).collect():
         v_class[r["k"]] += r["v"]
     t = (n + 0.1) / (n.sum(1, keepdims=True) + 0.1 * len(n))
     base = n.sum(0) + v_class + 1
     mix = (n.sum(0) + 1) / base
     t = np.block([[t, (t / base).sum(1, keepdims=True)], [mix @ t / mix.sum(), (mix @ t / mix.sum() / base).sum()]])
     log = np.log10(np.array([*[r["c"] for r in top], ends]) + 1.0)
-    return Brown(head, of, np.log10(t), np.log10(np.append(base, 1.0)), log, int(total["n"] + ends), int(total["v"] + (ends > 0))), words
+    model = Brown(head, of, np.log10(t), np.log10(np.append(base, 1.0)), log, int(total["n"] + ends), int(total["v"] + (ends > 0)))
+    known = docs.sparkSession.createDataFrame([(r["word"], int(k), r["c"]) for r, k in zip(top, of, strict=False)], "word string, k int, c long")
+    return model, known.unionByName(rare), units, own
 
 
-def local_part(docs: DataFrame, model: Brown) -> DataFrame:
-    """A row per document: sums over words of the head, its other words with the classes beside them (-1: another such word), and pairs of such words."""
-    kind = "row string, doc_id long, n_tokens long, head_known long, head_sum double, class_sum double, words array<string>, befores array<int>, afters array<int>, firsts array<string>, seconds array<string>"
+def score(units: DataFrame, own: DataFrame, model: Brown) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, base_score and score of every document of the two tables."""
+    size, k = len(model.number), len(model.base)
 
     def make(batch: pa.RecordBatch) -> dict:
-        out: dict = {x.split(" ")[0]: [] for x in kind.split(", ")}
-        for row, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), C.texts_of(batch, "text"), strict=True):
-            words = tokens(text)
-            u = units(words, model.number)
-            c = np.where(u < 0, -1, model.of[u])
-            inside = u[1:][u[1:] >= 0]
-            both = (c[:-1] >= 0) & (c[1:] >= 0)
-            sum_ = float(model.transition[c[:-1][both], c[1:][both]].sum() - model.base[model.of[inside]].sum())
-            at = np.flatnonzero(u < 0)
-            name = [words[j - 1].decode("utf-8", "replace") for j in at.tolist()]
-            next_ = np.flatnonzero(np.diff(at) == 1).tolist()
-            known = len(inside) - (0 if model.log[-1] > 0 else 1)
-            values = (row, i, len(words) + 1, known, float(model.log[inside].sum()), sum_, name, c[at - 1].tolist(), c[at + 1].tolist(), [name[j] for j in next_], [name[j + 1] for j in next_])
-            for k, v in zip(out, values, strict=True):
-                out[k].append(v)
-        return out
-
-    # a key that tells repeated rows apart, fixed once the table is written
-    keyed = docs.select(F.monotonically_increasing_id().cast("string").alias("row"), "doc_id", "text")
-    return C.per_batch(keyed, make, kind)
-
-
-def score(docs: DataFrame, model: Brown, words: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row."""
-    k = len(model.base)
-    step = lambda a, b: F.element_at(F.lit(model.transition.ravel().tolist()), (a * k + b + 1).cast("int"))
-    of = lambda c: F.coalesce(c, F.lit(k - 1))
-    parts, _ = C.save(local_part(docs, model), "parts")
-    rare = parts.select("row", F.explode(F.arrays_zip("words", "befores", "afters")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.befores").alias("l"), F.col("x.afters").alias("r"))
-    own = rare.join(words, "word", "left").withColumn("k", of("k"))
-    beside = F.when(F.col("l") >= 0, step(F.col("l"), F.col("k"))).otherwise(0.0) + F.when(F.col("r") >= 0, step(F.col("k"), F.col("r"))).otherwise(0.0)
-    beside = beside - F.element_at(F.lit(model.base.tolist()), F.col("k") + 1)
-    found = own.groupBy("row").agg(F.count("c").alias("more_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more_sum"), F.sum(beside).alias("more_class"))
-    two = parts.select("row", F.explode(F.arrays_zip("firsts", "seconds")).alias("x")).select("row", F.col("x.firsts").alias("w1"), F.col("x.seconds").alias("w2"))
-    place = lambda a, b: words.select(F.col("word").alias(a), F.col("k").alias(b))
-    two = two.join(place("w1", "k1"), "w1", "left").join(place("w2", "k2"), "w2", "left")
-    two = two.groupBy("row").agg(F.sum(step(of("k1"), of("k2"))).alias("pair_class"))
-    whole = parts.drop("words", "befores", "afters", "firsts", "seconds").join(found, "row", "left").join(two, "row", "left")
+        seq, begin = joined(batch.column(3), size)
+        c = model.of[seq]
+        doc = np.searchsorted(begin, np.arange(1, len(seq)), "left") - 1  # an end token closes the document before it
+        a, b, u = c[:-1], c[1:], seq[1:]
+        inside = u >= 0
+        both = inside & (seq[:-1] >= 0)
+        many = len(begin)
+        log = np.where(inside, model.log[u], 0.0)
+        step = np.where(both, model.transition[a, b], 0.0) - np.where(inside, model.base[b], 0.0)
+        known = np.bincount(doc[inside], minlength=many) - (0 if model.log[-1] > 0 else 1)
+        return {"row": batch.column(0), "doc_id": batch.column(1), "train": batch.column(2), "n_tokens": np.bincount(doc, minlength=many), "head_known": known, "head_sum": np.bincount(doc, log, many), "class_sum": np.bincount(doc, step, many)}
+
+    parts = C.per_batch(units.select("row", "doc_id", "train", "units"), make, "row long, doc_id long, train boolean, n_tokens long, head_known long, head_sum double, class_sum double", 4096)
+
+    def rest(batch: pa.RecordBatch) -> dict:
+        before, after, own_k = (batch.column(i).to_numpy() for i in (1, 2, 3))
+        c = batch.column(4).to_numpy(zero_copy_only=False)  # a count, or NaN for a word that training lacks
+        step = model.transition[before, own_k] - model.base[own_k] + np.where(after < k - 1, model.transition[own_k, after], 0.0)
+        return {"row": batch.column(0), "known": (~np.isnan(c)).astype(np.int64), "log": np.log10(np.nan_to_num(c) + 1), "step": step}
+
+    found = C.per_batch(own.select("row", "l", "r", "k", F.col("c").cast("double").alias("c")), rest, "row long, known long, log double, step double", 1 << 16)
+    found = found.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("log").alias("more_sum"), F.sum("step").alias("more_class"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     total = F.col("head_sum") + zero("more_sum")
-    return whole.select(
-        "doc_id", "n_tokens", (F.col("head_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        (total - F.col("n_tokens") * F.lit(log10(model.n + model.v + 1))).alias("base_score"), (total + F.col("class_sum") + zero("more_class") + zero("pair_class")).alias("score"),
+    return parts.join(found, "row", "left").select(
+        "doc_id", "train", "n_tokens", (F.col("head_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (total - F.col("n_tokens") * F.lit(log10(model.n + model.v + 1))).alias("base_score"), (total + F.col("class_sum") + zero("more_class")).alias("score"),
     )
 
 
 def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir)
-    model, words = fit(docs, C.crc_mod("doc_id", 7) != 2)
-    got = score(docs, model, words)
-    return got.select("doc_id", (C.crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    model, _, units, own = fit(docs, C.crc_mod("doc_id", 7) != 2)
+    got = score(units, own, model)
+    return got.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
