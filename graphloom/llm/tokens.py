@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 
 #: Words and code points in a generation of the memo, a bound on a Python worker's memory.
 #: A full generation becomes the old one; the words of it that occur again move to the new one.
-MEMO, MEMO_CHARS = 600_000, 8_000_000
+MEMO, MEMO_CHARS = 400_000, 6_000_000
 #: Bytes of text whose words are looked up together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 #: White space by any of the libraries' tables, besides the space and the line end.
 _ODD = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{180e}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _PUNCT = string.punctuation
@@ -128,7 +128,7 @@ class Encoder:
         flat, begin = np.frombuffer(b"".join(ids), np.uint16), np.cumsum(each) - each
         n = each[which]
         ends = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(begin[which] - ends[:-1], n) + np.arange(ends[-1])]
+        out = flat[np.repeat((begin[which] - ends[:-1]).astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)]
         return out, ends[lists.offsets.to_numpy()]
 
     def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
