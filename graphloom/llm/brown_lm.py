@@ -35,6 +35,7 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ from . import common as C
 
 #: Words exchanged one by one, classes, words sent to the executors.
 CORE, CLASSES, HEAD = 1024, 48, 60_000
-_HELD, _KEYS = 400_000, 4_000_000
+_HELD, _KEYS = 300_000, 2_000_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -106,7 +107,7 @@ def numbered(docs: DataFrame, keep: Column, head: dict[bytes, int]) -> DataFrame
 
     # a key that tells repeated rows apart, fixed once the table is written
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(keep, F.lit(False)).alias("train"), "text")
-    return C.save(C.per_batch(keyed, make, "row long, doc_id long, train boolean, units array<int>, rare array<string>", 2048), "units")[0]
+    return C.save(C.per_batch(keyed, make, "row long, doc_id long, train boolean, units array<int>, rare array<string>", 512), "units")[0]
 
 
 def joined(lists: pa.ListArray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +122,7 @@ def joined(lists: pa.ListArray, end: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def summed(units: DataFrame, keys, size: int, columns: str) -> DataFrame:
-    """Times of each key that keys(numbers) gives over the training documents, as two numbers: quotient and rest by `size`."""
+    """Partial times of each key that keys(numbers) gives over the training documents, as two numbers: quotient and rest by `size`."""
 
     def run(batches):
         held, many = [], 0
@@ -130,7 +131,7 @@ def summed(units: DataFrame, keys, size: int, columns: str) -> DataFrame:
             key, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(key // size), pa.array(key % size), pa.array(n)], columns.split())
 
-        for batch in C.pieces(batches, 4096):
+        for batch in C.pieces(batches, 1024):
             new = keys(batch.column(0))
             held += new
             many += sum(map(len, new))
@@ -141,7 +142,7 @@ def summed(units: DataFrame, keys, size: int, columns: str) -> DataFrame:
             yield flush()
 
     a, b, n = columns.split()
-    return units.where("train").select("units").mapInArrow(run, f"{a} long, {b} long, {n} long").groupBy(a, b).agg(F.sum(n).alias(n))
+    return units.where("train").select("units").mapInArrow(run, f"{a} long, {b} long, {n} long")
 
 
 def core_classes(units: DataFrame, size: int, core: int, classes: int) -> np.ndarray:
@@ -153,14 +154,14 @@ def core_classes(units: DataFrame, size: int, core: int, classes: int) -> np.nda
         c = at[joined(lists, size)[0]]
         return [c[:-1] * width + c[1:]]
 
-    got = summed(units, keys, width, "a b n").toArrow()  # at most width squared
+    got = summed(units, keys, width, "a b n").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()  # at most width squared
     pairs = np.zeros((width, width), np.int64)
     pairs[got["a"].to_numpy(), got["b"].to_numpy()] = got["n"].to_numpy()
     return exchange(pairs, core, classes)[:core]
 
 
 def contexts(units: DataFrame, of: np.ndarray, k: int, moving: np.ndarray) -> tuple[np.ndarray, DataFrame]:
-    """Class bigrams of all tokens, and word, code, n: how often class d follows (code d) and precedes (code k + d) each moving word."""
+    """Class bigrams of all tokens, and word, x, n: parts of how often class d follows (x is d) and precedes (x is k + d) each moving word."""
     size, wide = len(of) - 2, max(k * k, 2 * k)
     move = np.append(moving, [False, False])  # the end token, and -1
 
@@ -170,11 +171,11 @@ def contexts(units: DataFrame, of: np.ndarray, k: int, moving: np.ndarray) -> tu
         # number 0 holds the bigrams, word w has number w + 1
         return [c[:-1] * k + c[1:], (seq[at] + 1) * wide + c[at + 1], (seq[at] + 1) * wide + k + c[at - 1]]
 
-    got, _ = C.save(summed(units, keys, wide, "word code n"), "contexts")
+    got, _ = C.save(summed(units, keys, wide, "word x n"), "contexts")
     n = np.zeros(k * k)
-    for r in got.where("word = 0").collect():  # at most k squared
-        n[r["code"]] = r["n"]
-    return n.reshape(k, k), got.where("word > 0").select((F.col("word") - 1).alias("word"), "code", "n")
+    for r in got.where("word = 0").groupBy("x").agg(F.sum("n").alias("n")).collect():  # at most k squared
+        n[r["x"]] = r["n"]
+    return n.reshape(k, k), got.where("word > 0").select((F.col("word") - 1).alias("word"), F.col("x").cast("int").alias("x"), F.lit(-1).alias("y"), "n")
 
 
 def best(n: np.ndarray, classes: int, old: np.ndarray, word: np.ndarray, code: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -209,19 +210,43 @@ def best(n: np.ndarray, classes: int, old: np.ndarray, word: np.ndarray, code: n
 
 
 def placed(rows: DataFrame, n: np.ndarray, classes: int, kind: str, now: np.ndarray | None = None) -> DataFrame:
-    """word, k (its best class) and c (its count) from word, code, n; now: classes of words that are numbers."""
-    # a word has at most twice as many codes as there are classes
-    each = rows.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("x")).select("word", F.col("x.code").alias("codes"), F.col("x.n").alias("times"))
+    """word, k (its best class) and c (its count) from rows of word, x, y and n: n times the codes x and y (-1: none).
 
-    def make(batch: pa.RecordBatch) -> dict:
-        codes, times = batch.column(1), batch.column(2)
-        word = np.repeat(np.arange(batch.num_rows), codes.value_lengths().to_numpy())
-        code, t = codes.flatten().to_numpy(), times.flatten().to_numpy()
-        old = np.full(batch.num_rows, -1) if now is None else now[batch.column(0).to_numpy()]
-        right = code < len(n)
-        return {"word": batch.column(0), "k": best(n, classes, old, word, code, t), "c": np.bincount(word[right], t[right], batch.num_rows).astype(np.int64)}
+    Rows meet by word, in order, and a word's codes are added up as they stream by, in a vector of
+    twice as many places as there are classes; now: classes of words that are numbers.
+    """
+    width = 2 * len(n)
+    C.ship(rows.sparkSession)
 
-    return C.per_batch(each, make, f"word {kind}, k int, c long", 8192)
+    def run(batches):
+        def judged(words: pa.Array, sums: np.ndarray):
+            word, code = np.nonzero(sums)
+            old = np.full(len(words), -1) if now is None else now[words.to_numpy()]
+            k = best(n, classes, old, word, code, sums[word, code])
+            return pa.RecordBatch.from_arrays([words, pa.array(k.astype(np.int32)), pa.array(sums[:, : len(n)].sum(1).astype(np.int64))], ["word", "k", "c"])
+
+        last, rest = None, None  # the last word, which may go on in the next batch, and its sums
+        for batch in C.pieces(batches, 1 << 15):
+            words, m = batch.column(0), batch.num_rows
+            first = np.concatenate([[True], pc.not_equal(words.slice(1), words.slice(0, m - 1)).to_numpy(zero_copy_only=False)])
+            group, names = np.cumsum(first) - 1, words.filter(pa.array(first))
+            x, y, times = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            sums = np.bincount(group * width + x, times, len(names) * width)
+            two = y >= 0
+            sums += np.bincount(group[two] * width + y[two], times[two], len(names) * width)
+            sums = sums.reshape(-1, width)
+            if last is not None:
+                if names[0] == last[0]:
+                    sums[0] += rest
+                else:
+                    yield judged(last, rest[None])
+            if len(names) > 1:
+                yield judged(names.slice(0, len(names) - 1), sums[:-1])
+            last, rest = names.slice(len(names) - 1), sums[-1].copy()
+        if last is not None:
+            yield judged(last, rest[None])
+
+    return rows.select("word", "x", "y", "n").repartition("word").sortWithinPartitions("word").mapInArrow(run, f"word {kind}, k int, c long")
 
 
 def head_classes(units: DataFrame, size: int, classes: int, sweeps: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +269,7 @@ def rare_places(units: DataFrame, of: np.ndarray) -> DataFrame:
     size = len(of) - 2
 
     def run(batches):
-        for batch in C.pieces(batches, 2048):
+        for batch in C.pieces(batches, 1024):
             seq, begin = joined(batch.column(2), size)
             at = np.flatnonzero(seq < 0)
             doc = np.searchsorted(begin, at, "right") - 1
@@ -324,9 +349,8 @@ def fit(docs: DataFrame, keep: Column) -> tuple[Brown, DataFrame, DataFrame, Dat
     other = classes + 1
     places = rare_places(units, of)
     # no word outside the head is a hot key, so all rows of a word may meet in a task
-    seen = places.where("train").select("word", "l", "r").repartition("word")
-    codes = seen.select("word", F.explode(F.array("r", F.col("l") + len(n))).alias("code")).groupBy("word", "code").agg(F.count("*").alias("n"))
-    rare, _ = C.save(placed(codes, n, classes, "string"), "rare")
+    seen = places.where("train").select("word", F.col("r").alias("x"), (F.col("l") + len(n)).alias("y"), F.lit(1).cast("long").alias("n"))
+    rare, _ = C.save(placed(seen, n, classes, "string"), "rare")
     by = Window.partitionBy("row").orderBy("pos")
     own = places.join(rare, "word", "left").withColumn("k", F.coalesce("k", F.lit(other)))
     own = own.withColumn("l", F.when(F.col("l") == other, F.lag("k").over(by)).otherwise(F.col("l"))).select("row", "train", "l", "r", "k", "c")
@@ -367,7 +391,7 @@ def score(units: DataFrame, own: DataFrame, model: Brown) -> DataFrame:
         known = np.bincount(doc[inside], minlength=many) - (0 if model.log[-1] > 0 else 1)
         return {"row": batch.column(0), "doc_id": batch.column(1), "train": batch.column(2), "n_tokens": np.bincount(doc, minlength=many), "head_known": known, "head_sum": np.bincount(doc, log, many), "class_sum": np.bincount(doc, step, many)}
 
-    parts = C.per_batch(units.select("row", "doc_id", "train", "units"), make, "row long, doc_id long, train boolean, n_tokens long, head_known long, head_sum double, class_sum double", 4096)
+    parts = C.per_batch(units.select("row", "doc_id", "train", "units"), make, "row long, doc_id long, train boolean, n_tokens long, head_known long, head_sum double, class_sum double", 1024)
 
     def rest(batch: pa.RecordBatch) -> dict:
         before, after, own_k = (batch.column(i).to_numpy() for i in (1, 2, 3))
