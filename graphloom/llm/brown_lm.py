@@ -160,8 +160,8 @@ def core_classes(units: DataFrame, size: int, core: int, classes: int) -> np.nda
     return exchange(pairs, core, classes)[:core]
 
 
-def contexts(units: DataFrame, of: np.ndarray, k: int, moving: np.ndarray) -> tuple[np.ndarray, DataFrame]:
-    """Class bigrams of all tokens, and word, x, n: parts of how often class d follows (x is d) and precedes (x is k + d) each moving word."""
+def contexts(units: DataFrame, of: np.ndarray, k: int, moving: np.ndarray) -> tuple[np.ndarray, DataFrame, str]:
+    """Class bigrams of all tokens, and a table (with its path) of word, x, n: parts of how often class d follows (x is d) and precedes (x is k + d) each moving word."""
     size, wide = len(of) - 2, max(k * k, 2 * k)
     move = np.append(moving, [False, False])  # the end token, and -1
 
@@ -171,11 +171,11 @@ def contexts(units: DataFrame, of: np.ndarray, k: int, moving: np.ndarray) -> tu
         # number 0 holds the bigrams, word w has number w + 1
         return [c[:-1] * k + c[1:], (seq[at] + 1) * wide + c[at + 1], (seq[at] + 1) * wide + k + c[at - 1]]
 
-    got, _ = C.save(summed(units, keys, wide, "word x n"), "contexts")
+    got, path = C.save(summed(units, keys, wide, "word x n"), "contexts")
     n = np.zeros(k * k)
     for r in got.where("word = 0").groupBy("x").agg(F.sum("n").alias("n")).collect():  # at most k squared
         n[r["x"]] = r["n"]
-    return n.reshape(k, k), got.where("word > 0").select((F.col("word") - 1).alias("word"), F.col("x").cast("int").alias("x"), F.lit(-1).alias("y"), "n")
+    return n.reshape(k, k), got.where("word > 0").select((F.col("word") - 1).alias("word"), F.col("x").cast("int").alias("x"), F.lit(-1).alias("y"), "n"), path
 
 
 def best(n: np.ndarray, classes: int, old: np.ndarray, word: np.ndarray, code: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -257,11 +257,14 @@ def head_classes(units: DataFrame, size: int, classes: int, sweeps: int = 2) ->
     of[:core] = core_classes(units, size, core, classes)
     number = np.arange(size)
     for moving in [number >= core] * (size > core) + [number % 2 == s % 2 for s in range(sweeps * (size > core))]:
-        n, rows = contexts(units, of, k, moving)
+        n, rows, path = contexts(units, of, k, moving)
         now = np.where(of[:size] < classes, of[:size], -1)
         got = placed(rows, n, classes, "long", now).select("word", "k").toArrow()  # at most HEAD rows
         of[got["word"].to_numpy()] = got["k"].to_numpy()
-    return of, contexts(units, of, k, np.zeros(size, bool))[0]
+        C.remove(units.sparkSession, path)
+    n, _, path = contexts(units, of, k, np.zeros(size, bool))
+    C.remove(units.sparkSession, path)
+    return of, n
 
 
 def rare_places(units: DataFrame, of: np.ndarray) -> DataFrame:
@@ -338,9 +341,10 @@ def fit(docs: DataFrame, keep: Column) -> tuple[Brown, DataFrame, DataFrame, Dat
     The last two are the tables of numbered(), and of words outside the head with their class, count
     and the class before (another such word's, too).
     """
-    counts, _ = C.save(word_counts(docs.where(keep).select("text")), "counts")
+    counts, counts_path = C.save(word_counts(docs.where(keep).select("text")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = head_words(counts, HEAD)
+    C.remove(docs.sparkSession, counts_path)
     head = {r["word"].encode(): k for k, r in enumerate(top)}
     size, classes = len(head), max(1, min(CLASSES, len(head)))
     units = numbered(docs, keep, head)
