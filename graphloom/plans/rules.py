@@ -90,7 +90,8 @@ _LINK = _SYM + """, g AS (SELECT source, count(*) AS sz FROM s GROUP BY 1), tg A
 #: The same over all common targets; only the rule's own pairs, pr, keep the cut.
 _WHOLE = _LINK.replace("FROM k a JOIN k b ON a.target = b.target AND a.source < b.source JOIN tg", "FROM s a JOIN s b ON a.target = b.target AND a.source < b.source JOIN tg")
 
-for _end, _hub, _link in (("", R.HUB, _LINK), ("_whole", None, _WHOLE)):
+#: Link scores know no cut; both names give the same.
+for _end, _hub, _link in (("", None, _WHOLE), ("_whole", None, _WHOLE)):
 
     @query("l_adamic_adar" + _end, _link + " SELECT a, b, round(aa, 6) AS aa FROM z")
     def _(spark, d, hub=_hub):

@@ -41,9 +41,10 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     bought = purchases(spark, sf_dir)
     first = F.struct(F.lit(0).cast("long").alias("l_orderkey"), F.lit(0).alias("l_linenumber"))
     plain = lambda t, a, ka, rel, b, kb: table(spark, sf_dir, t).select(_id(a, ka).alias("source"), F.lit(rel).alias("rel"), _id(b, kb).alias("target"), F.lit(1.0).alias("confidence"), first.alias("seq"))
+    two = F.array(F.struct(F.lit("HAS_SYMPTOM").alias("rel"), _id("P", "l_partkey").alias("target")), F.struct(F.lit("USES_DRUG").alias("rel"), _id("S", "l_suppkey").alias("target")))
     return (
-        bought.select(_id("C", "o_custkey").alias("source"), F.lit("HAS_SYMPTOM").alias("rel"), _id("P", "l_partkey").alias("target"), "confidence", "seq")
-        .unionByName(bought.select(_id("C", "o_custkey").alias("source"), F.lit("USES_DRUG").alias("rel"), _id("S", "l_suppkey").alias("target"), "confidence", "seq"))
+        # both edges of a purchase come from one join
+        bought.select(_id("C", "o_custkey").alias("source"), F.explode(two).alias("x"), "confidence", "seq").select("source", "x.rel", "x.target", "confidence", "seq")
         .unionByName(plain("customer", "C", "c_custkey", "BELONGS_TO", "N", "c_nationkey"))
         .unionByName(plain("supplier", "S", "s_suppkey", "BELONGS_TO", "N", "s_nationkey"))
         .unionByName(plain("nation", "N", "n_nationkey", "PART_OF", "R", "n_regionkey"))
