@@ -23,6 +23,53 @@ def clean_html(c: Column) -> Column:
     return normalize(c)
 
 
+def clean_punct(c: Column) -> Column:
+    """Runs of characters that are no letter, digit or underscore give way to one space; trimmed."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}_]+", " "))
+
+
+#: What cleaning removes, in order; the next two are superscripts and control characters.
+REMOVALS = [
+    r"<[^>]+>", r"(?i)(?:function|var|let|const|window\.|document\.)\s*[\p{L}\p{N}_]*", r"https?://[^\s]+", r"[^\s]+@[^\s]+\.[^\s]+",
+    r"(?i)(?:版权所有|Copyright|©|\(c\)\s*20[0-9][0-9]|京ICP备)[^\s]*", r"\[\s*[0-9]+(?:\s*[-,]\s*[0-9]+)*\s*\]",
+]
+SUPERSCRIPTS, CONTROL = r"[\u00b9\u00b2\u00b3\u2070-\u209f]", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+
+
+def clean_text(c: Column) -> Column:
+    """Text without tags, script words, links, addresses, notices, reference marks, superscripts and control characters, normalised, repeated marks once."""
+    c = F.coalesce(c, F.lit(""))
+    for pattern in REMOVALS:
+        c = F.regexp_replace(c, pattern, " ")
+    c = F.regexp_replace(F.regexp_replace(c, SUPERSCRIPTS, ""), CONTROL, " ")
+    return F.trim(F.regexp_replace(normalize(c), r"([。！？；，、])\1+", "$1"))
+
+
+def normalize_terms(c: Column, aliases: dict[str, str]) -> Column:
+    """Aliases replaced by their terms one after the other, the longest first (ties by code point), so an output may be replaced again."""
+    for alias in sorted(aliases, key=lambda a: (-len(a), a)):
+        c = F.replace(c, F.lit(alias), F.lit(aliases[alias]))
+    return c
+
+
+def trim_lead(c: Column, particles: tuple[str, ...], most: int = 2) -> Column:
+    """The term without leading particles, `most` of them at most, while more than two characters are left."""
+    for _ in range(most):
+        c = F.when((F.length(c) > 2) & F.substring(c, 1, 1).isin(*particles), F.substring(c, F.lit(2), F.length(c))).otherwise(c)
+    return c
+
+
+def clean_name(c: Column) -> Column:
+    """A title without brackets and page suffixes, at most 40 characters."""
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"[（(].*?[)）]", "")
+    return F.substring(F.trim(F.regexp_replace(c, r"(?:的症状|是什么|简介|概述|-医学百科| - 医学百科)\z", "")), 1, 40)
+
+
+def chain_text(first: Column, steps: Column) -> Column:
+    """A path as text: the first node, then relation and node of each step (array of structs relation, to)."""
+    return F.concat_ws(" ", first, F.array_join(F.transform(steps, lambda s: F.concat(F.lit("—"), s["relation"], F.lit("→ "), s["to"])), " "))
+
+
 def truncate(c: Column, n: int = 60, tail: str = "…") -> Column:
     c = F.trim(F.coalesce(c, F.lit("")))
     return F.when(F.length(c) <= n, c).otherwise(F.concat(F.substring(c, 1, n - 1), F.lit(tail)))

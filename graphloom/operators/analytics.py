@@ -27,6 +27,13 @@ def prf(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     return c.withColumns({"precision": p, "recall": r, "f1": F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))})
 
 
+def averaged(c: DataFrame) -> DataFrame:
+    """Micro and macro averages and accuracy of prf()'s rows, rounded to six digits."""
+    share = lambda a, b: F.round(F.try_divide(F.sum(a).cast("double"), F.sum(a) + F.sum(b)), 6)
+    mean = lambda x: F.round(F.avg(x), 6)
+    return c.agg(share("tp", "fp").alias("micro_precision"), share("tp", "fn").alias("micro_recall"), mean("precision").alias("macro_precision"), mean("recall").alias("macro_recall"), mean("f1").alias("macro_f1"), share("tp", "fn").alias("accuracy"))
+
+
 def curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """Per distinct score, descending: tp and fp of the rule "at least this score"; totals p and q."""
     n = df.groupBy(F.col(score).alias("score")).agg(F.sum(label).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
@@ -40,6 +47,13 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return c.agg((F.sum((F.col("tp") - F.col("pos") / 2) * F.col("neg")) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
+def pr_auc(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Average precision: each distinct score's share of the positives times the precision at it."""
+    c = curve(df, label, score)
+    total = df.agg(F.sum(label).alias("p"))
+    return c.crossJoin(F.broadcast(total)).agg(F.sum(F.col("pos") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("pr_auc"))  # one row
+
+
 def youden(df: DataFrame, label: str, score: str) -> DataFrame:
     """The highest threshold with the greatest sensitivity plus specificity less one."""
     total = df.agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))

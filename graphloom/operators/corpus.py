@@ -30,10 +30,34 @@ PII_RULES = [
     ("address", r"[一-鿿]{2,8}(?:省|市|自治区|自治州)[一-鿿]{2,10}(?:市|区|县|旗|镇|乡|街道|路|街|巷|号|栋|单元|室|村|组)\s*[一-鿿0-9-]{0,20}", "ADDR_MASKED"),
     ("social", r"(?i)(?:QQ|微信|weixin|wechat)\s*(?:号|：|:)?\s*[A-Za-z0-9_-]{5,20}", "SOCIAL_MASKED"),
     ("titled_name", r"(?:患者|病人|本人|姓名|联系人)\s*[:：]?\s*[一-鿿]{2,4}", "NAME_MASKED"),
+    ("surname", r"[赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳酆鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄](?:某某|某|××|\*\*|XX)", "NAME_MASKED"),
     ("birth", r"(?:出生日期|出生年月|生日)\s*[:：]?\s*[0-9]{4}[-/年][0-9]{1,2}(?:[-/月][0-9]{1,2}日?)?", "DOB_MASKED"),
 ]
 
 
+#: Measurements, quantities and references, whose digits are no personal data.  ASCII digits are meant.
+PROTECTED = [
+    r"(?:血压|收缩压|舒张压|血糖|血脂|胆固醇|甘油三酯|BMI|心率|体温|白细胞|血红蛋白|血小板|肌酐|尿素氮|转氨酶|胆红素|白蛋白|氧分压|二氧化碳|pH)\s*[:：]?\s*[0-9.~-]+",
+    r"[0-9]+\s*(?:mg|g|ml|mL|L|mmHg|mmol/L|μmol/L|U/L|IU|%|次/分|°C|℃|万|亿|例|人|年|月|日|小时|分钟|周|天)",
+    r"(?:PMID|DOI|doi)\s*[:：]?\s*[0-9./A-Za-z-]+",
+    r"ICD-?\s*[0-9]+",
+]
+
+
+def masked_outside(text: Column) -> Column:
+    """All rules in what lies between protected spans (leftmost, in the original text); the spans stay, and no match crosses one."""
+    guard = "|".join(PROTECTED)
+    between = F.split(text, guard)
+    spans = F.concat(F.regexp_extract_all(text, F.lit(guard), F.lit(0)), F.array(F.lit("")))
+    return F.array_join(F.zip_with(between, spans, lambda t, s: F.concat(masked(t), F.coalesce(s, F.lit("")))), "")
+
+
+def first_spans(df: DataFrame, key: str, text: str, aliases: list[str]) -> DataFrame:
+    """key, alias, start (from 1) and stop (exclusive) of each alias's first occurrence in the text."""
+    at = [F.struct(F.lit(a).alias("alias"), F.instr(F.col(text), a).alias("start"), (F.instr(F.col(text), a) + len(a)).alias("stop")) for a in aliases]
+    return df.select(key, F.inline(F.filter(F.array(*at), lambda x: x["start"] > 0)))
+
+
 def masked(text: Column) -> Column:
     """All rules one after the other, inside the JVM."""
     return reduce(lambda c, r: F.regexp_replace(c, r[1], r[2]), PII_RULES, text)

@@ -60,6 +60,18 @@ def top_facts(edges: DataFrame, quota: Column) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= quota)
 
 
+def labelled(label: Column, rel: Column, labels: dict[str, str]) -> Column:
+    """An edge's own label, else that of its relation, else the relation."""
+    return F.coalesce(label, F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[rel], rel)
+
+
+def known_aliases(aliases: DataFrame, nodes: DataFrame) -> DataFrame:
+    """alias and canonical from ord, alias, canonical: those that differ and whose canonical name is a node; of equal aliases the first."""
+    sound = aliases.where(F.col("alias") != F.col("canonical")).join(nodes.select(F.col("name").alias("canonical")), "canonical", "left_semi")
+    best = sound.groupBy("alias").agg(F.min(F.struct("ord", "canonical")).alias("m"))
+    return best.select("alias", F.col("m.canonical").alias("canonical"))
+
+
 def _marks(c: Column, least: float) -> Column:
     """The rarest of a text's characters, each with the number of its occurrence: one of them is in every text of a ratio of at least `least`.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import both_ways
+
 #: Facts per relation slot, others 1.
 SLOT_QUOTAS = {"HAS_SYMPTOM": 4, "TREATED_BY": 3, "USES_DRUG": 3, "BELONGS_TO": 2, "NEEDS_CHECK": 3, "HAS_COMPLICATION": 2, "DIFFERENTIAL_WITH": 2, "AFFECTS": 2}
 #: Weight of each recall route.
@@ -82,3 +84,70 @@ def multi_hop(edges: DataFrame, starts: DataFrame, cap: int = 6) -> DataFrame:
     best = got.groupBy("head", "rel", "tail").agg(F.max(F.least("c1", "c2")).alias("confidence"))
     w = Window.partitionBy("head").orderBy(F.desc("confidence"), "rel", "tail")
     return best.withColumn("k", F.row_number().over(w)).where(F.col("k") <= cap).drop("k")
+
+
+def chains(edges: DataFrame, starts: list[str], stops: list[str], each: int = 2, cap: int = 6) -> DataFrame:
+    """Two-step paths start, mid, stop between stated nodes, in either direction; the best `each` of a pair, `cap` of all.
+
+    A step's confidence is its best edge's, a path's the lesser of its steps'.
+    """
+    both = both_ways(edges).groupBy("node", "other").agg(F.max("confidence").alias("c"))
+    one = both.where(F.col("node").isin(starts)).select(F.col("node").alias("start"), F.col("other").alias("mid"), F.col("c").alias("c1"))
+    two = both.where(F.col("other").isin(stops)).select(F.col("node").alias("mid"), F.col("other").alias("stop"), F.col("c").alias("c2"))
+    got = one.join(two, "mid").where("start <> stop").select("start", "mid", "stop", F.least("c1", "c2").alias("confidence"))
+    k = F.row_number().over(Window.partitionBy("start", "stop").orderBy(F.desc("confidence"), "mid"))
+    return got.withColumn("k", k).where(F.col("k") <= each).drop("k").orderBy(F.desc("confidence"), "start", "stop", "mid").limit(cap)
+
+
+def similar(nodes: DataFrame, seeds: list[str], most: int = 3, least: float = 0.45) -> DataFrame:
+    """seed, id, score: the `most` nodes most like each seed name, itself excluded, by tiers (starts with, ends with, holds) and similarity."""
+    from graphloom.functions.text import similarity
+
+    asked = F.broadcast(nodes.sparkSession.createDataFrame([(x,) for x in seeds], "seed string"))  # the stated query set
+    low, ask = F.lower("name"), F.lower("seed")
+    tier = F.when(low.startswith(ask), 0.94).when(low.endswith(ask), 0.88).when(low.contains(ask), 0.8)
+    each = nodes.select("id", "name").crossJoin(asked).where("name <> seed").withColumn("tier", tier)
+    scored_ = each.withColumn("score", F.round(F.coalesce("tier", similarity(F.when(F.col("tier").isNull(), F.col("name")), F.col("seed"))), 3)).where(F.col("score") >= least)
+    k = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "id"))
+    return scored_.withColumn("k", k).where(F.col("k") <= most).select("seed", "id", "score")
+
+
+def facts_of_similar(edges: DataFrame, near: DataFrame, each: int = 20, cap: int = 12, factor: float = 0.95) -> DataFrame:
+    """seed, head, rel, tail, confidence: outgoing facts of the similar nodes, at a lower confidence; `each` of a node, `cap` of a seed."""
+    got = edges.join(F.broadcast(near.select("seed", F.col("id").alias("source"))), "source")  # a few nodes a seed
+    order = [F.desc("confidence"), "rel", "target"]
+    k = F.row_number().over(Window.partitionBy("seed", "source").orderBy(*order))
+    kept = got.withColumn("k", k).where(F.col("k") <= each)
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("confidence"), "source", "rel", "target"))
+    return kept.withColumn("k", place).where(F.col("k") <= cap).select("seed", F.col("source").alias("head"), "rel", F.col("target").alias("tail"), (F.col("confidence") * factor).alias("confidence"))
+
+
+def slot_summary(facts: DataFrame, order: list[str]) -> DataFrame:
+    """source, rel, its tails in the order of confidence as one text, and the relation's place in a fixed order (others last).
+
+    facts are slot_facts(), so a group holds no more rows than its slot's quota.
+    """
+    tails = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "target")))
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("rel"))
+    return facts.groupBy("source", "rel").agg(F.array_join(F.transform(tails, lambda x: x["target"]), "、").alias("tails")).withColumn("place", F.when(place > 0, place).otherwise(len(order) + 1).cast("int"))
+
+
+def entities_text(entities: DataFrame, by: str, most: int) -> DataFrame:
+    """The first `most` entities (type, name) of each group, by name, as one text."""
+    k = F.row_number().over(Window.partitionBy(by).orderBy("name"))
+    kept = entities.withColumn("k", k).where(F.col("k") <= most)
+    return kept.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "type", "name"))), lambda x: F.concat(x["type"], F.lit("："), x["name"])), "；").alias("entities"))
+
+
+def evidence(mentions: DataFrame, key: list[str], reference: str, most: int) -> DataFrame:
+    """Each fact's first `most` distinct references, numbered; repeats go before the ranks."""
+    k = F.row_number().over(Window.partitionBy(*key).orderBy(reference)).cast("long")
+    return mentions.select(*key, reference).distinct().withColumn("k", k).where(F.col("k") <= most)
+
+
+def deduplicated(mentions: DataFrame, by: str) -> DataFrame:
+    """Mentions (start, type, term, score) once a place, then once a type and term: the best score, ties by type, then the earliest place."""
+    spot = mentions.groupBy(by, "start").agg(F.min(F.struct((-F.col("score")).alias("s"), "type", "term")).alias("m"))
+    spot = spot.select(by, "start", "m.type", "m.term", (-F.col("m.s")).alias("score"))
+    best = spot.groupBy(by, "type", "term").agg(F.min(F.struct((-F.col("score")).alias("s"), "start")).alias("m"))
+    return best.select(by, F.col("m.start").alias("start"), "type", "term", (-F.col("m.s")).alias("score"))

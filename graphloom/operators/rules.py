@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,22 @@ def novel(inferred: DataFrame, edges: DataFrame) -> DataFrame:
     return inferred.where(F.col("source") != F.col("target")).join(edges.select(key), key, "left_anti").join(turned, key, "left_anti")
 
 
+def drive(conclusions: list[DataFrame], edges: DataFrame, limit: int) -> DataFrame:
+    """All rules' conclusions (source, rel, target, confidence) without loops and known edges, each once at its highest confidence; the best `limit`, ties by key."""
+    every = reduce(DataFrame.unionByName, conclusions)
+    best = novel(every.groupBy("source", "rel", "target").agg(F.max("confidence").alias("confidence")), edges)
+    return best.orderBy(F.desc("confidence"), "source", "rel", "target").limit(limit)
+
+
+def legal(edges: DataFrame, nodes: DataFrame, allowed: list[tuple[str, str, str]]) -> DataFrame:
+    """Edges whose head type, relation and tail type are an allowed combination."""
+    known = F.broadcast(edges.sparkSession.createDataFrame(allowed, "head_type string, rel string, tail_type string"))  # a fixed table
+    kinds = nodes.select("id", "type")
+    head, tail = kinds.select(F.col("id").alias("source"), F.col("type").alias("head_type")), kinds.select(F.col("id").alias("target"), F.col("type").alias("tail_type"))
+    # relations without a rule go before the joins
+    return edges.join(known.select("rel").distinct(), "rel", "left_semi").join(head, "source").join(tail, "target").join(known, ["head_type", "rel", "tail_type"]).select(edges.columns)
+
+
 def link_scores(edges: DataFrame, hub: int | None = None) -> DataFrame:
     """a < b with Adamic-Adar over common targets of degree above 2, Jaccard and overlap coefficient, and the blended score.
 

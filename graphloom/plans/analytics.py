@@ -166,3 +166,19 @@ def _(spark, d):
     hit = lambda t: F.avg(((F.col("score") >= t).cast("int") == F.col("quality")).cast("int"))
     a = judged(spark, d).agg(hit(0.1).alias("l"), hit(0.4).alias("h"))
     return a.select(F.round("l", 6).alias("base"), F.round("h", 6).alias("other"), F.round(F.col("h") - F.col("l"), 6).alias("gain"), F.round((F.col("h") - F.col("l")) / F.col("l"), 6).alias("relative"))
+
+
+@query("m_prf_average", _J + ", c AS (SELECT label, count(*) FILTER (WHERE quality = label AND predicted = label) AS tp, count(*) FILTER (WHERE quality <> label AND predicted = label) AS fp, count(*) FILTER (WHERE quality = label AND predicted <> label) AS fn FROM g, (VALUES (0), (1)) t(label) GROUP BY label), p AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM c) SELECT round(sum(tp) / nullif(sum(tp) + sum(fp), 0), 6) AS micro_precision, round(sum(tp) / nullif(sum(tp) + sum(fn), 0), 6) AS micro_recall, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS macro_f1, round(sum(tp) / nullif(sum(tp) + sum(fn), 0), 6) AS accuracy FROM p")
+def _(spark, d):
+    return A.averaged(A.prf(judged(spark, d), "quality", "predicted"))
+
+
+@query("m_pr_auc", _J + ", n AS (SELECT score, sum(quality) AS pos, count(*) AS all_ FROM g GROUP BY score), c AS (SELECT pos, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(all_) OVER (ORDER BY score DESC) AS k, sum(pos) OVER () AS total FROM n) SELECT round(sum(pos / total * (tp / k)), 6) AS pr_auc FROM c")
+def _(spark, d):
+    return A.pr_auc(judged(spark, d), "quality", "score").select(F.round("pr_auc", 6).alias("pr_auc"))
+
+
+@query("m_sens_spec", _J + " SELECT round(count(*) FILTER (WHERE quality = 1 AND predicted = 1) / nullif(count(*) FILTER (WHERE quality = 1), 0), 6) AS sensitivity, round(count(*) FILTER (WHERE quality = 0 AND predicted = 0) / nullif(count(*) FILTER (WHERE quality = 0), 0), 6) AS specificity FROM g")
+def _(spark, d):
+    share = lambda v: F.round(F.try_divide(F.count_if((F.col("quality") == v) & (F.col("predicted") == v)).cast("double"), F.count_if(F.col("quality") == v)), 6)
+    return judged(spark, d).agg(share(1).alias("sensitivity"), share(0).alias("specificity"))
