@@ -1,13 +1,15 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Texts are lower-cased; n-grams of 1 to 3 code points fall into hashed buckets.
-The log-probability matrix (buckets x languages, a fixed bound) goes to the
-executors with the scoring function; a text's row of the sparse count matrix is
-multiplied with it by gathering the rows of its n-grams.
+The log-probability matrix (buckets x languages, a fixed bound) is broadcast, and the
+sparse count matrix of a batch of texts is multiplied with it by gathering the rows of
+all their n-grams and adding them up by text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-null languages aren't learned; without training rows every text is ``und``.
-Ties go to the language first by code point.  Repeated rows get equal results.
+null languages aren't learned; without training rows every text is ``und``, and an empty
+table gives an empty table.  A text of any length counts whole, in blocks.  Ties go to
+the language first by code point.  Repeated rows get equal results.  Only doc_id, text
+and (to learn) lang are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -77,22 +79,41 @@ def fit(docs: DataFrame, keep, rows_per_lang: int = 4000, alpha: float = 0.1) ->
     return NaiveBayes(langs, np.log((n + 1) / (n.sum() + len(n))), log_p.astype(np.float32))
 
 
-def predict(text: str, model: NaiveBayes) -> tuple[str, float]:
-    if not model.langs or not has_letter(text):
-        return "und", 0.0
-    z = model.prior.copy()
-    for b in buckets(text):
-        z += model.log_p.take(b, axis=0).sum(0, dtype=np.float64)
-    best = int(z.argmax())
-    return model.langs[best], float(1 / np.exp(z - z[best]).sum())
+def log_joint(texts: list[str], log_p: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Log of prior times likelihood, texts x languages: the n-grams' rows of a batch, added up by text."""
+    z = np.tile(prior, (len(texts), 1))
+    held, row, many = [], [], 0
+
+    def add():
+        at = np.cumsum([0, *map(len, held)])[:-1]
+        np.add.at(z, row, np.add.reduceat(log_p.take(np.concatenate(held), axis=0), at, axis=0, dtype=np.float64))
+
+    for i, text in enumerate(texts):
+        for b in buckets(text):
+            held.append(b)
+            row.append(i)
+            many += len(b)
+            if many > BLOCK:
+                add()
+                held, row, many = [], [], 0
+    if held:
+        add()
+    return z
 
 
 def identify(docs: DataFrame, model: NaiveBayes) -> DataFrame:
     """doc_id, lang_pred and score of every row."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.log_p, model.prior, model.langs))  # 2^BITS rows, a column a language
 
     def make(batch: pa.RecordBatch) -> dict:
-        got = [predict(t, model) for t in C.texts_of(batch, "text")]
-        return {"doc_id": batch.column(0), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
+        log_p, prior, langs = sent.value
+        texts = C.texts_of(batch, "text")
+        known = [bool(langs) and has_letter(t) for t in texts]
+        z = log_joint([t for t, k in zip(texts, known, strict=True) if k], log_p, prior)
+        best, share = z.argmax(1).tolist(), (1 / np.exp(z - z.max(1, keepdims=True)).sum(1)).tolist()
+        got = iter(zip(best, share, strict=True))
+        rows = [next(got) if k else None for k in known]
+        return {"doc_id": batch.column(0), "lang_pred": ["und" if r is None else langs[r[0]] for r in rows], "score": [0.0 if r is None else r[1] for r in rows]}
 
     return C.per_batch(docs.select("doc_id", "text"), make, "doc_id long, lang_pred string, score double")
 
