@@ -8,8 +8,11 @@ at least half of its words.  A base rule rejects documents with fewer than 20
 words or with over 30 % of their words in repeated 8-word windows.
 
 Defined cases: a null text has no words; a text without words fails the base
-rule; repeated rows get equal results; without labelled rows of both classes the
-fixed prior weights below serve.  Only the columns named are read.
+rule; a text of any length counts whole; repeated rows get equal results; ties between
+label sequences go to content, and a share of just one half keeps a document; without
+labelled rows of both classes the fixed prior weights below serve; an empty table gives
+an empty table.  Only doc_id and text are read, and keep_good() keeps all columns,
+whatever their names.
 """
 
 from __future__ import annotations

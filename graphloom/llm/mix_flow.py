@@ -13,8 +13,14 @@ are taken, bins above aren't, and only the documents of a few bins around it, so
 hundreds for each pattern, are walked through one by one.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source
-is a source of its own, last in order; repeated rows count as documents; an empty
-table gives an empty table.  Reruns on the same rows agree.
+is a source of its own, last in order; a text of any length counts whole; repeated rows
+count as documents; equal hashes are told apart by doc_id and size, and rows without
+doc_id are spread over the bins by a hash of their text; an empty table gives an empty
+table.  Reruns on the same rows agree.  Only doc_id, text and the source are read, so
+other columns may have any names.
+
+Bounds: a row per pattern and per source reaches the driver.  The query's documents have
+one source each, so there a pattern is a source; overlapping ones come in by `members`.
 """
 
 from __future__ import annotations
@@ -112,7 +118,7 @@ def route(patterns: dict[str, int], quotas: dict[Source, int], repeats: int = 2)
 
 def sized(docs: DataFrame, members: Column, seed: int = 0) -> DataFrame:
     """doc_id, pattern, size, bin and key of every row; read again, not computed again."""
-    key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
+    key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string"))))
     size = F.coalesce(F.regexp_count("text", F.lit(C.WORD)), F.lit(0)).cast("long")
     return C.save(docs.select("doc_id", F.to_json(F.array_sort(members)).alias("pattern"), size.alias("size"), key.alias("key")).withColumn("bin", F.pmod("key", F.lit(BINS)).cast("int")), "sized")[0]
 

@@ -6,9 +6,11 @@ of all features are scored in linear time by the identity
 ``sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)``.
 
 Defined cases: a null text counts as empty; an empty text has structure
-features only and gets a score; repeated rows get equal scores; without labelled
-training rows every score is 0.5, and with one class alone the score is that
-class's smoothed share.  Input columns beyond those named aren't read.
+features only and gets a score; a text of any length counts whole; repeated rows get
+equal scores, and a score of just 0.3 is predicted 1; without labelled training rows
+every score is 0.5, and with one class alone the score is that class's smoothed share;
+an empty table gives an empty table.  Only doc_id, text and n_chars are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
