@@ -149,6 +149,25 @@ def test_op4(spark, edge):
     assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.95
 
 
+def test_op4_posterior(spark):
+    """The batch's posterior is that of the counts, multiplied out n-gram by n-gram."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(1, "der hund bellt", "de"), (2, "die katze", "de"), (3, "the dog barks", "en"), (4, None, "en"), (5, "x", None)], "doc_id long, text string, lang string")
+    model = language_nb.fit(docs, F.lit(True))
+    grams = lambda t: [int(x) for b in language_nb.buckets(t) for x in b]
+    count = {"de": Counter(grams("der hund bellt")) + Counter(grams("die katze")), "en": Counter(grams("the dog barks"))}
+    got = {r["doc_id"]: r for r in language_nb.identify(docs, model).collect()}
+    for i, t in ((1, "der hund bellt"), (2, "die katze"), (3, "the dog barks"), (5, "x")):
+        z = []
+        for lang in ("de", "en"):
+            total = sum(count[lang].values()) + 0.1 * (1 << language_nb.BITS)
+            z.append(np.log(3 / 6) + sum(np.log((count[lang][g] + 0.1) / total) for g in grams(t)))
+        p = 1 / np.exp(np.array(z) - max(z)).sum()
+        assert got[i]["lang_pred"] == ("de", "en")[int(np.argmax(z))] and abs(got[i]["score"] - p) < 1e-4
+    assert got[4]["lang_pred"] == "und" and got[4]["score"] == 0
+
+
 def brute_fingerprint(t):
     import xxhash
 
@@ -460,6 +479,45 @@ def test_op10(spark, edge):
         start += len(ids)
 
 
+def test_op10_files(spark, tmp_path):
+    """Encodings, row groups, page indexes, and reads of metadata and of single documents without the rest."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = f"file://{tmp_path}/tokens"
+    token_parquet.write_tokens(spark.read.parquet(f"{DATA}/documents.parquet"), path, token_parquet.vocabulary())
+    files = glob.glob(f"{tmp_path}/tokens/*.parquet")
+    rows = 0
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        rows += meta.num_rows
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size < 2 * int(token_parquet.LAYOUT["parquet.block.size"])
+            for c in range(group.num_columns):
+                column = group.column(c)
+                assert column.has_column_index and column.has_offset_index and column.compression == "ZSTD"
+                assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(column.encodings), column
+    assert rows == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    plan = spark.read.schema(token_parquet.STORED).parquet(path).where("doc_id = 7").select("n_tokens")._jdf.queryExecution().toString()
+    assert "tokens:array" not in plan.split("ReadSchema")[-1] and "EqualTo(doc_id,7)" in plan
+
+
+@pytest.mark.parametrize("which", [1, 2])
+def test_stages_on_edge_tables(spark, edge, which):
+    """Every stage on the edge cases and on empty tables, with columns of the operators' own names."""
+    import corpus_pipeline as P
+
+    docs = common.documents(spark, edge[which])
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, edge[which])
+        assert got.columns == docs.columns and (which == 1 or got.count() == 0)
+        assert got.count() <= 2 * docs.count()
+    assert P.packing(spark, docs, edge[which]).groupBy("doc_id").count().count() == (0 if which == 2 else len({r[0] for r in edge[0]}))
+    assert P.run(spark, edge[which]).count() >= 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
