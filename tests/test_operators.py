@@ -248,3 +248,34 @@ def test_resolve_misses_no_similar_name(spark):
     assert {("abxcdxef", "abycdyef"), ("abc", "abd"), ("b", "abcdefghijk")} <= got
     tiers = {x["tier"] for x in QUERIES["g_resolve_names"](spark, "/root/testdata/sf0.001").collect()}
     assert tiers == {1, 3}
+
+
+def test_protected_spans_stay(spark):
+    """Digits of measurements stay, others are masked; no match crosses a protected span."""
+    from graphloom.operators import corpus as P
+
+    rows = [("血压 13812345678 电话13812345678", "血压 13812345678 电话PHONE_MASKED"), ("12345678901234567 mg and 1234567890123456", "12345678901234567 mg and BANK_MASKED"), ("李某 PMID: 13812345678", "NAME_MASKED PMID: 13812345678"), ("", ""), (None, None), ("a@b.cd 10年", "EMAIL_MASKED 10年")]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "k int, t string")
+    got = {r["k"]: r["m"] for r in df.select("k", P.masked_outside(F.col("t")).alias("m")).collect()}
+    assert [got[k] for k in range(len(rows))] == [want for _, want in rows]
+
+
+def test_similar_names_by_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    from graphloom.operators import retrieval as Q
+
+    names = ["alpha", "alphabet", "an alpha", "x alpha y", "alpah", "beta", "alphq", ""]
+    nodes = spark.createDataFrame([(f"n{k}", x) for k, x in enumerate(names)], "id string, name string")
+
+    def score(name, seed):
+        if name.startswith(seed):
+            return 0.94
+        if name.endswith(seed):
+            return 0.88
+        return 0.8 if seed in name else round(SequenceMatcher(None, name, seed).ratio(), 3)
+
+    want = sorted(((score(x, "alpha"), f"n{k}") for k, x in enumerate(names) if x and x != "alpha"), key=lambda p: (-p[0], p[1]))
+    want = [(i, s) for s, i in want if s >= 0.45][:4]
+    got = [(r["id"], r["score"]) for r in Q.similar(nodes.where("name <> ''"), ["alpha"], 4).orderBy(F.desc("score"), "id").collect()]
+    assert got == want
