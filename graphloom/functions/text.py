@@ -98,8 +98,9 @@ def pseudonym(seed: Column, salt: str) -> Column:
 
 def encrypted(c: Column, key: Column) -> Column:
     """AES-GCM as ``v1:nonce:ciphertext and tag``, each base64."""
-    raw = F.aes_encrypt(c, key, F.lit("GCM"))
-    return F.concat(F.lit("v1:"), F.base64(F.substring(raw, 1, 12)), F.lit(":"), F.base64(F.substring(raw, 13, 1 << 30)))
+    # bound once: two evaluations would draw two nonces
+    join = lambda raw: F.concat(F.lit("v1:"), F.base64(F.substring(raw, 1, 12)), F.lit(":"), F.base64(F.substring(raw, 13, 1 << 30)))
+    return F.element_at(F.transform(F.array(F.aes_encrypt(c, key, F.lit("GCM"))), join), 1)
 
 
 def decrypted(c: Column, key: Column) -> Column:
