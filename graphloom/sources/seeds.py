@@ -42,7 +42,7 @@ def with_aliases(docs: DataFrame, key: str = "name", alias: str = "alias", **kw)
 
 def statements(spark: SparkSession, path: str) -> DataFrame:
     """file, place, line, statement: scripts cut at semicolons, comments after // gone, with the line that each starts on."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"(?m)//.*$", "").alias("t"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"(?m)//.*$", "").alias("t"))
     each = raw.select("file", F.posexplode(F.split("t", ";")).alias("place", "s"), "t")
     before = F.array_join(F.slice(F.split("t", ";"), F.lit(1), F.col("place")), ";")
     lead = F.regexp_extract("s", r"^\s*", 0)

@@ -6,10 +6,14 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import terms as T
 from graphloom.functions import text as X
+from graphloom.operators import assembly as B
 from graphloom.operators import corpus as P
 from graphloom.operators import risk as M
+from graphloom.operators import training as L
 from graphloom.sources import formats as S
+from graphloom.sources import seeds as E
 
 
 def one(spark, value, f):
@@ -279,3 +283,96 @@ def test_similar_names_by_brute_force(spark):
     want = [(i, s) for s, i in want if s >= 0.45][:4]
     got = [(r["id"], r["score"]) for r in Q.similar(nodes.where("name <> ''"), ["alpha"], 4).orderBy(F.desc("score"), "id").collect()]
     assert got == want
+
+
+def test_keywords_against_occupied_places(spark):
+    lexicon = {"a": ["ab", "abc", "b"], "b": ["c", "bc"], "c": ["a"]}
+    texts = ["abcabab", "bcbc", "", None, "xyz", "aabbcc", "cab" * 40]
+
+    def brute(text):
+        text, taken, hits = text or "", set(), {}
+        for cls, words in lexicon.items():
+            for w in sorted(words, key=lambda w: (-len(w), w)):
+                for i in range(len(text) - len(w) + 1):
+                    if text[i : i + len(w)] == w and not taken & set(range(i, i + len(w))):
+                        taken |= set(range(i, i + len(w)))
+                        hits[cls, w] = hits.get((cls, w), 0) + 1
+        score = {c: sum(n * len(w) for (k, w), n in hits.items() if k == c) for c in lexicon}
+        best = max(score.values())
+        return hits, next(c for c in lexicon if score[c] == best) if best else "none", [float(i in taken) for i in range(8)]
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("s", T.keyword_state(F.col("t"), lexicon))
+    for r in df.select("t", "s.hits", T.keyword_class(F.col("s.hits"), lexicon, "none").alias("k"), T.keyword_mask(F.col("t"), lexicon, 8).alias("m")).collect():
+        assert ({(h["class"], h["word"]): h["n"] for h in r["hits"]}, r["k"], r["m"]) == brute(r["t"])
+
+
+def test_answer_checks(spark):
+    good = "肺炎的常见症状包括发热与咳嗽，请及时就医[KG-1]。\n本回答不能替代执业医师诊断"
+    rows = [
+        (1, good, ["肺炎"], 1),
+        (2, "肺炎的常见症状包括发热与咳嗽等等情况。建议每日3次，每次5mg。一定是它。诊断为肺炎。[KG-9][KG-9]", ["肺炎"], 2),
+        (3, "不能仅凭描述诊断为任何问题。不能替代执业医师", [], 0),
+        (4, None, None, 0),
+        (5, "可能患有奇怪综合征。不能替代执业医师", ["肺炎"], 1),
+    ]
+    got = B.check(spark.createDataFrame(rows, "id int, a string, names array<string>, n int"), "id", "a", "names", "n").cache()
+    kinds = {}
+    for r in got.collect():
+        kinds.setdefault(r["id"], []).append(r["kind"])
+    assert 1 not in kinds and 3 not in kinds and kinds[4] == ["missing_disclaimer"] and kinds[5] == ["unknown_entity"]
+    assert sorted(kinds[2]) == ["absolute_claim", "diagnostic_claim", "dose_violation", "dose_violation", "invalid_citation", "missing_citation", "missing_disclaimer"]
+    v = {r["id"]: (r["n"], r["score"], r["action"]) for r in B.verdict(got, "id").collect()}
+    assert v[2] == (7, 0.0, "fallback_template") and v[4] == (1, 0.98, "accept")
+
+
+def test_best_match(spark):
+    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "EUROPE"]
+    texts = ["AMERICAN", "asia", "EUROP", "", "AFRIC A", "zzz", "ASIA"]
+
+    def sim(a, b):
+        a, b = a.strip(), b.strip()
+        if not a or not b:
+            return 0.0
+        return 1.0 if a == b else 0.82 + 0.16 * min(len(a), len(b)) / max(len(a), len(b)) if a in b or b in a else SequenceMatcher(None, a, b).ratio()
+
+    for r in B.best_match(spark.createDataFrame([(t,) for t in texts], "text string"), names).collect():
+        best = max(names, key=lambda c: sim(r["text"], c))
+        want = (best, sim(r["text"], best)) if sim(r["text"], best) >= 0.55 else (None, 0.0)
+        assert r["match"] == want[0] and abs(r["score"] - want[1]) < 1e-12
+
+
+def test_seed_readers(spark, tmp_path):
+    (tmp_path / "s.txt").write_text("// head\nCREATE a;\n\nMATCH b // why\nRETURN b;\n ;")
+    got = [(r["line"], r["statement"].split()) for r in E.statements(spark, str(tmp_path / "s.txt")).orderBy("place").collect()]
+    assert got == [(2, ["CREATE", "a"]), (4, ["MATCH", "b", "RETURN", "b"])]
+    (tmp_path / "d.jsonl").write_text('{"question": " q ", "answer": "a"}\n{"prompt": "p"}\nbroken\n{"instruction": "", "prompt": "p", "response": "r", "system": "s", "input": "i"}\n')
+    assert {tuple(r) for r in E.dialogues(spark, str(tmp_path / "d.jsonl"), "me").collect()} == {("me", "q", "", "a"), ("s", "p", "i", "r")}
+    (tmp_path / "i.json").write_text('[{"text": "x", "label": "a"}, {"text": "y", "label": "z"}, {"text": " ", "label": "a"}]')
+    assert [tuple(r) for r in E.intents(spark, str(tmp_path / "i.json"), ["a", "b"]).collect()] == [("x", "a")]
+    assert E.or_empty(spark, str(tmp_path / "none"), "a string").count() == 0
+
+
+def test_split_of_ties_nulls_and_small_labels(spark):
+    rows = [(i, None if i % 7 == 0 else "big" if i % 3 else "small") for i in range(3000)] + [(9000, "one")]
+    got = E.stratified_split(spark.createDataFrame(rows, "id long, label string"), "label", "id", 0.15).collect()
+    want = set()
+    for label in {x for _, x in rows}:
+        ids = sorted((i for i, x in rows if x == label), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
+        want |= set(ids[: int(0.15 * len(ids))])
+    assert len(got) == len(rows) and {r["id"] for r in got if r["is_dev"]} == want
+
+
+def test_synthetic_cohort_and_trees(spark, tmp_path):
+    x = E.synthetic_labels(E.synthetic_cohort(spark, 4000, 7, 2), "hypertension", 7)
+    m = x.agg(F.avg("age").alias("age"), F.avg("family_history").alias("family"), F.avg("symptom_score").alias("load"), F.min("bmi").alias("low"), F.max("bmi").alias("high"), F.avg("label").alias("y")).first()
+    assert abs(m["age"] - 52.5) < 1.5 and abs(m["family"] - 0.55) < 0.06 and abs(m["load"] - 1.05) < 0.1 and 15 <= m["low"] <= m["high"] <= 45 and 0.1 < m["y"] < 0.9
+    assert x.select("id", "label").collect() == E.synthetic_labels(E.synthetic_cohort(spark, 4000, 7, 2), "hypertension", 7).select("id", "label").collect()
+    features = ["age", "bmi", "systolic_bp"]
+    model = L.fit(x.where("id % 2 = 0"), x.where("id % 4 = 1"), features, "label", rounds=4, depth=3)
+    scored = model.score(x.where("id % 4 = 3"))
+    e = L.evaluate(scored, "label").first()
+    assert e["auc"] > 0.75 and e["brier"] < 0.25 and abs(e["sensitivity"] + e["specificity"] - 1 - e["j"]) < 1e-6
+    model.save(str(tmp_path / "m"))
+    again = L.Boosted.load(str(tmp_path / "m"), features).score(x.where("id % 4 = 3"))
+    assert scored.select("id", "risk").collect() == again.select("id", "risk").collect()
+    assert model.score(x.limit(1).withColumn("bmi", F.lit(None).cast("double"))).first()["risk"] is not None
