@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of values that running totals are taken in, one window each.
+RANGES = 256
+
 
 def shares(df: DataFrame, by: Column) -> DataFrame:
     """name, n and percent of all."""
@@ -34,11 +40,30 @@ def averaged(c: DataFrame) -> DataFrame:
     return c.agg(share("tp", "fp").alias("micro_precision"), share("tp", "fn").alias("micro_recall"), mean("precision").alias("macro_precision"), mean("recall").alias("macro_recall"), mean("f1").alias("macro_f1"), share("tp", "fn").alias("accuracy"))
 
 
+def running(rows: DataFrame, by: str, sums: dict[str, str], falling: bool = False) -> DataFrame:
+    """Running sums, each new column of a column, over rows of distinct numbers in `by`.
+
+    About RANGES quantiles cut the numbers; each range is summed by a window of its own and starts
+    from the totals of the ranges before it, so no task sorts more than a range.  The quantiles are
+    approximate, which moves the cuts but no sum.  A null comes before all numbers.
+    """
+    low = float("-inf")
+    x = rows.withColumn("_x", F.coalesce(F.col(by).cast("double"), F.lit(low)))
+    cuts = sorted(set(x.approxQuantile("_x", [k / RANGES for k in range(1, RANGES)], 0.001)) - {low, float("inf")})  # at most RANGES
+    x = Bucketizer(splits=[low, *(cuts or [0.0]), float("inf")], inputCol="_x", outputCol="_range", handleInvalid="keep").transform(x)
+    order = (lambda c: F.desc(c)) if falling else F.asc
+    before = Window.orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES + 1 rows
+    totals = x.groupBy("_range").agg(*(F.sum(c).alias(f"_{new}") for new, c in sums.items()))
+    starts = totals.select("_range", *(F.coalesce(F.sum(f"_{new}").over(before), F.lit(0)).alias(f"_{new}") for new in sums))
+    within = Window.partitionBy("_range").orderBy(order(by))
+    got = x.join(F.broadcast(starts), "_range").withColumns({new: F.sum(c).over(within) + F.col(f"_{new}") for new, c in sums.items()})
+    return got.select(*rows.columns, *sums)
+
+
 def curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """Per distinct score, descending: tp and fp of the rule "at least this score"; totals p and q."""
     n = df.groupBy(F.col(score).alias("score")).agg(F.sum(label).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
-    w = Window.orderBy(F.desc("score"))
-    return n.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    return running(n, "score", {"tp": "pos", "fp": "neg"}, falling=True)
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -65,11 +90,10 @@ def youden(df: DataFrame, label: str, score: str) -> DataFrame:
 def index_percentiles(df: DataFrame, value: str, shares_: list[float]) -> DataFrame:
     """The value at place int(n * p), the last at most, for each p: picked, not interpolated.
 
-    Equal values are counted first, so the ordered window runs over distinct values.
+    Equal values are counted first, so running totals are over distinct values.
     """
     n = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("v")
-    upto = n.withColumns({"upto": F.sum("n").over(w)})
+    upto = running(n, "v", {"upto": "n"})
     total = n.agg(F.sum("n").alias("total"))
     p = df.sparkSession.createDataFrame([(float(x),) for x in shares_], "p double")
     place = F.least(F.floor(F.col("total") * F.col("p")), F.col("total") - 1)
@@ -86,3 +110,20 @@ def neighbour_mean(edges: DataFrame, vectors: DataFrame, size: int) -> DataFrame
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+#: Words that speak of a dose, the mark of a citation, the words of the disclaimer.
+DOSE_WORDS, CITED, DISCLAIMER = ("mg", "毫克", "每日", "一天", "片/次", "tid", "bid"), "[KG-", "不能替代执业医师"
+
+
+def dialogue_report(rows: DataFrame) -> DataFrame:
+    """name and value: how many samples, picked percentiles of their lengths, and outputs with risks; from instruction and output."""
+    size = F.length(F.concat(F.coalesce("instruction", F.lit("")), F.coalesce("output", F.lit("")))).cast("long")
+    text = F.coalesce("output", F.lit(""))
+    names = {0.0: "min", 0.25: "p25", 0.5: "median", 0.75: "p75", 0.95: "p95", 1.0: "max"}
+    lengths = index_percentiles(rows.select(size.alias("size")), "size", list(names))
+    name = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("p")]
+    dosed = reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in DOSE_WORDS))
+    counts = {"samples": F.count("*"), "outputs_with_dose_words": F.count_if(dosed), "outputs_without_kg_citation": F.count_if(~F.contains(text, F.lit(CITED))), "outputs_without_disclaimer": F.count_if(~F.contains(text, F.lit(DISCLAIMER)))}
+    found = rows.agg(F.array(*(F.struct(F.lit(k).alias("name"), c.alias("value")) for k, c in counts.items())).alias("x")).select(F.inline("x"))
+    return lengths.select(name.alias("name"), "value").unionByName(found)

@@ -3,22 +3,35 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations, pairwise
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.session import shared_dir
 
+#: Fixed value: a number with a unit.
+DOSE = r"\d+\s*(?:mg|mmHg|mmol)"
+#: Fixed value: a sentence that is a section's heading only.
+SECTION = r"(?i)^(?:摘要|引言|方法|结果|讨论|结论|背景|目的|对象与方法|Abstract|Introduction|Methods|Results|Discussion|Conclusion)\s*[:：]?\s*$"
 
-def quality_reason(text: Column, ads: str, term: str, script: str, least: int = 30, terms: int = 2, share: float = 0.2) -> Column:
-    """too_short, ads, no_term, low_script or ok: the first that holds.  Patterns are parameters of the corpus."""
+
+def quality_reason(text: Column, ads: str, term: str, script: str, least: int = 30, terms: int = 2, share: float = 0.2, dose: str = DOSE) -> Column:
+    """too_short, ads, no_term, low_script or ok: the first that holds.  Patterns are parameters of the corpus; a dose makes up for terms."""
     n = F.length(F.coalesce(text, F.lit("")))
     return (
-        F.when(n < least, "too_short").when(text.rlike(ads), "ads").when(F.regexp_count(text, F.lit(term)) < terms, "no_term")
+        F.when(n < least, "too_short").when(text.rlike(ads), "ads").when((F.regexp_count(text, F.lit(term)) < terms) & ~text.rlike(dose), "no_term")
         .when(F.regexp_count(text, F.lit(script)) < n * share, "low_script").otherwise("ok")
     )
 
 
+def telling_sentences(sentences: Column, term: str, least: int = 10, most: int = 300, dose: str = DOSE) -> Column:
+    """The distinct sentences of fitting length that name a term or a dose and aren't a heading, in order."""
+    s = F.transform(sentences, lambda x: F.regexp_replace(x, "^[ \u3000]+|[ \u3000]+$", ""))
+    fits = lambda x: ~x.rlike(SECTION) & F.length(x).between(least, most) & (x.rlike(term) | x.rlike(dose))
+    return F.array_distinct(F.filter(s, fits))
+
+
 #: Masking rules in order (name, pattern, mask).
 PII_RULES = [
     ("id", r"(?<![0-9])[1-9][0-9]{5}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx](?![0-9])", "ID_MASKED"),
@@ -107,36 +120,44 @@ def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def near_pairs(prints: DataFrame, within: int = 3) -> DataFrame:
-    """a < b, distance: all pairs within that many bits, found by `within` + 1 bands of equal bits (pigeonhole, so none is missed).
+    """a < b, distance: all pairs within that many bits.
 
-    Equal fingerprints are one node and are compared once.
+    The 64 bits are cut into within + 3 blocks: of two prints within that many bits at least three
+    blocks are equal, so no pair is missed by meeting on every choice of three.  With three bits
+    that is 20 keys of about 32 bits, so keys that fill at random hold few prints each.  Equal
+    fingerprints are one node and are compared once.
     """
-    nodes = prints.groupBy("hi", "lo").agg(F.min("key").alias("key"))
-    bands = F.array(F.col("hi").bitwiseAND(F.lit(0xFFFF)), F.shiftright("hi", 16), F.col("lo").bitwiseAND(F.lit(0xFFFF)), F.shiftright("lo", 16))
-    each = nodes.select("key", "hi", "lo", F.posexplode(bands).alias("band", "bits"))
-    a, b = each.select("band", "bits", F.col("key").alias("a"), F.col("hi").alias("h1"), F.col("lo").alias("l1")), each.select("band", "bits", F.col("key").alias("b"), F.col("hi").alias("h2"), F.col("lo").alias("l2"))
-    d = F.bit_count(F.col("h1").bitwiseXOR(F.col("h2"))) + F.bit_count(F.col("l1").bitwiseXOR(F.col("l2")))
-    return a.join(b, ["band", "bits"]).where((F.col("a") < F.col("b")) & (d <= within)).select("a", "b", d.alias("distance")).distinct()
+    nodes = prints.groupBy("hi", "lo").agg(F.min("key").alias("key")).select("key", F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("bits"))
+    ends = [64 * k // (within + 3) for k in range(within + 4)]
+    blocks = [(1 << high) - (1 << low) for low, high in pairwise(ends)]
+    masks = [sum(three) for three in combinations(blocks, 3)]
+    kept = F.array(*(F.col("bits").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks))
+    each = nodes.select("key", "bits", F.posexplode(kept).alias("mask", "part"))
+    a, b = (each.select("mask", "part", F.col("key").alias(k), F.col("bits").alias(f"{k}_bits")) for k in "ab")
+    d = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
+    return a.join(b, ["mask", "part"]).where((F.col("a") < F.col("b")) & (d <= within)).select("a", "b", d.alias("distance")).distinct()
 
 
 def greedy_kept(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """The keys that a pass in key order keeps: a key goes if an earlier kept key is its near pair.
 
     Fixpoint: a key is settled as kept once all its earlier neighbours are out, as out once
-    one is kept.  Keys without pairs are kept at once; rounds follow the longest chain.
+    one is kept.  Keys without pairs are kept at once; rounds follow the longest chain, and each
+    writes only what it settles and what is still open.
     """
     spark = keys.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     open_ = pairs.select("a", "b").checkpoint()  # cuts the lineage each round
-    out = spark.createDataFrame([], keys.select("key").schema)
+    out = [spark.createDataFrame([], keys.select("key").schema)]
     while not open_.isEmpty():
         # sure: no open pair names it as the later one
         sure = open_.select(F.col("a").alias("key")).distinct().join(open_.select(F.col("b").alias("key")), "key", "left_anti")
-        gone = open_.join(sure.withColumnRenamed("key", "a"), "a", "left_semi").select(F.col("b").alias("key")).distinct()
-        out = out.unionByName(gone).checkpoint()
-        rest = open_.join(gone.withColumnRenamed("key", "a"), "a", "left_anti").join(gone.withColumnRenamed("key", "b"), "b", "left_anti").join(sure.withColumnRenamed("key", "a"), "a", "left_anti").select("a", "b")
-        open_ = rest.checkpoint()
-    return keys.select("key").join(out, "key", "left_anti")
+        gone = open_.join(sure.withColumnRenamed("key", "a"), "a", "left_semi").select(F.col("b").alias("key")).distinct().checkpoint()
+        out.append(gone)
+        settled = gone.unionByName(sure)
+        open_ = open_.join(settled.withColumnRenamed("key", "a"), "a", "left_anti").join(gone.withColumnRenamed("key", "b"), "b", "left_anti").checkpoint()
+    return keys.select("key").join(reduce(DataFrame.unionByName, out), "key", "left_anti")
 
 
 def term_matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
