@@ -33,6 +33,14 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "id", "left").select(*nodes.columns, F.coalesce("n", F.lit(0)).alias("degree"))
 
 
+def status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind, name and n: how many nodes of each type, edges of each relation, and of either in all."""
+    each = lambda df, kind, by: df.groupBy(F.lit(kind).alias("kind"), F.col(by).alias("name")).agg(F.count("*").alias("n"))
+    kinds = each(nodes, "node", "type").unionByName(each(edges, "edge", "rel"))
+    total = kinds.groupBy(F.lit("total").alias("kind"), F.concat("kind", F.lit("s")).alias("name")).agg(F.sum("n").alias("n"))
+    return kinds.unionByName(total)
+
+
 def triples_of(edges: DataFrame, entity: Column, rels: list[str] | None = None, direction: str = "both", limit: int = 20) -> DataFrame:
     """An entity's edges by falling confidence."""
     ends = {"out": F.col("source") == entity, "in": F.col("target") == entity, "both": (F.col("source") == entity) | (F.col("target") == entity)}[direction]

@@ -28,6 +28,22 @@ def imputed(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(MEANS.get(c, 0.0))) for c in FEATURES})
 
 
+def features(requests: DataFrame) -> DataFrame:
+    """All FEATURES, and the request's own columns beside them, from what a request says; a field it lacks, as a column or a value, counts as missing.
+
+    Relatives with a disease count up to four; symptoms by their weights; activity only where it is low.
+    """
+    there = lambda c, kind: F.col(c) if c in requests.columns else F.lit(None).cast(kind)
+    yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    made = {
+        "age": there("age", "double"), "male": yes(there("gender", "string") == "male"),
+        "smoking": yes(there("smoking", "boolean")), "drinking": yes(there("drinking", "boolean")),
+        "family_history": F.least(F.size(F.coalesce(there("family_history", "array<string>"), F.array().cast("array<string>"))), F.lit(4)),
+        "symptom_score": symptom_score(there("symptoms", "array<string>")), "low_activity": yes(F.lower(there("physical_activity", "string")) == "low"),
+    } | {c: there(c, "double") for c in MEANS}
+    return requests.withColumns({c: F.coalesce(made[c].cast("double"), F.lit(MEANS.get(c, 0.0))) for c in made})
+
+
 def coefficients(spark: SparkSession) -> DataFrame:
     """disease, intercept, w: a row per model."""
     return spark.createDataFrame([(d, i, list(w)) for d, (i, w) in MODELS.items()], "disease string, intercept double, w array<double>")

@@ -182,3 +182,25 @@ def _(spark, d):
 def _(spark, d):
     share = lambda v: F.round(F.try_divide(F.count_if((F.col("quality") == v) & (F.col("predicted") == v)).cast("double"), F.count_if(F.col("quality") == v)), 6)
     return judged(spark, d).agg(share(1).alias("sensitivity"), share(0).alias("specificity"))
+
+
+@query("m_dialogue_report", """WITH o AS (SELECT length(text) AS x, text, row_number() OVER (ORDER BY length(text)) - 1 AS i, count(*) OVER () AS n FROM conversations WHERE role = 'assistant'),
+ p(name, p) AS (VALUES ('min', 0.0::DOUBLE), ('p25', 0.25), ('median', 0.5), ('p75', 0.75), ('p95', 0.95), ('max', 1.0))
+ SELECT name, x::BIGINT AS value FROM p JOIN o ON i = least(floor(n * p), n - 1) UNION ALL SELECT 'samples', count(*) FROM o
+ UNION ALL SELECT 'outputs_with_dose_words', count(*) FROM o WHERE contains(text, 'mg') OR contains(text, '毫克') OR contains(text, '每日') OR contains(text, '一天') OR contains(text, '片/次') OR contains(text, 'tid') OR contains(text, 'bid')
+ UNION ALL SELECT 'outputs_without_kg_citation', count(*) FROM o WHERE NOT contains(text, '[KG-') UNION ALL SELECT 'outputs_without_disclaimer', count(*) FROM o WHERE NOT contains(text, '不能替代执业医师')""")
+def _(spark, d):
+    c = S.table(spark, d, "conversations").where("role = 'assistant'")
+    return A.dialogue_report(c.select(F.lit("").alias("instruction"), F.col("text").alias("output")))
+
+
+@query("m_features", "SELECT c_custkey, 23.5::DOUBLE AS bmi, CASE WHEN c_acctbal < 0 THEN 122.0::DOUBLE ELSE round(c_acctbal / 100, 2)::DOUBLE END AS systolic_bp, (c_mktsegment = 'BUILDING')::INT::DOUBLE AS male, least(length(c_name) - length(replace(c_name, '0', '')), 4)::DOUBLE AS family_history, (c_mktsegment = 'MACHINERY')::INT::DOUBLE AS low_activity FROM customer")
+def _(spark, d):
+    """Requests made of customers: the balance stands for pressure and is missing where negative, zeros of the name for relatives."""
+    c = S.table(spark, d, "customer")
+    zeros = F.regexp_count("c_name", F.lit("0"))
+    asked = c.select(
+        "c_custkey", F.lit(40).alias("age"), F.when(F.col("c_mktsegment") == "BUILDING", "male").alias("gender"), F.lit(None).cast("double").alias("bmi"), F.when(F.col("c_acctbal") >= 0, F.round(F.col("c_acctbal") / 100, 2)).alias("systolic_bp"),
+        F.array_repeat(F.lit("x"), zeros).alias("family_history"), F.when(F.col("c_mktsegment") == "MACHINERY", "Low").alias("physical_activity"),
+    )
+    return M.features(asked).select("c_custkey", "bmi", "systolic_bp", "male", "family_history", "low_activity")

@@ -41,7 +41,14 @@ def _(spark, d):
     return got.select("doc_id", F.size("s").cast("long").alias("n"), F.size(F.array_distinct("s")).cast("long").alias("n_distinct"), F.size(F.filter("s", lambda x: F.length(x).between(10, 300))).cast("long").alias("n_fit"))
 
 
-_REASON = "CASE WHEN length(text) < 200 THEN 'too_short' WHEN contains(text, '###') OR contains(text, '!!') THEN 'ads' WHEN length(text) - length(replace(text, 'tion', '')) < 8 THEN 'no_term' WHEN length(regexp_replace(text, '[^a-z]', '', 'g')) < length(text) * 0.6 THEN 'low_script' ELSE 'ok' END"
+@query("t_telling_sentences", r"WITH s AS (SELECT doc_id, trim(regexp_replace(unnest(regexp_extract_all(text, '[^。！？；!?;.\n]*[。！？；!?;.\n]|[^。！？；!?;.\n]+')), '^\s+|\s+$', '', 'g'), ' 　') AS s FROM documents) SELECT doc_id, count(DISTINCT s) AS n, sum(DISTINCT length(s))::BIGINT AS n_lengths, min(s) AS first FROM s WHERE length(s) BETWEEN 10 AND 300 AND NOT regexp_matches(s, '^(abstract|introduction|methods|results|discussion|conclusion)\s*:?\s*$', 'i') AND (contains(s, 'tion') OR regexp_matches(s, '[0-9]+\s*(mg|mmHg|mmol)')) GROUP BY doc_id")
+def _(spark, d):
+    got = docs(spark, d).select("doc_id", P.telling_sentences(X.sentences(F.col("text")), "tion").alias("s")).where(F.size("s") > 0)
+    lengths = F.array_distinct(F.transform("s", F.length))
+    return got.select("doc_id", F.size("s").cast("long").alias("n"), F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_lengths"), F.array_min("s").alias("first"))
+
+
+_REASON = "CASE WHEN length(text) < 200 THEN 'too_short' WHEN contains(text, '###') OR contains(text, '!!') THEN 'ads' WHEN length(text) - length(replace(text, 'tion', '')) < 8 AND NOT regexp_matches(text, '[0-9]+\\s*(mg|mmHg|mmol)') THEN 'no_term' WHEN length(regexp_replace(text, '[^a-z]', '', 'g')) < length(text) * 0.6 THEN 'low_script' ELSE 'ok' END"
 
 
 def reasons(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import max_confidence
+from graphloom.operators.pacing import pauses, retry_delay
 from graphloom.sources import tables as S
 from graphloom.session import shared_dir
 from graphloom.sources.formats import shred, upsert
@@ -63,6 +64,24 @@ def _(spark, d):
     return got.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6))
 
 
+@query("e_pauses", """WITH RECURSIVE o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ f AS (SELECT user_id, event_id, k, CASE event_type WHEN 'error' THEN 5.0::DOUBLE * 1.8 ELSE 5.0::DOUBLE END AS pause FROM o WHERE k = 1
+ UNION ALL SELECT o.user_id, o.event_id, o.k, CASE WHEN o.event_type = 'error' THEN least(f.pause * 1.8, 120) WHEN o.event_type IN ('view', 'click') THEN greatest(f.pause * 0.9, 5) ELSE f.pause END FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+ SELECT event_id, round(pause, 6) AS pause FROM f""")
+def _(spark, d):
+    """An error counts as a refusal, views and clicks as answers."""
+    e = events(spark, d)
+    status = F.when(F.col("event_type") == "error", 429).when(F.col("event_type").isin("view", "click"), 200).otherwise(304)
+    got = pauses(e.select(F.col("user_id").alias("client"), F.struct("ts", "event_id").alias("seq"), "event_id", status.alias("status")), "event_id")
+    return got.select("event_id", F.round("pause", 6).alias("pause"))
+
+
+@query("e_retries", "SELECT event_id, CASE WHEN event_type = 'error' AND k < 3 THEN 2.0::DOUBLE ** k END AS delay FROM (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
+def _(spark, d):
+    e = events(spark, d).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return e.select("event_id", retry_delay(F.when(F.col("event_type") == "error", 503).otherwise(200), F.col("k")).alias("delay"))
+
+
 @query("e_json_roundtrip", "SELECT event_id, event_type, value FROM events")
 def _(spark, d):
     row = F.to_json(F.struct("event_id", "event_type", "value"))
@@ -99,10 +118,10 @@ def _(spark, d):
 
 @query("e_stream_dedup", "SELECT DISTINCT event_id FROM events")
 def _(spark, d):
-    return live.run_once(live.deduplicated(live.events(spark, d), ["event_id"]).select("event_id"), shared_dir(spark), "append")
+    return live.run_once(live.deduplicated(live.events(spark, d), ["event_id"], live.WHOLE).select("event_id"), shared_dir(spark), "append")
 
 
 @query("e_stream_sessions", "SELECT user_id, count(*) AS n, count(*) // 2 AS turns FROM events GROUP BY 1")
 def _(spark, d):
-    got = live.run_once(live.session_totals(live.events(spark, d)), shared_dir(spark), "update")
+    got = live.run_once(live.session_totals(live.events(spark, d), live.WHOLE), shared_dir(spark), "update")
     return got.groupBy("user_id").agg(F.max("n").alias("n")).select("user_id", "n", F.floor(F.col("n") / 2).alias("turns"))

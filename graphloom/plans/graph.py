@@ -243,3 +243,14 @@ def _(spark, d):
     first = spark.createDataFrame([("P1", 0, 0), ("P2", 0, 0)], "term string, pri int, n long")
     got = first.unionByName(t.select("term", F.lit(1).alias("pri"), "n")).groupBy("term").agg(F.min("pri").alias("pri"), F.max("n").alias("n"))
     return got.orderBy("pri", F.desc("n"), F.desc("term")).limit(6).select("term")
+
+
+@query("g_node_degrees", f"WITH {EDGES}, {NODES}, x AS (SELECT source AS id FROM e UNION ALL SELECT target FROM e), g AS (SELECT id, count(*) AS degree FROM x GROUP BY id) SELECT n.id, n.type, n.name, coalesce(degree, 0) AS degree FROM n LEFT JOIN g ON n.id = g.id")
+def _(spark, d):
+    """Nodes with their degree written back."""
+    return G.degree(S.nodes(spark, d).select("id", "type", "name"), edges(spark, d))
+
+
+@query("g_status", f"WITH {EDGES}, {NODES} SELECT 'node' AS kind, type AS name, count(*) AS n FROM n GROUP BY type UNION ALL SELECT 'edge', rel, count(*) FROM e GROUP BY rel UNION ALL SELECT 'total', 'nodes', count(*) FROM n UNION ALL SELECT 'total', 'edges', count(*) FROM e")
+def _(spark, d):
+    return G.status(S.nodes(spark, d), edges(spark, d))

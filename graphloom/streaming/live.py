@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 #: Fixed value: how many messages a session keeps.
 RING = 40
+#: Horizon for a table replayed whole, whose files may come in any order: no row is late.
+WHOLE = "36500 days"
 
 
 def events(spark: SparkSession, sf_dir: str, per_trigger: int = 64) -> DataFrame:
