@@ -1,6 +1,7 @@
 """Operators that SQL doesn't cover, and text semantics on small literal cases."""
 
 import hashlib
+import random
 from difflib import SequenceMatcher
 from itertools import combinations
 
@@ -8,12 +9,15 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
 from graphloom.functions import text as X
+from graphloom.operators import analytics as A
 from graphloom.operators import assembly as B
 from graphloom.operators import corpus as P
+from graphloom.operators import pacing as W
 from graphloom.operators import risk as M
 from graphloom.operators import training as L
 from graphloom.sources import formats as S
 from graphloom.sources import seeds as E
+from graphloom.streaming import live as V
 
 
 def one(spark, value, f):
@@ -376,3 +380,75 @@ def test_synthetic_cohort_and_trees(spark, tmp_path):
     again = L.Boosted.load(str(tmp_path / "m"), features).score(x.where("id % 4 = 3"))
     assert scored.select("id", "risk").collect() == again.select("id", "risk").collect()
     assert model.score(x.limit(1).withColumn("bmi", F.lit(None).cast("double"))).first()["risk"] is not None
+
+
+def test_running_totals(spark):
+    rng = random.Random(7)
+    values = [None, 0.0, -1e300, 1e300, *(rng.uniform(-5, 5) for _ in range(3000)), *(float(k) for k in range(1, 400))]
+    rows = [(v, rng.randrange(9)) for v in values]
+    df = spark.createDataFrame(rows, "v double, n long").repartition(5)
+    place = lambda v: (v is not None, v or 0.0)
+    for falling in (False, True):
+        total, want = 0, {}
+        for v, n in sorted(rows, key=lambda r: place(r[0]), reverse=falling):
+            total += n
+            want[v] = total
+        assert {r["v"]: r["upto"] for r in A.running(df, "v", {"upto": "n"}, falling).collect()} == want
+    assert A.running(df.where("false"), "v", {"upto": "n"}).count() == 0
+    assert [r["upto"] for r in A.running(spark.createDataFrame([(None, 4)], "v double, n long"), "v", {"upto": "n"}).collect()] == [4]
+
+
+def test_near_pairs_on_random_prints(spark):
+    rng = random.Random(3)
+    values = [rng.getrandbits(64) for _ in range(60)]
+    for v in values[:40]:  # copies with up to five bits turned, over all places
+        for _ in range(3):
+            values.append(v ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))))
+    values = sorted(set(values))
+    prints = spark.createDataFrame([(k, v >> 32, v & 0xFFFFFFFF) for k, v in enumerate(values)], "key long, hi long, lo long")
+    for within in (0, 1, 3, 5):
+        got = {(r["a"], r["b"], r["distance"]) for r in P.near_pairs(prints, within).collect()}
+        far = ((a, b, (values[a] ^ values[b]).bit_count()) for a, b in combinations(range(len(values)), 2))
+        assert got == {x for x in far if x[2] <= within}
+    assert P.near_pairs(prints.where("false")).count() == 0
+
+
+def test_pauses_and_retries(spark):
+    log = [("a", k, s) for k, s in enumerate([200, 429, 429, 200, None, 403] + [429] * 9 + [200] * 40)] + [(None, 0, 429), ("b", 0, 200)]
+    want, pause = [], 5.0
+    for _, _, s in log[:-2]:
+        pause = min(pause * 1.8, 120.0) if s in (429, 403) else max(pause * 0.9, 5.0) if s == 200 else pause
+        want.append(pause)
+    df = spark.createDataFrame(log, "client string, seq int, status int").repartition(3).withColumn("id", F.col("seq"))
+    got = {(r["client"], r["id"]): r["pause"] for r in W.pauses(df, "id").collect()}
+    assert [got["a", k] for k in range(len(want))] == want and got[None, 0] == 9.0 and got["b", 0] == 5.0
+    rows = spark.createDataFrame([(503, 0), (408, 2), (503, 3), (404, 0), (None, 1)], "s int, k int")
+    assert [r["d"] for r in rows.select(W.retry_delay(F.col("s"), F.col("k")).alias("d")).collect()] == [1.0, 4.0, None, None, None]
+
+
+def test_features_of_requests(spark):
+    asked = spark.createDataFrame([(1, 60, "male", 30.0, True, ["a"] * 6, "LOW"), (2, None, None, None, None, None, None)], "id int, age int, gender string, bmi double, smoking boolean, family_history array<string>, physical_activity string")
+    a, b = M.features(asked).orderBy("id").collect()
+    assert (a["age"], a["male"], a["bmi"], a["smoking"], a["family_history"], a["low_activity"], a["ldl"]) == (60.0, 1.0, 30.0, 1.0, 4.0, 1.0, 2.9)
+    assert (b["age"], b["male"], b["bmi"], b["smoking"], b["family_history"], b["low_activity"], b["symptom_score"]) == (0.0, 0.0, 23.5, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_streams_of_many_files_in_any_order(spark, tmp_path):
+    """Days, distinct ids and session totals are whole although later files hold older rows."""
+    e, there = spark.read.parquet("/root/testdata/sf0.001/events.parquet"), tmp_path / "in"
+    there.mkdir()
+    for k, days in enumerate([(20, 99), (0, 10), (10, 20), (0, 3)]):  # the last one repeats rows
+        first = F.lit("2024-01-01").cast("timestamp_ntz")
+        part = e.where((F.datediff("ts", first) >= days[0]) & (F.datediff("ts", first) < days[1]))
+        part.coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+        (name,) = (tmp_path / f"part{k}").glob("*.parquet")
+        name.rename(there / f"events{k}.parquet")
+    folder = "file://" + str(tmp_path / "out")
+    stream = lambda: V.events(spark, str(there), per_trigger=1)
+    ids = V.run_once(V.deduplicated(stream(), ["event_id"], V.WHOLE).select("event_id"), folder, "append")
+    assert sorted(r["event_id"] for r in ids.collect()) == sorted(r["event_id"] for r in e.select("event_id").collect())
+    rows = spark.read.parquet(str(there / "events*.parquet"))
+    totals = V.run_once(V.session_totals(stream(), V.WHOLE), folder, "update").groupBy("user_id").agg(F.max("n").alias("n"))
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, rows.groupBy("user_id").count().collect()))
+    days = V.run_once(V.tumbling(stream(), "1 day"), folder, "complete")
+    assert days.agg(F.sum("n")).first()[0] == rows.count()
