@@ -121,25 +121,32 @@ def joined(lists: pa.ListArray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def summed(units: DataFrame, keys, size: int, columns: str) -> DataFrame:
-    """Partial times of each key that keys(numbers) gives over the training documents, as two numbers: quotient and rest by `size`."""
+def summed(units: DataFrame, keys, size: int, columns: str, small: int = 0) -> DataFrame:
+    """Partial times of each key that keys(numbers) gives over the training documents, as two numbers: quotient and rest by `size`.
+
+    With small, the first array of keys holds numbers under it, at most `size`, which are counted in place.
+    """
 
     def run(batches):
-        held, many = [], 0
+        held, many, counted = [], 0, np.zeros(small, np.int64)
 
-        def flush():
-            key, n = np.unique(np.concatenate(held), return_counts=True)
+        def flush(key, n):
             return pa.RecordBatch.from_arrays([pa.array(key // size), pa.array(key % size), pa.array(n)], columns.split())
 
         for batch in C.pieces(batches, 1024):
             new = keys(batch.column(0))
+            if small:
+                counted += np.bincount(new.pop(0), minlength=small)
             held += new
             many += sum(map(len, new))
             if many > _KEYS:
-                yield flush()
+                yield flush(*np.unique(np.concatenate(held), return_counts=True))
                 held, many = [], 0
         if many:
-            yield flush()
+            yield flush(*np.unique(np.concatenate(held), return_counts=True))
+        there = np.flatnonzero(counted)
+        if len(there):
+            yield flush(there, counted[there])
 
     a, b, n = columns.split()
     return units.where("train").select("units").mapInArrow(run, f"{a} long, {b} long, {n} long")
@@ -171,7 +178,7 @@ def contexts(units: DataFrame, of: np.ndarray, k: int, moving: np.ndarray) -> tu
         # number 0 holds the bigrams, word w has number w + 1
         return [c[:-1] * k + c[1:], (seq[at] + 1) * wide + c[at + 1], (seq[at] + 1) * wide + k + c[at - 1]]
 
-    got, path = C.save(summed(units, keys, wide, "word x n"), "contexts")
+    got, path = C.save(summed(units, keys, wide, "word x n", k * k), "contexts")
     n = np.zeros(k * k)
     for r in got.where("word = 0").groupBy("x").agg(F.sum("n").alias("n")).collect():  # at most k squared
         n[r["x"]] = r["n"]
@@ -188,9 +195,11 @@ def best(n: np.ndarray, classes: int, old: np.ndarray, word: np.ndarray, code: n
     k, gain = len(n), np.zeros((len(old), classes))
     base = np.concatenate([n[:classes].T, n[:, :classes]])  # by code, then class
     known = f(base)
+    once = f(base + 1.0) - known  # most words of the tail meet a code once
     for at in range(0, len(word), 100_000):
         w, c, t = word[at : at + 100_000], code[at : at + 100_000], times[at : at + 100_000].astype(float)
-        up = f(base[c] + t[:, None]) - known[c]
+        up, more = once[c], np.flatnonzero(t != 1)
+        up[more] = f(base[c[more]] + t[more, None]) - known[c[more]]
         own = np.flatnonzero(old[w] >= 0)
         o = old[w[own]]
         up[own, o] = known[c[own], o] - f(base[c[own], o] - t[own])
@@ -199,7 +208,8 @@ def best(n: np.ndarray, classes: int, old: np.ndarray, word: np.ndarray, code: n
             gain[w[first]] += np.add.reduceat(up, first)
     for side, total in ((code < k, n.sum(1)[:classes]), (code >= k, n.sum(0)[:classes])):
         m = np.bincount(word[side], times[side], len(old))
-        cost = f(total + m[:, None]) - f(total)
+        sizes, which = np.unique(m, return_inverse=True)
+        cost = (f(total + sizes[:, None]) - f(total))[which]
         own = np.flatnonzero(old >= 0)
         cost[own, old[own]] = f(total)[old[own]] - f(total[old[own]] - m[own])
         gain -= cost
@@ -212,39 +222,43 @@ def best(n: np.ndarray, classes: int, old: np.ndarray, word: np.ndarray, code: n
 def placed(rows: DataFrame, n: np.ndarray, classes: int, kind: str, now: np.ndarray | None = None) -> DataFrame:
     """word, k (its best class) and c (its count) from rows of word, x, y and n: n times the codes x and y (-1: none).
 
-    Rows meet by word, in order, and a word's codes are added up as they stream by, in a vector of
-    twice as many places as there are classes; now: classes of words that are numbers.
+    Rows meet by word, in order, and a word's codes are added up as they stream by, of which there
+    are at most twice as many as classes; now: classes of words that are numbers.
     """
     width = 2 * len(n)
     C.ship(rows.sparkSession)
 
     def run(batches):
-        def judged(words: pa.Array, sums: np.ndarray):
-            word, code = np.nonzero(sums)
+        def judged(words: pa.Array, word: np.ndarray, code: np.ndarray, times: np.ndarray):
             old = np.full(len(words), -1) if now is None else now[words.to_numpy()]
-            k = best(n, classes, old, word, code, sums[word, code])
-            return pa.RecordBatch.from_arrays([words, pa.array(k.astype(np.int32)), pa.array(sums[:, : len(n)].sum(1).astype(np.int64))], ["word", "k", "c"])
+            k, after = best(n, classes, old, word, code, times), code < len(n)
+            c = np.bincount(word[after], times[after], len(words))
+            return pa.RecordBatch.from_arrays([words, pa.array(k.astype(np.int32)), pa.array(c.astype(np.int64))], ["word", "k", "c"])
 
-        last, rest = None, None  # the last word, which may go on in the next batch, and its sums
+        last, rest = None, ()  # the last word, which may go on in the next batch, with its codes and their times
         for batch in C.pieces(batches, 1 << 15):
             words, m = batch.column(0), batch.num_rows
             first = np.concatenate([[True], pc.not_equal(words.slice(1), words.slice(0, m - 1)).to_numpy(zero_copy_only=False)])
             group, names = np.cumsum(first) - 1, words.filter(pa.array(first))
             x, y, times = (batch.column(i).to_numpy() for i in (1, 2, 3))
-            sums = np.bincount(group * width + x, times, len(names) * width)
             two = y >= 0
-            sums += np.bincount(group[two] * width + y[two], times[two], len(names) * width)
-            sums = sums.reshape(-1, width)
-            if last is not None:
-                if names[0] == last[0]:
-                    sums[0] += rest
-                else:
-                    yield judged(last, rest[None])
-            if len(names) > 1:
-                yield judged(names.slice(0, len(names) - 1), sums[:-1])
-            last, rest = names.slice(len(names) - 1), sums[-1].copy()
+            keys, many = [group * width + x, group[two] * width + y[two]], [times, times[two]]
+            if last is not None and names[0] == last[0]:
+                keys, many = [rest[0], *keys], [rest[1], *many]
+            elif last is not None:
+                yield judged(last, np.zeros(len(rest[0]), np.int64), *rest)
+            key = np.concatenate(keys)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            begin = np.flatnonzero(np.diff(key, prepend=-1))
+            word, code = np.divmod(key[begin], width)
+            times = np.add.reduceat(np.concatenate(many)[order], begin)
+            cut = np.searchsorted(word, len(names) - 1)
+            if cut:
+                yield judged(names.slice(0, len(names) - 1), word[:cut], code[:cut], times[:cut])
+            last, rest = names.slice(len(names) - 1), (code[cut:], times[cut:])
         if last is not None:
-            yield judged(last, rest[None])
+            yield judged(last, np.zeros(len(rest[0]), np.int64), *rest)
 
     return rows.select("word", "x", "y", "n").repartition("word").sortWithinPartitions("word").mapInArrow(run, f"word {kind}, k int, c long")
 
