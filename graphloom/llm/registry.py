@@ -5,8 +5,13 @@ from __future__ import annotations
 from .brown_lm import op9_brown_lm
 from .gif_media import op3_gif_media
 from .language_nb import op4_language_nb
+from .lexical_wand import SQL as WAND_SQL
+from .lexical_wand import op11_lexical_wand
 from .line_crf import op7_line_crf
+from .minhash_odd import SQL as MINHASH_SQL
+from .minhash_odd import op12_minhash_odd
 from .mix_flow import op2_mix_flow
+from .ngram_resample import op13_ngram_resample
 from .pack_tiers import op6_pack_tiers
 from .pii_semicrf import op8_pii_semicrf
 from .quality_fm import op1_quality_fm
@@ -24,6 +29,9 @@ QUERIES = {
     "op8_pii_semicrf": op8_pii_semicrf,
     "op9_brown_lm": op9_brown_lm,
     "op10_token_parquet": op10_token_parquet,
+    "op11_lexical_wand": op11_lexical_wand,
+    "op12_minhash_odd": op12_minhash_odd,
+    "op13_ngram_resample": op13_ngram_resample,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_lexical_wand": WAND_SQL, "op12_minhash_odd": MINHASH_SQL}
