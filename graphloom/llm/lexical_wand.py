@@ -92,8 +92,10 @@ class Part:
         order = np.argsort(term, kind="stable")
         self.ids, self.doc, self.impact = ids, doc[order], impact[order]
         names, starts = np.unique(term[order], return_index=True)
-        most = np.maximum.reduceat(self.impact, starts) if len(names) else starts
-        self.at = {t: (a, b, x) for t, a, b, x in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(term)], most.tolist(), strict=True)}
+        self.at: dict[int, tuple[int, int, int]] = {}
+        if len(names):
+            ends, most = [*starts[1:].tolist(), len(term)], np.maximum.reduceat(self.impact, starts)
+            self.at = {t: (a, b, x) for t, a, b, x in zip(names.tolist(), starts.tolist(), ends, most.tolist(), strict=True)}
         self.lists: dict[int, tuple[list[int], list[int]]] = {}
 
     def cursor_lists(self, term: int) -> tuple[list[int], list[int]]:

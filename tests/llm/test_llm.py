@@ -31,6 +31,8 @@ def edge(spark, tmp_path_factory):
     for name, docs, lab in (("some", rows, labels), ("none", [], [])):
         spark.createDataFrame(docs, SCHEMA).write.parquet(f"{top}/{name}/documents.parquet")
         spark.createDataFrame(lab, "doc_id long, quality int, toxic int").write.parquet(f"{top}/{name}/labels.parquet")
+        asked = [(0, "one two THREE three words"), (1, None), (1, "word5 of7 of7 same"), (2, "zzz"), (None, "x same")] if docs else []
+        spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{top}/{name}/benchmark.parquet")
     return rows, f"{top}/some", f"{top}/none"
 
 
