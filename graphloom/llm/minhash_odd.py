@@ -11,14 +11,14 @@ that don't make a bucket's pairs:
 1. Every node of a bucket goes to the bucket's two stars (its least and its greatest node).  Pairs
    whose sketches allow the similarity are confirmed on full sets; components of these links put
    a group of near copies into one class with about two pairs a node.
-2. In buckets that still hold several classes, nodes of different classes and of like set sizes are
-   compared by their sketches within the join; only pairs that pass come out, are confirmed and
-   close the components.  Nodes of one class are never compared again.
+2. In buckets that still hold several classes, nodes of different classes are compared by set sizes
+   and sketches within the join; only pairs that pass come out, are confirmed and close the
+   components.  Nodes of one class are never compared again.
 
 So every two nodes that share a bucket are in one class, or were compared.  With 51 bands of 5
 samples two sets of similarity 0.8 share no bucket with probability 2e-9; the sketch turns down
-one of such a pair in about a million (five standard deviations).  The confirmation counts the
-shingles' 64-bit hashes.
+one such pair in some hundred thousands (4.5 standard deviations), fewer the more alike they are.
+The confirmation counts the shingles' 64-bit hashes.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with
 nothing; fewer words than a shingle are one shingle; a text of any length counts whole; repeated
@@ -41,9 +41,11 @@ from pyspark.sql import functions as F
 from . import common as C
 from .simhash_cover import components
 
-#: Bands, samples of a band, longs of a sketch.
-BANDS, ROWS, LONGS = 51, 5, 8
-K, BITS = BANDS * ROWS, 64 * LONGS
+#: Bands, samples of a band, samples folded into a sketch, longs of a sketch.
+BANDS, ROWS, K, LONGS = 51, 5, 510, 16
+BITS = 64 * LONGS
+#: Nodes whose ids may go to every task.
+SENT = 500_000
 _RNG = np.random.default_rng(12)
 _MUL = (_RNG.integers(0, 1 << 32, K, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _XOR = _RNG.integers(0, 1 << 32, K, np.uint64).astype(np.uint32)[:, None]
@@ -81,7 +83,7 @@ def samples(hashes: np.ndarray) -> np.ndarray:
 
 def band_keys(sample: np.ndarray) -> np.ndarray:
     """A key for each band from its samples; equal for equal bands only, but for hash collisions."""
-    x = (sample.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (sample[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -93,14 +95,15 @@ def odd_sketch(sample: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(">u8").astype(np.uint64)
 
 
-def most_differing_bits(similarity: float, deviations: float = 5.0) -> int:
+def most_differing_bits(similarity: float, deviations: float = 4.5) -> int:
     """XOR bits that a pair of the similarity doesn't exceed, but for that many standard deviations.
 
-    Each differing sample flips two of the bits; f flips leave BITS / 2 * (1 - exp(-2 f / BITS)) odd.
+    Each differing sample flips two of the bits; f flips leave BITS / 2 * (1 - exp(-2 f / BITS)) odd, as
+    some meet: about f * f / 2 / BITS pairs of them, each costing two odd bits.
     """
     flips, spread = 2 * K * (1 - similarity), 2 * sqrt(K * similarity * (1 - similarity))
-    odd = BITS / 2 * (1 - exp(-2 * flips / BITS))
-    return int(odd + deviations * sqrt((spread * exp(-2 * flips / BITS)) ** 2 + BITS / 4 * (1 - exp(-4 * flips / BITS))))
+    left = exp(-2 * flips / BITS)
+    return int(BITS / 2 * (1 - left) + deviations * sqrt((spread * left) ** 2 + 2 * flips * flips / BITS))
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -150,6 +153,8 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
                     seen.add(node)
             yield batch.select(["node", "text"]).filter(pa.array(good, pa.bool_()))
 
+    if wanted.count() <= SENT:  # about 60 bytes each
+        wanted = F.broadcast(wanted)
     texts = docs.select(row_key().alias("row"), "text").join(wanted, "row").select("node", "digest", "text")
     texts, _ = C.save(texts.mapInArrow(own, "node long, text string"), "texts", compression="zstd")
     left = pairs.join(texts.withColumnRenamed("node", "a"), "a").select("b", "a", F.col("text").alias("x"))
@@ -170,32 +175,34 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     return C.save(both.mapInArrow(count, "a long, b long"), "links")[0]
 
 
-def met_at_stars(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each node with the least and the greatest node of its buckets."""
+def crowded(nodes: DataFrame) -> DataFrame:
+    """key, node, and the key's number of nodes c, its least node low and its greatest high, of the buckets of two nodes and more."""
     bands = nodes.select("node", F.explode("keys").alias("key"))
-    stars = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = bands.join(stars, "key").select("node", F.explode(F.array("low", "high")).alias("star")).where("node <> star")
+    size = bands.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    return C.save(bands.join(size, "key").select("key", "node", "c", "low", "high"), "buckets", compression="zstd")[0]
+
+
+def met_at_stars(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node with the least and the greatest node of its buckets."""
+    met = buckets.select("node", F.explode(F.array("low", "high")).alias("star")).where("node <> star")
     return met.select(F.greatest("node", "star").alias("a"), F.least("node", "star").alias("b")).distinct()
 
 
-def met_across(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes that share a bucket, a class of set sizes or two neighbouring ones, and pass by their sketches.
+def met_across(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that share a bucket and pass by set sizes and sketches.
 
     Only buckets of several classes and of more than two nodes come here: the others are done.
     """
-    classed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    bands = classed.select("node", "label", F.explode("keys").alias("key"))
-    mixed = bands.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high AND c > 2").select("key")
-    size = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    info = classed.select("node", "label", "n", size.alias("size"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(LONGS)))
-    near = bands.join(mixed, "key").select("key", "node").join(info, "node")
-    left = near.select("key", "size", *(F.col(c).alias("a_" + c) for c in ("node", "label", "n", *(f"s{i}" for i in range(LONGS)))))
-    right = near.select("key", F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("size"), F.col("size").alias("own"), *(F.col(c).alias("b_" + c) for c in ("node", "label", "n", *(f"s{i}" for i in range(LONGS)))))
+    classed = nodes.select("node", "n", "sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    many = buckets.where("c > 2").select("key", "node").join(classed.select("node", "label"), "node")
+    mixed = many.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
+    columns = ["node", "label", "n", *(f"s{i}" for i in range(LONGS))]
+    info = classed.select("node", "label", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(LONGS)))
+    near, _ = C.save(many.select("key", "node").join(mixed, "key").join(info, "node").select("key", *columns), "mixed")
+    left, right = (near.select("key", *(F.col(c).alias(f"{end}_{c}") for c in columns)) for end in "ab")
     test = alike(F.col("a_n"), F.col("b_n"), [F.col(f"a_s{i}") for i in range(LONGS)], [F.col(f"b_s{i}") for i in range(LONGS)], percent)
-    once = (F.col("own") > F.col("r.size")) | (F.col("b_node") < F.col("a_node"))
-    same = (F.col("l.key") == F.col("r.key")) & (F.col("l.size") == F.col("r.size"))
-    met = left.alias("l").join(right.alias("r"), same & (F.col("a_label") != F.col("b_label")) & once & test)
-    return met.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b")).distinct()
+    met = left.join(right, "key").where((F.col("a_label") != F.col("b_label")) & (F.col("b_node") < F.col("a_node")) & test)
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def passing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -213,10 +220,11 @@ def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     least = F.min("row").alias("row")
     nodes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), least, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes, _ = C.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    first, _ = C.save(passing(met_at_stars(nodes), nodes, percent), "candidates")
+    buckets = crowded(nodes)
+    first, _ = C.save(passing(met_at_stars(buckets), nodes, percent), "candidates")
     links = confirmed(first, nodes, docs, percent)
     labels, _ = C.save(components(links), "labels")
-    more, _ = C.save(met_across(nodes, labels, percent).join(first, ["a", "b"], "left_anti"), "candidates")
+    more, _ = C.save(met_across(buckets, nodes, labels, percent).join(first, ["a", "b"], "left_anti"), "candidates")
     if not more.isEmpty():
         links = links.unionByName(confirmed(more, nodes, docs, percent))
         labels, _ = C.save(components(links), "labels")
