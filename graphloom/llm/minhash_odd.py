@@ -11,9 +11,10 @@ that don't make a bucket's pairs:
 1. Every node of a bucket goes to the bucket's two stars (its least and its greatest node).  Pairs
    whose sketches allow the similarity are confirmed on full sets; components of these links put
    a group of near copies into one class with about two pairs a node.
-2. In buckets that still hold several classes, nodes of different classes are compared by set sizes
-   and sketches within the join; only pairs that pass come out, are confirmed and close the
-   components.  Nodes of one class are never compared again.
+2. Nodes of buckets that still hold several classes get a wider sketch (2,040 samples in 4,096 bits),
+   and those of different classes are compared by set sizes and wide sketches within the join; only
+   pairs that pass come out, are confirmed and close the components.  Nodes of one class are never
+   compared again.
 
 So every two nodes that share a bucket are in one class, or were compared.  With 51 bands of 5
 samples two sets of similarity 0.8 share no bucket with probability 2e-9; the sketch turns down
@@ -43,14 +44,15 @@ from .simhash_cover import components
 
 #: Bands, samples of a band, samples folded into a sketch, longs of a sketch.
 BANDS, ROWS, K, LONGS = 51, 5, 510, 16
-BITS = 64 * LONGS
+#: The same of a wide sketch.
+WIDE_K, WIDE_LONGS = 2040, 64
 #: Nodes whose ids may go to every task.
 SENT = 500_000
 _RNG = np.random.default_rng(12)
-_MUL = (_RNG.integers(0, 1 << 32, K, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-_XOR = _RNG.integers(0, 1 << 32, K, np.uint64).astype(np.uint32)[:, None]
+_MUL = (_RNG.integers(0, 1 << 32, WIDE_K, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
+_XOR = _RNG.integers(0, 1 << 32, WIDE_K, np.uint64).astype(np.uint32)[:, None]
 _BAND = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-_SKETCH = _RNG.integers(0, 1 << 63, K, np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH = _RNG.integers(0, 1 << 63, WIDE_K, np.uint64) * np.uint64(2) + np.uint64(1)
 SIGNED = "doc_id long, row long, digest binary, n long, keys array<long>, sketch array<long>"
 
 
@@ -69,12 +71,13 @@ def shingles(text: str, words: int = 4) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(start, end[words - 1 :].tolist(), strict=True)), np.uint64, len(start)))
 
 
-def samples(hashes: np.ndarray) -> np.ndarray:
-    """K MinHash samples of a set that isn't empty."""
+def samples(hashes: np.ndarray, k: int = K) -> np.ndarray:
+    """MinHash samples of a set that isn't empty."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.full(K, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 512):
-        x = (low[at : at + 512] ^ _XOR) * _MUL
+    out = np.full(k, 0xFFFFFFFF, np.uint32)
+    step = max(1, 512 * K // k)
+    for at in range(0, len(low), step):
+        x = (low[at : at + step] ^ _XOR[:k]) * _MUL[:k]
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
         np.minimum(out, x.min(axis=1), out=out)
@@ -87,23 +90,23 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def odd_sketch(sample: np.ndarray) -> np.ndarray:
+def odd_sketch(sample: np.ndarray, longs: int = LONGS) -> np.ndarray:
     """The parity bitmap of the samples, as longs."""
-    x = (sample.astype(np.uint64) + np.uint64(1)) * _SKETCH
+    x = (sample.astype(np.uint64) + np.uint64(1)) * _SKETCH[: len(sample)]
     bit = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(40)
-    odd = np.bincount((bit % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    odd = np.bincount((bit % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(">u8").astype(np.uint64)
 
 
-def most_differing_bits(similarity: float, deviations: float = 4.5) -> int:
+def most_differing_bits(similarity: float, k: int = K, longs: int = LONGS, deviations: float = 4.5) -> int:
     """XOR bits that a pair of the similarity doesn't exceed, but for that many standard deviations.
 
-    Each differing sample flips two of the bits; f flips leave BITS / 2 * (1 - exp(-2 f / BITS)) odd, as
-    some meet: about f * f / 2 / BITS pairs of them, each costing two odd bits.
+    Each differing sample flips two of the bits; f flips leave half the bits * (1 - exp(-2 f / bits)) odd, as
+    some meet: about f * f / 2 / bits pairs of them, each costing two odd bits.
     """
-    flips, spread = 2 * K * (1 - similarity), 2 * sqrt(K * similarity * (1 - similarity))
-    left = exp(-2 * flips / BITS)
-    return int(BITS / 2 * (1 - left) + deviations * sqrt((spread * left) ** 2 + 2 * flips * flips / BITS))
+    bits, flips, spread = 64 * longs, 2 * k * (1 - similarity), 2 * sqrt(k * similarity * (1 - similarity))
+    left = exp(-2 * flips / bits)
+    return int(bits / 2 * (1 - left) + deviations * sqrt((spread * left) ** 2 + 2 * flips * flips / bits))
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -123,10 +126,10 @@ def signed(docs: DataFrame) -> DataFrame:
     return C.save(C.per_batch(docs.select("doc_id", row_key().alias("row"), "text"), make, SIGNED), "signed")[0]
 
 
-def alike(n: Column, other_n: Column, sketch: list[Column], other: list[Column], percent: int) -> Column:
-    """Set sizes and sketches allow a similarity of `percent`."""
+def alike(n: Column, other_n: Column, sketch: list[Column], other: list[Column], percent: int, k: int = K) -> Column:
+    """Set sizes and sketches (of k samples) allow a similarity of `percent`."""
     bits = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(sketch, other, strict=True)), F.lit(0))
-    return (100 * n >= percent * other_n) & (100 * other_n >= percent * n) & (bits <= most_differing_bits(percent / 100))
+    return (100 * n >= percent * other_n) & (100 * other_n >= percent * n) & (bits <= most_differing_bits(percent / 100, k, len(sketch)))
 
 
 def row_key() -> Column:
@@ -134,13 +137,9 @@ def row_key() -> Column:
     return F.coalesce("doc_id", F.xxhash64("text"))
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes those with 100 * intersection >= percent * union, counted on full sets.
-
-    Texts move, not sets: eight bytes a shingle are more than a compressed text.
-    """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted, _ = C.save(nodes.join(ends, "node").select("node", "digest", "row"), "wanted")
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text of the nodes wanted (column node, each once); written and read again."""
+    wanted, _ = C.save(nodes.join(wanted, "node").select("node", "digest", "row"), "wanted")
 
     def own(batches):
         # rows with equal ids may hold other texts, and a row may stand there twice
@@ -156,7 +155,14 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     if wanted.count() <= SENT:  # about 60 bytes each
         wanted = F.broadcast(wanted)
     texts = docs.select(row_key().alias("row"), "text").join(wanted, "row").select("node", "digest", "text")
-    texts, _ = C.save(texts.mapInArrow(own, "node long, text string"), "texts", compression="zstd")
+    return C.save(texts.mapInArrow(own, "node long, text string"), "texts", compression="zstd")[0]
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of nodes those with 100 * intersection >= percent * union, counted on full sets; texts: node, text.
+
+    Texts move, not sets: eight bytes a shingle are more than a compressed text.
+    """
     left = pairs.join(texts.withColumnRenamed("node", "a"), "a").select("b", "a", F.col("text").alias("x"))
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -175,6 +181,15 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     return C.save(both.mapInArrow(count, "a long, b long"), "links")[0]
 
 
+def wide_sketches(texts: DataFrame) -> DataFrame:
+    """node and wide sketch of each text; written and read again."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        return {"node": batch.column(0), "wide": [odd_sketch(samples(shingles(t), WIDE_K), WIDE_LONGS).view(np.int64) for t in C.texts_of(batch, "text")]}
+
+    return C.save(C.per_batch(texts.select("node", "text"), make, "node long, wide array<long>"), "wide")[0]
+
+
 def crowded(nodes: DataFrame) -> DataFrame:
     """key, node, and the key's number of nodes c, its least node low and its greatest high, of the buckets of two nodes and more."""
     bands = nodes.select("node", F.explode("keys").alias("key"))
@@ -188,19 +203,22 @@ def met_at_stars(buckets: DataFrame) -> DataFrame:
     return met.select(F.greatest("node", "star").alias("a"), F.least("node", "star").alias("b")).distinct()
 
 
-def met_across(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes that share a bucket and pass by set sizes and sketches.
+def mixed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node and label of the buckets of several classes and more than two nodes: the others are done."""
+    classed = nodes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    many = buckets.where("c > 2").select("key", "node").join(classed, "node")
+    keys = many.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
+    return C.save(many.join(keys, "key").select("key", "node", "label"), "mixed")[0]
 
-    Only buckets of several classes and of more than two nodes come here: the others are done.
-    """
-    classed = nodes.select("node", "n", "sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    many = buckets.where("c > 2").select("key", "node").join(classed.select("node", "label"), "node")
-    mixed = many.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
-    columns = ["node", "label", "n", *(f"s{i}" for i in range(LONGS))]
-    info = classed.select("node", "label", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(LONGS)))
-    near, _ = C.save(many.select("key", "node").join(mixed, "key").join(info, "node").select("key", *columns), "mixed")
+
+def met_across(rows: DataFrame, nodes: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that share a mixed bucket and pass by set sizes and wide sketches."""
+    columns = ["node", "label", "n", *(f"s{i}" for i in range(WIDE_LONGS))]
+    info = nodes.select("node", "n").join(wide, "node").select("node", "n", *(F.col("wide")[i].alias(f"s{i}") for i in range(WIDE_LONGS)))
+    near = rows.join(info, "node").select("key", *columns)
     left, right = (near.select("key", *(F.col(c).alias(f"{end}_{c}") for c in columns)) for end in "ab")
-    test = alike(F.col("a_n"), F.col("b_n"), [F.col(f"a_s{i}") for i in range(LONGS)], [F.col(f"b_s{i}") for i in range(LONGS)], percent)
+    sketch = lambda end: [F.col(f"{end}_s{i}") for i in range(WIDE_LONGS)]
+    test = alike(F.col("a_n"), F.col("b_n"), sketch("a"), sketch("b"), percent, WIDE_K)
     met = left.join(right, "key").where((F.col("a_label") != F.col("b_label")) & (F.col("b_node") < F.col("a_node")) & test)
     return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
@@ -222,12 +240,16 @@ def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     nodes, _ = C.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = crowded(nodes)
     first, _ = C.save(passing(met_at_stars(buckets), nodes, percent), "candidates")
-    links = confirmed(first, nodes, docs, percent)
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    links = confirmed(first, texts_of(ends(first), nodes, docs), percent)
     labels, _ = C.save(components(links), "labels")
-    more, _ = C.save(met_across(buckets, nodes, labels, percent).join(first, ["a", "b"], "left_anti"), "candidates")
-    if not more.isEmpty():
-        links = links.unionByName(confirmed(more, nodes, docs, percent))
-        labels, _ = C.save(components(links), "labels")
+    rows_left = mixed(buckets, nodes, labels)
+    if not rows_left.isEmpty():
+        texts = texts_of(rows_left.select("node").distinct(), nodes, docs)
+        more, _ = C.save(met_across(rows_left, nodes, wide_sketches(texts), percent).join(first, ["a", "b"], "left_anti"), "candidates")
+        if not more.isEmpty():
+            links = links.unionByName(confirmed(more, texts, percent))
+            labels, _ = C.save(components(links), "labels")
     held = nodes.select("node", "digest", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = held.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_digest = held.join(smallest, "label").select("digest", "component_id")

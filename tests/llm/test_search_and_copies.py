@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import duckdb
 import numpy as np
@@ -154,15 +155,15 @@ def test_op12_chains_and_groups(spark):
 
 def test_op12_sketch_estimates_and_never_turns_down_links():
     rng = np.random.default_rng(3)
-    limit = minhash_odd.most_differing_bits(0.8)
-    for n, common in ((5, 4), (50, 46), (900, 810), (900, 450)):
+    for (n, common), (k, longs) in product(((5, 4), (50, 46), (900, 810), (900, 450)), ((minhash_odd.K, minhash_odd.LONGS), (minhash_odd.WIDE_K, minhash_odd.WIDE_LONGS))):
+        limit = minhash_odd.most_differing_bits(0.8, k, longs)
         u = rng.integers(0, 1 << 63, 2 * n, np.uint64)
         a, b = u[:n], np.concatenate([u[:common], u[n : 2 * n - common]])
         j = common / (2 * n - common)
-        s = [minhash_odd.samples(np.unique(x)) for x in (a, b)]
-        bits = int(np.unpackbits((minhash_odd.odd_sketch(s[0]) ^ minhash_odd.odd_sketch(s[1])).view(np.uint8)).sum())
+        s = [minhash_odd.samples(np.unique(x), k) for x in (a, b)]
+        bits = int(np.unpackbits((minhash_odd.odd_sketch(s[0], longs) ^ minhash_odd.odd_sketch(s[1], longs)).view(np.uint8)).sum())
         assert abs((s[0] == s[1]).mean() - j) < 0.17
-        estimate = 1 + minhash_odd.BITS / (4 * minhash_odd.K) * math.log(1 - 2 * bits / minhash_odd.BITS)
+        estimate = 1 + 64 * longs / (4 * k) * math.log(1 - 2 * bits / (64 * longs))
         assert abs(estimate - (s[0] == s[1]).mean()) < 0.15
         assert (bits <= limit) if j >= 0.8 else j > 0.6 or bits > limit
         assert j < 0.8 or (minhash_odd.band_keys(s[0]) == minhash_odd.band_keys(s[1])).any()
