@@ -7,6 +7,8 @@ drugs and nations for departments; ids are ``<type letter><key>``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,21 +38,31 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey", "l_suppkey", (1 - F.col("l_discount")).alias("confidence"), F.struct("l_orderkey", "l_linenumber").alias("seq"))
 
 
-def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All edge mentions, repeated ones included."""
-    bought = purchases(spark, sf_dir)
+#: The star tables' edges: relation, table, its two ends as type letter and key.
+_PLACES = [("BELONGS_TO", "customer", "C", "c_custkey", "N", "c_nationkey"), ("BELONGS_TO", "supplier", "S", "s_suppkey", "N", "s_nationkey"), ("PART_OF", "nation", "N", "n_nationkey", "R", "n_regionkey")]
+_BOUGHT = [("HAS_SYMPTOM", "P", "l_partkey"), ("USES_DRUG", "S", "l_suppkey")]
+
+
+def raw_edges(spark: SparkSession, sf_dir: str, *rels: str) -> DataFrame:
+    """Edge mentions of the relations, all if none is named; repeated ones included.
+
+    Only tables of the named relations are read.  Both edges of a purchase come from one join; a
+    single one of them is a plain projection of it.
+    """
+    kept = [x for x in _BOUGHT if not rels or x[0] in rels]
+    out = []
+    if kept:
+        ends = [F.struct(F.lit(rel).alias("rel"), _id(letter, key).alias("target")) for rel, letter, key in kept]
+        edge = F.explode(F.array(*ends)) if len(ends) > 1 else ends[0]
+        bought = purchases(spark, sf_dir).select(_id("C", "o_custkey").alias("source"), edge.alias("x"), "confidence", "seq")
+        out.append(bought.select("source", "x.rel", "x.target", "confidence", "seq"))
     first = F.struct(F.lit(0).cast("long").alias("l_orderkey"), F.lit(0).alias("l_linenumber"))
-    plain = lambda t, a, ka, rel, b, kb: table(spark, sf_dir, t).select(_id(a, ka).alias("source"), F.lit(rel).alias("rel"), _id(b, kb).alias("target"), F.lit(1.0).alias("confidence"), first.alias("seq"))
-    two = F.array(F.struct(F.lit("HAS_SYMPTOM").alias("rel"), _id("P", "l_partkey").alias("target")), F.struct(F.lit("USES_DRUG").alias("rel"), _id("S", "l_suppkey").alias("target")))
-    return (
-        # both edges of a purchase come from one join
-        bought.select(_id("C", "o_custkey").alias("source"), F.explode(two).alias("x"), "confidence", "seq").select("source", "x.rel", "x.target", "confidence", "seq")
-        .unionByName(plain("customer", "C", "c_custkey", "BELONGS_TO", "N", "c_nationkey"))
-        .unionByName(plain("supplier", "S", "s_suppkey", "BELONGS_TO", "N", "s_nationkey"))
-        .unionByName(plain("nation", "N", "n_nationkey", "PART_OF", "R", "n_regionkey"))
-    )
+    for rel, name, a, ka, b, kb in _PLACES:
+        if not rels or rel in rels:
+            out.append(table(spark, sf_dir, name).select(_id(a, ka).alias("source"), F.lit(rel).alias("rel"), _id(b, kb).alias("target"), F.lit(1.0).alias("confidence"), first.alias("seq")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def place_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The small graph of places: customers and suppliers to nations, nations to regions."""
-    return raw_edges(spark, sf_dir).where(F.col("rel").isin("BELONGS_TO", "PART_OF"))
+    return raw_edges(spark, sf_dir, "BELONGS_TO", "PART_OF")
