@@ -159,3 +159,92 @@ def viterbi(emissions: Column, start: list[float], transitions: list[list[float]
 
     done = F.aggregate(F.slice(emissions, 2, 1 << 30), first, step, lambda acc: acc["path"][F.negative(best(acc["score"], end)["k"])])
     return F.when(F.size(emissions) > 0, done).otherwise(F.array().cast("array<int>"))
+
+
+#: The order of an answer's sections; other relations follow by name.
+SECTIONS = ["症状", "治疗", "用药", "检查", "科室", "并发症", "鉴别诊断", "易感人群", "相关（多跳推理）", "相关"]
+#: What stands at the end of every answer.
+DISCLAIMER = "本回答由 AI 生成，仅供参考，不能替代执业医师诊断。"
+NOTHING = "当前知识库暂未检索到与该问题直接相关的图谱事实，为避免误导，本系统不做推测性回答。"
+
+
+def _section(label: Column) -> Column:
+    place = F.array_position(F.array(*map(F.lit, SECTIONS)), label)
+    return F.when(place > 0, place).otherwise(len(SECTIONS) + 1)
+
+
+def _joined(lines: DataFrame, by: str, order: list[str], sep: str) -> DataFrame:
+    """by and text: the lines in order; a question has no more lines than facts."""
+    return lines.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, "line"))).alias("l")).select(by, F.array_join(F.transform("l", lambda x: x["line"]), sep).alias("text"))
+
+
+def _framed(body: DataFrame, asked: DataFrame, by: str, title: Column, nothing: Column) -> DataFrame:
+    """Every question's answer: its title, its body or that nothing was found, and the disclaimer."""
+    whole = asked.select(by).distinct().join(body, by, "left")
+    return whole.select(by, F.concat_ws("\n\n", title, F.coalesce("text", nothing), F.lit(DISCLAIMER)).alias("answer"))
+
+
+def slot_answer(facts: DataFrame, asked: DataFrame, by: str, sentences: dict[str, str]) -> DataFrame:
+    """An answer by relation: a section each in the fixed order, its sentence with the distinct tails and their evidence.
+
+    facts: by, label, tail, n (rank), evidence; sentences: text with {items} by label.
+    """
+    first = facts.where(F.trim("tail") != "").groupBy(by, "label", F.trim("tail").alias("tail")).agg(F.min(F.struct("n", "evidence")).alias("m"))
+    items = first.select(by, "label", F.col("m.n").alias("n"), F.concat("tail", F.coalesce(F.concat(F.lit(" ["), F.nullif("m.evidence", F.lit("")), F.lit("]")), F.lit(""))).alias("line"))
+    each = _joined(items.withColumn("by", F.struct(by, "label")), "by", ["n"], "、").select(f"by.{by}", "by.label", "text")
+    said = F.lit("{items}。")
+    for label, text in sentences.items():
+        said = F.when(F.col("label") == label, F.lit(text)).otherwise(said)
+    lines = each.select(by, _section(F.col("label")).alias("place"), "label", F.concat(F.lit("### "), "label", F.lit("\n- "), F.replace(said, F.lit("{items}"), F.col("text"))).alias("line"))
+    return _framed(_joined(lines, by, ["place", "label"], "\n\n"), asked, by, F.concat(F.lit("## 基于知识图谱的回答（主实体："), F.col(by), F.lit("）")), F.lit(NOTHING))
+
+
+def fallback_answer(facts: DataFrame, asked: DataFrame, by: str) -> DataFrame:
+    """The answer that replaces a rejected one: every fact as it stands, by relation."""
+    fact = F.concat(F.lit("- "), "head", F.lit(" —"), "label", F.lit("→ "), "tail", F.coalesce(F.concat(F.lit(" ["), F.nullif("evidence", F.lit("")), F.lit("]")), F.lit("")))
+    each = _joined(facts.select(F.struct(by, "label").alias("by"), "n", fact.alias("line")), "by", ["n"], "\n").select(f"by.{by}", "by.label", "text")
+    lines = each.select(by, _section(F.col("label")).alias("place"), "label", F.concat(F.lit("### "), "label", F.lit("\n"), "text").alias("line"))
+    return _framed(_joined(lines, by, ["place", "label"], "\n\n"), asked, by, F.lit("## 基于知识图谱的安全回答（已启用降级模式）"), F.lit(NOTHING))
+
+
+def graph_answer(facts: DataFrame, asked: DataFrame, by: str) -> DataFrame:
+    """An answer of facts alone, relations in the order of their first fact."""
+    line = F.concat(F.lit("- "), "tail", F.lit(" [KG-"), "n", F.lit("]"))
+    each = facts.groupBy(by, "label").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("l"))
+    lines = each.select(by, "n", F.concat(F.lit("### "), "label", F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("line"))
+    return _framed(_joined(lines, by, ["n"], "\n\n"), asked, by, F.concat(F.lit("## "), F.col(by), F.lit(" 相关知识（来自知识图谱）")), F.lit(NOTHING))
+
+
+#: Leading verbs that only read, and words that write.
+READING, WRITING = r"(?is)^\s*(?:match|optional\s+match|unwind|with|return|show|call)\b", r"(?i)\b(?:create|merge|set|delete|detach|remove|drop|load\s+csv|foreach)\b"
+
+
+def template_verdict(text: Column, allowed: list[str]) -> Column:
+    """'ok', or why a graph template may not run: it writes, names a label or relation that isn't allowed, or has neither a limit nor a count."""
+    bare = F.regexp_replace(text, r"\[\s*\*\s*[0-9]*\s*(?:\.\.\s*[0-9]+\s*)?\]", "[]")
+    names = F.regexp_extract_all(bare, F.lit(r":\s*([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    strange = F.array_except(names, F.array(*map(F.lit, allowed)))
+    low = F.lower(text)
+    writes = ~F.coalesce(text.rlike(READING), F.lit(False)) | text.rlike(WRITING)
+    return F.when(writes, "not read-only").when(F.size(strange) > 0, F.concat(F.lit("not allowed: "), F.array_join(F.array_sort(strange), ","))).when(~low.contains("limit") & ~low.contains("count("), "no limit").otherwise("ok")
+
+
+def input_status(asked: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
+    """asked with status: 'empty', 'unknown' (no node of that name, without case) or 'ok', and a message but for the last."""
+    name = F.lower(F.trim(F.coalesce(F.col(text), F.lit(""))))
+    known = nodes.select(F.lower(F.trim("name")).alias("_name")).distinct().withColumn("_known", F.lit(True))
+    got = asked.withColumn("_name", name).join(known, "_name", "left")
+    status = F.when(F.col("_name") == "", "empty").when(F.col("_known").isNull(), "unknown").otherwise("ok")
+    message = F.when(F.col("_name") == "", "请输入实体名称").when(F.col("_known").isNull(), F.concat(F.lit("未找到实体："), F.trim(F.col(text))))
+    return got.select(*asked.columns, status.alias("status"), message.alias("message"))
+
+
+def template_stats(templates: DataFrame) -> DataFrame:
+    """Templates (id, intent) by intent, and in all (a null intent)."""
+    each = templates.groupBy("intent").agg(F.count("*").alias("n"))
+    return each.unionByName(each.agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("intent"), "n"))
+
+
+def missing_templates(templates: DataFrame, required: DataFrame) -> DataFrame:
+    """Required ids that no template has."""
+    return required.select("id").distinct().join(templates.select("id"), "id", "left_anti")

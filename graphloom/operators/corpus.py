@@ -32,34 +32,36 @@ def telling_sentences(sentences: Column, term: str, least: int = 10, most: int =
     return F.array_distinct(F.filter(s, fits))
 
 
+#: Any decimal digit and any white space count, full-width ones too.
+UNICODE = "(?U)"
 #: Masking rules in order (name, pattern, mask).
 PII_RULES = [
-    ("id", r"(?<![0-9])[1-9][0-9]{5}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx](?![0-9])", "ID_MASKED"),
-    ("mobile", r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])", "PHONE_MASKED"),
-    ("landline", r"(?<![0-9])0[0-9]{2,3}-?[0-9]{7,8}(?![0-9])", "TEL_MASKED"),
-    ("bank", r"(?<![0-9])[0-9]{16,19}(?![0-9])", "BANK_MASKED"),
+    ("id", r"(?<!\d)[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx](?!\d)", "ID_MASKED"),
+    ("mobile", r"(?<!\d)1[3-9]\d{9}(?!\d)", "PHONE_MASKED"),
+    ("landline", r"(?<!\d)0\d{2,3}-?\d{7,8}(?!\d)", "TEL_MASKED"),
+    ("bank", r"(?<!\d)\d{16,19}(?!\d)", "BANK_MASKED"),
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "EMAIL_MASKED"),
     ("record", r"(?:住院号|病历号|门诊号|病案号|医保卡号|社保号)\s*[:：]?\s*[A-Za-z0-9-]{4,20}", "MRN_MASKED"),
     ("address", r"[一-鿿]{2,8}(?:省|市|自治区|自治州)[一-鿿]{2,10}(?:市|区|县|旗|镇|乡|街道|路|街|巷|号|栋|单元|室|村|组)\s*[一-鿿0-9-]{0,20}", "ADDR_MASKED"),
     ("social", r"(?i)(?:QQ|微信|weixin|wechat)\s*(?:号|：|:)?\s*[A-Za-z0-9_-]{5,20}", "SOCIAL_MASKED"),
     ("titled_name", r"(?:患者|病人|本人|姓名|联系人)\s*[:：]?\s*[一-鿿]{2,4}", "NAME_MASKED"),
     ("surname", r"[赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳酆鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄](?:某某|某|××|\*\*|XX)", "NAME_MASKED"),
-    ("birth", r"(?:出生日期|出生年月|生日)\s*[:：]?\s*[0-9]{4}[-/年][0-9]{1,2}(?:[-/月][0-9]{1,2}日?)?", "DOB_MASKED"),
+    ("birth", r"(?:出生日期|出生年月|生日)\s*[:：]?\s*\d{4}[-/年]\d{1,2}(?:[-/月]\d{1,2}日?)?", "DOB_MASKED"),
 ]
 
 
-#: Measurements, quantities and references, whose digits are no personal data.  ASCII digits are meant.
+#: Measurements, quantities and references, whose digits are no personal data.
 PROTECTED = [
-    r"(?:血压|收缩压|舒张压|血糖|血脂|胆固醇|甘油三酯|BMI|心率|体温|白细胞|血红蛋白|血小板|肌酐|尿素氮|转氨酶|胆红素|白蛋白|氧分压|二氧化碳|pH)\s*[:：]?\s*[0-9.~-]+",
-    r"[0-9]+\s*(?:mg|g|ml|mL|L|mmHg|mmol/L|μmol/L|U/L|IU|%|次/分|°C|℃|万|亿|例|人|年|月|日|小时|分钟|周|天)",
-    r"(?:PMID|DOI|doi)\s*[:：]?\s*[0-9./A-Za-z-]+",
-    r"ICD-?\s*[0-9]+",
+    r"(?:血压|收缩压|舒张压|血糖|血脂|胆固醇|甘油三酯|BMI|心率|体温|白细胞|血红蛋白|血小板|肌酐|尿素氮|转氨酶|胆红素|白蛋白|氧分压|二氧化碳|pH)\s*[:：]?\s*[\d.~-]+",
+    r"\d+\s*(?:mg|g|ml|mL|L|mmHg|mmol/L|μmol/L|U/L|IU|%|次/分|°C|℃|万|亿|例|人|年|月|日|小时|分钟|周|天)",
+    r"(?:PMID|DOI|doi)\s*[:：]?\s*[\d./A-Za-z-]+",
+    r"ICD-?\s*\d+",
 ]
 
 
 def masked_outside(text: Column) -> Column:
     """All rules in what lies between protected spans (leftmost, in the original text); the spans stay, and no match crosses one."""
-    guard = "|".join(PROTECTED)
+    guard = UNICODE + "|".join(PROTECTED)
     between = F.split(text, guard)
     spans = F.concat(F.regexp_extract_all(text, F.lit(guard), F.lit(0)), F.array(F.lit("")))
     return F.array_join(F.zip_with(between, spans, lambda t, s: F.concat(masked(t), F.coalesce(s, F.lit("")))), "")
@@ -73,15 +75,15 @@ def first_spans(df: DataFrame, key: str, text: str, aliases: list[str]) -> DataF
 
 def masked(text: Column) -> Column:
     """All rules one after the other, inside the JVM."""
-    return reduce(lambda c, r: F.regexp_replace(c, r[1], r[2]), PII_RULES, text)
+    return reduce(lambda c, r: F.regexp_replace(c, UNICODE + r[1], r[2]), PII_RULES, text)
 
 
 def mask_audit(df: DataFrame, text: str) -> DataFrame:
     """rule and n, the matches in texts that earlier rules have masked; texts aren't kept."""
     c, counts = F.col(text), []
     for name, pattern, mask in PII_RULES:
-        counts.append(F.struct(F.lit(name).alias("rule"), F.coalesce(F.regexp_count(c, F.lit(pattern)), F.lit(0)).cast("long").alias("n")))
-        c = F.regexp_replace(c, pattern, mask)
+        counts.append(F.struct(F.lit(name).alias("rule"), F.coalesce(F.regexp_count(c, F.lit(UNICODE + pattern)), F.lit(0)).cast("long").alias("n")))
+        c = F.regexp_replace(c, UNICODE + pattern, mask)
     return df.select(F.explode(F.array(*counts)).alias("x")).groupBy("x.rule").agg(F.sum("x.n").alias("n"))
 
 
@@ -138,6 +140,15 @@ def near_pairs(prints: DataFrame, within: int = 3) -> DataFrame:
     return a.join(b, ["mask", "part"]).where((F.col("a") < F.col("b")) & (d <= within)).select("a", "b", d.alias("distance")).distinct()
 
 
+def copies(prints: DataFrame) -> DataFrame:
+    """a, b, distance (0): each key b whose fingerprint an earlier key a has, with the first such a.
+
+    With near_pairs(), whose ends are these first keys, every pair within the bits follows.
+    """
+    first = prints.groupBy("hi", "lo").agg(F.min("key").alias("a"))
+    return prints.join(first, ["hi", "lo"]).where(F.col("a") < F.col("key")).select("a", F.col("key").alias("b"), F.lit(0).alias("distance"))
+
+
 def greedy_kept(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """The keys that a pass in key order keeps: a key goes if an earlier kept key is its near pair.
 

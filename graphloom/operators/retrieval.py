@@ -31,14 +31,14 @@ def slot_facts(edges: DataFrame) -> DataFrame:
     return edges.withColumn("slot_rank", F.row_number().over(w)).where(F.col("slot_rank") <= lookup(SLOT_QUOTAS, F.col("rel"), 1))
 
 
-def union_routes(*routes: DataFrame) -> DataFrame:
-    """Facts of all routes; of equal facts the more confident, then the more direct route's."""
+def union_routes(*routes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Facts of all routes; of equal facts (of each question) the more confident, then the more direct route's."""
     out = routes[0]
     for r in routes[1:]:
         out = out.unionByName(r)
     order = F.struct((-F.col("confidence")).alias("c"), (-lookup(ROUTE_WEIGHT, F.col("route"), 0.5)).alias("w"), "route")
-    best = out.groupBy("head", "rel", "tail").agg(F.min(order).alias("m"))
-    return best.select("head", "rel", "tail", (-F.col("m.c")).alias("confidence"), F.col("m.route").alias("route"))
+    best = out.groupBy(*by, "head", "rel", "tail").agg(F.min(order).alias("m"))
+    return best.select(*by, "head", "rel", "tail", (-F.col("m.c")).alias("confidence"), F.col("m.route").alias("route"))
 
 
 def scored(facts: DataFrame, prior: Column, proximity: Column, degree_share: Column) -> DataFrame:
@@ -55,7 +55,7 @@ def confident(facts: DataFrame, by: str, least: float = 0.55, at_least: int = 3)
 
 def diverse(facts: DataFrame, by: str, category: Column, top_k: int = 12) -> DataFrame:
     """The best facts with places kept for some categories, numbered by rank as KG-1, KG-2, ..."""
-    order = [F.desc("score"), F.desc("confidence"), "rel", "tail"]
+    order = [F.desc("score"), F.desc("confidence"), "head", "rel", "tail"]
     inside = F.row_number().over(Window.partitionBy(by, "category").orderBy(*order))
     kept = facts.withColumn("category", category).withColumn("reserved", (inside <= lookup(RESERVE, F.col("category"), 0)).cast("int"))
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("reserved"), *order))
@@ -76,14 +76,74 @@ def answer_confidence(intent: Column, evidence: Column, guard: Column, n_facts:
     return F.when(n_facts == 0, F.least(raw, F.lit(0.25))).when(critical, F.least(raw, F.lit(0.45))).otherwise(raw)
 
 
-def multi_hop(edges: DataFrame, starts: DataFrame, cap: int = 6) -> DataFrame:
-    """Two-hop chains from each start, their confidence the lesser of the steps', the best `cap` of each start."""
-    hop = edges.select(F.col("source").alias("head"), F.col("target").alias("mid"), F.col("confidence").alias("c1"))
-    nxt = edges.select(F.col("source").alias("mid"), F.col("rel"), F.col("target").alias("tail"), F.col("confidence").alias("c2"))
-    got = hop.join(starts.select(F.col("id").alias("head")), "head").join(nxt, "mid").where(F.col("tail") != F.col("head"))
-    best = got.groupBy("head", "rel", "tail").agg(F.max(F.least("c1", "c2")).alias("confidence"))
-    w = Window.partitionBy("head").orderBy(F.desc("confidence"), "rel", "tail")
-    return best.withColumn("k", F.row_number().over(w)).where(F.col("k") <= cap).drop("k")
+def asked(edges: DataFrame, rel: str, most: int = 2) -> DataFrame:
+    """question, entity: what a question names beside its main entity, the `most` most confident targets of a relation."""
+    k = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("confidence"), "target"))
+    return edges.where(F.col("rel") == rel).withColumn("k", k).where(F.col("k") <= most).select(F.col("source").alias("question"), F.col("target").alias("entity"))
+
+
+def turned(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """question, head, rel, tail, confidence: edges that end in an entity of the question."""
+    return entities.join(edges.withColumnRenamed("target", "entity"), "entity").select("question", F.col("source").alias("head"), "rel", F.col("entity").alias("tail"), "confidence")
+
+
+def by_way(first: DataFrame, onward: DataFrame, goals: DataFrame, rel: str = "RELATED_TO", cap: int = 6) -> DataFrame:
+    """Two-step paths from an entity against an edge to its head and onward to a goal of the question.
+
+    first: turned(); onward: edges; goals: question, goal.  A path's confidence is the lesser of its
+    steps', a pair's that of its best path; the best `cap` of a question.
+    """
+    step = onward.select(F.col("source").alias("head"), F.col("target").alias("goal"), F.col("confidence").alias("c2"))
+    met = first.join(step, "head").join(goals, ["question", "goal"]).groupBy("question", "tail", "goal").agg(F.max(F.least("confidence", "c2")).alias("confidence"))
+    k = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("confidence"), "tail", "goal"))
+    return met.withColumn("k", k).where(F.col("k") <= cap).select("question", F.col("tail").alias("head"), F.lit(rel).alias("rel"), F.col("goal").alias("tail"), "confidence")
+
+
+def of_like_names(names: DataFrame, most: int = 3) -> DataFrame:
+    """question, id, score: for every name the `most` others that begin with it (0.94), end with it (0.88) or hold it (0.8), then by degree and id.
+
+    names: id, name (short: each gives all its parts), degree.  A part that many names hold keeps its
+    best few before names meet parts, so nothing grows with the square of a common part.
+    """
+    n = F.length("name")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda m: F.struct(F.substring("name", i, m).alias("part"), F.when(i == 1, 0.94).when(i + m - 1 == n, 0.88).otherwise(0.8).alias("score")))))
+    each = names.where(n > 0).select("id", "degree", F.explode(parts).alias("x")).groupBy("x.part", "id").agg(F.max("x.score").alias("score"), F.first("degree").alias("degree"))
+    order = [F.desc("score"), F.desc("degree"), "id"]
+    # one more, as a name is among those of its own part
+    best = each.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*order))).where(F.col("k") <= most + 1)
+    met = names.select(F.col("id").alias("question"), F.col("name").alias("part")).join(best, "part").where("question <> id")
+    return met.withColumn("k", F.row_number().over(Window.partitionBy("question").orderBy(*order))).where(F.col("k") <= most).select("question", "id", "score")
+
+
+def with_names(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """question beside facts that have it as head or tail; entities: question."""
+    ends = facts.withColumn("question", F.explode(F.array_distinct(F.array("head", "tail"))))
+    return ends.join(entities.select("question").distinct(), "question", "left_semi")
+
+
+def proximity(facts: DataFrame, entities: DataFrame, near: DataFrame) -> DataFrame:
+    """Facts with `proximity`: 1 if an end is the question itself, 0.8 if one of its entities (question, entity), 0.55 if a neighbour (question, entity), else 0.3."""
+    level = entities.withColumn("level", F.lit(0.8)).unionByName(near.withColumn("level", F.lit(0.55))).groupBy("question", "entity").agg(F.max("level").alias("level"))
+    for end in ("head", "tail"):
+        facts = facts.join(level.select("question", F.col("entity").alias(end), F.col("level").alias(f"{end}_level")), ["question", end], "left")
+    own = (F.col("question") == F.col("head")) | (F.col("question") == F.col("tail"))
+    got = F.when(own, 1.0).otherwise(F.greatest(F.coalesce("head_level", F.lit(0.3)), F.coalesce("tail_level", F.lit(0.3))))
+    return facts.withColumn("proximity", got).drop("head_level", "tail_level")
+
+
+def degree_share(facts: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Facts with `degree_share`, the larger degree of their ends as a share of the largest; degrees: id, degree."""
+    top = degrees.agg(F.max("degree").alias("top"))
+    for end in ("head", "tail"):
+        facts = facts.join(degrees.select(F.col("id").alias(end), F.col("degree").alias(f"{end}_degree")), end, "left")
+    best = F.greatest(F.coalesce("head_degree", F.lit(0)), F.coalesce("tail_degree", F.lit(0)))
+    return facts.crossJoin(F.broadcast(top)).withColumn("degree_share", F.least(F.lit(1.0), best / F.greatest("top", F.lit(1)))).drop("head_degree", "tail_degree", "top")  # one row
+
+
+def ranked(facts: DataFrame, by: str, most: int) -> DataFrame:
+    """The best `most` facts of each group by score, confidence, then the fact."""
+    k = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), F.desc("confidence"), "head", "rel", "tail"))
+    return facts.withColumn("k", k).where(F.col("k") <= most).drop("k")
 
 
 def chains(edges: DataFrame, starts: list[str], stops: list[str], each: int = 2, cap: int = 6) -> DataFrame:
@@ -113,13 +173,12 @@ def similar(nodes: DataFrame, seeds: list[str], most: int = 3, least: float = 0.
 
 
 def facts_of_similar(edges: DataFrame, near: DataFrame, each: int = 20, cap: int = 12, factor: float = 0.95) -> DataFrame:
-    """seed, head, rel, tail, confidence: outgoing facts of the similar nodes, at a lower confidence; `each` of a node, `cap` of a seed."""
-    got = edges.join(F.broadcast(near.select("seed", F.col("id").alias("source"))), "source")  # a few nodes a seed
-    order = [F.desc("confidence"), "rel", "target"]
-    k = F.row_number().over(Window.partitionBy("seed", "source").orderBy(*order))
-    kept = got.withColumn("k", k).where(F.col("k") <= each)
+    """seed, head, rel, tail, confidence: outgoing facts of the similar nodes (seed, id), at a lower confidence; `each` of a node, `cap` of a seed."""
+    k = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("confidence"), "rel", "target"))
+    first = edges.join(near.select(F.col("id").alias("source")).distinct(), "source", "left_semi").withColumn("k", k).where(F.col("k") <= each).drop("k")
+    got = first.join(near.select("seed", F.col("id").alias("source")), "source")
     place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("confidence"), "source", "rel", "target"))
-    return kept.withColumn("k", place).where(F.col("k") <= cap).select("seed", F.col("source").alias("head"), "rel", F.col("target").alias("tail"), (F.col("confidence") * factor).alias("confidence"))
+    return got.withColumn("k", place).where(F.col("k") <= cap).select("seed", F.col("source").alias("head"), "rel", F.col("target").alias("tail"), (F.col("confidence") * factor).alias("confidence"))
 
 
 def slot_summary(facts: DataFrame, order: list[str]) -> DataFrame:

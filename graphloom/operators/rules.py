@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import stored
+
 #: Sources that share a hub of more members than this aren't paired through it.
 HUB = 40
 
@@ -76,26 +78,85 @@ def legal(edges: DataFrame, nodes: DataFrame, allowed: list[tuple[str, str, str]
     return edges.join(known.select("rel").distinct(), "rel", "left_semi").join(head, "source").join(tail, "target").join(known, ["head_type", "rel", "tail_type"]).select(edges.columns)
 
 
-def link_scores(edges: DataFrame, hub: int | None = None) -> DataFrame:
+def link_scores(edges: DataFrame) -> DataFrame:
     """a < b with Adamic-Adar over common targets of degree above 2, Jaccard and overlap coefficient, and the blended score.
 
-    All common targets count, unless `hub` leaves out those of more sources.  Pairs without a
-    common target score 0, below any threshold, so none is made.  A target of many sources is
-    dealt over several tasks.
+    Every pair with a common target is a row, so the result grows with the square of a target's
+    sources; `predicted` gives the pairs that reach a score.  A target of many sources is dealt over
+    several tasks.
     """
     e = edges.select("source", "target").distinct()
-    deg = e.groupBy("target").agg(F.count("*").alias("d")).where((F.col("d") >= 2) & (F.col("d") <= hub if hub else F.lit(True)))
+    deg = e.groupBy("target").agg(F.count("*").alias("d")).where("d >= 2")
     size = e.groupBy("source").agg(F.count("*").alias("s"))
     kept = e.join(deg, "target")
-    parts = F.least(F.lit(256), F.ceil(F.col("d") / HUB)).cast("int")
+    parts = F.ceil(F.col("d") / HUB).cast("int")
     left = kept.select("target", "d", F.col("source").alias("a"), F.pmod(F.xxhash64("source"), parts).cast("int").alias("part"))
     right = kept.select("target", F.col("source").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     common = left.join(right, ["target", "part"]).where(F.col("a") < F.col("b"))
     got = common.groupBy("a", "b").agg(F.count("*").alias("inter"), F.sum(F.when(F.col("d") > 2, 1 / F.log(F.col("d"))).otherwise(0.0)).alias("aa"))
     got = got.join(size.select(F.col("source").alias("a"), F.col("s").alias("sa")), "a").join(size.select(F.col("source").alias("b"), F.col("s").alias("sb")), "b")
     jac, over = F.col("inter") / (F.col("sa") + F.col("sb") - F.col("inter")), F.col("inter") / F.least("sa", "sb")
-    raw = 0.45 * F.least(F.col("aa") / 3, F.lit(1.0)) + 0.25 * jac + 0.30 * over
-    return got.select("a", "b", "aa", jac.alias("jaccard"), over.alias("overlap"), raw.alias("raw"), F.least(F.lit(0.88), 0.5 + 0.45 * raw).alias("confidence"))
+    return got.select("a", "b", "aa", jac.alias("jaccard"), over.alias("overlap"))
+
+
+#: Weights of Adamic-Adar (cut at 3), Jaccard and typed overlap, and the least score.
+AA_WEIGHT, AA_CUT, JACCARD_WEIGHT, OVERLAP_WEIGHT, LEAST = 0.45, 3.0, 0.25, 0.30, 0.15
+
+
+def neighbours(edges: DataFrame, among: DataFrame, typed: DataFrame) -> DataFrame:
+    """node, z, z's degree's worth aa, typed (z is one of `typed`), and the node's n neighbours and s typed ones, for the nodes `among`.
+
+    Neighbours count in both directions, once each; a neighbour of degree 2 or less is worth nothing.
+    """
+    both = edges.select(F.explode(F.array(F.struct(F.col("source").alias("node"), F.col("target").alias("z")), F.struct(F.col("target").alias("node"), F.col("source").alias("z")))).alias("x")).select("x.*").where("node <> z").distinct()
+    degree = both.groupBy(F.col("node").alias("z")).agg(F.count("*").alias("d"))
+    kind = degree.join(typed.select(F.col("id").alias("z"), F.lit(1).alias("typed")), "z", "left").select("z", F.when(F.col("d") > 2, 1 / F.log("d")).otherwise(0.0).alias("aa"), F.coalesce("typed", F.lit(0)).alias("typed"))
+    mine = both.join(among.select(F.col("id").alias("node")), "node", "left_semi").join(kind, "z")
+    size = mine.groupBy("node").agg(F.count("*").alias("n"), F.sum("typed").alias("s"))
+    return mine.join(size, "node")
+
+
+def predicted(edges: DataFrame, among: DataFrame, typed: DataFrame, known: DataFrame, rels: tuple[str, ...], k: int, least: float = LEAST) -> DataFrame:
+    """source, rel, target with aa, jaccard, overlap, raw and confidence: each node's k best partners of a score of at least `least`.
+
+    A threshold join.  What a common neighbour z can add to a pair is at most its share of
+    Adamic-Adar, of Jaccard (1 / n, as the union holds all n neighbours) and, if typed, of the overlap
+    (1 / s, for the node of the pair with fewer typed neighbours).  Of each node's neighbours the
+    cheapest, hubs first, whose bounds add up to less than `least` needn't be looked up: a pair that
+    shares only these doesn't reach it.  So the smaller node of a pair goes by the rest of its neighbours
+    to the full lists; pairs whose sum so far and bound of what was left out can reach `least` are
+    completed by looking up (partner, neighbour), a key without hubs.  A hub makes pairs only for nodes
+    that have so few others that the hub alone is enough, and these are results.
+
+    known: source, rel, target, skipped in either direction.  Ties go by target.
+    """
+    mine = stored(neighbours(edges, among, typed), "neighbours")
+    share = F.when(F.col("s") > 0, F.col("typed") / F.col("s")).otherwise(0.0)
+    most = AA_WEIGHT / AA_CUT * F.col("aa") + JACCARD_WEIGHT / F.col("n") + OVERLAP_WEIGHT * share
+    upto = F.sum("most").over(Window.partitionBy("node").orderBy("most", "z").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = stored(mine.withColumn("most", most).withColumn("left_out", upto < least - 1e-9), "ranked")
+    rest = ranked.where("left_out").groupBy("node").agg(F.sum("most").alias("rest"))
+    small = ranked.where("NOT left_out").select("z", "aa", "typed", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    full = mine.select("z", F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    met = small.join(full, "z").where("sb < sa OR (sb = sa AND b < a)")
+    some = met.groupBy("a", "b", "na", "nb", "sa", "sb").agg(F.count("*").alias("c"), F.sum("typed").alias("t"), F.sum("aa").alias("aa"))
+    over = lambda t: F.when(F.col("sb") > 0, t / F.col("sb")).otherwise(0.0)
+    reach = AA_WEIGHT / AA_CUT * F.col("aa") + JACCARD_WEIGHT * F.col("c") / F.greatest("na", "nb") + OVERLAP_WEIGHT * over(F.col("t")) + F.coalesce("rest", F.lit(0.0))
+    some = stored(some.join(rest.withColumnRenamed("node", "b"), "b", "left").where(reach >= least - 1e-9).drop("rest"), "reaching")
+    hubs = ranked.where("left_out").select(F.col("node").alias("b"), "z", F.col("aa").alias("z_aa"), F.col("typed").alias("z_typed"))
+    more = some.join(hubs, "b").join(full.select("a", "z"), ["a", "z"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("c2"), F.sum("z_typed").alias("t2"), F.sum("z_aa").alias("aa2"))
+    whole = some.join(more, ["a", "b"], "left")
+    plus = lambda x: F.col(x) + F.coalesce(F.col(x + "2"), F.lit(0))
+    whole = whole.select("a", "b", plus("aa").alias("aa"), (plus("c") / (F.col("na") + F.col("nb") - plus("c"))).alias("jaccard"), over(plus("t")).alias("overlap"))
+    raw = AA_WEIGHT * F.least(F.col("aa") / AA_CUT, F.lit(1.0)) + JACCARD_WEIGHT * F.col("jaccard") + OVERLAP_WEIGHT * F.col("overlap")
+    ends = F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("target")), F.struct(F.col("b").alias("source"), F.col("a").alias("target")))
+    scored = whole.withColumn("raw", F.round(raw, 9)).where(F.col("raw") >= least).withColumn("x", F.explode(ends)).withColumn("rel", F.explode(F.array(*map(F.lit, rels))))
+    scored = scored.select("x.source", "rel", "x.target", "aa", "jaccard", "overlap", "raw")
+    key = ["source", "rel", "target"]
+    turned = known.select(F.col("target").alias("source"), "rel", F.col("source").alias("target"))
+    fresh = scored.join(known.select(key).unionByName(turned), key, "left_anti")
+    place = F.row_number().over(Window.partitionBy("source", "rel").orderBy(F.desc("raw"), "target"))
+    return fresh.withColumn("k", place).where(F.col("k") <= k).drop("k").withColumn("confidence", F.least(F.lit(0.88), 0.5 + 0.45 * F.col("raw")))
 
 
 def merged(*parts: DataFrame) -> DataFrame:

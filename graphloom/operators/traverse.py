@@ -5,6 +5,8 @@ The only driver loops are over depth, which is at most a small constant.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +31,30 @@ def limited(reached: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     return kept, reached.agg((F.count("*") > limit).alias("truncated"))
 
 
-def paths(edges: DataFrame, start: str, end: str, max_hops: int = 3) -> DataFrame:
-    """All simple undirected paths, as arrays of ids, with their number of hops."""
-    spark = edges.sparkSession
+def _grown(step: DataFrame, start: str, hops: int, never: str) -> list[DataFrame]:
+    """Simple paths of 0, 1, ... hops from the start as (at, path), none through `never`."""
+    out = [step.sparkSession.createDataFrame([(start, [start])], "at string, path array<string>")]
+    for _ in range(hops):
+        grown = out[-1].where(F.col("at") != never).join(step, F.col("at") == F.col("node")).where(~F.array_contains("path", F.col("other")))
+        out.append(grown.select(F.col("other").alias("at"), F.concat("path", F.array("other")).alias("path")))
+    return out
+
+
+def paths(edges: DataFrame, start: str, end: str, max_hops: int = 3, max_paths: int | None = None) -> DataFrame:
+    """All simple undirected paths, as arrays of ids, with their number of hops; the first `max_paths` by hops and ids.
+
+    Paths grow from both ends and meet in the middle: none is longer than half the way before
+    it is known to go on to the other end.
+    """
     step = both_ways(edges).select("node", "other").distinct()
-    open_ = spark.createDataFrame([(start, [start])], "at string, path array<string>")
-    out = None
+    ahead, behind = _grown(step, start, (max_hops + 1) // 2, end), _grown(step, end, max_hops // 2, start)
+    out = []
     for hops in range(1, max_hops + 1):
-        # the last step need only reach the end
-        to = step.where(F.col("other") == end) if hops == max_hops else step
-        grown = open_.join(to, open_["at"] == to["node"]).where(~F.array_contains("path", F.col("other"))).select(F.col("other").alias("at"), F.concat("path", F.array("other")).alias("path"))
-        done = grown.where(F.col("at") == end).select("path", F.lit(hops).alias("hops"))
-        out = done if out is None else out.unionByName(done)
-        open_ = grown.where(F.col("at") != end)
-    return out
+        far = behind[hops // 2].select("at", F.reverse("path").alias("rest"))
+        met = ahead[(hops + 1) // 2].join(far, "at").select("path", F.slice("rest", 2, hops).alias("rest"))
+        out.append(met.where(~F.arrays_overlap("path", "rest")).select(F.concat("path", "rest").alias("path"), F.lit(hops).alias("hops")))
+    every = reduce(DataFrame.unionByName, out)
+    return every.orderBy("hops", "path").limit(max_paths) if max_paths else every
 
 
 def steps(found: DataFrame, edges: DataFrame) -> DataFrame:
@@ -52,13 +64,22 @@ def steps(found: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(first, ["node", "other"]).select(F.array_join("path", ">").alias("path"), "step", "node", "other", F.col("e.rel").alias("rel"), F.col("e.direction").alias("direction"))
 
 
+def _levels(step: DataFrame, start: str, depth: int, ahead: bool) -> list[DataFrame]:
+    """Nodes at 0, 1, ... steps from the start with the first path by ids between, from the start on or up to it."""
+    front = step.sparkSession.createDataFrame([(start, [start])], "id string, path array<string>")
+    out, seen = [front], front.select("id")
+    for _ in range(depth):
+        own = F.array(F.col("other"))
+        met = front.join(step, F.col("id") == F.col("node")).select(F.col("other").alias("id"), (F.concat("path", own) if ahead else F.concat(own, F.col("path"))).alias("path"))
+        front = met.groupBy("id").agg(F.min("path").alias("path")).join(seen, "id", "left_anti")
+        out.append(front)
+        seen = seen.unionByName(front.select("id"))
+    return out
+
+
 def shortest(edges: DataFrame, start: str, end: str, max_hops: int = 4) -> DataFrame:
-    """The first shortest path by ids, if there is one of at most max_hops: breadth-first with one parent a node."""
-    spark = edges.sparkSession
+    """The first shortest path by ids, if there is one of at most max_hops: breadth-first from both ends, with one path a node."""
     step = both_ways(edges).select("node", "other").distinct()
-    front = spark.createDataFrame([(start, [start])], "id string, path array<string>")
-    seen, out = front, front.where(F.col("id") == end)
-    for _ in range(max_hops):
-        front = front.join(step, front["id"] == step["node"]).groupBy(F.col("other").alias("id")).agg(F.min("path").alias("path")).withColumn("path", F.concat("path", F.array("id"))).join(seen.select("id"), "id", "left_anti")
-        seen, out = seen.unionByName(front), out.unionByName(front.where(F.col("id") == end))
-    return out.select("path", (F.size("path") - 1).alias("hops"))
+    ahead, behind = _levels(step, start, (max_hops + 1) // 2, True), _levels(step, end, max_hops // 2, False)
+    met = [ahead[(h + 1) // 2].join(behind[h // 2].select("id", F.slice("path", 2, max_hops).alias("rest")), "id").select(F.concat("path", "rest").alias("path"), F.lit(h).alias("hops")) for h in range(max_hops + 1)]
+    return reduce(DataFrame.unionByName, met).orderBy("hops", "path").limit(1)
