@@ -15,7 +15,7 @@ from .graph import edges
 
 @query("a_topn", f"WITH {EDGES} SELECT target AS name, count(*) AS n FROM e WHERE rel = 'HAS_SYMPTOM' GROUP BY 1 ORDER BY n DESC, name LIMIT 12")
 def _(spark, d):
-    return A.top(edges(spark, d).where(F.col("rel") == "HAS_SYMPTOM"), "target", 12)
+    return A.top(edges(spark, d, "HAS_SYMPTOM"), "target", 12)
 
 
 @query("a_overview", "SELECT (SELECT count(*) FROM customer) AS diseases, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS categories, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS treatment_types, (SELECT count(DISTINCT p_brand) FROM part) AS brands")

@@ -10,6 +10,7 @@ from graphloom.operators import analytics as A
 from graphloom.operators import assembly as B
 from graphloom.operators import graph as G
 from graphloom.operators import training as L
+from graphloom.session import stored
 from graphloom.sources import seeds
 from graphloom.sources import tables as S
 
@@ -95,15 +96,15 @@ def _(spark, d):
 _PARTS = {"primary": "主实体", "kg_reasoned": "推理", "kg_2hop": "多跳", "kg_similar": "相关"}
 
 
-@query("q_context", _ROUTES + """, k AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY confidence DESC, rel, tail, route) AS k, CASE route WHEN 'kg_1hop' THEN 'primary' ELSE route END AS part FROM un),
- l AS (SELECT *, '[KG-' || k || '] ' || head || ' —' || rel || '→ ' || tail AS line FROM k WHERE k <= 8),
- p AS (SELECT head, k, CASE WHEN part = 'primary' THEN 0 ELSE min(k) OVER (PARTITION BY head, part) END AS place, CASE WHEN row_number() OVER (PARTITION BY head, part ORDER BY k) = 1 THEN chr(10) || '■ ' || CASE part WHEN 'primary' THEN '主实体' WHEN 'kg_reasoned' THEN '推理' WHEN 'kg_2hop' THEN '多跳' ELSE '相关' END || chr(10) || chr(10) ELSE '' END || rpad(line, greatest(38, length(line) + 2)::INT, ' ') || '（置信度 ' || printf('%.2f', confidence) || '）' AS line FROM l)
- SELECT head, md5('【知识图谱事实 —— 共 ' || count(*) || ' 条，编号与回答中的 [KG-n] 引用一一对应】' || chr(10) || string_agg(line, chr(10) ORDER BY place, k)) AS digest FROM p GROUP BY head""")
+@query("q_context", _ROUTES + """, ck AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY confidence DESC, head, rel, tail, route) AS k, CASE route WHEN 'kg_1hop' THEN 'primary' ELSE route END AS part FROM un),
+ cl AS (SELECT *, '[KG-' || k || '] ' || head || ' —' || rel || '→ ' || tail AS line FROM ck WHERE k <= 8),
+ cp AS (SELECT question, k, CASE WHEN part = 'primary' THEN 0 ELSE min(k) OVER (PARTITION BY question, part) END AS place, CASE WHEN row_number() OVER (PARTITION BY question, part ORDER BY k) = 1 THEN chr(10) || '■ ' || CASE part WHEN 'primary' THEN '主实体' WHEN 'kg_reasoned' THEN '推理' WHEN 'kg_2hop' THEN '多跳' ELSE '相关' END || chr(10) || chr(10) ELSE '' END || rpad(line, greatest(38, length(line) + 2)::INT, ' ') || '（置信度 ' || printf('%.2f', confidence) || '）' AS line FROM cl)
+ SELECT question, md5('【知识图谱事实 —— 共 ' || count(*) || ' 条，编号与回答中的 [KG-n] 引用一一对应】' || chr(10) || string_agg(line, chr(10) ORDER BY place, k)) AS digest FROM cp GROUP BY question""")
 def _(spark, d):
-    w = Window.partitionBy("head").orderBy(F.desc("confidence"), "rel", "tail", "route")
+    w = Window.partitionBy("question").orderBy(F.desc("confidence"), "head", "rel", "tail", "route")
     part = F.when(F.col("route") == "kg_1hop", "primary").otherwise(F.col("route"))
     top = _routes(spark, d).withColumn("k", F.row_number().over(w)).where("k <= 8").withColumn("part", part)
-    return B.context_text(top.withColumn("by", F.col("head")), "by", _PARTS).select(F.col("by").alias("head"), F.md5("text").alias("digest"))
+    return B.context_text(top, "question", _PARTS).select("question", F.md5("text").alias("digest"))
 
 
 @query("q_link_bonus", f"WITH {EDGES}, {NODES}, g AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1) SELECT n.id, round(least(0.999, 0.85 + least(0.06, coalesce(g.n, 0) / 400.0) + CASE WHEN length(n.id) <= 4 * 0.5 THEN 0.05 ELSE 0 END + CASE type WHEN 'Disease' THEN 0.04 WHEN 'Symptom' THEN 0.02 WHEN 'Department' THEN 0.01 WHEN 'Drug' THEN 0.01 ELSE 0 END), 6)::DOUBLE AS score FROM n LEFT JOIN g ON n.id = g.id")
@@ -198,9 +199,10 @@ def _(spark, d):
 
 @query("m_boosted")
 def _(spark, d):
-    """Trees on a synthetic cohort, evaluated on rows that neither trees nor curve saw."""
-    x = seeds.synthetic_labels(seeds.synthetic_cohort(spark, 6000, 42, 4), "hypertension")
-    part = F.pmod(F.xxhash64("id"), F.lit(10))
-    features = ["age", "male", "bmi", "systolic_bp", "fasting_glucose", "family_history", "smoking"]
-    model = L.fit(x.where(part < 6), x.where(part.between(6, 7)), features, "label", rounds=8, depth=3)
+    """Whether an order is filled, by trees over its date, price, lines and discount; evaluated on orders that neither trees nor curve saw."""
+    lines = S.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("lines"), F.avg("l_discount").alias("discount"), F.max(F.datediff("l_shipdate", F.lit("1992-01-01"))).cast("double").alias("shipped"))
+    o = S.table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    x = stored(o.select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.datediff("o_orderdate", F.lit("1992-01-01")).cast("double").alias("day"), F.col("o_totalprice").alias("price"), "lines", "discount", "shipped"), "orders")
+    part = F.pmod(F.xxhash64("o_orderkey"), F.lit(10))
+    model = L.fit(x.where(part < 6), x.where(part.between(6, 7)), ["day", "price", "lines", "discount", "shipped"], "label", rounds=8, depth=3)
     return L.evaluate(model.score(x.where(part > 7)), "label")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, answers, assembly, corpus, events, graph, knowledge, retrieval, rules, service
+from . import analytics, answers, assembly, corpus, events, graph, knowledge, ontology, replies, retrieval, rules, service
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "answers", "assembly", "corpus", "events", "graph", "knowledge", "retrieval", "rules", "service"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "answers", "assembly", "corpus", "events", "graph", "knowledge", "ontology", "replies", "retrieval", "rules", "service"]

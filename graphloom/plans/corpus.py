@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.operators import corpus as P
+from graphloom.operators import lexicon as L
 from graphloom.operators import relations as R
 from graphloom.operators.analytics import top
+from graphloom.session import stored
 from graphloom.sources import tables as S
 
 from .base import query
@@ -87,7 +89,9 @@ def _(spark, d):
 
 @query("t_simhash_pairs")
 def _(spark, d):
-    return P.near_pairs(prints(spark, d))
+    """Pairs of first documents within three bits, and the copies (distance 0) of each first document."""
+    p = stored(prints(spark, d), "prints")
+    return P.near_pairs(p).unionByName(P.copies(p))
 
 
 @query("t_greedy_keep")
@@ -204,3 +208,30 @@ _TAILS = " UNION ALL ".join(f"SELECT doc_id, '{rel}' AS rel, {base} AS base, {mo
  SELECT DISTINCT doc_id, rel, tail, (CASE WHEN rel = 'HAS_SYMPTOM' AND contains(tail, 'tion') THEN base + 0.05 ELSE base END)::DOUBLE AS confidence FROM s WHERE length(tail) BETWEEN 2 AND most AND NOT regexp_full_match(tail, '[0-9 ]+')""")
 def _(spark, d):
     return R.pattern_triples(docs(spark, d), ["doc_id"], "text", _RELATIONS, {"HAS_SYMPTOM": ["tion"]}, ",")
+
+
+def vocabulary(df, least):
+    """term and n, in how many rows each lower-case word of at least `least` letters occurs."""
+    each = df.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term"))
+    return each.where(F.length("term") >= least).groupBy("term").agg(F.count("*").alias("n"))
+
+
+# leftmost and longest of tens of thousands of terms has no plain SQL; a test holds it against brute force
+@query("t_dictionary_matches")
+def _(spark, d):
+    """Matches of all words of six letters and more that two documents share, in all texts, inside other words too."""
+    own = docs(spark, d).select("doc_id", F.lower("text").alias("text"))
+    return L.matches(own, "doc_id", "text", vocabulary(own, 6).where("n > 1"))
+
+
+@query("t_relation_samples")
+def _(spark, d):
+    """Sentences labelled by facts: words that stand together in a benchmark passage, and neighbouring ones that don't."""
+    passages = S.table(spark, d, "benchmark").select(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 5).alias("w"))
+    pairs = passages.select(F.explode(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("source"), F.slice("w", 2, F.size("w")).alias("target"))).alias("x")).select("x.source", "x.target").where("source <> target").distinct()
+    facts = pairs.withColumn("rel", F.lit("FOLLOWED_BY"))
+    terms = passages.select(F.explode("w").alias("term")).distinct()
+    cut = docs(spark, d).select("doc_id", F.posexplode(X.sentences(F.lower("text"))).alias("sentence", "text"))
+    cut = stored(cut.withColumn("key", F.concat_ws(":", "doc_id", "sentence")), "sentences")
+    found = L.matches(cut, "key", "text", terms).select(F.split_part("key", F.lit(":"), F.lit(1)).cast("long").alias("doc_id"), F.split_part("key", F.lit(":"), F.lit(2)).cast("int").alias("sentence"), "start", "term")
+    return L.supervised(found, terms.withColumn("id", F.col("term")), facts, ["doc_id", "sentence"])

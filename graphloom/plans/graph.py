@@ -12,8 +12,9 @@ from graphloom.sources import tables as S
 from .base import EDGES, NODES, PLACES, RAW, query
 
 
-def edges(spark, d):
-    return G.first_wins(S.raw_edges(spark, d))
+def edges(spark, d, *rels):
+    """Edges of the relations, all if none is named."""
+    return G.first_wins(S.raw_edges(spark, d, *rels))
 
 
 @query("g_edges_first_wins", f"WITH {EDGES} SELECT source, rel, target, round(confidence, 6) AS confidence FROM e")
@@ -42,7 +43,7 @@ def _(spark, d):
 
 @query("g_isolated", f"WITH {RAW}, {NODES} SELECT id, type FROM n WHERE rtrim(type) <> '' AND id NOT IN (SELECT source FROM raw WHERE rel = 'HAS_SYMPTOM') AND type = 'Disease'")
 def _(spark, d):
-    have = S.raw_edges(spark, d).where(F.col("rel") == "HAS_SYMPTOM").select(F.col("source").alias("id"))
+    have = S.raw_edges(spark, d, "HAS_SYMPTOM").select(F.col("source").alias("id"))
     return S.nodes(spark, d).where(F.col("type") == "Disease").join(have, "id", "left_anti").select("id", "type")
 
 
@@ -102,45 +103,31 @@ def _(spark, d):
     return G.induced(e, T.limited(T.ego(e, "N3", 2), 40)[0]).select("source", "rel", "target")
 
 
-_LOCAL = EDGES + """, p AS (SELECT source, rel, target, l_orderkey, l_linenumber FROM e WHERE rel IN ('USES_DRUG', 'BELONGS_TO') AND (source LIKE 'S%' OR source IN ('C1', 'C2', 'C3', 'C4', 'C5'))),
- u AS (SELECT source AS node, target AS other FROM p UNION SELECT target, source FROM p)"""
-_PATHS = f"WITH RECURSIVE {_LOCAL}, w(cur, path, hops) AS (SELECT 'C1', ['C1'], 0 UNION ALL SELECT other, list_append(path, other), hops + 1 FROM w JOIN u ON node = cur WHERE cur <> 'C2' AND NOT list_contains(path, other) AND hops < 3)"
+#: All simple paths of up to three steps from C1 to C2 over all edges; e: edges.
+_PATHS = f"""WITH {EDGES}, u AS (SELECT source AS node, target AS other FROM e UNION SELECT target, source FROM e), a AS (SELECT other FROM u WHERE node = 'C1' AND other <> 'C2'), z AS (SELECT node AS other FROM u WHERE other = 'C2' AND node <> 'C1'),
+ w AS (SELECT ['C1', 'C2'] AS path FROM u WHERE node = 'C1' AND other = 'C2' UNION ALL SELECT ['C1', a.other, 'C2'] FROM a JOIN z ON a.other = z.other UNION ALL SELECT ['C1', a.other, z.other, 'C2'] FROM a JOIN u ON u.node = a.other JOIN z ON z.other = u.other WHERE a.other <> z.other)"""
 
 
-def local_edges(spark, d):
-    """Drugs and departments of five customers, and the drugs' departments: what the SQL can walk; the queries on all edges end in _whole."""
-    e = edges(spark, d).where(F.col("rel").isin("USES_DRUG", "BELONGS_TO"))
-    return e.where(F.col("source").startswith("S") | F.col("source").isin("C1", "C2", "C3", "C4", "C5"))
-
-
-@query("g_paths_le3", _PATHS + " SELECT array_to_string(path, '>') AS path, hops FROM w WHERE cur = 'C2'")
-def _(spark, d):
-    return T.paths(local_edges(spark, d), "C1", "C2", 3).select(F.array_join("path", ">").alias("path"), "hops")
-
-
-@query("g_path_steps", _PATHS + ", f AS (SELECT path FROM w WHERE cur = 'C2'), s AS (SELECT array_to_string(path, '>') AS path, i - 1 AS step, path[i] AS node, path[i + 1] AS other FROM f, unnest(range(1, len(path))) t(i)) SELECT s.path, s.step::INT AS step, s.node, s.other, p.rel, CASE WHEN p.source = s.node THEN 'out' ELSE 'in' END AS direction FROM s JOIN p ON (p.source = s.node AND p.target = s.other) OR (p.source = s.other AND p.target = s.node)")
+@query("g_paths_le3", _PATHS + " SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INT AS hops FROM w")
 def _(spark, d):
-    e = local_edges(spark, d)
-    return T.steps(T.paths(e, "C1", "C2", 3), e)
-
-
-@query("g_shortest_path", _PATHS + " SELECT array_to_string(path, '>') AS path, hops FROM w WHERE cur = 'C2' ORDER BY hops, path LIMIT 1")
-def _(spark, d):
-    return T.shortest(local_edges(spark, d), "C1", "C2").select(F.array_join("path", ">").alias("path"), "hops")
+    return T.paths(edges(spark, d), "C1", "C2", 3).select(F.array_join("path", ">").alias("path"), "hops")
 
 
-@query("g_paths_le3_whole")
+@query("g_paths_first", _PATHS + " SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INT AS hops FROM w ORDER BY len(path), w.path LIMIT 20")
 def _(spark, d):
-    return T.paths(edges(spark, d), "C1", "C2", 3).select(F.array_join("path", ">").alias("path"), "hops")
+    return T.paths(edges(spark, d), "C1", "C2", 3, 20).select(F.array_join("path", ">").alias("path"), "hops")
 
 
-@query("g_path_steps_whole")
+@query("g_path_steps", _PATHS + """, s AS (SELECT path, i - 1 AS step, path[i] AS node, path[i + 1] AS other FROM w, unnest(range(1, len(path))) t(i)),
+ d AS (SELECT source AS node, target AS other, rel, 'out' AS direction, l_orderkey, l_linenumber FROM e UNION ALL SELECT target, source, rel, 'in', l_orderkey, l_linenumber FROM e),
+ f AS (SELECT * FROM d WHERE node IN (SELECT node FROM s) QUALIFY row_number() OVER (PARTITION BY node, other ORDER BY l_orderkey, l_linenumber, rel, direction) = 1)
+ SELECT array_to_string(path, '>') AS path, step::INT AS step, s.node, s.other, rel, direction FROM s JOIN f ON f.node = s.node AND f.other = s.other""")
 def _(spark, d):
     e = edges(spark, d)
     return T.steps(T.paths(e, "C1", "C2", 3), e)
 
 
-@query("g_shortest_path_whole")
+@query("g_shortest_path", _PATHS + " SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INT AS hops FROM w ORDER BY len(path), w.path LIMIT 1")
 def _(spark, d):
     return T.shortest(edges(spark, d), "C1", "C2").select(F.array_join("path", ">").alias("path"), "hops")
 
@@ -152,19 +139,19 @@ def _(spark, d):
 
 @query("g_collect_topk", f"WITH {EDGES}, k AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target) AS k FROM e WHERE rel = 'USES_DRUG') SELECT source, string_agg(target, ',' ORDER BY target) AS targets FROM k WHERE k <= 5 GROUP BY source")
 def _(spark, d):
-    e = edges(spark, d).where(F.col("rel") == "USES_DRUG")
+    e = edges(spark, d, "USES_DRUG")
     return e.groupBy("source").agg(F.array_join(F.slice(F.array_sort(F.collect_set("target")), 1, 5), ",").alias("targets"))
 
 
 @query("g_reverse_lookup", f"WITH {EDGES} SELECT source, round(max(confidence), 6) AS confidence FROM e WHERE rel = 'HAS_SYMPTOM' AND target IN ('P1', 'P2', 'P3', 'P4', 'P5') GROUP BY source")
 def _(spark, d):
-    e = edges(spark, d).where((F.col("rel") == "HAS_SYMPTOM") & F.col("target").isin("P1", "P2", "P3", "P4", "P5"))
+    e = edges(spark, d, "HAS_SYMPTOM").where(F.col("target").isin("P1", "P2", "P3", "P4", "P5"))
     return e.groupBy("source").agg(F.round(F.max("confidence"), 6).alias("confidence"))
 
 
 @query("g_multi_hit", f"WITH {EDGES} SELECT source, count(DISTINCT target) AS hits FROM e WHERE rel = 'HAS_SYMPTOM' AND substr(target, -1) = '7' GROUP BY source HAVING count(DISTINCT target) >= 3")
 def _(spark, d):
-    e = edges(spark, d).where((F.col("rel") == "HAS_SYMPTOM") & F.col("target").endswith("7"))
+    e = edges(spark, d, "HAS_SYMPTOM").where(F.col("target").endswith("7"))
     return e.groupBy("source").agg(F.count_distinct("target").alias("hits")).where("hits >= 3")
 
 
@@ -184,7 +171,7 @@ def _(spark, d):
 
 @query("g_relation_alternation", f"WITH {EDGES} SELECT source, rel, count(*) AS n FROM e WHERE rel IN ('USES_DRUG', 'BELONGS_TO') GROUP BY source, rel")
 def _(spark, d):
-    return edges(spark, d).where(F.col("rel").isin("USES_DRUG", "BELONGS_TO")).groupBy("source", "rel").agg(F.count("*").alias("n"))
+    return edges(spark, d, "USES_DRUG", "BELONGS_TO").groupBy("source", "rel").agg(F.count("*").alias("n"))
 
 
 @query("g_disjunctive", f"WITH {EDGES} SELECT source, rel, target FROM e WHERE source IN ('C1', 'C2', 'S3') OR target IN ('C1', 'C2', 'S3')")
@@ -239,7 +226,7 @@ def _(spark, d):
 
 @query("s_hot_terms", f"WITH {EDGES}, t AS (SELECT target AS term, count(*) AS n FROM e WHERE rel = 'HAS_SYMPTOM' GROUP BY 1), a AS (SELECT 'P1' AS term, 0 AS pri, 0 AS n UNION ALL SELECT 'P2', 0, 0 UNION ALL SELECT term, 1, n FROM t), f AS (SELECT term, min(pri) AS pri, max(n) AS n FROM a GROUP BY term) SELECT term FROM f ORDER BY pri, n DESC, term DESC LIMIT 6")
 def _(spark, d):
-    t = edges(spark, d).where(F.col("rel") == "HAS_SYMPTOM").groupBy(F.col("target").alias("term")).agg(F.count("*").alias("n"))
+    t = edges(spark, d, "HAS_SYMPTOM").groupBy(F.col("target").alias("term")).agg(F.count("*").alias("n"))
     first = spark.createDataFrame([("P1", 0, 0), ("P2", 0, 0)], "term string, pri int, n long")
     got = first.unionByName(t.select("term", F.lit(1).alias("pri"), "n")).groupBy("term").agg(F.min("pri").alias("pri"), F.max("n").alias("n"))
     return got.orderBy("pri", F.desc("n"), F.desc("term")).limit(6).select("term")

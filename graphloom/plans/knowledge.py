@@ -17,12 +17,12 @@ from .base import EDGES, NODES, RAW, query
 from .corpus import docs
 from .graph import edges
 from .retrieval import _FACTS, customer_facts
-from .rules import _SYM, symptoms
+from .rules import _SYM, DRIVEN, TREATED, inferred_facts, symptoms, treatments
 
 
-@query("r_shared_treatment", _SYM + " SELECT a, b, n, round(least(0.95, 0.66 + 0.06 * (n - 1)), 6)::DOUBLE AS confidence FROM pr")
+@query("r_shared_treatment", f"WITH {TREATED} SELECT a, b, n, round(least(0.95, 0.66 + 0.06 * (n - 1)), 6)::DOUBLE AS confidence FROM pt")
 def _(spark, d):
-    return R.shared(symptoms(spark, d), 1, 0.66).withColumn("confidence", F.round("confidence", 6))
+    return R.shared(treatments(spark, d), 1, 0.66).withColumn("confidence", F.round("confidence", 6))
 
 
 _DEPT = "s AS (SELECT 'C' || c_custkey AS source, c_nationkey || '/' || c_mktsegment AS target FROM customer UNION SELECT 'C' || c_custkey, c_nationkey || '#' || floor(c_acctbal / 1000)::INT FROM customer), h AS (SELECT target FROM s GROUP BY target HAVING count(*) BETWEEN 2 AND 40), k AS (SELECT s.source, s.target FROM s JOIN h ON s.target = h.target), pr AS (SELECT a.source AS a, b.source AS b, count(*) AS n FROM k a JOIN k b ON a.target = b.target AND a.source < b.source GROUP BY 1, 2)"
@@ -42,21 +42,12 @@ def _(spark, d):
 
 @query("r_emergency_any", f"WITH {EDGES} SELECT DISTINCT source FROM e WHERE rel = 'USES_DRUG' AND target IN ('S3', 'S4')")
 def _(spark, d):
-    return edges(spark, d).where((F.col("rel") == "USES_DRUG") & F.col("target").isin("S3", "S4")).select("source").distinct()
+    return edges(spark, d, "USES_DRUG").where(F.col("target").isin("S3", "S4")).select("source").distinct()
 
 
-@query("r_driver", _SYM + """, i AS (SELECT a AS source, 'RELATED_TO' AS rel, b AS target, round(least(0.95, 0.72 + 0.06 * (n - 2)), 6)::DOUBLE AS confidence FROM pr WHERE n >= 2
- UNION ALL SELECT a, 'RELATED_TO', b, round(least(0.95, 0.66 + 0.06 * (n - 1)), 6)::DOUBLE FROM pr
- UNION ALL SELECT a.source, 'BELONGS_TO', b.target, 0.64 FROM e a JOIN e b ON a.target = b.source WHERE a.rel = 'BELONGS_TO' AND b.rel = 'PART_OF'
- UNION ALL SELECT 'C' || c_custkey, 'NEEDS_ISOLATION', 'isolation', 0.9 FROM customer WHERE c_acctbal < 0),
- w AS (SELECT source, rel, target, max(confidence) AS confidence FROM i WHERE source <> target AND NOT EXISTS (SELECT 1 FROM e WHERE e.rel = i.rel AND ((e.source = i.source AND e.target = i.target) OR (e.source = i.target AND e.target = i.source))) GROUP BY 1, 2, 3)
- SELECT source, rel, target, confidence FROM w ORDER BY confidence DESC, source, rel, target LIMIT 500""")
+@query("r_driver", f"WITH {EDGES}, {DRIVEN} SELECT source, rel, target, confidence FROM dr ORDER BY confidence DESC, source, rel, target LIMIT 500")
 def _(spark, d):
-    e = edges(spark, d)
-    pair = lambda least, base: R.shared(symptoms(spark, d), least, base).select(F.col("a").alias("source"), F.lit("RELATED_TO").alias("rel"), F.col("b").alias("target"), F.round("confidence", 6).alias("confidence"))
-    up = R.composed(e.where(F.col("rel") == "BELONGS_TO"), e.where(F.col("rel") == "PART_OF"), "BELONGS_TO", 0.64)
-    people = S.table(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("id"), "c_acctbal")
-    return R.drive([pair(2, 0.72), pair(1, 0.66), up, R.flagged(people, F.col("c_acctbal") < 0, "NEEDS_ISOLATION", "isolation", 0.9)], e, 500)
+    return inferred_facts(spark, d, edges(spark, d), 500)
 
 
 _LEGAL = [("Disease", "HAS_SYMPTOM", "Symptom"), ("Disease", "USES_DRUG", "Drug"), ("Disease", "BELONGS_TO", "Department"), ("Department", "PART_OF", "Category")]
@@ -114,7 +105,7 @@ def _(spark, d):
 
 @query("g_evidence", f"WITH {RAW}, k AS (SELECT DISTINCT source, rel, target, l_orderkey FROM raw WHERE rel = 'USES_DRUG'), r AS (SELECT *, row_number() OVER (PARTITION BY source, rel, target ORDER BY l_orderkey) AS k FROM k) SELECT source, rel, target, l_orderkey, k FROM r WHERE k <= 3")
 def _(spark, d):
-    raw = S.raw_edges(spark, d).where(F.col("rel") == "USES_DRUG").select("source", "rel", "target", F.col("seq.l_orderkey").alias("l_orderkey"))
+    raw = S.raw_edges(spark, d, "USES_DRUG").select("source", "rel", "target", F.col("seq.l_orderkey").alias("l_orderkey"))
     return Q.evidence(raw, ["source", "rel", "target"], "l_orderkey", 3)
 
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import graph as G
 from graphloom.operators import retrieval as Q
+from graphloom.session import stored
 from graphloom.sources import tables as S
 
 from .base import EDGES, query
 from .graph import edges
+from .rules import DRIVEN as _INFERRED
+from .rules import inferred_facts
 
 _QUOTA = "CASE rel WHEN 'HAS_SYMPTOM' THEN 4 WHEN 'USES_DRUG' THEN 3 WHEN 'BELONGS_TO' THEN 2 ELSE 1 END"
 _FACTS = f"WITH {EDGES}, sl AS (SELECT source, rel, target, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source, rel ORDER BY confidence DESC, target) AS k FROM e WHERE source LIKE 'C%') WHERE k <= {_QUOTA})"
@@ -29,56 +33,91 @@ def _(spark, d):
     return Q.confident(Q.slot_facts(customer_facts(spark, d)), "source", 0.95).select("source", "rel", "target")
 
 
+#: What five routes recall for each customer as a question that names its two surest symptoms.
+_ROUTES = _FACTS + f""", {_INFERRED}, rz AS (SELECT source, rel, target, confidence FROM dr ORDER BY confidence DESC, source, rel, target LIMIT 60),
+ ak AS (SELECT source AS question, target AS entity FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) AS k FROM e WHERE rel = 'HAS_SYMPTOM') WHERE k <= 2),
+ tu AS (SELECT question, source AS head, entity AS tail, confidence FROM ak JOIN e ON rel = 'HAS_SYMPTOM' AND target = entity),
+ gd AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id),
+ sn AS (SELECT 'C' || c_custkey AS id, regexp_extract(c_name, '[1-9][0-9]*$') AS name, coalesce(degree, 0) AS degree FROM customer LEFT JOIN gd ON gd.id = 'C' || c_custkey),
+ ne AS (SELECT a.id AS question, b.id FROM sn a JOIN sn b ON a.id <> b.id AND a.name <> '' AND contains(b.name, a.name) QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY CASE WHEN starts_with(b.name, a.name) THEN 0.94 WHEN ends_with(b.name, a.name) THEN 0.88 ELSE 0.8 END DESC, b.degree DESC, b.id) <= 3),
+ nf AS (SELECT source, rel, target, confidence FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY confidence DESC, rel, target) <= 20),
+ sf AS (SELECT question, source AS head, rel, target AS tail, confidence * 0.95 AS confidence FROM ne JOIN nf ON source = id QUALIFY row_number() OVER (PARTITION BY question ORDER BY confidence DESC, source, rel, target) <= 12),
+ mh AS (SELECT question, tu.tail AS head, n.target AS tail, max(least(tu.confidence, n.confidence)) AS confidence FROM tu JOIN e n ON n.source = head AND n.rel = 'BELONGS_TO' JOIN e o ON o.source = question AND o.rel = 'BELONGS_TO' AND o.target = n.target GROUP BY ALL),
+ rt AS (SELECT source AS question, source AS head, rel, target AS tail, confidence, 'kg_1hop' AS route, 1.0 AS w FROM sl
+ UNION ALL SELECT question, head, 'HAS_SYMPTOM', tail, confidence, 'kg_1hop', 1.0 FROM tu
+ UNION ALL SELECT question, head, 'RELATED_TO', tail, confidence, 'kg_2hop', 0.92 FROM (SELECT * FROM mh QUALIFY row_number() OVER (PARTITION BY question ORDER BY confidence DESC, head, tail) <= 6)
+ UNION ALL SELECT question, head, rel, tail, confidence, 'kg_similar', 0.85 FROM sf
+ UNION ALL SELECT 'C' || c_custkey, source, rel, target, confidence, 'kg_reasoned', 0.8 FROM rz JOIN customer ON 'C' || c_custkey IN (source, target)),
+ un AS (SELECT question, head, rel, tail, confidence, route, w FROM rt QUALIFY row_number() OVER (PARTITION BY question, head, rel, tail ORDER BY confidence DESC, w DESC, route) = 1)"""
+
+
+def _recall(spark, d):
+    """All edges, the entities that each question names, and the facts of five routes: direct, turned, by way of others, of similar names, inferred."""
+    e = stored(edges(spark, d), "edges")
+    fact = lambda x, route: x.select("question", "head", "rel", "tail", "confidence", F.lit(route).alias("route"))
+    mine = e.where(F.col("source").startswith("C"))
+    direct = Q.slot_facts(mine).select(F.col("source").alias("question"), F.col("source").alias("head"), "rel", F.col("target").alias("tail"), "confidence")
+    entities = Q.asked(mine, "HAS_SYMPTOM")
+    back = Q.turned(e.where("rel = 'HAS_SYMPTOM'"), entities)
+    home = e.where("rel = 'BELONGS_TO'")
+    paths = Q.by_way(back, home, home.select(F.col("source").alias("question"), F.col("target").alias("goal")))
+    people = S.table(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.regexp_extract("c_name", "[1-9][0-9]*$", 0).alias("name"))
+    near = Q.of_like_names(G.degree(people, e)).select(F.col("question").alias("seed"), "id")
+    similar = Q.facts_of_similar(e, near).withColumnRenamed("seed", "question")
+    inferred = inferred_facts(spark, d, e, 60).select(F.col("source").alias("head"), "rel", F.col("target").alias("tail"), "confidence")
+    reasoned = Q.with_names(inferred, people.select(F.col("id").alias("question")))
+    union = Q.union_routes(fact(direct, "kg_1hop"), fact(back, "kg_1hop"), fact(paths, "kg_2hop"), fact(similar, "kg_similar"), fact(reasoned, "kg_reasoned"), by=("question",))
+    return e, entities, union
+
+
 def _routes(spark, d):
-    """Five recall routes: direct facts, turned facts, two hops, similar and inferred ones."""
-    e = customer_facts(spark, d)
-    fact = lambda x, route, factor=1.0: x.select(F.col("source").alias("head"), "rel", F.col("target").alias("tail"), (F.col("confidence") * factor).alias("confidence"), F.lit(route).alias("route"))
-    direct = fact(Q.slot_facts(e), "kg_1hop")
-    drugs = e.where(F.col("rel") == "USES_DRUG")
-    hops = Q.multi_hop(drugs, e.select(F.col("source").alias("id")).distinct(), 6)  # drugs have no such edges: empty here
-    places = S.raw_edges(spark, d).where(F.col("rel").isin("BELONGS_TO", "PART_OF"))
-    two = Q.multi_hop(places, e.select(F.col("source").alias("id")).distinct()).select("head", "rel", "tail", "confidence", F.lit("kg_2hop").alias("route"))
-    similar = fact(e.where("confidence >= 0.98"), "kg_similar", 0.95)
-    reasoned = drugs.where("confidence >= 0.99").select(F.col("source").alias("head"), F.lit("DRUG_RISK_ALERT").alias("rel"), F.col("target").alias("tail"), F.lit(0.5).alias("confidence"), F.lit("kg_reasoned").alias("route"))
-    return Q.union_routes(direct, two, similar, reasoned, hops.select("head", "rel", "tail", "confidence", F.lit("kg_2hop").alias("route")))
-
-
-_ROUTES = _FACTS + """, rt AS (
- SELECT source AS head, rel, target AS tail, confidence, 'kg_1hop' AS route, 1.0 AS w FROM sl
- UNION ALL SELECT 'C' || c_custkey, 'PART_OF', 'R' || n_regionkey, 1.0, 'kg_2hop', 0.92 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE 'C' || c_custkey IN (SELECT source FROM e)
- UNION ALL SELECT source, rel, target, confidence * 0.95, 'kg_similar', 0.85 FROM e WHERE source LIKE 'C%' AND confidence >= 0.98
- UNION ALL SELECT source, 'DRUG_RISK_ALERT', target, 0.5, 'kg_reasoned', 0.8 FROM e WHERE rel = 'USES_DRUG' AND source LIKE 'C%' AND confidence >= 0.99),
- un AS (SELECT head, rel, tail, confidence, route, w FROM (SELECT *, row_number() OVER (PARTITION BY head, rel, tail ORDER BY confidence DESC, w DESC, route) AS k FROM rt) WHERE k = 1)"""
-
-
-@query("q_five_way_union", _ROUTES + " SELECT head, rel, tail, round(confidence, 6) AS confidence, route FROM un")
+    return _recall(spark, d)[2]
+
+
+@query("q_five_way_union", _ROUTES + " SELECT question, head, rel, tail, round(confidence, 6) AS confidence, route FROM un")
 def _(spark, d):
     return _routes(spark, d).withColumn("confidence", F.round("confidence", 6))
 
 
 _PRIOR = "CASE rel WHEN 'HAS_SYMPTOM' THEN 1.0 WHEN 'USES_DRUG' THEN 0.35 WHEN 'BELONGS_TO' THEN 0.7 ELSE 0.5 END"
-_SCORED = _ROUTES + f", sc AS (SELECT head, rel, tail, confidence, route, round(w * (0.45 * confidence + 0.30 * {_PRIOR} + 0.15 * 1.0 + 0.10 * 0.25) + 1e-9, 4) AS score FROM un)"
+_SCORED = _ROUTES + f""", lv AS (SELECT question, entity, max(level) AS level FROM (SELECT question, entity, 0.8 AS level FROM ak UNION ALL SELECT source, target, 0.55 FROM e WHERE source LIKE 'C%' UNION ALL SELECT question, head, 0.55 FROM tu) GROUP BY 1, 2),
+ px AS (SELECT un.*, CASE WHEN un.question IN (head, tail) THEN 1.0 ELSE greatest(coalesce(a.level, 0.3), coalesce(b.level, 0.3)) END AS prox, least(1.0, greatest(coalesce(x.degree, 0), coalesce(y.degree, 0)) / (SELECT max(degree) FROM gd)) AS dsh
+ FROM un LEFT JOIN lv a ON a.question = un.question AND a.entity = head LEFT JOIN lv b ON b.question = un.question AND b.entity = tail LEFT JOIN gd x ON x.id = head LEFT JOIN gd y ON y.id = tail),
+ so AS (SELECT question, head, rel, tail, confidence, route, round(w * (0.45 * confidence + 0.30 * {_PRIOR} + 0.15 * prox + 0.10 * dsh) + 1e-9, 4) AS score, sum((confidence >= 0.55)::INT) OVER (PARTITION BY question) AS sure FROM px),
+ sc AS (SELECT * FROM so WHERE confidence >= 0.55 OR sure < 3 QUALIFY row_number() OVER (PARTITION BY question ORDER BY score DESC, confidence DESC, head, rel, tail) <= 32)"""
 
 
 def _scored(spark, d):
-    facts = _routes(spark, d)
+    """The best 32 facts of each question, those of low confidence left out where three others are."""
+    e, entities, facts = _recall(spark, d)
+    near = e.where(F.col("source").startswith("C")).select(F.col("source").alias("question"), F.col("target").alias("entity")).unionByName(Q.turned(e.where("rel = 'HAS_SYMPTOM'"), entities).select("question", F.col("head").alias("entity")))
+    degrees = e.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    facts = Q.degree_share(Q.proximity(facts, entities, near), degrees)
     prior = Q.lookup({"HAS_SYMPTOM": 1.0, "USES_DRUG": 0.35, "BELONGS_TO": 0.7}, F.col("rel"), 0.5)
-    s = Q.lookup(Q.ROUTE_WEIGHT, F.col("route"), 0.5) * (0.45 * F.col("confidence") + 0.30 * prior + 0.15 * 1.0 + 0.10 * 0.25)
-    return facts.withColumn("score", F.round(s + 1e-9, 4))
+    s = Q.lookup(Q.ROUTE_WEIGHT, F.col("route"), 0.5) * (0.45 * F.col("confidence") + 0.30 * prior + 0.15 * F.col("proximity") + 0.10 * F.col("degree_share"))
+    return Q.ranked(Q.confident(facts.withColumn("score", F.round(s + 1e-9, 4)), "question"), "question", max(4 * 8, 24))
 
 
-@query("q_fact_score", _SCORED + " SELECT head, rel, tail, route, score FROM sc")
+@query("q_fact_score", _SCORED + " SELECT question, head, rel, tail, route, score FROM sc")
 def _(spark, d):
-    return _scored(spark, d).select("head", "rel", "tail", "route", "score")
+    return _scored(spark, d).select("question", "head", "rel", "tail", "route", "score")
+
+
+_DIVERSE = _SCORED + """, ca AS (SELECT *, CASE WHEN route = 'kg_similar' OR route = 'kg_1hop' AND head <> question THEN 'related' WHEN route = 'kg_1hop' THEN 'primary' ELSE route END AS category FROM sc),
+ rs AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY question, category ORDER BY score DESC, confidence DESC, head, rel, tail) <= CASE category WHEN 'related' THEN 2 WHEN 'kg_2hop' THEN 2 WHEN 'kg_reasoned' THEN 1 ELSE 0 END THEN 1 ELSE 0 END AS reserved FROM ca),
+ pl AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY reserved DESC, score DESC, confidence DESC, head, rel, tail) AS place FROM rs),
+ dv AS (SELECT question, head, rel, tail, 'KG-' || row_number() OVER (PARTITION BY question ORDER BY score DESC, confidence DESC, head, rel, tail) AS evidence FROM pl WHERE place <= 8)"""
+
+
+def _diverse(spark, d):
+    turned = (F.col("route") == "kg_1hop") & (F.col("head") != F.col("question"))
+    category = F.when((F.col("route") == "kg_similar") | turned, "related").when(F.col("route") == "kg_1hop", "primary").otherwise(F.col("route"))
+    return Q.diverse(_scored(spark, d), "question", category, 8).select("question", "head", "rel", "tail", "evidence")
 
 
-@query("q_diverse", _SCORED + """, ca AS (SELECT *, CASE WHEN route = 'kg_similar' THEN 'related' ELSE route END AS category FROM sc),
- rs AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY head, category ORDER BY score DESC, confidence DESC, rel, tail) <= CASE category WHEN 'related' THEN 2 WHEN 'kg_2hop' THEN 2 WHEN 'kg_reasoned' THEN 1 ELSE 0 END THEN 1 ELSE 0 END AS reserved FROM ca),
- pl AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY reserved DESC, score DESC, confidence DESC, rel, tail) AS place FROM rs)
- SELECT head, rel, tail, 'KG-' || row_number() OVER (PARTITION BY head ORDER BY score DESC, confidence DESC, rel, tail) AS evidence FROM pl WHERE place <= 8""")
+@query("q_diverse", _DIVERSE + " SELECT * FROM dv")
 def _(spark, d):
-    category = F.when(F.col("route") == "kg_similar", "related").otherwise(F.col("route"))
-    return Q.diverse(_scored(spark, d), "head", category, 8).select("head", "rel", "tail", "evidence")
+    return _diverse(spark, d)
 
 
 @query("q_route_counts", _ROUTES + " SELECT route, count(*) AS n FROM un GROUP BY route")

@@ -25,10 +25,14 @@ def _(spark, d):
     return degree(n, edges(spark, d)).select("name", "type", "degree").orderBy(F.desc("degree"), "name").limit(200)
 
 
-@query("v_since", "SELECT s, days FROM (VALUES ('1d', 1::BIGINT), ('12h', 1), ('30h', 2), ('30m', 1), ('3000m', 3), ('7d', 7), ('x', NULL)) t(s, days)")
+@query("v_since", """WITH e AS (SELECT event_id, abs(value)::INT AS n, CASE event_type WHEN 'click' THEN 'h' WHEN 'view' THEN 'm' WHEN 'error' THEN 'x' ELSE 'd' END AS u FROM events)
+ SELECT event_id, CASE u WHEN 'd' THEN greatest(1, n) WHEN 'h' THEN greatest(1, ceil(n / 24.0)) WHEN 'm' THEN greatest(1, ceil(n / 1440.0)) END::BIGINT AS days FROM e""")
 def _(spark, d):
-    s = spark.createDataFrame([(x,) for x in ("1d", "12h", "30h", "30m", "3000m", "7d", "x")], "s string")
-    return s.select("s", V.since_days(F.col("s")).alias("days"))
+    """An event's value as a duration, the unit by its type; one type's isn't a unit."""
+    kind = F.col("event_type")
+    unit = F.when(kind == "click", "h").when(kind == "view", "m").when(kind == "error", "x").otherwise("d")
+    n = F.rint(F.abs("value")).cast("int")  # half to even, as the SQL's cast
+    return S.table(spark, d, "events").select("event_id", V.since_days(F.concat(n.cast("string"), unit)).alias("days"))
 
 
 @query("v_template", "SELECT c_custkey, 'Dear ' || c_name || ' of ' || c_mktsegment || ': ' AS body FROM customer")

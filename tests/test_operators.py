@@ -48,6 +48,7 @@ def test_masking_keeps_measurements(spark):
     t = "患者张三，身份证110101199003071234，电话13812345678，血压152/96 mmHg，邮箱a.b@c.com"
     got = one(spark, t, P.masked)
     assert "13812345678" not in got and "110101199003071234" not in got and "a.b@c.com" not in got and "152/96" in got
+    assert one(spark, "生日　１990年1月2日，卡１234567890123456", P.masked) == "DOB_MASKED，卡BANK_MASKED"
 
 
 def test_simhash_and_greedy(spark):
@@ -204,15 +205,15 @@ def test_paths_over_all_edges(spark):
         open_ = [(*p, x) for p in open_ for x in near[p[-1]] if x not in p]
         want |= {p for p in open_ if p[-1] == "C2"}
         open_ = [p for p in open_ if p[-1] != "C2"]
-    got = QUERIES["g_paths_le3_whole"](spark, d).collect()
+    got = QUERIES["g_paths_le3"](spark, d).collect()
     assert sorted((r["path"], r["hops"]) for r in got) == sorted((">".join(p), len(p) - 1) for p in want)
     assert any(x[0] == "P" for p in want for x in p)  # by way of a symptom, too
-    steps = QUERIES["g_path_steps_whole"](spark, d).collect()
+    steps = QUERIES["g_path_steps"](spark, d).collect()
     assert len(steps) == sum(len(p) - 1 for p in want)
     there = {(r["source"], r["rel"], r["target"]) for r in have}
     assert all(((r["node"], r["rel"], r["other"]) if r["direction"] == "out" else (r["other"], r["rel"], r["node"])) in there for r in steps)
     least = min(len(p) for p in want)
-    one = QUERIES["g_shortest_path_whole"](spark, d).collect()
+    one = QUERIES["g_shortest_path"](spark, d).collect()
     assert [(r["path"], r["hops"]) for r in one] == [(">".join(min(p for p in want if len(p) == least)), least - 1)]
 
 
@@ -262,7 +263,7 @@ def test_protected_spans_stay(spark):
     """Digits of measurements stay, others are masked; no match crosses a protected span."""
     from graphloom.operators import corpus as P
 
-    rows = [("血压 13812345678 电话13812345678", "血压 13812345678 电话PHONE_MASKED"), ("12345678901234567 mg and 1234567890123456", "12345678901234567 mg and BANK_MASKED"), ("李某 PMID: 13812345678", "NAME_MASKED PMID: 13812345678"), ("", ""), (None, None), ("a@b.cd 10年", "EMAIL_MASKED 10年")]
+    rows = [("血压 13812345678 电话13812345678", "血压 13812345678 电话PHONE_MASKED"), ("12345678901234567 mg and 1234567890123456", "12345678901234567 mg and BANK_MASKED"), ("李某 PMID: 13812345678", "NAME_MASKED PMID: 13812345678"), ("", ""), (None, None), ("a@b.cd 10年", "EMAIL_MASKED 10年"), ("电话1３８12345６78，卡 １234567890123456", "电话1３８12345６78，卡 BANK_MASKED"), ("电话13８12345６78 血压 １52/96　mmHg 生日　１990年1月", "电话PHONE_MASKED 血压 １52/96　mmHg 生日　１990年1月")]
     df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "k int, t string")
     got = {r["k"]: r["m"] for r in df.select("k", P.masked_outside(F.col("t")).alias("m")).collect()}
     assert [got[k] for k in range(len(rows))] == [want for _, want in rows]
