@@ -191,10 +191,10 @@ def wide_sketches(texts: DataFrame) -> DataFrame:
 
 
 def crowded(nodes: DataFrame) -> DataFrame:
-    """key, node, and the key's number of nodes c, its least node low and its greatest high, of the buckets of two nodes and more."""
-    bands = nodes.select("node", F.explode("keys").alias("key"))
+    """key, band, node, and the key's number of nodes c, its least node low and its greatest high, of the buckets of two nodes and more."""
+    bands = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     size = bands.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    return C.save(bands.join(size, "key").select("key", "node", "c", "low", "high"), "buckets", compression="zstd")[0]
+    return C.save(bands.join(size, "key").select("key", "band", "node", "c", "low", "high"), "buckets", compression="zstd")[0]
 
 
 def met_at_stars(buckets: DataFrame) -> DataFrame:
@@ -204,22 +204,24 @@ def met_at_stars(buckets: DataFrame) -> DataFrame:
 
 
 def mixed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, node and label of the buckets of several classes and more than two nodes: the others are done."""
+    """key, band, node and label of the buckets of several classes and more than two nodes: the others are done."""
     classed = nodes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    many = buckets.where("c > 2").select("key", "node").join(classed, "node")
+    many = buckets.where("c > 2").select("key", "band", "node").join(classed, "node")
     keys = many.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
-    return C.save(many.join(keys, "key").select("key", "node", "label"), "mixed")[0]
+    return C.save(many.join(keys, "key").select("key", "band", "node", "label"), "mixed")[0]
 
 
 def met_across(rows: DataFrame, nodes: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes that share a mixed bucket and pass by set sizes and wide sketches."""
-    columns = ["node", "label", "n", *(f"s{i}" for i in range(WIDE_LONGS))]
-    info = nodes.select("node", "n").join(wide, "node").select("node", "n", *(F.col("wide")[i].alias(f"s{i}") for i in range(WIDE_LONGS)))
+    """Pairs (a, b) of nodes of different classes that share a mixed bucket and pass by set sizes and wide sketches, each in the first band that they share."""
+    columns = ["node", "label", "band", "n", "keys", *(f"s{i}" for i in range(WIDE_LONGS))]
+    info = nodes.select("node", "n", "keys").join(wide, "node").select("node", "n", "keys", *(F.col("wide")[i].alias(f"s{i}") for i in range(WIDE_LONGS)))
     near = rows.join(info, "node").select("key", *columns)
     left, right = (near.select("key", *(F.col(c).alias(f"{end}_{c}") for c in columns)) for end in "ab")
     sketch = lambda end: [F.col(f"{end}_s{i}") for i in range(WIDE_LONGS)]
     test = alike(F.col("a_n"), F.col("b_n"), sketch("a"), sketch("b"), percent, WIDE_K)
-    met = left.join(right, "key").where((F.col("a_label") != F.col("b_label")) & (F.col("b_node") < F.col("a_node")) & test)
+    before = lambda end: F.slice(f"{end}_keys", F.lit(1), F.col("a_band"))
+    first = F.size(F.array_intersect(before("a"), before("b"))) == 0
+    met = left.join(right, "key").where((F.col("a_label") != F.col("b_label")) & (F.col("b_node") < F.col("a_node")) & test & first)
     return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
