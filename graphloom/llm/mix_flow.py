@@ -7,16 +7,17 @@ the repetition, so no text is repeated while fresh text of the source is left.
 Documents are then selected whole, in the order of a seeded hash, until their
 pattern's flow is used.
 
-Scale: the driver sees a row per pattern.  Selection needs no sort of a source:
-hash bins are summed (a map-side combine), bins below the bin where the flow ends
-are taken, bins above aren't, and only the documents of a few bins around it, some
-hundreds for each pattern, are walked through one by one.
+Scale: the driver sees a row per pattern.  Selection needs no sort of a source: sizes are
+summed by the first bits of the hash (a map-side combine), then by the next bits within the bin
+where the flow ends, until that bin holds at most WALK documents, which are walked through one
+by one.  The document at which the flow ends doesn't fit; those behind it that are no longer than
+what is left are summed again in the same way, so that an outsized document costs a further pass
+and not the source's target.  What is taken are a few ranges of the hash for each pattern.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source
 is a source of its own, last in order; a text of any length counts whole; repeated rows
-count as documents; equal hashes are told apart by doc_id and size, and rows without
-doc_id are spread over the bins by a hash of their text; an empty table gives an empty
-table.  Reruns on the same rows agree.  Only doc_id, text and the source are read, so
+count as documents, and rows equal in id and text share a hash, so it doesn't matter which of them
+are taken; an empty table gives an empty table.  Reruns on the same rows agree.  Only doc_id, text and the source are read, so
 other columns may have any names.
 
 Bounds: a row per pattern and per source reaches the driver.  The query's documents have
@@ -28,14 +29,16 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterable
+from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-BINS, CLOSE = 4096, 256
+#: Bits of a level's bins; documents of a bin that are walked; a part is met once less than its 2,000th is left.
+LEVEL, WALK, NEAR = 12, 64, 2000
+_OPEN = "size > 0 AND size <= part_limit AND (key > low_key OR (key = low_key AND row > low_row)) AND (NOT by_row OR key = at_key)"
 Source = str | None
 
 
@@ -117,16 +120,96 @@ def route(patterns: dict[str, int], quotas: dict[Source, int], repeats: int = 2)
 
 
 def sized(docs: DataFrame, members: Column, seed: int = 0) -> DataFrame:
-    """doc_id, pattern, size, bin and key of every row; read again, not computed again."""
-    key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string"))))
+    """doc_id, pattern, size, key (the seeded order) and row (tells equal keys apart) of every row; read again, not computed again."""
+    key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text")
     size = F.coalesce(F.regexp_count("text", F.lit(C.WORD)), F.lit(0)).cast("long")
-    return C.save(docs.select("doc_id", F.to_json(F.array_sort(members)).alias("pattern"), size.alias("size"), key.alias("key")).withColumn("bin", F.pmod("key", F.lit(BINS)).cast("int")), "sized")[0]
+    return C.save(docs.select("doc_id", F.to_json(F.array_sort(members)).alias("pattern"), size.alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row")), "sized")[0]
+
+
+@dataclass
+class Pick:
+    """Where the selection of a pattern stands."""
+
+    left: int  #: words still to be taken
+    limit: int  #: longer documents are passed over
+    low: tuple[int, int] = (-(1 << 63), -1)  #: documents up to here are settled
+    depth: int = 0  #: level of the search for the end, and the bins chosen on the levels before
+    bin: int = 0
+    key: int = 0
+    ranges: list[tuple] = field(default_factory=list)  #: (after, before, no longer than) of what is taken
+    passed: tuple[int, int, int] | None = None  #: the shortest document passed over: size, key, row
+
+    def shift(self) -> int:
+        return max(0, 64 - LEVEL - LEVEL * (self.depth % 6))
+
+    def settle(self, end: tuple[int, int, int] | None) -> None:
+        """Take what lies before the document at which it ends, all if none."""
+        self.ranges.append((*self.low, *(end[:2] if end else ((1 << 63) - 1, (1 << 63) - 1)), self.limit))
+        if end:
+            self.low, self.limit, self.depth = end[:2], self.left, 0
+            if self.passed is None or end[2] < self.passed[0]:
+                self.passed = (end[2], *end[:2])
+        else:
+            self.limit = 0
+
+
+def choose(rows: DataFrame, parts: dict[str, int]) -> dict[str, Pick]:
+    """For each pattern the ranges whose documents hold about its part of words: in order, each that fits what is left."""
+    spark = rows.sparkSession
+    picks = {p: Pick(n, n) for p, n in parts.items()}
+    state = "pattern string, part_limit long, low_key long, low_row long, by_row boolean, shift int, above int, bin long, at_key long"
+    while open_ := {p: x for p, x in picks.items() if x.limit > 0 and x.left * NEAR > parts[p]}:
+        # a row for each pattern
+        now = spark.createDataFrame([(p, x.limit, *x.low, x.depth >= 6, x.shift(), 64 if x.depth % 6 == 0 else x.shift() + (LEVEL if x.depth % 6 < 5 else 4), x.bin, x.key) for p, x in open_.items()], state)
+        held = rows.join(F.broadcast(now), "pattern").where(_OPEN).withColumn("at", F.expr("CASE WHEN by_row THEN row ELSE key END"))
+        inside = held.where("above = 64 OR shiftright(at, above) = bin").withColumn("b", F.expr("shiftright(at, shift)"))
+        bins = inside.groupBy("pattern", "b").agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
+        left = spark.createDataFrame([(p, x.left) for p, x in open_.items()], "pattern string, left_over long")
+        upto = F.sum("n").over(Window.partitionBy("pattern").orderBy("b"))  # at most 2^LEVEL bins
+        ends = bins.withColumn("upto", upto).join(F.broadcast(left), "pattern")
+        found = ends.groupBy("pattern").agg(F.min(F.when(F.col("upto") > F.col("left_over"), F.struct("b", "n", "upto", "docs"))).alias("end"), F.sum("n").alias("all")).collect()
+        few = []
+        for r in found:
+            p, x = r["pattern"], open_.pop(r["pattern"])
+            if r["end"] is None:  # all that is open fits
+                x.left -= r["all"]
+                x.settle(None)
+                continue
+            x.left -= r["end"]["upto"] - r["end"]["n"]
+            if x.left * NEAR <= parts[p]:  # the bins before are enough
+                start = r["end"]["b"] << x.shift()
+                x.ranges.append((*x.low, *((x.key, start) if x.depth >= 6 else (start, -(1 << 63))), x.limit))
+                x.limit = 0
+            elif r["end"]["docs"] <= WALK:
+                few.append((p, x.limit, *x.low, x.depth >= 6, x.shift(), r["end"]["b"], x.key))
+            else:
+                x.bin = r["end"]["b"]
+                x.key = x.bin if x.depth == 5 else x.key
+                x.depth += 1
+        for x in open_.values():  # nothing is open that fits
+            x.limit = 0
+        if few:
+            now = spark.createDataFrame(few, "pattern string, part_limit long, low_key long, low_row long, by_row boolean, shift int, bin long, at_key long")
+            near = rows.join(F.broadcast(now), "pattern").where(f"{_OPEN} AND shiftright(CASE WHEN by_row THEN row ELSE key END, shift) = bin")
+            walked: dict[str, list] = {}
+            for r in near.select("pattern", "key", "row", "size").collect():  # at most WALK of a pattern
+                walked.setdefault(r["pattern"], []).append((r["key"], r["row"], r["size"]))
+            for p, docs in walked.items():
+                for doc in sorted(docs):
+                    if doc[2] > picks[p].left:
+                        picks[p].settle(doc)
+                        break
+                    picks[p].left -= doc[2]
+    for x in picks.values():
+        if x.passed and 2 * x.left > x.passed[0]:  # nearer to the part with it than without
+            size, key, row = x.passed
+            x.ranges.append((key, row - 1, key, row + 1, size))
+    return picks
 
 
 def mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> tuple[DataFrame, dict[Source, int], dict[Source, float]]:
     """Rows of sized() with `taken`, and the sources' sizes and targets."""
     spark = rows.sparkSession
-    C.ship(spark)
     patterns = {r["pattern"]: r["n"] for r in rows.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
     sizes: dict[Source, int] = {}
     for p, n in patterns.items():
@@ -135,43 +218,12 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     aim = targets(sizes, weights, share, float(repeats), sum(patterns.values()))
     flow = {p: sum(f.values()) for p, f in route(patterns, {s: round(t) for s, t in aim.items()}, repeats).items()}
     # every document `whole` times, and documents of `part` words once more
-    quota = spark.createDataFrame([(p, f // max(1, patterns[p]), f % max(1, patterns[p])) for p, f in flow.items()], "pattern string, whole long, part long")
-    by = Window.partitionBy("pattern").orderBy("bin")
-    bins = rows.groupBy("pattern", "bin").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).join(F.broadcast(quota), "pattern")
-    bins = bins.withColumns({"upto": F.sum("n").over(by), "docs_upto": F.sum("docs").over(by)})
-    # the first bin that isn't taken in full, and the last of those that are walked through
-    plan = bins.groupBy("pattern").agg(
-        F.first("whole").alias("whole"), F.first("part").alias("part"),
-        F.coalesce(F.min(F.when(F.col("upto") > F.col("part"), F.col("bin"))), F.lit(BINS)).alias("from_bin"),
-        F.coalesce(F.max(F.when(F.col("upto") <= F.col("part"), F.col("upto"))), F.lit(0)).alias("before"),
-        F.coalesce(F.max(F.when(F.col("upto") <= F.col("part"), F.col("docs_upto"))), F.lit(0)).alias("docs_before"),
-    )
-    last = bins.select("pattern", "bin", "docs_upto").join(F.broadcast(plan), "pattern").where(F.col("docs_upto") >= F.col("docs_before") + CLOSE).groupBy("pattern").agg(F.min("bin").alias("to_bin"))
-    plan = plan.join(last, "pattern", "left").select("pattern", "whole", "part", "from_bin", "before", F.greatest("from_bin", F.coalesce("to_bin", F.lit(BINS))).alias("to_bin"))
-    plan = spark.createDataFrame(plan.collect(), plan.schema)  # a row per pattern
-    held = rows.join(F.broadcast(plan), "pattern")
-    near = (F.col("bin") >= F.col("from_bin")) & (F.col("bin") <= F.col("to_bin"))
-    # ids as text: pandas would turn a column with a null to floating point
-    columns = "doc_id string, pattern string, size long, taken long"
-    far = held.where(~near).select("doc_id", "pattern", "size", (F.col("size") * (F.col("whole") + (F.col("bin") < F.col("from_bin")).cast("long"))).alias("taken"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Take documents in order while they fit what is left of the part."""
-        pdf = pdf.sort_values(["bin", "key", "doc_id", "size"], kind="stable")
-        left, more = int(pdf["part"].iloc[0] - pdf["before"].iloc[0]), []
-        last = None  # the smallest document passed over
-        for n in pdf["size"].tolist():
-            fits = n <= left
-            left -= n if fits else 0
-            more.append(int(fits))
-            if not fits and (last is None or n < pdf["size"].iloc[last]):
-                last = len(more) - 1
-        if last is not None and 2 * left > pdf["size"].iloc[last]:
-            more[last] = 1  # nearer to the part with it than without
-        return pdf.assign(taken=pdf["size"] * (pdf["whole"] + more))[["doc_id", "pattern", "size", "taken"]]
-
-    walked = held.where(near).withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("pattern").applyInPandas(walk, columns)
-    return far.unionByName(walked.withColumn("doc_id", F.col("doc_id").cast("long"))), sizes, aim
+    picks = choose(rows, {p: f % max(1, patterns[p]) for p, f in flow.items()})
+    kind = "pattern string, whole long, ranges array<struct<after_key:long,after_row:long,before_key:long,before_row:long,longest:long>>"
+    plan = spark.createDataFrame([(p, f // max(1, patterns[p]), picks[p].ranges) for p, f in flow.items()], kind)
+    more = F.expr("exists(ranges, r -> size <= r.longest AND (key > r.after_key OR (key = r.after_key AND row > r.after_row)) AND (key < r.before_key OR (key = r.before_key AND row < r.before_row)))")
+    held = rows.join(F.broadcast(plan), "pattern")  # a row for each pattern
+    return held.select("doc_id", "pattern", "size", (F.col("size") * (F.col("whole") + more.cast("long"))).alias("taken")), sizes, aim
 
 
 def op2_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
