@@ -24,9 +24,12 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def hash_fraction(doc_id: str, seed: int = 0) -> Column:
-    """A number in [0, 1) that depends on the id and the seed only."""
-    return F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def hash_fraction(doc_id: str, seed: int = 0, text: str | None = None) -> Column:
+    """A number in [0, 1) that depends on the id and the seed only; of a row without id on its text, where that is named."""
+    key = F.col(doc_id).cast("string")
+    if text:
+        key = F.coalesce(key, F.concat(F.lit("text "), F.xxhash64(text).cast("string")))
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def rate_by(column: str, counts: dict, most: int) -> Column:

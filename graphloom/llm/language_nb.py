@@ -58,7 +58,7 @@ def fit(docs: DataFrame, keep, rows_per_lang: int = 4000, alpha: float = 0.1) ->
     known = docs.where(keep & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(counts)
-    drawn = known.where(C.hash_fraction("doc_id", 4) < C.rate_by("lang", counts, rows_per_lang)).select("text", "lang")
+    drawn = known.where(C.hash_fraction("doc_id", 4, "text") < C.rate_by("lang", counts, rows_per_lang)).select("text", "lang")
     place = {x: k for k, x in enumerate(langs)}
 
     def count(batches):
