@@ -1,10 +1,13 @@
 """Quality rules by line labelling: a linear-chain conditional random field.
 
-Each line with a word is content (1) or boilerplate (0).  Weights of binary line
-features and label transitions are fitted by gradient ascent on the CRF's
-log-likelihood, over a bounded sample of labelled documents; Viterbi decoding
-labels the lines of every document, and a document is kept if content lines hold
-at least half of its words.  A base rule rejects documents with fewer than 20
+Each line with a word is content (1) or boilerplate (0).  Only documents are labelled, so
+the lines' labels are latent: in turns, weights of binary line features and label transitions are
+fitted by gradient ascent on the CRF's log-likelihood over a bounded sample, and the sample's lines
+are labelled anew by Viterbi decoding under what is known of their document, that content
+lines hold at least half of a good document's words and less of a bad one's.  So a good
+document's notices and repeated lines are boilerplate, a bad one's prose is content, and
+transitions learn where the labels change.  Viterbi decoding then labels the lines of every
+document, and a document is kept if content lines hold at least half of its words.  A base rule rejects documents with fewer than 20
 words or with over 30 % of their words in repeated 8-word windows.
 
 Defined cases: a null text has no words; a text without words fails the base
@@ -73,46 +76,71 @@ def viterbi(emission: np.ndarray, trans: np.ndarray) -> list[int]:
     return label[::-1]
 
 
-def _gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of one document's log-likelihood: forward-backward expectations against the labels."""
-    e = x @ w
+def _sums(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forward and backward log-sums of a document's emissions, and the log partition function."""
     n = len(e)
     a, b = np.zeros((n, 2)), np.zeros((n, 2))
     a[0] = e[0]
     for i in range(1, n):
-        m = a[i - 1][:, None] + trans
-        top = m.max(0)
-        a[i] = e[i] + top + np.log(np.exp(m - top).sum(0))
+        a[i] = e[i] + np.logaddexp(a[i - 1][0] + trans[0], a[i - 1][1] + trans[1])
     for i in range(n - 2, -1, -1):
-        m = trans + e[i + 1] + b[i + 1]
-        top = m.max(1)
-        b[i] = top + np.log(np.exp(m - top[:, None]).sum(1))
-    z = np.logaddexp(*a[-1])
-    p = np.exp(a + b - z)
+        m = e[i + 1] + b[i + 1]
+        b[i] = np.logaddexp(trans[:, 0] + m[0], trans[:, 1] + m[1])
+    return a, b, float(np.logaddexp(*a[-1]))
+
+
+def likelihood(x: np.ndarray, y: np.ndarray, w: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """One document's log-likelihood and its gradients: the labels' counts less their expectations."""
+    e = x @ w
+    n = len(e)
+    a, b, z = _sums(e, trans)
     gold = np.eye(2)[y]
-    gt = np.zeros((2, 2))
+    value, gt = float(e[np.arange(n), y].sum() - z), np.zeros((2, 2))
     if n > 1:
         pair = np.exp(a[:-1, :, None] + trans + (e[1:] + b[1:])[:, None, :] - z)
         gt = np.einsum("ni,nj->ij", gold[:-1], gold[1:]) - pair.sum(0)
-    return x.T @ (gold - p) / n, gt / n
+        value += float(trans[y[:-1], y[1:]].sum())
+    return value, x.T @ (gold - np.exp(a + b - z)), gt
 
 
-def train(rows: list[tuple[int, np.ndarray]], epochs: int = 6, rate: float = 0.1, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights from documents' (quality, line features); a line of a good document is content unless it is a notice or has pipes throughout."""
+def labels_within(x: np.ndarray, words: np.ndarray, quality: int, w: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Viterbi labels, turned at the least certain lines until the share of words in content lines is what the quality says."""
+    e = x @ w
+    y = np.array(viterbi(e, trans))
+    a, b, z = _sums(e, trans)
+    content = np.exp(a[:, 1] + b[:, 1] - z)
+    half = words.sum() / 2
+    for k in np.argsort(-content if quality else content, kind="stable"):
+        if (words[y == 1].sum() >= half) == bool(quality):
+            break
+        y[k] = quality
+    return y
+
+
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], turns: int = 3, epochs: int = 3, rate: float = 0.1, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights from documents' (quality, line features, words of each line).
+
+    At first a line is labelled as its document, but for a good one's notices, repeated lines and
+    lines with pipes throughout; each turn fits the weights and labels the lines anew.
+    """
     w, trans = np.stack([-PRIOR / 2, PRIOR / 2], 1), np.array([[0.5, -0.5], [-0.5, 0.5]])
     if len({r[0] for r in rows}) < 2:
         return w, trans
-    gw, gt = np.full_like(w, 1e-2), np.full_like(trans, 1e-2)
+    junk = [FEATURES.index(f) for f in ("notice", "pipes", "seen_before")]
+    labels = [np.where(x[:, junk].any(1), 0, q).astype(int) for q, x, _ in rows]
     rng = np.random.default_rng(3)
-    for _ in range(epochs):
-        for k in rng.permutation(len(rows)):
-            q, x = rows[k]
-            y = np.where((x[:, FEATURES.index("notice")] > 0) | (x[:, FEATURES.index("pipes")] > 0), 0, q).astype(int)
-            dw, dt = _gradient(x.astype(float), y, w, trans)
-            dw, dt = dw - l2 * w, dt - l2 * trans
-            gw += dw * dw
-            gt += dt * dt
-            w, trans = w + rate * dw / np.sqrt(gw), trans + rate * dt / np.sqrt(gt)
+    for turn in range(turns):
+        if turn:
+            labels = [labels_within(x.astype(float), n, q, w, trans) for q, x, n in rows]
+        gw, gt = np.full_like(w, 1e-2), np.full_like(trans, 1e-2)
+        for _ in range(epochs):
+            for k in rng.permutation(len(rows)):
+                x, y = rows[k][1], labels[k]
+                _, dw, dt = likelihood(x.astype(float), y, w, trans)
+                dw, dt = dw / len(y) - l2 * w, dt / len(y) - l2 * trans
+                gw += dw * dw
+                gt += dt * dt
+                w, trans = w + rate * dw / np.sqrt(gw), trans + rate * dt / np.sqrt(gt)
     return w, trans
 
 
@@ -164,10 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 600) -> tuple[
 
     def make(batch: pa.RecordBatch) -> dict:
         lines = [[x for x in t.encode("utf-8", "replace").split(b"\n") if x.strip()] for t in C.texts_of(batch, "text")]
-        return {"doc_id": batch.column(0), "quality": batch.column(batch.schema.get_field_index("quality")), "x": [np.packbits(line_features(x).astype(bool)).tobytes() for x in lines], "n": [len(x) for x in lines]}
+        return {"doc_id": batch.column(0), "quality": batch.column(batch.schema.get_field_index("quality")), "x": [np.packbits(line_features(x).astype(bool)).tobytes() for x in lines], "n": [[len(x.split()) for x in doc] for doc in lines]}
 
-    got = sorted(C.per_batch(there, make, "doc_id long, quality int, x binary, n int").collect(), key=lambda r: (r["doc_id"], r["x"]))
-    return train([(r["quality"], np.unpackbits(np.frombuffer(r["x"], np.uint8), count=r["n"] * _N).reshape(-1, _N)) for r in got if r["n"]])
+    got = sorted(C.per_batch(there, make, "doc_id long, quality int, x binary, n array<int>").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    return train([(r["quality"], np.unpackbits(np.frombuffer(r["x"], np.uint8), count=len(r["n"]) * _N).reshape(-1, _N), np.array(r["n"])) for r in got if r["n"]])
 
 
 _SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
