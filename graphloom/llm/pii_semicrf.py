@@ -4,20 +4,22 @@ Base patterns find e-mail addresses, IP addresses, card and phone numbers; these
 spans always stay.  Beside them a semi-Markov CRF scores whole candidate
 segments (runs of tokens) by span features such as digit counts, checksum,
 separators and the word before, and a dynamic program over segments of at most
-MAX_TOKENS whole tokens, of any length, chooses boundaries and types jointly; its
-entities that touch no base span are added.  An entity has a token with a mark (a
+MAX_TOKENS whole tokens, of any length, chooses boundaries and types jointly: a type's score
+depends on that of the window's entity before it, too.  Its entities that touch no base span
+are added.  An entity has a token with a mark (a
 digit, an at-sign, plain or spelled out), so only the MAX_TOKENS tokens before and
 after such a token are decoded: none can lie elsewhere.
 
-Weights are fitted by the averaged structured perceptron on windows of a bounded
-sample, in which base spans, and copies of them in disguise (no plus sign,
-spelled-out at-sign), are the gold entities.
+Weights are fitted by conditional likelihood on windows of a bounded sample, in which base
+spans, and copies of them in disguise (no plus sign, spelled-out at-sign), are the gold
+entities: the partition function and the expected features of all segmentations come from
+forward and backward sums over segments.
 
 Defined cases: a null text is empty, as is an empty table's result; a text without
 matches has an empty span list; a text of any length is read whole; repeated rows get
 equal results; of equally good segmentations the one with the shorter last entity, and
-then the earlier kind, is taken; without training windows the fixed prior weights
-serve.  Offsets are code points, ends exclusive.  Only doc_id and text are read, and
+then the earlier kind, is taken; with fewer than FEW gold entities the fixed prior
+weights serve.  Offsets are code points, ends exclusive.  Only doc_id and text are read, and
 redact() keeps all columns, whatever their names.
 """
 
@@ -29,6 +31,7 @@ from bisect import bisect_left, bisect_right
 from itertools import pairwise
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +40,8 @@ from . import common as C
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 5
+#: Gold entities of a sample from which on weights are learned.
+FEW = 20
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match that begins inside a run of digits would have begun at the run's first digit
@@ -114,7 +119,7 @@ def span_features(span: str, before: str, kind: str, tokens: int) -> list[str]:
     return out
 
 
-#: Fixed prior weights; other features start at 0.
+#: Fixed prior weights, for samples without entities to learn from.
 PRIOR = {"email:shapeTrue": 6.0, "email:shapeFalse": -6.0, "ip:shapeTrue": 4.0, "ip:shapeFalse": -6.0, "card:shapeTrueluhnTrue": 6.0, "card:shapeTrueluhnFalse": -3.0, "card:shapeFalseluhnTrue": -1.0, "card:shapeFalseluhnFalse": -6.0, "phone:shapeTrueplusTrue": 5.0, "phone:shapeTrueplusFalse": 1.5, "phone:shapeFalseplusTrue": -1.0, "phone:shapeFalseplusFalse": -6.0, **{f"{k}:bias": -1.0 for k in KINDS}, **{f"{k}:cue": 1.0 for k in KINDS}}
 _TRIM = ".,;:!?\"'"
 _TOKEN = re.compile(r"\S+")
@@ -146,14 +151,11 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float]) -> list[tuple[int, int, int]]:
-    """The best segmentation of a window into entities and single outside tokens (score 0): bounded-entity dynamic programming."""
-    n = len(tokens)
+def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int, list[str]]]:
+    """Candidate entities of a window as (first token, end token, start, end, kind's number, features), by end token, then first token, then kind."""
     marked = [bool(_MARK.search(text, a, b)) for a, b in tokens]
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    get = weights.get
-    for j in range(1, n + 1):
-        best[j], back[j] = best[j - 1], None
+    out = []
+    for j in range(1, len(tokens) + 1):
         for i in range(max(0, j - MAX_TOKENS), j):
             if not any(marked[i:j]):
                 continue
@@ -161,18 +163,45 @@ def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float])
             if b - a < 5:  # shorter than any kind's shape
                 continue
             before = text[tokens[i - 1][0] : tokens[i - 1][1]].strip(_TRIM).lower() if i else ""
-            for k, kind in enumerate(KINDS):
-                s = best[i] + sum(get(f, 0.0) for f in span_features(text[a:b], before, kind, j - i))
-                if s > best[j]:
-                    best[j], back[j] = s, (i, a, b, k)
+            out += [(i, j, a, b, k, span_features(text[a:b], before, kind, j - i)) for k, kind in enumerate(KINDS)]
+    return out
+
+
+#: The state before a window's first entity, and the features of an entity's kind after the one before it.
+_NONE = len(KINDS)
+AFTER = [[f"{prev}>{kind}" for kind in KINDS] for prev in (*KINDS, "none")]
+
+
+def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float]) -> list[tuple[int, int, int]]:
+    """The best segmentation of a window into entities and single outside tokens (score 0): bounded-entity dynamic programming over the end and the last entity's kind."""
+    n, get, low = len(tokens), weights.get, float("-inf")
+    step = [[get(f, 0.0) for f in row] for row in AFTER]
+    best = [[low] * (_NONE + 1) for _ in range(n + 1)]
+    back: list[list] = [[None] * (_NONE + 1) for _ in range(n + 1)]
+    best[0][_NONE] = 0.0
+    into: dict[int, list[tuple[float, int]]] = {}  # for each kind the best state before a segment that starts here
+    found, at = segments(text, tokens), 0
+    for j in range(1, n + 1):
+        here = best[j]
+        here[:] = best[j - 1]
+        while at < len(found) and found[at][1] == j:
+            i, _, a, b, k, names = found[at]
+            if i not in into:
+                into[i] = [max((best[i][s] + step[s][q], -s) for s in range(_NONE + 1)) for q in range(len(KINDS))]
+            base, prev = into[i][k]
+            score = base + sum(get(f, 0.0) for f in names)
+            if score > here[k]:
+                here[k], back[j][k] = score, (i, a, b, -prev)
+            at += 1
     out, j = [], n
-    while j:
-        if back[j] is None:
+    state = max(range(_NONE + 1), key=lambda s: (best[n][s], s == _NONE, -s))
+    while j and state != _NONE:
+        if back[j][state] is None:
             j -= 1
         else:
-            i, a, b, k = back[j]
-            out.append((a, b, k))
-            j = i
+            i, a, b, prev = back[j][state]
+            out.append((a, b, state))
+            j, state = i, prev
     return out[::-1]
 
 
@@ -184,33 +213,83 @@ def disguise(text: str, kind: str) -> str:
     return text.lstrip("+") if kind == "phone" else text
 
 
-def train(cases: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 3) -> dict[str, float]:
-    """Averaged structured perceptron over (text, gold entities)."""
-    w, total, steps = dict(PRIOR), dict.fromkeys(PRIOR, 0.0), 0
-
-    def features(text: str, tokens: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[str]:
-        out, starts, ends = [], [x for x, _ in tokens], [y for _, y in tokens]
-        for a, b, k in spans:
-            i, j = bisect_right(ends, a), bisect_left(starts, b)
-            if i < j:
-                before = text[tokens[i - 1][0] : tokens[i - 1][1]].strip(_TRIM).lower() if i else ""
-                out += span_features(text[a:b], before, KINDS[k], j - i)
-        return out
-
+class Window:
+    """A window's candidates as rows of feature numbers, and which of them are gold."""
+
+    def __init__(self, text: str, tokens: list[tuple[int, int]], gold: list[tuple[int, int, int]], number: dict[str, int]):
+        found = segments(text, tokens)
+        self.n = len(tokens)
+        self.i, self.j, self.k = (np.array([x[c] for x in found], np.int64) for c in (0, 1, 4))
+        names = [[number.setdefault(f, len(number)) for f in x[5]] for x in found]
+        self.row = np.repeat(np.arange(len(found)), [len(x) for x in names])
+        self.feature = np.array([f for x in names for f in x], np.int64)
+        place = {(a, b, k): at for at, (_, _, a, b, k, _) in enumerate(found)}
+        self.gold = [place.get(g, -1) for g in gold]
+        self.after = np.array([[number.setdefault(f, len(number)) for f in row] for row in AFTER])
+
+    def likelihood(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """Log-likelihood of the gold entities and its gradient: forward and backward sums over segments."""
+        m, low = len(self.i), -np.inf
+        score = np.bincount(self.row, w[self.feature], m) if m else np.zeros(0)
+        step = w[self.after]
+        ahead, behind = np.full((self.n + 1, _NONE + 1), low), np.full((self.n + 1, _NONE + 1), low)
+        ahead[0, _NONE], behind[self.n] = 0.0, 0.0
+        total = lambda x, axis: np.logaddexp.reduce(x, axis=axis)
+        at = 0
+        into = np.full((self.n + 1, len(KINDS)), low)  # all ways to come to a segment of a kind that starts here
+        for j in range(self.n + 1):
+            if j:
+                ahead[j] = ahead[j - 1]
+                while at < m and self.j[at] == j:
+                    k = self.k[at]
+                    ahead[j, k] = np.logaddexp(ahead[j, k], into[self.i[at], k] + score[at])
+                    at += 1
+            into[j] = total(ahead[j][:, None] + step, 0)
+        by_start = np.argsort(-self.i, kind="stable")
+        at = 0
+        for i in range(self.n - 1, -1, -1):
+            behind[i] = behind[i + 1]
+            while at < m and self.i[by_start[at]] == i:
+                x = by_start[at]
+                behind[i] = np.logaddexp(behind[i], step[:, self.k[x]] + score[x] + behind[self.j[x], self.k[x]])
+                at += 1
+        z = float(total(ahead[self.n], 0))
+        gradient = np.zeros_like(w)
+        value = -z
+        if m:
+            onward = score + behind[self.j, self.k] - z
+            share = np.exp(into[self.i, self.k] + onward)
+            np.subtract.at(gradient, self.feature, share[self.row])
+            pairs = np.exp(ahead[self.i] + step[:, self.k].T + onward[:, None])  # for each candidate by the kind before
+            np.subtract.at(gradient, self.after[:, self.k].T, pairs)
+        last = _NONE
+        for g in self.gold:
+            np.add.at(gradient, self.feature[self.row == g], 1.0)
+            gradient[self.after[last, self.k[g]]] += 1.0
+            value += score[g] + step[last, self.k[g]]
+            last = self.k[g]
+        return value, gradient
+
+
+def train(cases: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 4, rate: float = 0.3, l2: float = 1e-3) -> dict[str, float]:
+    """Weights by gradient ascent on the conditional likelihood of (text, gold entities), from zero."""
+    number: dict[str, int] = {}
+    held = []
+    for text, gold in cases:
+        for tokens in windows(text):
+            w = Window(text, tokens, [g for g in gold if tokens[0][0] <= g[0] and g[1] <= tokens[-1][1]], number)
+            if -1 not in w.gold:  # else an entity isn't made of whole tokens
+                held.append(w)
+    if sum(len(w.gold) for w in held) < FEW:
+        return dict(PRIOR)
+    weights, seen = np.zeros(len(number)), np.full(len(number), 1e-2)
+    order = np.random.default_rng(5)
     for _ in range(epochs):
-        for text, gold in cases:
-            for tokens in windows(text):
-                here = [g for g in gold if tokens[0][0] <= g[0] and g[1] <= tokens[-1][1]]
-                got = decode(text, tokens, w)
-                if got != here:
-                    for f in features(text, tokens, here):
-                        w[f] = w.get(f, 0.0) + 0.5
-                    for f in features(text, tokens, got):
-                        w[f] = w.get(f, 0.0) - 0.5
-                steps += 1
-                for f, v in w.items():
-                    total[f] = total.get(f, 0.0) + v
-    return {f: v / steps for f, v in total.items()} if steps else w
+        for at in order.permutation(len(held)):
+            gradient = held[at].likelihood(weights)[1] - l2 * weights
+            seen += gradient * gradient
+            weights += rate * gradient / np.sqrt(seen)
+    return dict(zip(number, weights.tolist(), strict=True))
 
 
 def find(text: str, weights: dict[str, float]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -246,7 +325,7 @@ def fit(docs: DataFrame, rows: int = 400, per_row: int = 16, tokens_each: int =
     """
     marked = docs.select("doc_id", "text").where(F.col("text").rlike(r"[0-9]{3}|@"))
     n = marked.count()
-    drawn = marked.where(C.hash_fraction("doc_id", 8) < min(1.0, rows / max(1, n)))
+    drawn = marked.where(C.hash_fraction("doc_id", 8, "text") < min(1.0, rows / max(1, n)))
 
     def make(batch: pa.RecordBatch) -> dict:
         out: dict = {"doc_id": [], "part": []}
