@@ -4,9 +4,10 @@
 LZW stream each; ``decode`` reads GIF87a and GIF89a: LZW code streams with
 growing codes, clear and end codes, global and local palettes, interlacing,
 transparency and the disposal methods, giving timed frames composed on the
-canvas as well as each frame's own samples.  ``frames`` turns a media column
-into a row per frame with delay and colour-histogram columns; the query writes the
-media column to a table, reads it back and takes payload and feature from its frames.
+canvas as well as each frame's own samples.  ``decoded`` turns a media column into timed
+frames with colour-histogram columns, frame by frame, and ``frames`` into a row for each; the
+query writes the media column to a table, reads it back, writes the frames to another, and takes
+payload and feature from these.
 
 Defined cases: a null or empty text is 64 zero bytes; a payload over one frame's
 height spans several frames, so a text of any length is stored whole; repeated rows
@@ -20,13 +21,15 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -214,15 +217,21 @@ def _blocks(gif: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def decode(gif: bytes, compose: bool = True) -> tuple[int, int, list[Frame]]:
-    """Width, height and frames.  Without compose the canvases aren't drawn."""
+def play(gif: bytes, compose: bool = True) -> Iterator[Frame]:
+    """The frames one by one, so that one canvas is held at a time.  Without compose the canvases aren't drawn."""
     try:
-        return _decode(gif, compose)
+        yield from _played(gif, compose)
     except (IndexError, struct.error) as e:
         raise ValueError("GIF ends early") from e
 
 
-def _decode(gif: bytes, compose: bool) -> tuple[int, int, list[Frame]]:
+def decode(gif: bytes, compose: bool = True) -> tuple[int, int, list[Frame]]:
+    """Width, height and frames."""
+    got = list(play(gif, compose))
+    return *struct.unpack_from("<HH", gif, 6), got
+
+
+def _played(gif: bytes, compose: bool) -> Iterator[Frame]:
     if gif[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", gif, 6)
@@ -234,7 +243,6 @@ def _decode(gif: bytes, compose: bool) -> tuple[int, int, list[Frame]]:
     if width * height > MAX_PIXELS:
         raise ValueError("GIF: canvas too large")
     canvas = np.zeros((height, width), "<u4") if compose else None  # a pixel's bytes: red, green, blue, opacity
-    frames: list[Frame] = []
     delay, disposal, clear = 0, 0, None
     while (kind := gif[at]) != 0x3B:
         if kind == 0x21:
@@ -287,9 +295,8 @@ def _decode(gif: bytes, compose: bool) -> tuple[int, int, list[Frame]]:
                 part[...] = 0
             elif disposal == 3:
                 canvas = before
-        frames.append(Frame(left, top, w, h, delay, disposal, clear, samples, shown))
+        yield Frame(left, top, w, h, delay, disposal, clear, samples, shown)
         delay, disposal, clear = 0, 0, None
-    return width, height, frames
 
 
 def histogram(samples: bytes, bins: int = 16) -> list[int]:
@@ -312,49 +319,55 @@ def store(docs: DataFrame) -> DataFrame:
     return C.per_batch(docs.select("doc_id", "text"), make, "doc_id long, n_bytes long, media binary", 256)
 
 
-def frames(media: DataFrame, column: str = "media") -> DataFrame:
-    """A row per frame of a media column: doc_id, frame, start_cs, delay_cs, width, height and the colour histogram of the composed canvas (16 bins each for red, green, blue)."""
-
-    def make(batch: pa.RecordBatch) -> dict:
-        out: dict = {k: [] for k in ("doc_id", "frame", "start_cs", "delay_cs", "width", "height", "red", "green", "blue")}
-        for i, gif in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            try:
-                w, h, got = decode(gif or b"")
-            except ValueError:
-                w, h, got = None, None, [None]
-            start = 0
-            for k, f in enumerate(got):
-                bands = [histogram(f.canvas[..., c][f.canvas[..., 3] > 0].tobytes()) for c in range(3)] if f else [None] * 3
-                for name, v in zip(out, (i, k if f else None, start, f.delay_cs if f else None, w, h, *bands), strict=True):
-                    out[name].append(v)
-                start += f.delay_cs if f else 0
-        return out
+TIMED = "frame:int,start_cs:bigint,delay_cs:int,width:int,height:int,red:array<bigint>,green:array<bigint>,blue:array<bigint>"
+DECODED = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<struct<{TIMED}>>"
 
-    return C.per_batch(media.select("doc_id", column), make, "doc_id long, frame int, start_cs long, delay_cs int, width int, height int, red array<long>, green array<long>, blue array<long>", 64)
 
+def decoded(media: DataFrame) -> DataFrame:
+    """A row for each row of media (doc_id, n_bytes, media): the payload's digests, and the timed frames with the colour histograms of their composed canvases.
 
-def digest(media: DataFrame) -> DataFrame:
-    """What the stored bytes give when they are read back: a row per document.
-
-    The feature holds the frames' times and the colour histograms of their composed canvases.
+    Media that can't be read have no frames and no digests of a payload.
     """
 
     def make(batch: pa.RecordBatch) -> dict:
-        out: dict = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "length_cs")}
+        out: dict = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames")}
         for gif in batch.column(2).to_pylist():
-            _, _, got = decode(gif)
-            payload = b"".join(f.samples for f in got)
-            time = sum(f.delay_cs for f in got)
-            # equal texts give equal frames, so sums over frames are a feature of the text
-            bands = [np.sum([histogram(np.ascontiguousarray(f.canvas[: f.height, :, c]).tobytes()) for f in got], axis=0).tolist() for c in range(3)]
-            feature = f"{len(got)}:{time}:" + "|".join(",".join(map(str, b)) for b in bands)
-            values = (len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-64:]), len(gif), hashlib.sha256(gif).hexdigest(), feature, len(got), time)
-            for k, v in zip(out, values, strict=True):
-                out[k].append(v)
+            whole, n, tail, start, shown = hashlib.sha256(), 0, b"", 0, []
+            try:
+                for k, f in enumerate(play(gif or b"")):
+                    whole.update(f.samples)
+                    n, tail = n + len(f.samples), (tail + f.samples)[-64:] if len(f.samples) < 64 else f.samples[-64:]
+                    height, width = f.canvas.shape[:2]
+                    opaque = f.canvas[..., 3] > 0
+                    red, green, blue = (histogram(f.canvas[..., c][opaque].tobytes()) for c in range(3))
+                    shown.append({"frame": k, "start_cs": start, "delay_cs": f.delay_cs, "width": width, "height": height, "red": red, "green": green, "blue": blue})
+                    start += f.delay_cs
+                values = (n, whole.hexdigest(), crc32(tail))
+            except ValueError:
+                values, shown = (None, None, None), None
+            media_of = (len(gif), hashlib.sha256(gif).hexdigest()) if gif is not None else (None, None)
+            for name, v in zip(out, (*values, *media_of, shown), strict=True):
+                out[name].append(v)
         return {"doc_id": batch.column(0), "n_bytes": batch.column(1)} | out
 
-    return C.per_batch(media, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, length_cs long", 64)
+    return C.per_batch(media.select("doc_id", "n_bytes", "media"), make, DECODED, 64)
+
+
+def frames(media: DataFrame, column: str = "media") -> DataFrame:
+    """A row per frame of a media column: doc_id, frame, start_cs, delay_cs, width, height and the colour histogram of the composed canvas (16 bins each for red, green, blue)."""
+    got = decoded(media.select("doc_id", F.lit(None).cast("long").alias("n_bytes"), F.col(column).alias("media")))
+    return got.where("frames IS NULL OR size(frames) > 0").select("doc_id", F.explode_outer("frames").alias("f")).select("doc_id", "f.*")
+
+
+def feature() -> Column:
+    """Number and time of the frames, and the sums of their histograms: equal texts give equal frames."""
+    none = F.array_repeat(F.lit(0).cast("long"), 16)
+    band = lambda c: F.array_join(F.aggregate(F.transform("frames", lambda f: f[c]), none, lambda x, y: F.zip_with(x, y, lambda p, q: p + q)).cast("array<string>"), ",")
+    time = F.aggregate(F.transform("frames", lambda f: f["delay_cs"].cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    return F.concat(F.size("frames"), F.lit(":"), time, F.lit(":"), F.concat_ws("|", *map(band, ("red", "green", "blue"))))
 
 
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(C.save(store(C.documents(spark, sf_dir)), "media")[0])
+    media, _ = C.save(store(C.documents(spark, sf_dir)), "media")
+    shown, _ = C.save(decoded(media), "frames")
+    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature().alias("feature"), F.size("frames").alias("n_frames"))
