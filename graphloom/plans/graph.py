@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
@@ -139,8 +140,8 @@ def _(spark, d):
 
 @query("g_collect_topk", f"WITH {EDGES}, k AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target) AS k FROM e WHERE rel = 'USES_DRUG') SELECT source, string_agg(target, ',' ORDER BY target) AS targets FROM k WHERE k <= 5 GROUP BY source")
 def _(spark, d):
-    e = edges(spark, d, "USES_DRUG")
-    return e.groupBy("source").agg(F.array_join(F.slice(F.array_sort(F.collect_set("target")), 1, 5), ",").alias("targets"))
+    e = edges(spark, d, "USES_DRUG").withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("target"))).where("k <= 5")
+    return e.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("target")), ",").alias("targets"))
 
 
 @query("g_reverse_lookup", f"WITH {EDGES} SELECT source, round(max(confidence), 6) AS confidence FROM e WHERE rel = 'HAS_SYMPTOM' AND target IN ('P1', 'P2', 'P3', 'P4', 'P5') GROUP BY source")
@@ -217,8 +218,6 @@ def _(spark, d):
     hits = S.table(spark, d, "part").where(F.col("p_name").contains("a")).withColumn("score", F.when(F.col("p_name").startswith("a"), 0.93).otherwise(0.72))
     # a page is the tail of a bounded top-k; the total is a count beside it
     page = hits.orderBy(F.desc("score"), "p_name", "p_partkey").limit(18)
-    from pyspark.sql import Window
-
     k = F.row_number().over(Window.orderBy(F.desc("score"), "p_name", "p_partkey")).cast("long")
     total = hits.agg(F.count("*").alias("total"))
     return page.withColumn("k", k).where("k >= 13").crossJoin(F.broadcast(total)).select("p_partkey", "p_name", "score", "total", "k")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import service as V
@@ -63,8 +64,11 @@ def _(spark, d):
 
 @query("v_cards", f"WITH {EDGES}, f AS (SELECT source, rel, string_agg(target, ',' ORDER BY target) FILTER (WHERE k <= 12) AS first, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY source, rel ORDER BY target) AS k FROM e WHERE source LIKE 'C%' AND rel <> 'BELONGS_TO') GROUP BY source, rel) SELECT source, rel, first, n FROM f")
 def _(spark, d):
-    e = edges(spark, d).where(F.col("source").startswith("C") & (F.col("rel") != "BELONGS_TO"))
-    return e.groupBy("source", "rel").agg(F.array_join(F.slice(F.array_sort(F.collect_list("target")), 1, 12), ",").alias("first"), F.count("*").alias("n"))
+    e = edges(spark, d, "HAS_SYMPTOM", "USES_DRUG")
+    # ranks before lists, so that none holds more than its twelve
+    k = F.row_number().over(Window.partitionBy("source", "rel").orderBy("target"))
+    first = e.withColumn("k", k).where("k <= 12").groupBy("source", "rel").agg(F.array_join(F.array_sort(F.collect_list("target")), ",").alias("first"))
+    return first.join(e.groupBy("source", "rel").agg(F.count("*").alias("n")), ["source", "rel"])
 
 
 @query("v_authority_url", "SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN url ELSE '' END, ''), 'urn:' || sha256(url)) AS address FROM pages")
