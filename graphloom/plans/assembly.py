@@ -199,10 +199,14 @@ def _(spark, d):
 
 @query("m_boosted")
 def _(spark, d):
-    """Whether an order is filled, by trees over its date, price, lines and discount; evaluated on orders that neither trees nor curve saw."""
-    lines = S.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("lines"), F.avg("l_discount").alias("discount"), F.max(F.datediff("l_shipdate", F.lit("1992-01-01"))).cast("double").alias("shipped"))
-    o = S.table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    x = stored(o.select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.datediff("o_orderdate", F.lit("1992-01-01")).cast("double").alias("day"), F.col("o_totalprice").alias("price"), "lines", "discount", "shipped"), "orders")
-    part = F.pmod(F.xxhash64("o_orderkey"), F.lit(10))
-    model = L.fit(x.where(part < 6), x.where(part.between(6, 7)), ["day", "price", "lines", "discount", "shipped"], "label", rounds=8, depth=3)
+    """Labelled documents' quality by trees over measures of their texts, evaluated on documents that neither trees nor curve saw."""
+    known = S.table(spark, d, "labels").where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    size = F.greatest(F.length("text"), F.lit(1))
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    share = lambda pattern: F.regexp_count("text", F.lit(pattern)) / size
+    x = S.table(spark, d, "documents").join(known, "doc_id").where(F.col("text").isNotNull())
+    x = x.select("doc_id", "label", F.length("text").cast("double").alias("size"), share(r"[#*$%&|<>!]").alias("symbols"), share("[0-9]").alias("digits"), share("[A-Z]").alias("capitals"), (F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))).alias("distinct"))
+    x = stored(x, "measures")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(10))
+    model = L.fit(x.where(part < 6), x.where(part.between(6, 7)), ["size", "symbols", "digits", "capitals", "distinct"], "label", rounds=8, depth=3)
     return L.evaluate(model.score(x.where(part > 7)), "label")
