@@ -50,8 +50,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as the mix takes them: not at all, once or twice.
 
     A document without id goes by a hash of its source and text; equal ones come equally often.
-    A null or empty text is never taken; a null source is a source of its own; equal hashes of the
-    seeded order are told apart by doc_id.
+    A null or empty text is never taken; a null source is a source of its own; rows equal in id and
+    text are taken in any order.
     """
     key = F.coalesce("doc_id", F.xxhash64("source", "text")).alias("doc_id")
     rows, _, _ = mix_flow.mix(mix_flow.sized(docs.select(key, "source", "text"), F.array("source")))
