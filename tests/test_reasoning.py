@@ -200,3 +200,32 @@ def test_copies_of_fingerprints(spark):
     prints = spark.createDataFrame([(1, 0, 5), (2, 0, 5), (3, 0, 4), (4, 0, 5)], "key long, hi long, lo long")
     got = {tuple(r) for r in P.near_pairs(prints).unionByName(P.copies(prints)).collect()}
     assert got == {(1, 2, 0), (1, 4, 0), (1, 3, 1)}
+
+
+def test_every_treatment_is_shared(spark, tmp_path):
+    """Customers meet by any supplier, not by that of the dearest line alone, and by one of more than 40 customers."""
+    import duckdb
+
+    from graphloom.plans.catalogue import ORACLE_SQL, QUERIES
+
+    rng = random.Random(5)
+    buys = {c: {(900 + c, 99.0), (1, 5.0)} | {(rng.randrange(2, 9), 1.0) for _ in range(c % 3)} for c in range(2, 52)} | {60: {(70, 1.0), (71, 9.0)}, 61: {(70, 1.0), (72, 9.0)}, 62: {(73, 1.0)}, 63: set()}
+    orders = [(c * 10 + twice, c) for c in buys for twice in (0, 1)]
+    lines = [(c * 10 + twice, k, s + 7, s, price, 0.1) for c, b in buys.items() for twice in (0, 1) for k, (s, price) in enumerate(sorted(b))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = set()
+    for x, y in combinations(buys, 2):
+        n = len({s for s, _ in buys[x]} & {s for s, _ in buys[y]})
+        if n:
+            want.add((*sorted((f"C{x}", f"C{y}")), n, round(min(0.95, 0.66 + 0.06 * (n - 1)), 6)))
+    got = QUERIES["r_shared_treatment"](spark, str(tmp_path)).select("a", "b", "n", "confidence").collect()
+    assert len(want) == 50 * 49 // 2 + 1 and len(got) == len(want) and {tuple(r) for r in got} == want
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    places = "customer(c_custkey, c_nationkey), supplier(s_suppkey, s_nationkey), nation(n_nationkey, n_regionkey)"
+    for t in places.split("), "):
+        name, cols = t.rstrip(")").split("(")
+        con.execute(f"CREATE TABLE {name} ({', '.join(c + ' BIGINT' for c in cols.split(', '))})")
+    assert set(con.execute(ORACLE_SQL["r_shared_treatment"]).fetchall()) == want
