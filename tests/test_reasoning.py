@@ -5,6 +5,7 @@ from itertools import combinations
 from math import log
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import fixpoint as X
 from graphloom.operators import retrieval as Q
@@ -229,3 +230,40 @@ def test_every_treatment_is_shared(spark, tmp_path):
         name, cols = t.rstrip(")").split("(")
         con.execute(f"CREATE TABLE {name} ({', '.join(c + ' BIGINT' for c in cols.split(', '))})")
     assert set(con.execute(ORACLE_SQL["r_shared_treatment"]).fetchall()) == want
+
+
+def test_scores_are_rounded_as_in_sql(spark, tmp_path):
+    """A confidence of 0.6625625 and a score of 0.2509375, halves in decimals but not in doubles, and many such values."""
+    import duckdb
+
+    from graphloom.plans.catalogue import ORACLE_SQL, QUERIES
+
+    # customers 1 and 2 share 17 of 20 and 33 parts, 3 and 4 share 22 of 40 and 42; nobody shares a nation or a supplier
+    parts = {1: range(1, 21), 2: range(4, 37), 3: range(101, 141), 4: range(119, 161)}
+    lines = [(c, k + 1, p, 900 + c, float(p), 0.1) for c, ps in parts.items() for k, p in enumerate(ps)]
+    keys = sorted({p for ps in parts.values() for p in ps})
+    tables = {
+        "lineitem": (lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_discount double"),
+        "orders": ([(c, c) for c in parts], "o_orderkey long, o_custkey long"),
+        "customer": ([(c, c) for c in parts], "c_custkey long, c_nationkey long"),
+        "supplier": ([(900 + c, c) for c in parts], "s_suppkey long, s_nationkey long"),
+        "nation": ([(c, 0) for c in parts], "n_nationkey long, n_regionkey long"),
+        "part": ([(p,) for p in keys], "p_partkey long"),
+    }
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("l_score", "r_hybrid"):
+        want = con.execute(ORACLE_SQL[name])
+        cols = [c[0] for c in want.description]
+        want, got = set(want.fetchall()), {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*cols).collect()}
+        assert got == want
+        if name == "l_score":
+            at = {(r[0], r[2]): dict(zip(cols, r, strict=True)) for r in got if r[1] == "RELATED_TO"}
+            assert set(at) == {("C1", "C2"), ("C2", "C1"), ("C3", "C4"), ("C4", "C3")} and at["C1", "C2"]["confidence"] == 0.662563 and at["C3", "C4"]["raw"] == 0.250937
+    halves = [((2 * k + 1) * 5e-7,) for k in range(0, 2_000_000, 997)] + [(0.0,), (1.0,), (1e-12,), (123.4567895,), (None,)]
+    con.execute("CREATE TABLE halves (x DOUBLE)")
+    con.executemany("INSERT INTO halves VALUES (?)", halves)
+    got = spark.createDataFrame(halves, "x double").select("x", *(R.rounded(F.col("x"), d) for d in (6, 9))).collect()
+    assert {tuple(r) for r in got} == set(con.execute("SELECT x, round(x, 6), round(x, 9) FROM halves").fetchall())
