@@ -1,6 +1,7 @@
 """Rule fixpoint, threshold links, recall routes and paths against brute force."""
 
 import random
+import re
 from itertools import combinations
 from math import log
 
@@ -267,3 +268,54 @@ def test_scores_are_rounded_as_in_sql(spark, tmp_path):
     con.executemany("INSERT INTO halves VALUES (?)", halves)
     got = spark.createDataFrame(halves, "x double").select("x", *(R.rounded(F.col("x"), d) for d in (6, 9))).collect()
     assert {tuple(r) for r in got} == set(con.execute("SELECT x, round(x, 6), round(x, 9) FROM halves").fetchall())
+
+
+def test_pairs_of_one_common_neighbour_are_not_kept(spark, monkeypatch):
+    """Nodes of many neighbours, of which each two share one at most: no pair can reach the score, and none is written."""
+    edges = [(f"c{k:02}", f"own{k}-{j}") for k in range(40) for j in range(20)] + [(f"c{k:02}", f"z{min(k, j):02}-{max(k, j):02}") for k in range(40) for j in range(40) if k != j]
+    edges += [(f"x{k}", z) for k, z in enumerate(sorted({z for _, z in edges if z.startswith("z")}))]
+    edge = spark.createDataFrame(edges, "source string, target string")
+    among = edge.where("source LIKE 'c%'").selectExpr("source AS id").distinct()
+    kept, write = {}, R.stored
+    monkeypatch.setattr(R, "stored", lambda df, name: kept.setdefault(name, write(df, name)))
+    known = spark.createDataFrame([], "source string, rel string, target string")
+    assert R.predicted(edge, among, edge.selectExpr("target AS id").distinct(), known, ("A",), 5).count() == 0
+    assert kept["reaching"].count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_pair_of_common_targets_is_shuffled(spark):
+    """Members go to the tasks with lists; pairs are made, summed and met with their sizes there."""
+    edge = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("c", "y")], "source string, target string")
+    for df in (R.link_scores(edge), R.link_scores(edge, ("aa",)), R.pairs_by_shared(edge), R.pairs_by_shared(edge, None)):
+        assert not re.search(r"hashpartitioning\((a#\d+, b#\d+|b#\d+),", plan(df))
+        assert {(r["a"], r["b"]) for r in df.collect()} == {("a", "b"), ("b", "c")}
+
+
+def test_lists_of_large_targets_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(R, "LISTED", 4)
+    rng = random.Random(8)
+    rows = {(f"n{rng.randrange(30):02}", f"t{rng.randrange(4)}") for _ in range(70)}
+    got = R.pairs_by_shared(spark.createDataFrame(sorted(rows), "source string, target string"), None).collect()
+    to = {}
+    for s, t in rows:
+        to.setdefault(s, set()).add(t)
+    assert {(r["a"], r["b"], r["n"]) for r in got} == {(a, b, len(to[a] & to[b])) for a in to for b in to if a < b and to[a] & to[b]}
+
+
+def test_driven_conclusions_equal_all_of_them(spark):
+    rng = random.Random(9)
+    part = lambda: [(f"s{rng.randrange(9)}", "R", f"s{rng.randrange(9)}", rng.choice((0.5, 0.7, 0.9))) for _ in range(40)]
+    parts, edges = [part(), part(), part()], {x[:3] for x in part()[:12]}
+    best = {}
+    for s, r, t, c in sum(parts, []):
+        if s != t and (s, r, t) not in edges and (t, r, s) not in edges:
+            best[s, r, t] = max(best.get((s, r, t), 0), c)
+    want = sorted((-c, *k) for k, c in best.items())
+    kind = "source string, rel string, target string"
+    for n in (1, 7, 500):
+        got = R.drive([spark.createDataFrame(p, kind + ", confidence double") for p in parts], spark.createDataFrame(sorted(edges), kind), n)
+        assert [(-r["confidence"], r["source"], r["rel"], r["target"]) for r in got.collect()] == want[:n]
