@@ -453,3 +453,100 @@ def test_streams_of_many_files_in_any_order(spark, tmp_path):
     assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, rows.groupBy("user_id").count().collect()))
     days = V.run_once(V.tumbling(stream(), "1 day"), folder, "complete")
     assert days.agg(F.sum("n")).first()[0] == rows.count()
+
+
+def test_fuzzy_mentions_align_few_windows(spark, monkeypatch):
+    """Windows without a name's letters aren't aligned; blank ends, texts of any length and other characters change nothing."""
+    import random
+
+    import pandas as pd
+
+    from graphloom.operators import answers as A
+
+    rng, tried = random.Random(4), []
+    texts = ["".join(rng.choice("kitens agm　\U00020000") for _ in range(rng.randrange(40))) for _ in range(200)] + ["xyzw " * 2000]
+    similar = A.similar
+    monkeypatch.setattr(A, "similar", lambda a, b, least: tried.append(a) or similar(a, b, least))
+    monkeypatch.setattr(A, "TOGETHER", 500)
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):  # noqa: N802
+            self.run = run
+            return self
+
+        def withColumnRenamed(self, *_):  # noqa: N802
+            return self
+
+    names = ["kitten", "a mat", "st"]
+    got = next(A.fuzzy_mentions(Frame(), "k", "t", names).run(iter([pd.DataFrame({"k": range(len(texts)), "t": texts})])))
+    assert not any(len(x) > 1 and set(x) <= set("xyzw ") for x in tried)
+    want = []
+    for k, t in enumerate(texts):
+        taken = []
+        for size in (8, 7, 6, 5, 4, 3, 2):
+            for i in range(len(t) - size + 1):
+                part = t[i : i + size].strip()
+                if part and all(i + size <= s or i >= e for s, e in taken):
+                    name, s = max(((n, similar(part, n, 0.72)) for n in names), key=lambda x: x[1])
+                    if s:
+                        want.append((k, i, i + size, name, round(s * 0.85, 4)))
+                        taken.append((i, i + size))
+                        break
+    assert want and list(got.itertuples(index=False, name=None)) == want
+
+
+def test_mask_audit_equals_rule_after_rule(spark):
+    import random
+
+    from graphloom.operators import corpus as P
+
+    rng = random.Random(2)
+    bits = ["110101199003071234", "13912345678", "010-12345678", "6222021234567890123", "a.b@c.de", "住院号：AB1234", "北京市海淀区中关村", "QQ 12345678", "weixin_abcde", "WECHAT：abc_12", "患者王小明", "张某某", "李XX", "出生日期 1990-01-02", "word", "１３９１２３４５６７８", " "]
+    texts = [(" " if rng.random() < 0.5 else "").join(rng.choice(bits) for _ in range(rng.randrange(9))) for _ in range(150)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    c, want = F.col("t"), []
+    for name, pattern, mask in P.PII_RULES:
+        want.append(F.sum(F.coalesce(F.regexp_count(c, F.lit(P.UNICODE + pattern)), F.lit(0))).alias(name))
+        c = F.regexp_replace(c, P.UNICODE + pattern, mask)
+    want = df.agg(*want).first().asDict()
+    assert all(want.values()) and {r["rule"]: r["n"] for r in P.mask_audit(df, "t").collect()} == want
+    assert P.mask_audit(df.where("false"), "t").count() == 0
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    import math
+    import random
+
+    from graphloom.operators import analytics as A
+
+    rng = random.Random(3)
+    v = {k: [float(rng.randrange(-3, 4)) for _ in range(4)] or None for k in range(60)}
+    v = {k: x if any(x) else [1.0] * 4 for k, x in v.items()}
+    df = spark.createDataFrame(sorted(v.items()), "id long, vector array<double>")
+    monkeypatch.setattr(A, "ASKED", 3)
+    monkeypatch.setattr(A, "LOOKED_AT", 7)
+    got = A.nearest(df, df.where("id % 10 = 0"), 5)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    for q in range(0, 60, 10):
+        want = sorted((-round(cos(v[q], v[i]), 9), i) for i in v if i != q)[:5]
+        assert [r["id"] for r in got.where(F.col("q") == q).orderBy("k").collect()] == [i for _, i in want]
+
+
+def test_pairs_within_groups_are_not_shuffled(spark, monkeypatch):
+    import random
+
+    from graphloom.operators import graph as G
+
+    monkeypatch.setattr(G, "DEALT", 3)
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(4), f"n{rng.randrange(25)}") for _ in range(50)})
+    got = G.pairs_within(spark.createDataFrame(rows, "k int, name string"), "k", "name")
+    of = {}
+    for k, n in rows:
+        of.setdefault(n, set()).add(k)
+    assert {(r["a"], r["b"], r["n"]) for r in got.collect()} == {(a, b, len(of[a] & of[b])) for a in of for b in of if a < b and of[a] & of[b]}
+    single = spark.createDataFrame([(n % 2, f"m{n}") for n in range(20)], "k int, name string")
+    assert G.pairs_within(single, "k", "name").count() == 90

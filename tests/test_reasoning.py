@@ -319,3 +319,11 @@ def test_driven_conclusions_equal_all_of_them(spark):
     for n in (1, 7, 500):
         got = R.drive([spark.createDataFrame(p, kind + ", confidence double") for p in parts], spark.createDataFrame(sorted(edges), kind), n)
         assert [(-r["confidence"], r["source"], r["rel"], r["target"]) for r in got.collect()] == want[:n]
+
+
+def test_paths_do_not_deal_out_all_edges(spark):
+    """Repeated mentions are edges, and no exchange sorts all of them by their ends."""
+    e = S.raw_edges(spark, DATA)
+    assert not re.search(r"hashpartitioning\(node#\d+, other#\d+", plan(T.paths(e, "C1", "C2", 3)))
+    twice = spark.createDataFrame([("a", "b", 1), ("a", "b", 2), ("b", "c", 1)], "source string, target string, seq int")
+    assert [r["path"] for r in T.paths(twice, "a", "c", 3).collect()] == [["a", "b", "c"]]
